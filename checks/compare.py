@@ -32,7 +32,7 @@ def _normal(frame: pd.DataFrame) -> list[tuple]:
     for values in frame[columns].itertuples(index=False, name=None):
         row = []
         for value in values:
-            if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+            if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
                 row.append("∅")
             elif hasattr(value, "isoformat"):
                 row.append(value.isoformat()[:10] if str(value).endswith("00:00:00") else str(value))

@@ -241,7 +241,7 @@ gaps AS (
 ),
 numbered AS (
   SELECT *, CAST(SUM(CASE WHEN before IS NULL OR event_name = 'session_start'
-                          OR epoch_us(occurred_at) - epoch_us(before) >= {gap_s} * 1000000
+                          OR epoch_us(occurred_at) - epoch_us(before) >= CAST({gap_s} AS BIGINT) * 1000000
                      THEN 1 ELSE 0 END)
             OVER (PARTITION BY player_id_hash ORDER BY occurred_at, event_id) AS BIGINT) AS session_no
   FROM gaps

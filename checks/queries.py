@@ -25,7 +25,7 @@ from eventlens.functions import (
     user_agent_label,
     wildcard_match,
 )
-from eventlens.functions.validation import event_bytes, event_reasons, properties_of, text_at
+from eventlens.functions.validation import checked_event
 from eventlens.operators import daily, dedupe, quality, replay, requests, retention, sessions
 from eventlens.plans import ingest, metrics
 from eventlens.sources import dimensions, tables
@@ -258,17 +258,17 @@ def pack_batches(spark, sf_dir):
 # ---------------------------------------------------------------- validation
 
 
-def _variants(spark, sf_dir):
+def _checked(spark, sf_dir):
     wire = data.wire_events(spark, sf_dir)
-    return wire.select("event_id", F.parse_json("event_json").alias("event"))
+    event = checked_event(F.parse_json("event_json"), SETTINGS.games)
+    return wire.select("event_id", event.alias("event"))
 
 
 @query
 def event_validation(spark, sf_dir):
     """Broken rules of every event that breaks any, in contract order."""
-    reasons = event_reasons(F.col("event"), SETTINGS.games)
-    checked = _variants(spark, sf_dir).select("event_id", reasons.alias("reasons"))
-    return checked.filter(F.size("reasons") > 0).select(
+    reasons = _checked(spark, sf_dir).select("event_id", F.col("event.reasons").alias("reasons"))
+    return reasons.filter(F.size("reasons") > 0).select(
         "event_id", F.array_join("reasons", ",").alias("reasons")
     )
 
@@ -276,22 +276,19 @@ def event_validation(spark, sf_dir):
 @query
 def core_strip(spark, sf_dir):
     """Stored properties: unknown keys of core events are gone."""
-    event = F.col("event")
-    kept = _variants(spark, sf_dir).select(
-        "event_id", text_at(event, "event_name").alias("event_name"), properties_of(event).alias("p")
-    )
-    return kept.select(
+    stored = F.col("event.props_json")
+    return _checked(spark, sf_dir).select(
         "event_id",
-        "event_name",
-        F.octet_length("p").cast("bigint").alias("property_bytes"),
-        F.get_json_object("p", "$.debug").isNotNull().alias("has_unknown"),
+        "event.event_name",
+        F.octet_length(stored).cast("bigint").alias("property_bytes"),
+        F.get_json_object(stored, "$.debug").isNotNull().alias("has_unknown"),
     )
 
 
 @query
 def byte_caps(spark, sf_dir):
-    sized = _variants(spark, sf_dir).select(
-        "event_id", event_bytes(F.col("event")).cast("bigint").alias("event_bytes")
+    sized = _checked(spark, sf_dir).select(
+        "event_id", F.col("event.event_bytes").cast("bigint").alias("event_bytes")
     )
     return sized.withColumn("too_large", F.col("event_bytes") > fv.EVENT_MAX_BYTES)
 

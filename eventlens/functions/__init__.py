@@ -19,11 +19,12 @@ from eventlens.functions.scalars import (
     week_start,
     wildcard_match,
 )
-from eventlens.functions.validation import event_reasons, properties_of
+from eventlens.functions.validation import checked_event, checked_events
 
 __all__ = [
+    "checked_event",
+    "checked_events",
     "count_text",
-    "event_reasons",
     "event_schema_version",
     "hmac_pads",
     "hmac_sha256_hex",
@@ -36,7 +37,6 @@ __all__ = [
     "parse_iso",
     "platform_of",
     "player_hash",
-    "properties_of",
     "ratio4",
     "request_id_or_new",
     "request_outcome_label",

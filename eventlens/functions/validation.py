@@ -1,8 +1,11 @@
 """Event validation on VARIANT values, row-local and without Python functions.
 
-``event_reasons`` maps one event to the list of contract rules it breaks. It takes a Column, so it
-works on exploded events and inside ``transform`` over the events of one request alike. Reasons
-name a field, never a value: property values of refused events must not leak into reports.
+Events are handled as an array, the way a request carries them, in three passes of ``transform``:
+open the JSON object, read its fields by type, then apply the rules. Each pass binds its results,
+so no field is extracted twice. The rules of core properties are data: a literal table by event
+name, of which one event only visits its own rows.
+
+Reasons name a field, never a value: values of refused events must not leak into reports.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from eventlens import fixed_values as fv
 from eventlens.functions.privacy import is_sensitive_key, is_unsafe_string, utf16_length
 from eventlens.functions.scalars import is_core_name
 
-ENVELOPE_FIELDS = (
+TEXT_FIELDS = (
     "event_id",
     "event_name",
     "schema_version",
@@ -25,31 +28,28 @@ ENVELOPE_FIELDS = (
     "build_id",
     "platform",
     "locale",
-    "consent_analytics",
 )
-
-
-def value_at(event: Column, key: str) -> Column:
-    return F.try_variant_get(event, f"$.{key}", "variant")
+ENVELOPE_FIELDS = (*TEXT_FIELDS, "consent_analytics")
+_OPENED = "struct<{}>".format(
+    ",".join(f"{name}:variant" for name in (*ENVELOPE_FIELDS, "properties"))
+)
 
 
 def _type_name(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("missing"))
 
 
-def text_at(event: Column, key: str) -> Column:
-    """The string at ``key``; null when it is missing or is not a JSON string."""
-    value = value_at(event, key)
-    return F.when(_type_name(value) == "STRING", F.try_variant_get(value, "$", "string"))
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
 
 
-def _is_number(type_name: Column) -> Column:
-    return type_name.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+def _text(value: Column) -> Column:
+    """The value of a JSON string; null for anything else."""
+    return F.when(_type_name(value) == "STRING", _as(value, "string"))
 
 
-def _finite(value: Column) -> Column:
-    number = F.try_variant_get(value, "$", "double")
-    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+def _is_number(type_name: Column) -> Column:
+    return type_name.isin("BIGINT", "DOUBLE") | type_name.startswith("DECIMAL")
 
 
 def _no(test: Column) -> Column:
@@ -57,145 +57,187 @@ def _no(test: Column) -> Column:
     return ~F.coalesce(test, F.lit(False))
 
 
-def _text_between(text: Column, low: int, high: int) -> Column:
+def _length_between(text: Column, low, high) -> Column:
     return utf16_length(text).between(low, high)
 
 
-def _property_ok(props: Column, key: str, rule: tuple) -> Column:
-    kind, *args = rule
-    value = value_at(props, key)
-    text = text_at(props, key)
-    missing = value.isNull()
-    if kind == "int":
-        number = F.try_variant_get(value, "$", "double")
-        whole = _is_number(_type_name(value)) & (number == F.floor(number))
-        return whole & number.between(*args)
-    if kind == "enum":
-        return text.isin(*args[0])
-    if kind == "uuid":
-        return text.rlike(fv.UUID_ANY)
-    if kind == "bool":
-        return _type_name(value) == "BOOLEAN"
-    if kind == "text":
-        return _text_between(text, *args)
-    if kind == "optional text":
-        return missing | F.coalesce(_text_between(text, *args), F.lit(False))
-    if kind == "optional text list":
-        most, low, high = args
-        items = F.try_variant_get(value, "$", "array<variant>")
-        each = F.forall(
-            items,
-            lambda v: (_type_name(v) == "STRING")
-            & _text_between(F.try_variant_get(v, "$", "string"), low, high),
-        )
-        is_list = F.coalesce((F.size(items) <= most) & each, F.lit(False))
-        return missing | is_list
-    raise ValueError(f"unknown property rule {kind}")
+# ---------------------------------------------------------------- reading
 
 
-def _custom_value_ok(value: Column) -> Column:
-    name = _type_name(value)
+def _fields(opened: Column) -> Column:
+    """Typed fields of one opened event."""
+    consent = opened["consent_analytics"]
+    return F.struct(
+        *[_text(opened[name]).alias(name) for name in TEXT_FIELDS],
+        F.when(_type_name(consent) == "BOOLEAN", _as(consent, "boolean")).alias("consent_analytics"),
+        opened["locale"].isNotNull().alias("has_locale"),
+        _as(opened["properties"], "map<string,variant>").alias("properties"),
+        F.octet_length(
+            F.to_json(F.struct(*[opened[name].alias(name) for name in ENVELOPE_FIELDS]))
+        ).alias("envelope_bytes"),
+    )
+
+
+def _known_keys() -> Column:
+    pairs = []
+    for name, rules in fv.CORE_PROPERTIES.items():
+        pairs += [F.lit(name), F.array(*[F.lit(key) for key in rules])]
+    return F.create_map(*pairs)
+
+
+def _with_stored(event: Column) -> Column:
+    """Add the properties as stored: core events keep their known keys, custom events keep all."""
+    known = F.try_element_at(_known_keys(), event["event_name"])
+    kept = F.map_filter(
+        event["properties"], lambda key, _: F.coalesce(F.array_contains(known, key), F.lit(True))
+    )
+    stored = F.to_json(kept)
+    # `{...}` + `,"properties":` + properties, of which the closing brace is already counted.
+    total = event["envelope_bytes"] + len(',"properties":') + F.octet_length(stored)
+    return event.withField("props_json", stored).withField("event_bytes", total)
+
+
+# ---------------------------------------------------------------- rules
+
+
+def _rule_table() -> Column:
+    """Core property rules by event name, as a literal."""
+    pairs = []
+    for name, rules in fv.CORE_PROPERTIES.items():
+        rows = []
+        for key, (kind, *args) in rules.items():
+            numbers = [a for a in args if not isinstance(a, tuple)]
+            most = numbers.pop(0) if kind == "optional text list" else 0
+            low, high = numbers or (0, 0)
+            allowed = args[0] if kind == "enum" else ()
+            rows.append(
+                F.struct(
+                    F.lit(key).alias("key"),
+                    F.lit(kind.removeprefix("optional ")).alias("kind"),
+                    F.lit(kind.startswith("optional")).alias("optional"),
+                    F.lit(low).cast("bigint").alias("low"),
+                    F.lit(high).cast("bigint").alias("high"),
+                    F.lit(most).alias("most"),
+                    F.array(*[F.lit(a) for a in allowed]).cast("array<string>").alias("allowed"),
+                )
+            )
+        pairs += [F.lit(name), F.array(*rows)]
+    return F.create_map(*pairs)
+
+
+def _property_ok(entry: Column) -> Column:
+    rule, value, kind, text = entry["rule"], entry["value"], entry["type"], entry["text"]
+    number = F.when(_is_number(kind), _as(value, "double"))
+    items = F.when(kind.startswith("ARRAY"), _as(value, "array<variant>"))
+    texts_ok = F.forall(items, lambda v: _length_between(_text(v), rule["low"], rule["high"]))
+    asked = rule["kind"]
+    ok = (
+        F.when(asked == "int", (number == F.floor(number)) & number.between(rule["low"], rule["high"]))
+        .when(asked == "enum", F.array_contains(rule["allowed"], text))
+        .when(asked == "uuid", text.rlike(fv.UUID_ANY))
+        .when(asked == "bool", kind == "BOOLEAN")
+        .when(asked == "text", _length_between(text, rule["low"], rule["high"]))
+        .when(asked == "text list", (F.size(items) <= rule["most"]) & texts_ok)
+    )
+    return (rule["optional"] & value.isNull()) | F.coalesce(ok, F.lit(False))
+
+
+def _core_reasons(event: Column) -> Column:
+    rules = F.try_element_at(_rule_table(), event["event_name"])
+    found = F.transform(
+        rules,
+        lambda r: F.struct(r.alias("rule"), F.try_element_at(event["properties"], r["key"]).alias("value")),
+    )
+    typed = F.transform(
+        found,
+        lambda e: F.struct(
+            e["rule"].alias("rule"),
+            e["value"].alias("value"),
+            _type_name(e["value"]).alias("type"),
+            _text(e["value"]).alias("text"),
+        ),
+    )
+    broken = F.filter(typed, lambda e: ~_property_ok(e))
+    names = F.transform(broken, lambda e: F.concat(F.lit("properties."), e["rule"]["key"]))
+    return F.coalesce(names, F.array().cast("array<string>"))
+
 
+def _custom_value_ok(value: Column) -> Column:
     def primitive_ok(v: Column) -> Column:
         kind = _type_name(v)
-        text = F.try_variant_get(v, "$", "string")
+        number = _as(v, "double")
         return (
-            F.when(kind == "STRING", ~is_unsafe_string(text))
+            F.when(kind == "STRING", ~is_unsafe_string(_as(v, "string")))
             .when(kind == "BOOLEAN", F.lit(True))
-            .when(_is_number(kind), _finite(v))
+            .when(_is_number(kind), ~F.isnan(number) & (F.abs(number) != float("inf")))
             .otherwise(F.lit(False))
         )
 
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(name.startswith("ARRAY"), F.forall(items, primitive_ok)).otherwise(
+    is_list = _type_name(value).startswith("ARRAY")
+    return F.when(is_list, F.forall(_as(value, "array<variant>"), primitive_ok)).otherwise(
         primitive_ok(value)
     )
 
 
-def _as_map(props: Column) -> Column:
-    return F.try_variant_get(props, "$", "map<string,variant>")
-
+def _custom_reasons(event: Column) -> Column:
+    keys, values = F.map_keys(event["properties"]), F.map_values(event["properties"])
+    rules = [
+        ("schema_version", event["schema_version"] == fv.CUSTOM_SCHEMA_VERSION),
+        ("properties", event["properties"].isNotNull()),
+        ("properties.count", F.size(keys) <= fv.CUSTOM_MAX_KEYS),
+        ("properties.key", F.forall(keys, lambda k: k.rlike(fv.SNAKE_CASE) & ~is_sensitive_key(k))),
+        ("properties.value", F.forall(values, _custom_value_ok)),
+    ]
+    return F.array(*[F.when(_no(ok), name) for name, ok in rules])
 
-def properties_of(event: Column) -> Column:
-    """Properties as stored: core events keep their known keys only, custom events keep all."""
-    name = text_at(event, "event_name")
-    props = value_at(event, "properties")
-    stored = F.to_json(props)
-    for core, rules in fv.CORE_PROPERTIES.items():
-        known = F.to_json(F.struct(*[value_at(props, key).alias(key) for key in rules]))
-        stored = F.when(name == core, known).otherwise(stored)
-    return stored
 
+def _envelope_reasons(event: Column, games: tuple[str, ...]) -> Column:
+    name, occurred = event["event_name"], event["occurred_at"]
+    is_time = occurred.rlike(fv.ISO_DATETIME) & F.try_to_timestamp(occurred).isNotNull()
+    locale = _length_between(event["locale"], *fv.LOCALE_LENGTH)
+    rules = [
+        ("event_id", event["event_id"].rlike(fv.UUID_ANY)),
+        ("event_name", name.rlike(fv.SNAKE_CASE) & (F.length(name) <= fv.EVENT_NAME_MAX)),
+        ("schema_version", event["schema_version"].rlike(fv.MAJOR_MINOR)),
+        ("occurred_at", is_time),
+        ("session_id", event["session_id"].rlike(fv.UUID_ANY)),
+        ("player_id_hash", event["player_id_hash"].rlike(fv.HEX_64)),
+        ("game_id", event["game_id"].isin(*games)),
+        ("game_version", event["game_version"].rlike(fv.SEMVER)),
+        ("build_id", _length_between(event["build_id"], *fv.BUILD_ID_LENGTH)),
+        ("platform", event["platform"].isin(*fv.PLATFORMS)),
+        ("locale", ~event["has_locale"] | F.coalesce(locale, F.lit(False))),
+        ("consent_analytics", event["consent_analytics"].isNotNull()),
+    ]
+    return F.array(*[F.when(_no(ok), field) for field, ok in rules])
 
-def event_bytes(event: Column) -> Column:
-    """UTF-8 size of the event as compact JSON, after unknown keys are gone."""
-    envelope = F.to_json(F.struct(*[value_at(event, key).alias(key) for key in ENVELOPE_FIELDS]))
-    # `{...}` + `,"properties":` + properties, of which the closing brace is already counted.
-    return F.octet_length(envelope) + len(',"properties":') + F.octet_length(properties_of(event))
 
+def _size_reasons(event: Column) -> Column:
+    return F.array(
+        F.when(event["event_bytes"] > fv.EVENT_MAX_BYTES, "event.bytes"),
+        F.when(F.octet_length(event["props_json"]) > fv.PROPERTIES_MAX_BYTES, "properties.bytes"),
+    )
 
-def envelope_checks(event: Column, games: tuple[str, ...]) -> list[tuple[str, Column]]:
-    name = text_at(event, "event_name")
-    occurred = text_at(event, "occurred_at")
-    locale = value_at(event, "locale")
-    return [
-        ("event_id", text_at(event, "event_id").rlike(fv.UUID_ANY)),
-        ("event_name", name.rlike(fv.SNAKE_CASE) & (F.length(name) <= fv.EVENT_NAME_MAX)),
-        ("schema_version", text_at(event, "schema_version").rlike(fv.MAJOR_MINOR)),
-        (
-            "occurred_at",
-            occurred.rlike(fv.ISO_DATETIME) & F.try_to_timestamp(occurred).isNotNull(),
-        ),
-        ("session_id", text_at(event, "session_id").rlike(fv.UUID_ANY)),
-        ("player_id_hash", text_at(event, "player_id_hash").rlike(fv.HEX_64)),
-        ("game_id", text_at(event, "game_id").isin(*games)),
-        ("game_version", text_at(event, "game_version").rlike(fv.SEMVER)),
-        ("build_id", _text_between(text_at(event, "build_id"), *fv.BUILD_ID_LENGTH)),
-        ("platform", text_at(event, "platform").isin(*fv.PLATFORMS)),
-        (
-            "locale",
-            locale.isNull()
-            | F.coalesce(
-                _text_between(text_at(event, "locale"), *fv.LOCALE_LENGTH), F.lit(False)
-            ),
-        ),
-        ("consent_analytics", _type_name(value_at(event, "consent_analytics")) == "BOOLEAN"),
-    ]
 
+def _reasons(event: Column, games: tuple[str, ...]) -> Column:
+    is_core = F.coalesce(is_core_name(event["event_name"]), F.lit(False))
+    own = F.when(is_core, _core_reasons(event)).otherwise(_custom_reasons(event))
+    every = F.concat(_envelope_reasons(event, games), own, _size_reasons(event))
+    return F.array_distinct(F.array_compact(every))
 
-def _core_reasons(event: Column) -> list[Column]:
-    name = text_at(event, "event_name")
-    props = value_at(event, "properties")
-    return [
-        F.when((name == core) & _no(_property_ok(props, key, rule)), f"properties.{key}")
-        for core, rules in fv.CORE_PROPERTIES.items()
-        for key, rule in rules.items()
-    ]
 
+def checked_events(events: Column, games: tuple[str, ...]) -> Column:
+    """Typed events with ``reasons``, the names of the broken rules, from an array of VARIANT.
 
-def _custom_reasons(event: Column) -> list[Column]:
-    custom = _no(is_core_name(text_at(event, "event_name")))
-    entries = _as_map(value_at(event, "properties"))
-    keys, values = F.map_keys(entries), F.map_values(entries)
-    rules = [
-        ("schema_version", text_at(event, "schema_version") == fv.CUSTOM_SCHEMA_VERSION),
-        ("properties", entries.isNotNull()),
-        ("properties.count", F.size(keys) <= fv.CUSTOM_MAX_KEYS),
-        (
-            "properties.key",
-            F.forall(keys, lambda key: key.rlike(fv.SNAKE_CASE) & ~is_sensitive_key(key)),
-        ),
-        ("properties.value", F.forall(values, _custom_value_ok)),
-    ]
-    return [F.when(custom & _no(ok), reason) for reason, ok in rules]
+    A valid event has no reasons. Fields: the envelope, ``properties`` (map), ``props_json`` (as
+    stored), ``event_bytes`` and ``reasons``.
+    """
+    opened = F.transform(events, lambda e: _as(e, _OPENED))
+    typed = F.transform(opened, _fields)
+    stored = F.transform(typed, _with_stored)
+    return F.transform(stored, lambda e: e.withField("reasons", _reasons(e, games)))
 
 
-def event_reasons(event: Column, games: tuple[str, ...]) -> Column:
-    """Names of the broken rules of one VARIANT event; an empty array for a valid event."""
-    reasons = [F.when(_no(ok), field) for field, ok in envelope_checks(event, games)]
-    reasons += _core_reasons(event) + _custom_reasons(event)
-    reasons += [
-        F.when(event_bytes(event) > fv.EVENT_MAX_BYTES, "event.bytes"),
-        F.when(F.octet_length(properties_of(event)) > fv.PROPERTIES_MAX_BYTES, "properties.bytes"),
-    ]
-    return F.array_distinct(F.array_compact(F.array(*reasons)))
+def checked_event(event: Column, games: tuple[str, ...]) -> Column:
+    """``checked_events`` for a single VARIANT event."""
+    return F.get(checked_events(F.array(event), games), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from eventlens import fixed_values as fv
 from eventlens.config import Settings
 from eventlens.functions.scalars import is_core_name, parse_iso
-from eventlens.functions.validation import event_reasons, properties_of, text_at, value_at
+from eventlens.functions.validation import checked_events
 from eventlens.sources.tables import append_staged, staged
 
 STATUS = {
@@ -31,34 +31,31 @@ STATUS = {
 
 
 def _unsupported(event: Column) -> Column:
-    """The version text when it is well formed and of another major version."""
-    version = text_at(event, "schema_version")
+    """True for a well-formed schema version of another major."""
+    version = event["schema_version"]
     own_major = version.rlike(rf"^0*{fv.SUPPORTED_SCHEMA_MAJOR}\.")
-    return F.when(version.rlike(fv.MAJOR_MINOR) & ~own_major, version)
+    return F.coalesce(version.rlike(fv.MAJOR_MINOR) & ~own_major, F.lit(False))
 
 
 def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame:
-    """Add the parsed ``events``, the ``reasons`` per event and the reject ``code`` of a request.
+    """Add the checked ``events`` and the reject ``code`` of every request.
 
-    ``keys`` has one row per credential: api_key_id, key_game, enabled.
+    ``keys`` has one row per credential: api_key_id, key_game, enabled. The version gate names the
+    first unsupported version in ``unsupported_version``.
     """
-    parsed = requests.join(
-        keys.select("api_key_id", "key_game", "enabled"), "api_key_id", "left"
-    ).withColumn("payload", F.try_parse_json("body"))
-    listed = parsed.withColumn(
-        "events", F.try_variant_get("payload", "$.events", "array<variant>")
+    known = keys.select("api_key_id", "key_game", "enabled")
+    listed = requests.join(known, "api_key_id", "left").withColumn(
+        "payload", F.try_parse_json("body")
     )
-    checked = listed.withColumn(
-        "reasons", F.transform("events", lambda e: event_reasons(e, settings.games))
-    ).withColumn(
+    variants = F.try_variant_get("payload", "$.events", "array<variant>")
+    checked = listed.withColumn("events", checked_events(variants, settings.games))
+    gated = checked.withColumn(
         "unsupported_version",
-        F.get(F.filter(F.transform("events", _unsupported), lambda v: v.isNotNull()), F.lit(0)),
+        F.get(F.filter("events", _unsupported), F.lit(0))["schema_version"],
     )
     size_ok = F.size("events").between(fv.BATCH_MIN_EVENTS, fv.BATCH_MAX_EVENTS)
-    invalid = F.exists("reasons", lambda r: F.size(r) > 0)
-    other_game = F.exists(
-        F.transform("events", lambda e: text_at(e, "game_id")), lambda g: g != F.col("key_game")
-    )
+    invalid = F.exists("events", lambda e: F.size(e["reasons"]) > 0)
+    other_game = F.exists("events", lambda e: e["game_id"] != F.col("key_game"))
     code = (
         F.when(~F.coalesce(F.col("enabled"), F.lit(False)), "unauthorized")
         .when(F.col("payload").isNull(), "bad_request")
@@ -66,26 +63,20 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
         .when(~F.coalesce(size_ok, F.lit(False)) | invalid, "validation_failed")
         .when(other_game, "unauthorized")
     )
-    return checked.withColumn("code", code).drop("payload", "key_game", "enabled")
+    return gated.withColumn("code", code).drop("payload", "key_game", "enabled")
 
 
 def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE) -> DataFrame:
     """One row per event with its request's code; values are only filled for accepted events."""
     lines = judged.select(
-        "batch_id",
-        "api_key_id",
-        "received_at",
-        "code",
-        F.col("reasons").alias("_all"),
-        F.posexplode_outer("events").alias("position", "event"),
+        "batch_id", "api_key_id", "received_at", "code", F.posexplode_outer("events").alias("position", "event")
     )
     event = F.col("event")
-    accepted = F.col("code").isNull()
 
     def kept(value: Column, name: str) -> Column:
-        return F.when(accepted, value).alias(name)
+        return F.when(F.col("code").isNull(), value).alias(name)
 
-    texts = [
+    names = (
         "event_id",
         "game_id",
         "session_id",
@@ -96,21 +87,20 @@ def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE
         "build_id",
         "platform",
         "locale",
-    ]
-    consent = F.try_variant_get(value_at(event, "consent_analytics"), "$", "boolean")
-    custom = ~is_core_name(text_at(event, "event_name"))
+        "consent_analytics",
+        "props_json",
+    )
+    custom = event["event_name"].isNotNull() & ~is_core_name(event["event_name"])
     return lines.select(
         "batch_id",
         "position",
         "code",
-        F.get("_all", F.col("position")).alias("reasons"),
+        event["reasons"].alias("reasons"),
         F.coalesce(custom, F.lit(False)).alias("is_custom"),
         "api_key_id",
         "received_at",
-        kept(parse_iso(text_at(event, "occurred_at")), "occurred_at"),
-        *[kept(text_at(event, name), name) for name in texts],
-        kept(consent, "consent_analytics"),
-        kept(properties_of(event), "props_json"),
+        kept(parse_iso(event["occurred_at"]), "occurred_at"),
+        *[kept(event[name], name) for name in names],
         F.lit(ingest_source).alias("ingest_source"),
         F.col("received_at").alias("inserted_at"),
     )
