@@ -317,6 +317,13 @@ def _histogram() -> str:
     return f"{LOG} " + " UNION ALL ".join(rows)
 
 
+STORED = f"""{WIRE}
+SELECT uuid AS event_id, event_name, wire_game AS game_id,
+       CASE WHEN k % 2 = 0 THEN 'pt-BR' END AS locale,
+       {_iso("date_trunc('second', ts)")} AS occurred_at
+FROM checked JOIN judged USING (batch_id) WHERE code = 'accepted'"""
+
+
 def _dataset_checks() -> str:
     checks = [
         ("consent_off_share", "off", "off * 100 BETWEEN n * 5 AND n * 15"),
@@ -656,4 +663,32 @@ FROM ev WHERE event_name = 'session_end' AND consent_analytics GROUP BY 1""",
 SELECT game_id, COUNT(*) AS points, COUNT(*) FILTER (suppressed) AS hidden,
        COUNT(*) FILTER (suppressed) * 2 > COUNT(*) AS empty_state
 FROM popularity GROUP BY 1""",
+        "ingest_job": STORED,
+        "stream_ingest": STORED,
+        "stream_sessions_daily": f"""{EV}
+SELECT day AS metric_date, game_id, COUNT(*) AS session_count,
+       COUNT(DISTINCT player_id_hash) AS active_players,
+       CAST({MEAN} AS BIGINT) AS avg_session_length_s
+FROM ev WHERE event_name = 'session_end' AND consent_analytics GROUP BY 1, 2""",
+        "idle_sessions": f"""{EV},
+gaps AS (
+  SELECT *, LAG(occurred_at) OVER (PARTITION BY player_id_hash ORDER BY occurred_at) AS before FROM ev
+),
+numbered AS (
+  SELECT *, SUM(CASE WHEN before IS NULL OR epoch_us(occurred_at) - epoch_us(before) >= 1800000000
+                     THEN 1 ELSE 0 END)
+            OVER (PARTITION BY player_id_hash ORDER BY occurred_at ROWS UNBOUNDED PRECEDING) AS n
+  FROM gaps
+)
+SELECT player_id_hash, COUNT(*) AS event_count, {_iso("MIN(occurred_at)")} AS started_at,
+       {_iso("MAX(occurred_at)")} AS ended_at
+FROM numbered GROUP BY player_id_hash, n""",
+        "refresh_all_job": f"""{RETENTION}
+SELECT 'sessions' AS source, game_id, COUNT(*) AS figure FROM ev
+WHERE event_name = 'session_end' AND consent_analytics GROUP BY 2
+UNION ALL SELECT 'picks', game_id, COUNT(*) FROM ev
+WHERE event_name = 'character_selected' AND consent_analytics GROUP BY 2
+UNION ALL SELECT 'matches', game_id, COUNT(*) FROM ev
+WHERE event_name = 'match_end' AND consent_analytics AND day = DATE '2024-01-30' GROUP BY 2
+UNION ALL SELECT 'cohorts', game_id, CAST(SUM(cohort_size) AS BIGINT) FROM cohorts GROUP BY 2""",
     }

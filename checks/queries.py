@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import data
 from checks.data import AS_OF, SETTINGS, SETTINGS_16
 from eventlens import fixed_values as fv
+from eventlens import streaming
 from eventlens.functions import (
     event_schema_version,
     hmac_pads,
@@ -27,8 +29,8 @@ from eventlens.functions import (
 )
 from eventlens.functions.validation import checked_event
 from eventlens.operators import daily, dedupe, quality, replay, requests, retention, sessions
-from eventlens.plans import ingest, metrics
-from eventlens.sources import dimensions, tables
+from eventlens.plans import ingest, metrics, refresh
+from eventlens.sources import batches, dimensions, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -554,3 +556,98 @@ def bad_numbers(spark, sf_dir):
 @query
 def suppressed_share(spark, sf_dir):
     return quality.suppressed_share(_popularity_table(spark, sf_dir), "game_id")
+
+
+# ---------------------------------------------------------------- jobs and streams
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{data.workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _landed_requests(spark, sf_dir, folder: str) -> str:
+    """The requests as JSON line files, in several files for several stream batches."""
+    target = f"{folder}/requests"
+    data.requests(spark, sf_dir).repartition(4, "batch_id").write.json(target)
+    return target
+
+
+@query
+def ingest_job(spark, sf_dir):
+    """Batch ingest run twice over the same requests; the second run adds nothing."""
+    folder = _scratch(spark, "ingest-job")
+    landed = batches.read_requests(spark, _landed_requests(spark, sf_dir, folder))
+    raw = f"{folder}/events"
+    for _ in range(2):
+        ingest.ingest(landed, data.credentials(spark), raw, SETTINGS, f"{folder}/rejects")
+    stored = tables.read_events(spark, raw)
+    return stored.select("event_id", "event_name", "game_id", "locale", _iso("occurred_at"))
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """The same requests through the streaming job, one file per batch."""
+    folder = _scratch(spark, "stream-ingest")
+    source = streaming.request_stream(spark, _landed_requests(spark, sf_dir, folder), max_files=1)
+    raw = f"{folder}/events"
+    streaming.ingest_stream(
+        source, data.credentials(spark), raw, f"{folder}/rejects", f"{folder}/state", SETTINGS
+    ).awaitTermination()
+    stored = tables.read_events(spark, raw)
+    return stored.select("event_id", "event_name", "game_id", "locale", _iso("occurred_at"))
+
+
+def _stored_events(spark, sf_dir, folder: str) -> str:
+    """The adapted events as a landed raw table."""
+    fixed = {
+        "event_id": F.col("event_id").cast("string"),
+        "api_key_id": F.lit("key"),
+        "game_version": F.lit("0.6.2"),
+        "build_id": F.lit("b-1"),
+        "platform": F.lit("pc"),
+        "locale": F.lit(None).cast("string"),
+        "ingest_source": F.lit("godot_sdk"),
+        "inserted_at": F.col("received_at"),
+    }
+    raw = f"{folder}/raw"
+    tables.append_events(data.events(spark, sf_dir).withColumns(fixed), raw)
+    return raw
+
+
+@query
+def stream_sessions_daily(spark, sf_dir):
+    """Daily session statistics kept by the streaming job."""
+    folder = _scratch(spark, "stream-sessions")
+    raw = _stored_events(spark, sf_dir, folder)
+    target = f"{folder}/session_days"
+    streaming.session_days_stream(spark, raw, target, f"{folder}/state").awaitTermination()
+    return spark.read.parquet(target).select(
+        "metric_date", "game_id", "session_count", "active_players", "avg_session_length_s"
+    )
+
+
+@query
+def idle_sessions(spark, sf_dir):
+    found = streaming.idle_sessions(data.events(spark, sf_dir))
+    return found.select("player_id_hash", "event_count", _iso("started_at"), _iso("ended_at"))
+
+
+@query
+def refresh_all_job(spark, sf_dir):
+    """Land the events, run ``refresh:all`` and read the published tables through SQL views."""
+    folder = _scratch(spark, "refresh-all")
+    raw = _stored_events(spark, sf_dir, folder)
+    refresh.run_job(spark, "refresh:all", raw, f"{folder}/tables", SETTINGS, AS_OF)
+    refresh.register_views(spark, f"{folder}/tables")
+    return spark.sql(
+        """
+        select 'sessions' as source, game_id, sum(session_count) as figure
+        from sessions_daily group by game_id
+        union all
+        select 'picks', game_id, sum(pick_count) from character_popularity group by game_id
+        union all
+        select 'matches', game_id, matches_today from metrics_summary_current
+        union all
+        select 'cohorts', game_id, sum(cohort_size) from retention_cohorts group by game_id
+        """
+    )

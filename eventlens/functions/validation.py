@@ -10,6 +10,8 @@ Reasons name a field, never a value: values of refused events must not leak into
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from eventlens import fixed_values as fv
@@ -29,6 +31,15 @@ TEXT_FIELDS = (
     "platform",
     "locale",
 )
+STRICT_FIELDS = (
+    "event_id",
+    "occurred_at",
+    "session_id",
+    "player_id_hash",
+    "game_id",
+    "game_version",
+    "platform",
+)
 ENVELOPE_FIELDS = (*TEXT_FIELDS, "consent_analytics")
 _OPENED = "struct<{}>".format(
     ",".join(f"{name}:variant" for name in (*ENVELOPE_FIELDS, "properties"))
@@ -67,8 +78,15 @@ def _length_between(text: Column, low, high) -> Column:
 def _fields(opened: Column) -> Column:
     """Typed fields of one opened event."""
     consent = opened["consent_analytics"]
+
+    def read(name: str) -> Column:
+        # The text of a number or boolean never satisfies a strict pattern or list, so the costly
+        # look at the JSON type is only needed for the other fields.
+        value = opened[name]
+        return (_as(value, "string") if name in STRICT_FIELDS else _text(value)).alias(name)
+
     return F.struct(
-        *[_text(opened[name]).alias(name) for name in TEXT_FIELDS],
+        *[read(name) for name in TEXT_FIELDS],
         F.when(_type_name(consent) == "BOOLEAN", _as(consent, "boolean")).alias("consent_analytics"),
         opened["locale"].isNotNull().alias("has_locale"),
         _as(opened["properties"], "map<string,variant>").alias("properties"),
@@ -79,10 +97,8 @@ def _fields(opened: Column) -> Column:
 
 
 def _known_keys() -> Column:
-    pairs = []
-    for name, rules in fv.CORE_PROPERTIES.items():
-        pairs += [F.lit(name), F.array(*[F.lit(key) for key in rules])]
-    return F.create_map(*pairs)
+    keys = {name: list(rules) for name, rules in fv.CORE_PROPERTIES.items()}
+    return F.from_json(F.lit(json.dumps(keys)), "map<string,array<string>>")
 
 
 def _with_stored(event: Column) -> Column:
@@ -100,29 +116,34 @@ def _with_stored(event: Column) -> Column:
 # ---------------------------------------------------------------- rules
 
 
+_RULE = (
+    "struct<key:string,kind:string,optional:boolean,low:bigint,high:bigint,most:int,"
+    "allowed:array<string>>"
+)
+
+
+def _rule(key: str, kind: str, *args) -> dict:
+    numbers = [a for a in args if not isinstance(a, tuple)]
+    most = numbers.pop(0) if kind == "optional text list" else 0
+    low, high = numbers or (0, 0)
+    return {
+        "key": key,
+        "kind": kind.removeprefix("optional "),
+        "optional": kind.startswith("optional"),
+        "low": low,
+        "high": high,
+        "most": most,
+        "allowed": list(args[0]) if kind == "enum" else [],
+    }
+
+
 def _rule_table() -> Column:
-    """Core property rules by event name, as a literal."""
-    pairs = []
-    for name, rules in fv.CORE_PROPERTIES.items():
-        rows = []
-        for key, (kind, *args) in rules.items():
-            numbers = [a for a in args if not isinstance(a, tuple)]
-            most = numbers.pop(0) if kind == "optional text list" else 0
-            low, high = numbers or (0, 0)
-            allowed = args[0] if kind == "enum" else ()
-            rows.append(
-                F.struct(
-                    F.lit(key).alias("key"),
-                    F.lit(kind.removeprefix("optional ")).alias("kind"),
-                    F.lit(kind.startswith("optional")).alias("optional"),
-                    F.lit(low).cast("bigint").alias("low"),
-                    F.lit(high).cast("bigint").alias("high"),
-                    F.lit(most).alias("most"),
-                    F.array(*[F.lit(a) for a in allowed]).cast("array<string>").alias("allowed"),
-                )
-            )
-        pairs += [F.lit(name), F.array(*rows)]
-    return F.create_map(*pairs)
+    """Core property rules by event name. The text is a literal, so it is parsed once, in planning."""
+    table = {
+        name: [_rule(key, *rule) for key, rule in rules.items()]
+        for name, rules in fv.CORE_PROPERTIES.items()
+    }
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,array<{_RULE}>>")
 
 
 def _property_ok(entry: Column) -> Column:

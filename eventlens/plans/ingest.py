@@ -14,7 +14,7 @@ from eventlens import fixed_values as fv
 from eventlens.config import Settings
 from eventlens.functions.scalars import is_core_name, parse_iso
 from eventlens.functions.validation import checked_events
-from eventlens.sources.tables import append_staged, staged
+from eventlens.sources.tables import append_events, append_staged, staged
 
 STATUS = {
     "rate_limited_ip": 429,
@@ -135,6 +135,7 @@ def ingest(
     raw_path: str,
     settings: Settings,
     rejects_path: str | None = None,
+    rejects_mode: str = "append",
 ) -> IngestReport:
     """Judge requests, append new events and keep the rejects report.
 
@@ -143,15 +144,13 @@ def ingest(
     with staged(event_lines(judge(requests, keys, settings)), "ingest") as lines:
         refused = rejects(lines)
         if rejects_path is not None:
-            refused.write.mode("append").parquet(rejects_path)
+            refused.write.mode(rejects_mode).parquet(rejects_path)
         rejected = refused.agg(F.count_distinct("batch_id")).first()[0]
         return IngestReport(append_staged(accepted_events(lines), raw_path), rejected)
 
 
 def seed(events: DataFrame, raw_path: str, ingest_source: str = "demo_seed") -> int:
     """Append prepared events that arrive when they occur."""
-    from eventlens.sources.tables import append_events
-
     at = F.col("occurred_at")
     return append_events(
         events.withColumns(

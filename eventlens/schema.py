@@ -24,6 +24,15 @@ EVENTS_RAW = T.StructType(
     ]
 )
 
+# The stored layout also has the partition columns.
+EVENTS_STORED = T.StructType(
+    [
+        *EVENTS_RAW.fields,
+        T.StructField("event_date", T.DateType(), True),
+        T.StructField("event_group", T.StringType(), True),
+    ]
+)
+
 # A landed request: one row per POST body.
 REQUESTS = T.StructType(
     [

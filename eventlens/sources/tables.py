@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventlens import schema
 from eventlens.functions.scalars import is_core_name, utc_date
@@ -70,10 +70,8 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The raw events; an empty frame when nothing has landed yet."""
     if not exists(spark, path):
-        empty = spark.createDataFrame([], schema.EVENTS_RAW)
-        return _with_partitions(empty)
-    layout = schema.EVENTS_RAW.add("event_date", "date").add("event_group", "string")
-    return spark.read.schema(layout).parquet(path)
+        return spark.createDataFrame([], schema.EVENTS_STORED)
+    return spark.read.schema(schema.EVENTS_STORED).parquet(path)
 
 
 def _with_partitions(events: DataFrame) -> DataFrame:
@@ -118,33 +116,35 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
         fs.delete(hadoop_path, True)
 
 
-def unseen(new: DataFrame, stored: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Rows of ``new`` whose event_id is not stored yet.
+def known_ids(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids of ``new`` that are stored already.
 
-    The stored side is the large one. It is first reduced to the ids that also occur in ``new``:
-    when those are below the broadcast threshold of the session, that is a scan of one column
-    without a shuffle, otherwise a shuffle join of two id columns.
+    The stored side is the large one. When the new ids are below the broadcast threshold of the
+    session, this is a scan of one column without a shuffle, otherwise a shuffle join of two id
+    columns.
     """
-    wanted = (new if ids is None else ids).select("event_id")
-    known = stored.select("event_id").join(wanted, "event_id", "left_semi")
-    return new.join(known, "event_id", "left_anti")
+    return stored.select("event_id").join(new.select("event_id"), "event_id", "left_semi").distinct()
+
+
+def unseen(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of ``new`` whose event_id is not stored yet."""
+    return new.join(known_ids(new, stored), "event_id", "left_anti")
 
 
 def append_staged(batch: DataFrame, path: str) -> int:
     """Append the events of a written table whose id is new; returns the number of added rows."""
     spark = batch.sparkSession
-    fresh = unseen(first_per_event(batch), read_events(spark, path), ids=batch)
-    counted = Observation()
     columns = [field.name for field in schema.EVENTS_RAW]
-    (
-        _with_partitions(fresh.select(*columns))
-        .observe(counted, F.count(F.lit(1)).alias("rows"))
-        .hint("rebalance", "event_date", "event_group")
-        .write.mode("append")
-        .partitionBy("event_date", "event_group")
-        .parquet(path)
-    )
-    return counted.get["rows"]
+    with staged(known_ids(batch, read_events(spark, path)), "known") as known:
+        fresh = first_per_event(batch).join(known, "event_id", "left_anti")
+        (
+            _with_partitions(fresh.select(*columns))
+            .hint("rebalance", "event_date", "event_group")
+            .write.mode("append")
+            .partitionBy("event_date", "event_group")
+            .parquet(path)
+        )
+        return batch.agg(F.count_distinct("event_id")).first()[0] - known.count()
 
 
 def append_events(events: DataFrame, path: str) -> int:
