@@ -167,7 +167,7 @@ judged AS (
               WHEN COUNT(*) > 10 OR BOOL_OR(reasons <> '') THEN 'validation_failed'
               WHEN BOOL_OR('key-' || wire_game <> api_key_id) THEN 'unauthorized'
               ELSE 'accepted' END AS code,
-         COUNT(*) AS n, CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS c
+         BOOL_OR(cut) AS cut, COUNT(*) AS n, CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS c
   FROM checked GROUP BY batch_id
 )"""
 
@@ -509,7 +509,7 @@ ranked AS (
     AS i FROM ev
 )
 SELECT event_id, i // 10 AS batch_no, CAST(i % 10 AS INT) AS position FROM ranked""",
-        "event_validation": f"{WIRE} SELECT event_id, reasons FROM checked WHERE reasons <> ''",
+        "event_validation": f"{WIRE} SELECT event_id, reasons FROM checked",
         "core_strip": f"""{WIRE_EVENT}
 SELECT event_id, event_name, property_bytes, FALSE AS has_unknown FROM sized""",
         "byte_caps": f"""{WIRE_EVENT}
@@ -517,8 +517,8 @@ SELECT event_id, event_bytes, event_bytes > 2048 AS too_large FROM sized""",
         "batch_reject": f"{WIRE} SELECT batch_id, code FROM judged",
         "batch_counts": f"""{WIRE}
 SELECT code, COUNT(*) AS requests,
-       CAST(SUM(CASE WHEN code = 'bad_request' THEN 0 ELSE n END) AS BIGINT) AS events,
-       CAST(SUM(CASE WHEN code = 'bad_request' THEN 0 ELSE c END) AS BIGINT) AS custom_events
+       CAST(SUM(CASE WHEN cut THEN 0 ELSE n END) AS BIGINT) AS events,
+       CAST(SUM(CASE WHEN cut THEN 0 ELSE c END) AS BIGINT) AS custom_events
 FROM judged GROUP BY 1""",
         "accepted_events": f"""{WIRE}
 SELECT uuid AS event_id, event_name, wire_game AS game_id,

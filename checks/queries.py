@@ -268,10 +268,9 @@ def _checked(spark, sf_dir):
 
 @query
 def event_validation(spark, sf_dir):
-    """Broken rules of every event that breaks any, in contract order."""
-    reasons = _checked(spark, sf_dir).select("event_id", F.col("event.reasons").alias("reasons"))
-    return reasons.filter(F.size("reasons") > 0).select(
-        "event_id", F.array_join("reasons", ",").alias("reasons")
+    """Broken rules of every event, in contract order."""
+    return _checked(spark, sf_dir).select(
+        "event_id", F.array_join("event.reasons", ",").alias("reasons")
     )
 
 
@@ -320,7 +319,10 @@ def batch_counts(spark, sf_dir):
 
 @query
 def accepted_events(spark, sf_dir):
-    accepted = ingest.accepted_events(ingest.event_lines(_judged(spark, sf_dir)))
+    """Events to store. The lines are written before they are filtered, as the ingest job does."""
+    data.workspace(spark)
+    lines = tables.stage(ingest.event_lines(_judged(spark, sf_dir)), "lines")
+    accepted = ingest.accepted_events(lines)
     return accepted.select(
         "event_id", "event_name", "game_id", "locale", "consent_analytics", "position",
         _iso("occurred_at"), F.octet_length("props_json").cast("bigint").alias("property_bytes"),

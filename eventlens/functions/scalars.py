@@ -67,30 +67,41 @@ def player_hash(game: Column, device: Column, seed: Column) -> Column:
     return F.sha2(F.concat_ws("::", game, device, own), 256)
 
 
+def _colons(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
+
+
 def _is_ipv6(text: Column) -> Column:
     """A valid IPv6 literal, also with a dotted tail or a zone."""
-    bare = F.regexp_replace(text, "%[0-9a-zA-Z.:-]+$", "")
-    flat = F.regexp_replace(bare, _TAIL_V4, ":0:0")
-    groups = F.size(F.filter(F.split(flat, ":"), lambda g: g != ""))
+    bare = F.when(text.contains("%"), F.regexp_replace(text, "%[0-9a-zA-Z.:-]+$", "")).otherwise(text)
+    flat = F.when(bare.contains("."), F.regexp_replace(bare, _TAIL_V4, ":0:0")).otherwise(bare)
     run = f"{_HEX_GROUP}(:{_HEX_GROUP})*"
     full = flat.rlike(f"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$")
-    short = flat.rlike(f"^({run})?::({run})?$") & (groups <= 7)
+    # The double colon stands for at least one group, which bounds the number of colons.
+    at_edge = flat.startswith("::") | flat.endswith("::")
+    short = flat.rlike(f"^({run})?::({run})?$") & (_colons(flat) <= F.when(at_edge, 8).otherwise(7))
     return full | short
 
 
 def ip_prefix(ip: Column) -> Column:
     """IPv4 /24 or IPv6 /48 prefix of an address, else ``unknown``."""
-    plain = F.regexp_replace(ip, "^::ffff:", "")
-    v4 = F.concat(F.regexp_extract(plain, r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24"))
-
-    halves = F.split(plain, "::")
-    head = F.filter(F.split(F.get(halves, F.lit(0)), ":"), lambda g: g != "")
-    tail = F.filter(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ":"), lambda g: g != "")
-    gap = F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))
-    groups = F.slice(F.concat(head, F.array_repeat(F.lit("0"), gap), tail), 1, 3)
-    short = F.transform(groups, lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", "")))
-    v6 = F.concat(F.array_join(short, ":"), F.lit("::/48"))
-
+    plain = F.when(ip.startswith("::ffff:"), F.substr(ip, F.lit(8))).otherwise(ip)
+    v4 = F.concat(F.substring_index(plain, ".", 3), F.lit(".0/24"))
+
+    # The double colon is written out as zeros, as many as groups are missing.
+    head = F.substring_index(plain, "::", 1)
+    tail = F.substr(plain, F.length(head) + 3)
+    in_head = F.when(head == "", 0).otherwise(_colons(head) + 1)
+    in_tail = F.when(tail == "", 0).otherwise(_colons(tail) + 1)
+    zeros = F.repeat(F.lit("0:"), 8 - in_head - in_tail)
+    lead = F.when(head == "", "").otherwise(F.concat(head, F.lit(":")))
+    groups = F.concat(lead, zeros, tail)
+
+    def group(n: int) -> Column:
+        digits = F.ltrim(F.split_part(groups, F.lit(":"), F.lit(n)), F.lit("0"))
+        return F.when(digits == "", "0").otherwise(F.lower(digits))
+
+    v6 = F.concat(F.concat_ws(":", group(1), group(2), group(3)), F.lit("::/48"))
     return F.when(plain.rlike(_IPV4), v4).when(_is_ipv6(plain), v6).otherwise("unknown")
 
 

@@ -7,9 +7,10 @@ no bottleneck:
 
 1. requests are combined per nonce and millisecond in the map tasks;
 2. a nonce whose requests span less than one window has one accepted request, its first;
-3. for the others, each instant is linked to the next instant a window later, per time slice;
-4. the instants that the first one reaches over these links are found by doubling the links, in as
-   many rounds as the logarithm of the longest chain.
+3. for the others, an instant with a full window of silence before it is a sure start;
+4. each instant is linked to the first instant a window later, per time slice;
+5. what the sure starts reach over these links, up to the next sure start, is found by doubling the
+   links, in as many rounds as the logarithm of the longest chain without such a silence.
 """
 
 from __future__ import annotations
@@ -27,27 +28,45 @@ def _instants(requests: DataFrame, ts: str) -> DataFrame:
     ).agg(F.min("request_id").alias("first_id"))
 
 
+def _sliced(instants: DataFrame, window_ms: int) -> DataFrame:
+    return instants.select(
+        *NONCE, F.floor(F.col("at") / window_ms).cast("bigint").alias("slice"), "at"
+    )
+
+
+def sure_starts(instants: DataFrame, window_ms: int) -> DataFrame:
+    """Instants without any other instant of their nonce in the window before them.
+
+    A slice is one window long, so the instant before lies in the same slice or the one before, of
+    which a copy is placed in the slice as history.
+    """
+    own = _sliced(instants, window_ms).withColumn("own", F.lit(True))
+    history = own.withColumns({"slice": F.col("slice") + 1, "own": F.lit(False)})
+    order = Window.partitionBy(*NONCE, "slice").orderBy("at")
+    placed = own.unionByName(history).withColumn("before", F.lag("at").over(order))
+    silent = F.col("before").isNull() | (F.col("at") - F.col("before") >= window_ms)
+    return placed.filter(F.col("own") & silent).select(*NONCE, "at")
+
+
 def next_window_start(instants: DataFrame, window_ms: int) -> DataFrame:
     """Link every instant to the first instant of its nonce that is a full window later.
 
     The target of an instant lies in the next slice of one window's length, or it is the first
     instant of a later slice, which comes from the summary of the slices.
     """
-    points = instants.select(
-        *NONCE,
-        F.floor(F.col("at") / window_ms).cast("bigint").alias("slice"),
-        F.col("at").alias("position"),
-        F.col("at").alias("event_at"),
-        F.lit(None).cast("bigint").alias("origin"),
+    none = F.lit(None).cast("bigint")
+    points = _sliced(instants, window_ms).select(
+        *NONCE, "slice", F.col("at").alias("position"), F.col("at").alias("event_at"), none.alias("origin")
     )
     probes = points.select(
         *NONCE,
         (F.col("slice") + 1).alias("slice"),
         (F.col("position") + window_ms).alias("position"),
-        F.lit(None).cast("bigint").alias("event_at"),
+        none.alias("event_at"),
         F.col("event_at").alias("origin"),
     )
     both = points.unionByName(probes)
+    # Ordered backwards, so that the frames grow row by row.
     onward = (
         Window.partitionBy(*NONCE, "slice")
         .orderBy(F.desc("position"))
@@ -67,16 +86,20 @@ def next_window_start(instants: DataFrame, window_ms: int) -> DataFrame:
     ).filter("next_at is not null")
 
 
-def _window_starts(instants: DataFrame, heads: DataFrame, window_ms: int) -> DataFrame:
-    """All accepted instants of the given nonces, from their first instants in ``heads``."""
-    links = stage(next_window_start(instants, window_ms), "replay-links")
-    reached = stage(heads, "replay-reached")
+def _window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
+    """All instants that open a window."""
+    starts = stage(sure_starts(instants, window_ms), "replay-starts")
+    ends = starts.withColumnRenamed("at", "next_at")
+    links = next_window_start(instants, window_ms).join(ends, [*NONCE, "next_at"], "left_anti")
+    links = stage(links, "replay-links")
+    reached = starts
     while True:
         further = reached.join(links, [*NONCE, "at"]).select(*NONCE, F.col("next_at").alias("at"))
         further = stage(further, "replay-further")
         if further.isEmpty():
             return reached
-        reached = stage(reached.unionByName(further), "replay-reached")
+        # After n rounds the first 2^n instants of every chain are reached, each exactly once.
+        reached = reached.unionByName(further)
         beyond = links.select(*NONCE, F.col("at").alias("next_at"), F.col("next_at").alias("far_at"))
         doubled = links.join(beyond, [*NONCE, "next_at"])
         links = stage(doubled.select(*NONCE, "at", F.col("far_at").alias("next_at")), "replay-links")
@@ -96,7 +119,7 @@ def accepted_ids(requests: DataFrame, window_s: int, ts: str = "received_at") ->
     if long.isEmpty():
         return firsts
     chains = stage(instants.join(long.select(*NONCE), NONCE, "left_semi"), "replay-chains")
-    starts = _window_starts(chains, long.select(*NONCE, "at"), window_ms)
+    starts = _window_starts(chains, window_ms)
     again = chains.join(starts, [*NONCE, "at"]).select(F.col("first_id").alias("request_id"))
     single = spans.filter(F.col("last_at") - F.col("at") < window_ms).select("request_id")
     return single.unionByName(again)

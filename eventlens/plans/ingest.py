@@ -67,7 +67,11 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
 
 
 def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE) -> DataFrame:
-    """One row per event with its request's code; values are only filled for accepted events."""
+    """One row per event with its request's code; values are only filled for accepted events.
+
+    Write the lines before filtering them by code, as ``ingest`` does: the optimizer would move the
+    filter below the checks and run them twice.
+    """
     lines = judged.select(
         "batch_id", "api_key_id", "received_at", "code", F.posexplode_outer("events").alias("position", "event")
     )
