@@ -7,8 +7,14 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from eventlens import schema
-from eventlens.functions.scalars import utc_date
-from eventlens.operators.filters import between_days, consented, custom, named, of_game
+from eventlens.operators.filters import (
+    between_days,
+    consented,
+    custom,
+    event_day,
+    named,
+    of_game,
+)
 
 
 def name_counts(events: DataFrame, game: str, first: date, last: date) -> DataFrame:
@@ -25,7 +31,7 @@ def name_counts(events: DataFrame, game: str, first: date, last: date) -> DataFr
 def day_counts(events: DataFrame, name: str, game: str, first: date, last: date) -> DataFrame:
     """Count and last arrival per UTC date of one custom event."""
     rows = custom(named(consented(between_days(of_game(events, game), first, last)), name))
-    return rows.groupBy(utc_date(F.col("occurred_at")).alias("metric_date")).agg(
+    return rows.groupBy(event_day(events).alias("metric_date")).agg(
         F.count(F.lit(1)).alias("event_count"), F.max("received_at").alias("last_received_at")
     )
 

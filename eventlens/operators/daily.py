@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventlens.functions.privacy import small_group
-from eventlens.functions.scalars import count_text, utc_date
-from eventlens.operators.filters import consented, from_instant, named, utc
+from eventlens.functions.scalars import count_text
+from eventlens.operators.filters import consented, event_day, from_instant, named, utc
 from eventlens.sources.dimensions import games as games_frame, spine
 
 
@@ -31,7 +31,7 @@ def session_stats(events: DataFrame) -> DataFrame:
     length = count_text(F.col("props_json"), "duration_s")
     per_player = (
         consented(named(events, "session_end"))
-        .groupBy(utc_date(F.col("occurred_at")).alias("metric_date"), "game_id", "player_id_hash")
+        .groupBy(event_day(events).alias("metric_date"), "game_id", "player_id_hash")
         .agg(
             F.count(F.lit(1)).alias("sessions"),
             F.sum(length).alias("length_sum"),
@@ -74,7 +74,7 @@ def category_popularity(
     per_player = (
         consented(named(events, name))
         .groupBy(
-            utc_date(F.col("occurred_at")).alias("metric_date"),
+            event_day(events).alias("metric_date"),
             "game_id",
             category.alias(key),
             "player_id_hash",
@@ -106,7 +106,7 @@ def summary_stats(events: DataFrame, as_of: datetime) -> DataFrame:
     recent = F.col("occurred_at") >= F.lit(day_ago)
     ended = (F.col("event_name") == "session_end") & recent
     match = (F.col("event_name") == "match_end") & (
-        utc_date(F.col("occurred_at")) == F.lit(midnight.date())
+        event_day(events) == F.lit(midnight.date())
     )
     length = F.when(ended, count_text(F.col("props_json"), "duration_s"))
     rows = consented(named(from_instant(events, min(day_ago, midnight)), "session_end", "match_end"))

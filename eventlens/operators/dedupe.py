@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def first_per_event(events: DataFrame, order: tuple[str, ...] = ("received_at",)) -> DataFrame:
-    """One row per event_id, the one that arrived first.
+ARRIVAL = ("received_at", "batch_id", "position")
+
+
+def first_per_event(events: DataFrame, order: tuple[str, ...] = ARRIVAL) -> DataFrame:
+    """One row per event_id, the one that arrived first, by the arrival columns that are there.
 
     Filtering ``row_number() = 1`` lets Spark keep one row per id in each map task before the
     shuffle, so any number of copies of one event costs at most one row per task. Ties are broken

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens import fixed_values as fv
-from eventlens.functions.scalars import is_core_name
+from eventlens.functions.scalars import is_core_name, utc_date
 
 
 def utc(instant: datetime) -> datetime:
@@ -18,6 +18,12 @@ def utc(instant: datetime) -> datetime:
     return instant.astimezone(timezone.utc)
 
 
+def event_day(events: DataFrame) -> Column:
+    """UTC date of the events; the partition column where there is one, so that filters on the
+    date prune partitions."""
+    return F.col("event_date") if "event_date" in events.columns else utc_date(F.col("occurred_at"))
+
+
 def consented(events: DataFrame) -> DataFrame:
     return events.filter(F.col("consent_analytics"))
 

@@ -12,6 +12,7 @@ from eventlens.functions.scalars import (
     request_outcome_label,
     status_class,
 )
+from eventlens.operators.joins import with_lookup
 
 
 # ---------------------------------------------------------------- counters and latency
@@ -202,10 +203,9 @@ def timestamp_reasons(requests: DataFrame, window_s: int) -> DataFrame:
 def signature_audit(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Add ``signature_ok``: the request carries the HMAC of timestamp, nonce and body.
 
-    ``keys`` holds key id and key pads. The size of that frame decides about the join strategy, as
-    for any other join.
+    ``keys`` holds key id and key pads.
     """
-    joined = requests.join(keys.select("api_key_id", "ipad", "opad"), "api_key_id", "left")
+    joined = with_lookup(requests, keys.select("api_key_id", "ipad", "opad"), "api_key_id")
     message = F.concat_ws("\n", "timestamp", "nonce", "body")
     expected = hmac_sha256_hex(F.col("ipad"), F.col("opad"), message)
     plain = F.regexp_replace(F.translate("signature", "-_", "+/"), "[^A-Za-z0-9+/]", "")

@@ -7,8 +7,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from eventlens.functions.privacy import mask
-from eventlens.functions.scalars import ratio4, utc_date, week_start
-from eventlens.operators.filters import consented, named, of_game, utc
+from eventlens.functions.scalars import ratio4, week_start
+from eventlens.operators.filters import consented, event_day, named, of_game, utc
 
 
 def cohort_members(events: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
@@ -19,7 +19,7 @@ def cohort_members(events: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
     """
     starts = consented(named(events, "session_start"))
     per_player = starts.groupBy("game_id", "player_id_hash").agg(
-        F.collect_set(utc_date(F.col("occurred_at"))).alias("dates")
+        F.collect_set(event_day(events)).alias("dates")
     )
     first = F.array_min("dates")
     flags = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventlens import fixed_values as fv
-from eventlens.operators.sliced import SLICE, earlier_slices, per_slice, running_sums, with_slice
+from eventlens.operators.sliced import HOUR_S, SLICE, earlier_slices, per_slice, running_sums, with_slice
 
 
 def sessionize(
@@ -15,6 +15,7 @@ def sessionize(
     tie: str = "event_id",
     gap_s: int = fv.SESSION_IDLE_SECONDS,
     start_event: str | None = "session_start",
+    slice_s: int = HOUR_S,
 ) -> DataFrame:
     """Add ``session_no`` (1, 2, ...) per key.
 
@@ -29,7 +30,7 @@ def sessionize(
     opens = (gap.isNotNull() & ((gap >= idle) | F.col("_start"))).cast("bigint").alias("_opens")
 
     start = F.col("event_name") == start_event if start_event else F.lit(False)
-    sliced = with_slice(events, ts).withColumn("_start", start)
+    sliced = with_slice(events, ts, slice_s).withColumn("_start", start)
     slices = (
         sliced.select(key, ts, tie, SLICE, "_start", opens)
         .groupBy(key, SLICE)
@@ -75,6 +76,7 @@ def tail_budget(
     tie: str = "event_id",
     max_rows: int = fv.DEVICE_TAIL_ROWS,
     max_bytes: int = fv.DEVICE_TAIL_BYTES,
+    slice_s: int = HOUR_S,
 ) -> DataFrame:
     """Newest rows per key that fit both budgets; each body counts one byte for its line end.
 
@@ -86,7 +88,7 @@ def tail_budget(
         "_rows": F.lit(1).cast("bigint"),
         "_bytes": (F.octet_length(body) + 1).cast("bigint"),
     }
-    ranked = running_sums(with_slice(events, ts, newest_first=True), [key], newest, amounts)
+    ranked = running_sums(with_slice(events, ts, slice_s, newest_first=True), [key], newest, amounts)
     fits = (F.col("_rows") <= max_rows) & (F.col("_bytes") <= max_bytes)
     return ranked.filter(fits).select(*events.columns)
 
@@ -97,10 +99,11 @@ def pack_batches(
     ts: str = "occurred_at",
     tie: str = "event_id",
     size: int = fv.BATCH_MAX_EVENTS,
+    slice_s: int = HOUR_S,
 ) -> DataFrame:
     """Number the events of a key in order and cut them into batches of ``size``."""
     oldest = [F.col(ts), F.col(tie)]
-    counted = running_sums(with_slice(events, ts), [key], oldest, {"_nth": F.lit(1).cast("bigint")})
+    counted = running_sums(with_slice(events, ts, slice_s), [key], oldest, {"_nth": F.lit(1).cast("bigint")})
     index = F.col("_nth") - 1
     return counted.select(
         *events.columns,

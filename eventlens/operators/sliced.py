@@ -3,7 +3,8 @@
 A window over a key puts all rows of that key into one task. Here the rows of a key are cut into
 time slices: the window runs per key and slice, and what earlier slices contribute is carried over
 from a summary that has one row per key and slice. The summary is the only thing that is ever
-ordered over a whole key, and its size is the number of non-empty slices of the key.
+ordered over a whole key, and its size is the number of non-empty slices of the key. Shorter slices
+spread a very hot key further, at the price of a longer summary.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ def time_slice(ts: Column, seconds: int = HOUR_S) -> Column:
     return F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("bigint")
 
 
-def with_slice(df: DataFrame, ts: str, newest_first: bool = False) -> DataFrame:
-    number = time_slice(F.col(ts))
+def with_slice(
+    df: DataFrame, ts: str, seconds: int = HOUR_S, newest_first: bool = False
+) -> DataFrame:
+    number = time_slice(F.col(ts), seconds)
     return df.withColumn(SLICE, -number if newest_first else number)
 
 

@@ -14,6 +14,7 @@ from eventlens import fixed_values as fv
 from eventlens.config import Settings
 from eventlens.functions.scalars import is_core_name, parse_iso
 from eventlens.functions.validation import checked_events
+from eventlens.operators.joins import with_lookup
 from eventlens.sources.tables import append_events, append_staged, staged
 
 STATUS = {
@@ -44,7 +45,7 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
     first unsupported version in ``unsupported_version``.
     """
     known = keys.select("api_key_id", "key_game", "enabled")
-    listed = requests.join(known, "api_key_id", "left").withColumn(
+    listed = with_lookup(requests, known, "api_key_id").withColumn(
         "payload", F.try_parse_json("body")
     )
     variants = F.try_variant_get("payload", "$.events", "array<variant>")

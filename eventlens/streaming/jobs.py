@@ -70,9 +70,10 @@ def session_days_stream(
     landed = use_utc(spark).readStream.schema(schema.EVENTS_STORED).parquet(raw_path)
 
     def recompute(batch: DataFrame, _: int) -> None:
-        changed = named(batch, "session_end").select("event_date").distinct()
+        # At most one row per calendar day; as literals they prune the partitions for sure.
+        changed = named(batch, "session_end").select("event_date").distinct().collect()
         stored = read_events(batch.sparkSession, raw_path)
-        days = stored.join(changed, "event_date", "left_semi")
+        days = stored.filter(F.col("event_date").isin([row.event_date for row in changed]))
         (
             session_stats(days)
             .write.mode("overwrite")

@@ -32,8 +32,8 @@ def by_player(events):
     return groups
 
 
-@pytest.mark.parametrize("start_event", ["session_start", None])
-def test_sessionize_equals_a_fold(spark, start_event):
+@pytest.mark.parametrize("start_event, slice_s", [("session_start", 3600), (None, 3600), ("session_start", 300)])
+def test_sessionize_equals_a_fold(spark, start_event, slice_s):
     events = random_events(1)
     expected = {}
     for group in by_player(events).values():
@@ -44,7 +44,7 @@ def test_sessionize_equals_a_fold(spark, start_event):
                 number += 1
             expected[e[0]], last = number, e[3]
     numbered = sessions.sessionize(
-        spark.createDataFrame(events, EVENTS), key="player", start_event=start_event
+        spark.createDataFrame(events, EVENTS), key="player", start_event=start_event, slice_s=slice_s
     )
     assert dict(rows(numbered, "event_id", "session_no")) == expected
 
@@ -104,6 +104,15 @@ def test_dedupe_keeps_the_first_arrival(spark):
     assert "Partial" in plan and "WindowGroupLimit" in plan
 
 
+def test_dedupe_prefers_the_earlier_position_of_a_batch(spark):
+    at = START
+    data = [("e", at, "b1", 1, "a"), ("e", at, "b1", 0, "z"), ("e", at, "b2", 0, "a")]
+    df = spark.createDataFrame(
+        data, "event_id string, received_at timestamp, batch_id string, position int, build_id string"
+    )
+    assert rows(dedupe.first_per_event(df), "batch_id", "position") == [("b1", 0)]
+
+
 # ---------------------------------------------------------------- requests
 
 REQUESTS = "request_id string, api_key_id string, nonce string, received_at timestamp"
