@@ -55,6 +55,8 @@ def workspace(spark: SparkSession) -> str:
     try:
         return shared_folder(spark)
     except RuntimeError:
+        if not spark.sparkContext.master.startswith("local"):
+            raise
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventlens-"))
         return shared_folder(spark)
 

@@ -414,6 +414,9 @@ total AS (SELECT SUM(picks) AS t FROM merged)
 SELECT character_id, CAST(picks AS BIGINT) AS pick_count, {_ratio("picks", "t")} AS pick_ratio,
        FALSE AS suppressed
 FROM merged, total""",
+        "popularity_rows": f"""{POPULARITY}
+SELECT * FROM popularity
+WHERE metric_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND game_id = 'beta'""",
         "summary_table": f"{SUMMARY} SELECT * FROM summary",
         "summary_public_all": f"{SUMMARY} SELECT 'all' AS game_id, {public_summary} FROM summary",
         "summary_private_single": f"""{SUMMARY}

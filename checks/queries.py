@@ -98,6 +98,12 @@ def popularity_private(spark, sf_dir):
     return metrics.popularity(table, AS_OF, game="alpha", days=14, visibility="private")
 
 
+@query
+def popularity_rows(spark, sf_dir):
+    table = _popularity_table(spark, sf_dir)
+    return metrics.table_rows(table, date(2024, 1, 10), date(2024, 1, 20), game="beta")
+
+
 @query
 def summary_table(spark, sf_dir):
     return _summary_table(spark, sf_dir)

@@ -88,7 +88,9 @@ def tail_budget(
         "_rows": F.lit(1).cast("bigint"),
         "_bytes": (F.octet_length(body) + 1).cast("bigint"),
     }
-    ranked = running_sums(with_slice(events, ts, slice_s, newest_first=True), [key], newest, amounts)
+    limits = {"_rows": max_rows, "_bytes": max_bytes}
+    sliced = with_slice(events, ts, slice_s, newest_first=True)
+    ranked = running_sums(sliced, [key], newest, amounts, limits)
     fits = (F.col("_rows") <= max_rows) & (F.col("_bytes") <= max_bytes)
     return ranked.filter(fits).select(*events.columns)
 

@@ -47,10 +47,20 @@ def carried_sums(df: DataFrame, keys: list[str], amounts: dict[str, Column]) ->
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: list[Column], amounts: dict[str, Column]
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    amounts: dict[str, Column],
+    limits: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Add the running sum of each amount in ``order`` within the key; needs a slice column."""
+    """Add the running sum of each amount in ``order`` within the key; needs a slice column.
+
+    With ``limits`` for positive amounts, slices that begin at or beyond a limit are left out, which
+    drops their rows before the window.
+    """
     carried = carried_sums(df, keys, amounts)
+    for name, limit in (limits or {}).items():
+        carried = carried.filter(F.col(f"{name}_before") < limit)
     window = per_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = df.join(carried, [*keys, SLICE])
     return placed.select(

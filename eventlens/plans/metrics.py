@@ -6,7 +6,7 @@ place of the current time, so every result can be reproduced.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,6 +41,17 @@ def last_received(rows: DataFrame, as_of: datetime, column: str = "received_at")
     return rows.agg(F.coalesce(F.max(column), F.lit(utc(as_of))).alias("last_updated"))
 
 
+def table_rows(table: DataFrame, first: date, last: date, game: str = "all") -> DataFrame:
+    """Rows of a derived table between two dates, both included, in reading order."""
+    day = "metric_date" if "metric_date" in table.columns else "cohort_date"
+    rows = of_game(table, game).filter(F.col(day).between(F.lit(first), F.lit(last)))
+    order = [F.col(day), F.col("game_id")]
+    if "pick_count" in table.columns:
+        category = next(c for c in table.columns if c.endswith("_id") and c != "game_id")
+        order += [F.desc("pick_count"), F.col(category)]
+    return rows.orderBy(*order)
+
+
 def summary(
     table: DataFrame, game: str = "all", visibility: str = "public", settings: Settings = DEFAULTS
 ) -> DataFrame:

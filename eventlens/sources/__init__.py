@@ -1,4 +1,4 @@
-from eventlens.sources.batches import read_offline_events, read_requests
+from eventlens.sources.batches import read_bodies, read_offline_events, read_requests
 from eventlens.sources.dimensions import calendar, games, spine
 from eventlens.sources.tables import (
     append_events,
@@ -17,6 +17,7 @@ __all__ = [
     "games",
     "latest",
     "publish",
+    "read_bodies",
     "read_events",
     "read_offline_events",
     "read_requests",

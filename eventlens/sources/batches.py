@@ -15,6 +15,22 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.REQUESTS).option("mode", "PERMISSIVE").json(path)
 
 
+def read_bodies(spark: SparkSession, path: str, api_key_id: str) -> DataFrame:
+    """Bare request bodies of one credential, one ``{"events": [...]}`` object per line.
+
+    The file's time stands for the arrival. A request is judged by its own row alone, so the id only
+    has to name it in reports.
+    """
+    lines = spark.read.text(path).select("value", "_metadata")
+    source = F.col("_metadata.file_path")
+    return lines.filter(F.trim("value") != "").select(
+        F.sha2(F.concat_ws("\n", source, "value"), 256).alias("batch_id"),
+        F.lit(api_key_id).alias("api_key_id"),
+        F.col("_metadata.file_modification_time").alias("received_at"),
+        F.col("value").alias("body"),
+    )
+
+
 def read_offline_events(spark: SparkSession, path: str) -> DataFrame:
     """Events persisted by a client, one JSON object per line. Other lines are skipped."""
     lines = spark.read.text(path).select(F.trim("value").alias("line"))

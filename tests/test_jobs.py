@@ -7,7 +7,7 @@ from eventlens import Settings, streaming
 from eventlens.operators import daily, quality
 from eventlens.plans import ingest, refresh
 from eventlens.sources import tables
-from eventlens.sources.batches import read_offline_events, read_requests
+from eventlens.sources.batches import read_bodies, read_offline_events, read_requests
 from tests.factories import event, frame, rows, utc, wire
 from tests.test_ordered import REQUESTS, random_requests, replay_fold
 from tests.test_validation import body, credentials, request, uid
@@ -62,6 +62,9 @@ def test_readers_keep_broken_lines(spark, tmp_path):
     line = {"batch_id": "b", "api_key_id": "k", "received_at": "2026-04-05T12:00:00Z", "body": "{"}
     landed.write_text(json.dumps(line) + "\nnot json\n")
     assert rows(read_requests(spark, str(landed)), "batch_id", "body") == [("b", "{"), (None, None)]
+    bodies = tmp_path / "bodies.json"
+    bodies.write_text('{"events": []}\n\n{"events": []}\n')
+    assert rows(read_bodies(spark, str(bodies), "k"), "api_key_id", "body") == [("k", '{"events": []}')] * 2
     offline = tmp_path / "events.log"
     offline.write_text('{"event_id": "a"}\n\n[1]\n5\n{"broken"\n  {"event_id": "b"}\n')
     assert read_offline_events(spark, str(offline)).count() == 2
