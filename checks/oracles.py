@@ -654,6 +654,18 @@ SELECT request_id, error_code, CASE
     WHEN error_code IS NULL THEN 202 ELSE 401 END AS status_code
 FROM coded""",
         "dataset_checks": _dataset_checks(),
+        "bucket_checks": f"""{sessions16},
+pop AS ({POPULARITY} SELECT * FROM popularity),
+coh AS ({RETENTION} SELECT * FROM cohorts),
+flags AS (
+  SELECT suppressed FROM sessions WHERE session_count > 0 UNION ALL SELECT suppressed FROM pop
+),
+found AS (
+  SELECT 'suppressed_buckets' AS "check", COUNT(*) FILTER (suppressed) AS value, 2 AS least FROM flags
+  UNION ALL SELECT 'visible_buckets', COUNT(*) FILTER (NOT suppressed), 5 FROM flags
+  UNION ALL SELECT 'cohorts_below_10', COUNT(*) FILTER (d7_retained < 10), 1 FROM coh
+)
+SELECT "check", value, value >= least AS ok FROM found""",
         "counts_by_game": f"""{EV}
 SELECT game_id, COUNT(*) AS event_count,
        COUNT(*) FILTER (event_name IN ('quest_started', 'level_end')) AS custom_count

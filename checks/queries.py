@@ -544,6 +544,13 @@ def dataset_checks(spark, sf_dir):
     return quality.dataset_checks(data.events(spark, sf_dir), SETTINGS.games, AS_OF)
 
 
+@query
+def bucket_checks(spark, sf_dir):
+    cohorts = retention.retention_daily(data.events(spark, sf_dir), SETTINGS.k)
+    sessions_table = _sessions_table(spark, sf_dir)
+    return quality.bucket_checks(sessions_table, _popularity_table(spark, sf_dir), cohorts)
+
+
 @query
 def counts_by_game(spark, sf_dir):
     return quality.counts_by_game(data.events(spark, sf_dir))

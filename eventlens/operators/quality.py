@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens import fixed_values as fv
 from eventlens import schema
@@ -19,6 +19,12 @@ def counts_by_game(events: DataFrame) -> DataFrame:
     )
 
 
+def _check(name: str, value: Column, ok: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("check"), value.cast("bigint").alias("value"), ok.alias("ok")
+    )
+
+
 def dataset_checks(events: DataFrame, games: tuple[str, ...], as_of: datetime) -> DataFrame:
     """Contract of a demo dataset as rows of (game_id, check, value, ok).
 
@@ -54,17 +60,32 @@ def dataset_checks(events: DataFrame, games: tuple[str, ...], as_of: datetime) -
                 in_range
             )
         checks.append((f"volume_{name}", F.col(name), in_range))
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(check).alias("check"), value.cast("bigint").alias("value"), ok.alias("ok")
-            )
-            for check, value, ok in checks
-        ]
-    )
+    rows = F.array(*[_check(*check) for check in checks])
     return totals.select("game_id", F.inline(rows))
 
 
+def bucket_checks(sessions: DataFrame, popularity: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """Whether the derived tables show the public and the private suppression, as (check, value, ok).
+
+    Days without sessions are no buckets.
+    """
+    hidden = F.count_if("suppressed").alias("hidden")
+    shown = F.count_if(~F.col("suppressed")).alias("shown")
+    buckets = (
+        sessions.filter("session_count > 0")
+        .select("suppressed")
+        .unionByName(popularity.select("suppressed"))
+        .agg(hidden, shown)
+    )
+    low = cohorts.agg(F.count_if(F.col("d7_retained") < 10).alias("low"))
+    public = F.array(
+        _check("suppressed_buckets", F.col("hidden"), F.col("hidden") >= 2),
+        _check("visible_buckets", F.col("shown"), F.col("shown") >= 5),
+    )
+    private = F.array(_check("cohorts_below_10", F.col("low"), F.col("low") >= 1))
+    return buckets.select(F.inline(public)).unionByName(low.select(F.inline(private)))
+
+
 def bad_numbers(events: DataFrame, name: str, key: str) -> DataFrame:
     """Per game, how many values of a numeric property are missing or not a number."""
     text = F.get_json_object("props_json", f"$.{key}")
@@ -93,7 +114,7 @@ def keep_recent(events: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return events.filter(F.col("occurred_at") >= F.lit(utc(as_of) - timedelta(days=days)))
 
 
-def orphan_matches(events: DataFrame, match_id) -> DataFrame:
+def orphan_matches(events: DataFrame, match_id: Column) -> DataFrame:
     """``match_end`` events without an earlier ``match_start`` of the same match.
 
     The starts are reduced to the earliest one per match before the join, so the join adds no rows

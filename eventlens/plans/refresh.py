@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -99,6 +100,22 @@ def run_job(
     )
 
 
+def table_report(spark: SparkSession, tables: str) -> DataFrame:
+    """Rows and last refresh of every published table, as input of ``requests.refresh_lag``."""
+    reports = [
+        latest(spark, f"{tables}/{name}").agg(
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.min("last_refreshed_at").alias("last_refreshed_at"),
+        )
+        for name in (*ROLLING, RETENTION)
+        if exists(spark, f"{tables}/{name}")
+    ]
+    if not reports:
+        raise FileNotFoundError(f"no published table under {tables}")
+    return reduce(DataFrame.unionByName, reports)
+
+
 def register_views(spark: SparkSession, tables: str) -> list[str]:
     """Register every published derived table as a temporary view for ``spark.sql``."""
     names = [n for n in (*ROLLING, RETENTION) if exists(spark, f"{tables}/{n}")]

@@ -132,7 +132,10 @@ def unseen(new: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def append_staged(batch: DataFrame, path: str) -> int:
-    """Append the events of a written table whose id is new; returns the number of added rows."""
+    """Append the events of a written table whose id is new; returns the number of added rows.
+
+    A raw table has one writer at a time, like a stream with its checkpoint.
+    """
     spark = batch.sparkSession
     columns = [field.name for field in schema.EVENTS_RAW]
     with staged(known_ids(batch, read_events(spark, path)), "known") as known:

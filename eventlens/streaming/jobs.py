@@ -151,7 +151,6 @@ def replay_stream(
                 F.lit(True).alias("_open"),
                 "_eligible",
             )
-            .coalesce(1)
             .write.mode("overwrite")
             .parquet(f"{state}/batch={batch_no}")
         )

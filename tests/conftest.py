@@ -1,9 +1,15 @@
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
+# Collected timestamps come in the zone of the process.
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 

@@ -2,9 +2,10 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens import Settings, streaming
-from eventlens.operators import daily, quality
+from eventlens.operators import daily, quality, requests
 from eventlens.plans import ingest, refresh
 from eventlens.sources import tables
 from eventlens.sources.batches import read_bodies, read_offline_events, read_requests
@@ -80,6 +81,10 @@ def test_refresh_all_publishes_and_reports(spark, tmp_path):
         report = refresh.run_job(spark, "refresh:all", raw, out, SETTINGS, AS_OF).first()
     assert (report.command, report.status, report.cohort_count) == ("refresh:all", "ok", 1)
     assert refresh.ensure_calendar(spark, out, SETTINGS) == 0
+    report = {r.table_name: r.row_count for r in refresh.table_report(spark, out).collect()}
+    assert report["retention_cohorts"] == 1 and report["metrics_summary_current"] == 2
+    lag = requests.refresh_lag(refresh.table_report(spark, out), F.lit(utc("2026-04-05T12:15:01")), 900)
+    assert {(r.lag_s, r.lag_alert) for r in lag.collect()} == {(901, True)}
     names = refresh.register_views(spark, out)
     assert len(names) == 5
     assert spark.sql("select sum(active_players) from sessions_daily").first()[0] == 12
