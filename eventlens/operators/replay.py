@@ -108,20 +108,21 @@ def _window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
 def accepted_ids(requests: DataFrame, window_s: int, ts: str = "received_at") -> DataFrame:
     """Ids of the requests that open a window."""
     window_ms = window_s * 1000
-    instants = _instants(requests, ts)
+    # Read four times below; written once, it is narrow and has a known size.
+    instants = stage(_instants(requests, ts), "replay-instants")
     spans = instants.groupBy(*NONCE).agg(
         F.min("at").alias("at"),
         F.max("at").alias("last_at"),
         F.min_by("first_id", "at").alias("request_id"),
     )
-    firsts = spans.select("request_id")
-    long = stage(spans.filter(F.col("last_at") - F.col("at") >= window_ms), "replay-long")
+    reused = F.col("last_at") - F.col("at") >= window_ms
+    long = stage(spans.filter(reused).select(*NONCE), "replay-long")
     if long.isEmpty():
-        return firsts
-    chains = stage(instants.join(long.select(*NONCE), NONCE, "left_semi"), "replay-chains")
+        return spans.select("request_id")
+    chains = stage(instants.join(long, NONCE, "left_semi"), "replay-chains")
     starts = _window_starts(chains, window_ms)
     again = chains.join(starts, [*NONCE, "at"]).select(F.col("first_id").alias("request_id"))
-    single = spans.filter(F.col("last_at") - F.col("at") < window_ms).select("request_id")
+    single = spans.filter(~reused).select("request_id")
     return single.unionByName(again)
 
 
