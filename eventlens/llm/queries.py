@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import lines, mixing, simhash
+from eventlens.llm import decontaminate, lines, mixing, quality, simhash
 from eventlens.llm.common import table
 
 #: Production parameters of the mixture: shares of all characters; other sources share the rest.
@@ -27,6 +27,36 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, m = F.col("text"), F.col("m")
+    counted = table(spark, sf_dir, "documents").withColumn("m", quality.metrics(text))
+    judged, verdict, _ = quality.cascade(counted, quality.standard_rules(m, text))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    failed = (m["n_words"] < quality.MIN_WORDS) | (
+        100 * m["n_repeat_words"] > quality.MAX_REPEAT_PERCENT * m["n_words"]
+    )
+    return judged.select(
+        "doc_id",
+        *[m[c].alias(c) for c in counts],
+        failed.alias("base_failed"),
+        F.col(verdict).isNull().alias("kept"),
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found, name = decontaminate.find_contamination(docs, items)
+    hit = F.col(name)
+    return found.select(
+        "doc_id",
+        hit["n_words"].alias("n_words"),
+        hit["n_hit"].alias("n_hit"),
+        F.size(hit["items"]).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(hit["items"])), 256).alias("items_sha256"),
+        (hit["n_hit"] > 0).alias("contaminated"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedupe_lines(table(spark, sf_dir, "documents"), report=True)
     return kept.select(
@@ -103,5 +133,68 @@ FROM flagged GROUP BY doc_id
 """
 
 
+_SPACE = "[\\x20\\x09-\\x0D]"
+_QUALITY_SQL = f"""
+WITH base AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda w: w <> '') AS words,
+           list_filter(string_split(coalesce(text, ''), chr(10)),
+                       lambda l: length(regexp_replace(l, '{_SPACE}+', '', 'g')) > 0) AS lines
+    FROM documents),
+window_at AS (
+    SELECT doc_id, unnest(range(1, len(words) - 1)) AS p, words FROM base WHERE len(words) >= 3),
+shingle AS (
+    SELECT doc_id, p, words[p] || ' ' || words[p + 1] || ' ' || words[p + 2] AS s FROM window_at),
+again AS (
+    SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM shingle) WHERE n > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM again)
+    GROUP BY doc_id),
+m AS (
+    SELECT doc_id, words, lines, text, CAST(len(words) AS BIGINT) AS n_words,
+           length(regexp_replace(text, '{_SPACE}+', '', 'g')) AS word_chars,
+           length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           coalesce(c.n, 0) AS n_repeat_words,
+           len(list_filter(words, lambda w: regexp_matches(w, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]'))) AS letters,
+           len(list_filter(lines, lambda l: regexp_matches(l, '^[ \\t]*[-*•]'))) AS items
+    FROM base LEFT JOIN covered c USING (doc_id)),
+v AS (
+    SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed
+    FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * len(lines) OR 10 * letters < 7 * n_words OR 10 * items > 9 * len(lines)) AS kept
+FROM v
+"""
+
+_LEAKS_SQL = f"""
+WITH item AS (
+    SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_lower("coalesce(text, '')")},
+           '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+sized AS (SELECT item, w, least(len(w), {decontaminate.WINDOW}) AS n FROM item WHERE len(w) > 0),
+windows AS (
+    SELECT DISTINCT item, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS key
+    FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+doc AS (
+    SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+    FROM documents),
+cut AS (
+    SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS key
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM doc, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, c.n, item FROM cut c JOIN windows USING (key) WHERE c.n = windows.n),
+hit AS (
+    SELECT doc_id, count(DISTINCT q) AS n_hit FROM (
+        SELECT doc_id, unnest(range(i, i + n)) AS q FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op2_mixing": _mixing_sql(), "op9_line_dedup": _LINES_SQL}
+    return {"op2_mixing": _mixing_sql(), "op7_quality": _QUALITY_SQL,
+            "op8_decontamination": _LEAKS_SQL, "op9_line_dedup": _LINES_SQL}
