@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import decontaminate, lines, mixing, quality, simhash
-from eventlens.llm.common import table
+from eventlens.llm import decontaminate, langid, lines, mixing, quality, secrets, simhash, urls
+from eventlens.llm.common import held_out, table
 
 #: Production parameters of the mixture: shares of all characters; other sources share the rest.
 MIX_WEIGHTS = {"src0": 0.15, "src1": 0.10, "src2": 0.10, "src3": 0.05}
@@ -27,6 +27,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col(name)
+
+    def text(kept):
+        parts = F.transform(
+            kept, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        )
+        return F.concat_ws(",", parts)
+
+    counts = [
+        F.size(F.filter(spans, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in secrets.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(text(F.filter(spans, lambda s: s["kind"] != "literal")), 256).alias("base_sha256"),
+        text(spans).alias("spans"),
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, m = F.col("text"), F.col("m")
     counted = table(spark, sf_dir, "documents").withColumn("m", quality.metrics(text))
@@ -67,6 +94,20 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.coalesce(held_out(F.col("doc_id"), 3), F.lit(0))
+    learned = docs.where(fold != 1)
+    found, name = langid.identify(docs.drop("lang"), learned, order=F.col("doc_id"))
+    return found.select(
+        "doc_id",
+        (fold == 1).alias("held_out"),
+        F.col(name)["lang"].alias("lang_pred"),
+        F.col(name)["score"].alias("score"),
+        F.col(name)["accepted"].alias("accepted"),
+    )
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
