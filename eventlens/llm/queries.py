@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import decontaminate, langid, lines, mixing, quality, secrets, simhash, urls
+from eventlens.llm import chunks, decontaminate, langid, lines, mixing, quality, secrets, simhash, toxicity, urls
 from eventlens.llm.common import held_out, table
 
 #: Production parameters of the mixture: shares of all characters; other sources share the rest.
@@ -27,6 +27,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.coalesce(held_out(F.col("doc_id"), 5), F.lit(0))
+    scored, name = toxicity.score(docs, toxicity.train(docs.where(fold != 0), table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold == 0).alias("held_out"),
+        F.col(name).alias("score"),
+        (F.col(name) >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.dedupe_passages(docs, report=True)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -42,15 +59,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return F.concat_ws(",", parts)
 
-    counts = [
-        F.size(F.filter(spans, lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-        for kind in secrets.KINDS
-    ]
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(kind) for kind in secrets.KINDS[:3]],
         F.sha2(text(F.filter(spans, lambda s: s["kind"] != "literal")), 256).alias("base_sha256"),
         text(spans).alias("spans"),
+        count("literal"),
     )
 
 
