@@ -122,6 +122,15 @@ def expected_recall(bits: int, distance: int, tables: int, size: int) -> float:
     return float(1 - (1 - agree) ** tables)
 
 
+def radius_of(similarity: float, bits: int) -> int:
+    """Most differing bits at which the Jaccard similarity of two sets is estimated to reach this.
+
+    A bit differs with probability angle / pi, and the cosine of the angle of two sets of about the
+    same size is 2j / (1 + j).
+    """
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
 def _matrix(fps: pa.Array, words: int) -> np.ndarray:
     data = b"".join(fps.to_pylist())
     return np.frombuffer(data, ">u8").reshape(-1, words).astype(np.uint64)
