@@ -10,8 +10,8 @@ in two steps, both without loss inside the radius for ``block_tables``:
   radius are skipped, since every differing bit changes the count by one.
 
 Tiles with more rows than ``TILE`` are cut by population count and hash, and only pairs of cuts
-whose counts can be within the radius meet, each pair in a task of its own. A tile gives its links
-as stars (each row with the first of its connected rows), at most one link per row.
+whose counts can be within the radius meet, each pair in a task of its own. Of the pairs within the
+radius a tile gives a spanning forest, close pairs first: at most one pair per row.
 """
 
 from __future__ import annotations
@@ -122,15 +122,6 @@ def expected_recall(bits: int, distance: int, tables: int, size: int) -> float:
     return float(1 - (1 - agree) ** tables)
 
 
-def radius_of(similarity: float, bits: int) -> int:
-    """Most differing bits at which the Jaccard similarity of two sets is estimated to reach this.
-
-    A bit differs with probability angle / pi, and the cosine of the angle of two sets of about the
-    same size is 2j / (1 + j).
-    """
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def _matrix(fps: pa.Array, words: int) -> np.ndarray:
     data = b"".join(fps.to_pylist())
     return np.frombuffer(data, ">u8").reshape(-1, words).astype(np.uint64)
@@ -151,20 +142,39 @@ def _keyed(fps: DataFrame, tables: list[np.ndarray], words: int) -> DataFrame:
     return fps.select("fp").mapInArrow(batches, "bucket long, pop int, fp binary")
 
 
-def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (each row's smallest connected row) after linking a[i] with b[i]."""
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            break
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        low = np.minimum(x, y)
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        while (flat := label[label]).tobytes() != label.tobytes():
-            label = flat
-    return label
+class Forest:
+    """Pairs of rows that connect what all pairs given so far connect, one per row at most."""
+
+    def __init__(self, rows: int):
+        self.label = np.arange(rows)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Rows a[i] and b[i] are tied; earlier pairs are preferred."""
+        label = self.label
+        while len(a):
+            x, y = label[a], label[b]
+            apart = x != y
+            a, b, high, low = a[apart], b[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+            if not len(a):
+                break
+            roots, first = np.unique(high, return_index=True)
+            self.pairs.append((a[first], b[first]))
+            label[roots] = low[first]
+            while (flat := label[label]).tobytes() != label.tobytes():
+                label = flat
+        self.label = label
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.pairs:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = zip(*self.pairs)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def steps_of(radius: int) -> list[int]:
+    """Growing radii up to ``radius``, so that close pairs come first."""
+    return sorted({max(1, radius // 4), radius // 2, 3 * radius // 4, radius}) if radius >= 8 else [radius]
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -175,43 +185,50 @@ def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def link_tile(rows: np.ndarray, other: np.ndarray | None, radius: int) -> np.ndarray:
-    """Labels of the rows of a tile, or of two tiles one after the other if ``other`` is given."""
-    label = np.arange(len(rows) + (0 if other is None else len(other)))
+def link_tile(rows: np.ndarray, other: np.ndarray | None, radius: int) -> Forest:
+    """Links of the rows of a tile, or between two tiles, numbered one after the other."""
+    forest = Forest(len(rows) + (0 if other is None else len(other)))
     pop = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
     order = np.argsort(pop, kind="stable")
     right, shift = (rows, 0) if other is None else (other, len(rows))
     right_pop = pop if other is None else np.bitwise_count(other).sum(axis=1, dtype=np.int64)
     right_order = np.argsort(right_pop, kind="stable")
     right_sorted = right_pop[right_order]
-    for i in range(0, len(rows), BLOCK):
-        mine = order[i : i + BLOCK]
-        # Counts differ by more than the radius outside of this range.
-        low = i if other is None else np.searchsorted(right_sorted, pop[mine[0]] - radius, "left")
-        high = np.searchsorted(right_sorted, pop[mine[-1]] + radius, "right")
-        for j in range(low, high, TILE):
-            theirs = right_order[j : min(j + TILE, high)]
-            near = _distance(rows[mine][:, None, :], right[theirs][None, :, :]) <= radius
-            a, b = np.nonzero(near)
-            label = merge(label, mine[a], theirs[b] + shift)
-    return label
-
-
-def _link_small(rows: np.ndarray, group: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of many small tiles at once; ``group`` is sorted."""
-    label = np.arange(len(rows))
+    for step in steps_of(radius):
+        for i in range(0, len(rows), BLOCK):
+            mine = order[i : i + BLOCK]
+            # Counts differ by more than the step outside of this range.
+            low = i if other is None else np.searchsorted(right_sorted, pop[mine[0]] - step, "left")
+            high = np.searchsorted(right_sorted, pop[mine[-1]] + step, "right")
+            for j in range(low, high, TILE):
+                theirs = right_order[j : min(j + TILE, high)]
+                near = _distance(rows[mine][:, None, :], right[theirs][None, :, :]) <= step
+                a, b = np.nonzero(near)
+                forest.add(mine[a], theirs[b] + shift)
+    return forest
+
+
+def _link_small(rows: np.ndarray, group: np.ndarray, sizes: np.ndarray, radius: int) -> Forest:
+    """Links of many small tiles at once; ``group`` is sorted."""
+    forest, found = Forest(len(rows)), []
     for shift in range(1, int(sizes.max(initial=1))):
         same = np.flatnonzero(group[shift:] == group[:-shift])
-        near = same[_distance(rows[same], rows[same + shift]) <= radius]
-        label = merge(label, near, near + shift)
-    return label
-
-
-def _stars(fp: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
-    """A link from each row to the first row connected with it."""
-    moved = np.flatnonzero(label != np.arange(len(label)))
+        apart = _distance(rows[same], rows[same + shift])
+        near = apart <= radius
+        found.append((apart[near], same[near], same[near] + shift))
+    if found:
+        apart, a, b = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(apart, kind="stable")
+        apart, a, b = apart[order], a[order], b[order]
+        for step in steps_of(radius):
+            forest.add(a[apart <= step], b[apart <= step])
+    return forest
+
+
+def _edges(fp: np.ndarray, forest: Forest) -> pa.RecordBatch:
+    a, b = forest.edges()
     pick = lambda at: pa.array([fp[i] for i in at], pa.binary())
-    return pa.RecordBatch.from_arrays([pick(label[moved]), pick(moved)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pick(a), pick(b)], ["a", "b"])
 
 
 def _linker(words: int, radius: int):
@@ -230,7 +247,7 @@ def _linker(words: int, radius: int):
         small = (sizes <= SMALL) & (part[start] == "")
         at = np.flatnonzero(np.repeat(small, sizes))
         if len(at):
-            yield _stars(fp[at], _link_small(rows[at], group[at], sizes[small], radius))
+            yield _edges(fp[at], _link_small(rows[at], group[at], sizes[small], radius))
         side = table["side"].to_numpy()
         for k in np.flatnonzero(~small):
             own = slice(start[k], start[k] + sizes[k])
@@ -239,9 +256,9 @@ def _linker(words: int, radius: int):
             if len(right):
                 if len(left):
                     at = np.concatenate((left, right))
-                    yield _stars(fp[at], link_tile(rows[left], rows[right], radius))
+                    yield _edges(fp[at], link_tile(rows[left], rows[right], radius))
             elif part[start[k]] == "" or part[start[k]].startswith("="):
-                yield _stars(fp[own], link_tile(rows[own], None, radius))
+                yield _edges(fp[own], link_tile(rows[own], None, radius))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,7 +281,8 @@ def _linker(words: int, radius: int):
 
 
 def links(fps: DataFrame, radius: int, tables: list[np.ndarray], words: int = 1, tile: int = TILE) -> DataFrame:
-    """``a, b``: stars that connect what links within the radius connect, from distinct ``fp`` rows."""
+    """``a, b``: pairs within the radius that connect what all such pairs connect; ``fps`` has
+    distinct ``fp`` rows."""
     keyed = _keyed(fps, tables, words)
     band = F.floor(F.col("pop") / (radius + 1)).cast("int")
     cells = keyed.groupBy("bucket", band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
@@ -307,10 +325,50 @@ def links(fps: DataFrame, radius: int, tables: list[np.ndarray], words: int = 1,
         spread.repartition("bucket", "part")
         .sortWithinPartitions("bucket", "part")
         .mapInArrow(_linker(words, radius), "a binary, b binary")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
 
 
+def verified(
+    pairs: DataFrame, texts: DataFrame, width: int, similarity: float
+) -> DataFrame:
+    """The pairs ``a, b`` whose texts' sets of shingles have at least this Jaccard similarity.
+
+    ``texts`` has one row ``fp, text`` per fingerprint. Only texts of fingerprints that are in a
+    pair are read, and a set travels once for each pair that it is in.
+    """
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            own = [
+                np.unique(shingle_hashes(t.as_py(), width, True).astype(np.uint32)).view(np.int32)
+                for t in batch.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["fp", "own"])
+
+    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    hashed = cut(
+        texts.join(needed, "fp", "left_semi")
+        .select("fp", F.col("text").cast("binary").alias("text"))
+        .mapInArrow(sets, "fp binary, own array<int>")
+    )
+    left = hashed.select(F.col("fp").alias("a"), F.col("own").alias("x"))
+    right = hashed.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+    return (
+        pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -321,18 +379,35 @@ def near_duplicates(
     distinct: bool = False,
     tables: list[np.ndarray] | None = None,
     tile: int = TILE,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``id, digest, fp, grp, component`` per row: the component is the smallest id that links
     reach, the row's own included, and ``grp`` a fingerprint that names the group.
 
+    With ``similarity`` a link within the radius counts only if the sets of shingles of both texts
+    have that Jaccard similarity.
+
     Null and empty texts have fingerprint zero and link like any other. Equal rows and copies share
     a fingerprint, which is compared once. A row with a null id belongs to a group; its id never
     names one, so a group of nulls alone has a null component. An empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius, radius + 2)
     marked = cut(fingerprints(docs, id_col, text_col, width, words, distinct))
-    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    groups = components(links(classes, radius, tables, words, tile))
+    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("digest").alias("digest")))
+    pairs = links(classes, radius, tables, words, tile)
+    if similarity is not None:
+        pairs = cut(pairs)
+        linked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+        chosen = classes.join(linked, "fp").select("fp", "digest")
+        digest = text_digest(F.col(id_col), F.col(text_col))
+        texts = (
+            docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
+            .join(chosen, "digest")
+            .groupBy("fp")
+            .agg(F.first("text").alias("text"))
+        )
+        pairs = verified(pairs, texts, width, similarity)
+    groups = components(pairs)
     linked = classes.join(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")), "fp")
     smallest = linked.groupBy("grp").agg(F.min("least").alias("smallest"))
     named = linked.join(smallest, "grp").select("fp", "grp", "smallest")
