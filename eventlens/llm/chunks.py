@@ -34,7 +34,8 @@ def candidates(data: np.ndarray) -> np.ndarray:
     """Places after which the gear hash of the last ``WINDOW`` bytes asks for a cut."""
     out = []
     for k in range(0, len(data), BLOCK):
-        part = data[max(0, k - WINDOW + 1) : k + BLOCK]
+        start = max(0, k - WINDOW + 1)
+        part = data[start : k + BLOCK]
         h, span = _GEAR[part], 1
         while span < WINDOW:  # hash of 2n bytes from two hashes of n bytes
             older = np.zeros_like(h)
@@ -43,8 +44,8 @@ def candidates(data: np.ndarray) -> np.ndarray:
             span *= 2
         low = WINDOW - MASK_BITS
         hits = np.flatnonzero((h >> np.uint32(low)) & np.uint32((1 << MASK_BITS) - 1) == 0)
-        out.append(hits + max(0, k - WINDOW + 1) + 1)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+        out.append(hits[hits >= k - start] + start + 1)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 def cuts(data: bytes) -> list[int]:
