@@ -98,8 +98,26 @@ def _uuid(prefix: str) -> str:
     return " || '-' || ".join(f"substr({h}, {start}, {length})" for start, length in parts)
 
 
+# Names as sent: some session starts are sent as match starts.
+WIRE_NAME = (
+    f"CASE WHEN event_type = 'signup' AND k % 4 = 1 THEN 'match_start' ELSE {EVENT['event_name']} END"
+)
+
+
+def _newline(n: int, also: str = "TRUE") -> str:
+    """A newline, as JSON text, behind the value of a few events."""
+    return f"CASE WHEN event_id % 229 = {n} AND {also} THEN chr(92) || 'n' ELSE '' END"
+
+
 # Field values before JSON quoting. Rare values break one rule each.
 WIRE = {
+    "nl_id": _newline(1),
+    "nl_name": _newline(2, "event_type = 'error'"),
+    "nl_version": _newline(3),
+    "nl_at": _newline(4),
+    "nl_session": _newline(5),
+    "nl_player": _newline(6),
+    "nl_game_version": _newline(7),
     "block": "CAST(floor(event_id / 20) AS BIGINT)",
     "uuid": _uuid("e:"),
     "session_uuid": _uuid("s:"),
@@ -122,6 +140,10 @@ WIRE_PROPS = {
     "session_start": """'{"launch_reason":"' || CASE k % 3 WHEN 0 THEN 'fresh_launch' WHEN 1
         THEN 'resume' ELSE 'hot_reload' END || '","connection_mode":"online","timezone_offset_min":'
         || CAST(k * 16 - 720 AS STRING)""",
+    "match_start": """'{"match_id":"' || session_uuid || CASE WHEN k = 41 THEN chr(92) || 'n' ELSE '' END ||
+        '","mode_id":"' || CASE WHEN k = 53 THEN '' ELSE 'duo' END || '","map_id":"dunes","team_size":' ||
+        CASE WHEN k = 49 THEN '6' ELSE '2' END || ',"party_size":1,"mmr_bucket":"' ||
+        CASE WHEN k = 45 THEN 'mythic' ELSE 'silver' END || '"'""",
     "session_end": """'{"duration_s":' || CASE WHEN k = 51 THEN '"12"' ELSE
         CAST(k * 10 AS STRING) END || ',"exit_reason":"' || CASE WHEN k = 50 THEN 'rage_quit' ELSE
         'user_exit' END || '","xp_earned":' || CASE WHEN k = 52 THEN '1.5' ELSE kt END""",
@@ -132,11 +154,13 @@ WIRE_PROPS = {
         CASE WHEN k = 77 THEN ',"b","c","d","e","f"' ELSE ',"b"' END || '],"is_random":' ||
         CASE WHEN k = 78 THEN '1' ELSE 'true' END""",
 }
+MANY_KEYS = "".join(f',"extra_{i}":{i}' for i in range(24))
 WIRE_CUSTOM = """'{"level_id":"forest_' || kt || '","tier":' || kt ||
     CASE k WHEN 33 THEN ',"player_id":"p"' WHEN 34 THEN ',"badKey":1' WHEN 66 THEN
     ',"contact":"a@b.co"' WHEN 67 THEN ',"extra":{"x":1}' WHEN 68 THEN ',"extra":null' WHEN 69 THEN
     ',"extra":[["a"]]' WHEN 44 THEN ',"tags":["' || repeat('x', 128) || '"' || repeat(',"' ||
-    repeat('y', 128) || '"', 11) || ']' ELSE '' END"""
+    repeat('y', 128) || '"', 11) || ']' WHEN 35 THEN '""" + MANY_KEYS + """' WHEN 36 THEN
+    ',"email' || chr(92) || 'n":1' WHEN 38 THEN ',"note":"bearer' || chr(160) || 'abcdef"' ELSE '' END"""
 WIRE_STRIPPED = (
     "CASE event_name "
     + " ".join(f"WHEN '{name}' THEN {sql} || '}}'" for name, sql in WIRE_PROPS.items())
@@ -148,10 +172,11 @@ WIRE_SENT = (
     + " ".join(f"WHEN '{name}' THEN {sql} || ',\"debug\":1}}'" for name, sql in WIRE_PROPS.items())
     + f" ELSE {WIRE_CUSTOM} || '}}' END"
 )
-WIRE_ENVELOPE = """'{"event_id":"' || uuid || '","event_name":"' || event_name ||
-    '","schema_version":"' || wire_version || '","occurred_at":"' || at_text || wire_zone ||
-    '","session_id":"' || session_uuid || '","player_id_hash":"' || player_id_hash ||
-    '","game_id":"' || wire_game || '","game_version":"0.6.2","build_id":"' || wire_build ||
+WIRE_ENVELOPE = """'{"event_id":"' || uuid || nl_id || '","event_name":"' || event_name || nl_name ||
+    '","schema_version":"' || wire_version || nl_version || '","occurred_at":"' || at_text || wire_zone ||
+    nl_at || '","session_id":"' || session_uuid || nl_session || '","player_id_hash":"' ||
+    player_id_hash || nl_player || '","game_id":"' || wire_game || '","game_version":"0.6.2' ||
+    nl_game_version || '","build_id":"' || wire_build ||
     '","platform":"' || wire_platform || '"' || wire_locale || ',"consent_analytics":' ||
     wire_consent || ',"properties":'"""
 
@@ -162,6 +187,8 @@ REQUEST = {
     "api_key_id": "CASE WHEN block % 31 = 7 THEN 'key-old' WHEN block % 17 = 3 THEN 'key-alpha'"
     " WHEN user_id % 3 = 0 THEN 'key-beta' ELSE 'key-alpha' END",
     "cut": "block % 29 = 5",
+    "junk": "block % 37 = 11",
+    "twice": "block % 41 = 7",
 }
 
 
@@ -170,7 +197,7 @@ def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "events").withColumn("k", F.expr(K))
     named = source.select(
         "*",
-        F.expr(EVENT["event_name"]).alias("event_name"),
+        F.expr(WIRE_NAME).alias("event_name"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at_text"),
         F.sha2(F.concat(F.lit("player:"), F.col("user_id").cast("string")), 256).alias(
             "player_id_hash"
@@ -185,19 +212,21 @@ def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed requests: batches of up to 20 events, some with cut text."""
+    """Landed requests: batches of up to 20 events; some texts are cut, have more text behind the
+    object, or name the events twice, of which the last counts."""
     grouped = (
         wire_events(spark, sf_dir)
-        .groupBy("batch_id", "api_key_id", "cut")
+        .groupBy("batch_id", "api_key_id", "cut", "junk", "twice")
         .agg(
             F.sort_array(F.collect_list(F.struct("event_id", "event_json"))).alias("sent"),
             F.max("ts").cast("timestamp").alias("received_at"),
         )
     )
     items = F.array_join(F.transform("sent", lambda e: e["event_json"]), ",")
-    end = F.when(F.col("cut"), "").otherwise("]}")
+    begin = F.when(F.col("twice"), '{"events":[{"event_id":"none"}],"events":[').otherwise('{"events":[')
+    end = F.when(F.col("cut"), "").when(F.col("junk"), "]} {}").otherwise("]}")
     return grouped.select(
-        "batch_id", "api_key_id", "received_at", F.concat(F.lit('{"events":['), items, end).alias("body")
+        "batch_id", "api_key_id", "received_at", F.concat(begin, items, end).alias("body")
     )
 
 
@@ -233,12 +262,18 @@ LOG = {
     "custom_rejected": "CASE WHEN l_partkey % 17 = 0 THEN 2 ELSE 0 END",
     "ip": "CASE l_suppkey % 4 WHEN 0 THEN '10.' || CAST(l_suppkey % 7 AS STRING) || '.' ||"
     " CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey % 256 AS STRING)"
+    " || CASE WHEN l_partkey % 97 = 3 THEN chr(10) ELSE '' END"
     " WHEN 1 THEN '::ffff:192.168.' || CAST(l_suppkey % 9 AS STRING) || '.7'"
     " WHEN 2 THEN '2001:0DB8:00' || CAST(10 + l_suppkey % 80 AS STRING) || '::8a2e:' ||"
     " CAST(l_linenumber AS STRING) ELSE 'host-' || CAST(l_suppkey AS STRING) END",
     # A few nonces are shared by very many requests.
     "nonce_key": "CASE WHEN l_partkey % 3 = 0 THEN l_suppkey % 2 ELSE l_orderkey % 5000 END",
     "skew_s": "l_partkey % 640 - 320",
+    # Broken texts: a newline behind the nonce or the timestamp, and a nonce of another version.
+    "nonce_head": "CASE WHEN l_orderkey % 103 = 5 THEN '5b1d7a90-33c2-1f08-a6e4-'"
+    " ELSE '5b1d7a90-33c2-4f08-a6e4-' END",
+    "nonce_tail": "CASE WHEN l_orderkey % 101 = 7 THEN chr(10) ELSE '' END",
+    "time_tail": "CASE WHEN l_orderkey % 107 = 9 THEN chr(10) ELSE '' END",
 }
 
 
@@ -249,13 +284,13 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     millis = F.unix_millis(F.col("l_shipdate").cast("timestamp")) + F.col("offset_ms")
     received = F.timestamp_millis(millis)
     nonce = F.concat(
-        F.lit("f4c9f3e0-1e4d-4e4e-9c7b-"), F.lpad(F.col("nonce_key").cast("string"), 12, "0")
+        F.col("nonce_head"), F.lpad(F.col("nonce_key").cast("string"), 12, "0"), F.col("nonce_tail")
     )
     return mapped.select(
         "*",
         received.alias("received_at"),
         nonce.alias("nonce"),
-        (F.unix_seconds(received) + F.col("skew_s")).cast("string").alias("timestamp"),
+        F.concat((F.unix_seconds(received) + F.col("skew_s")).cast("string"), F.col("time_tail")).alias("timestamp"),
     )
 
 

@@ -114,7 +114,7 @@ cohorts AS (
 WIRE_EVENT = f"""
 WITH keyed AS (SELECT *, {data.K} AS k FROM events),
 named AS (
-  SELECT *, {data.EVENT["event_name"]} AS event_name,
+  SELECT *, {data.WIRE_NAME} AS event_name,
          strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at_text,
          sha256('player:' || user_id) AS player_id_hash
   FROM keyed
@@ -133,14 +133,23 @@ sized AS (
 
 # Broken rules, written from the known contents of the sent values.
 _REASONS = [
-    ("schema_version", "FALSE"),
-    ("occurred_at", "wire_zone = ''"),
+    ("event_id", "nl_id <> ''"),
+    ("event_name", "nl_name <> ''"),
+    ("schema_version", "nl_version <> ''"),
+    ("occurred_at", "wire_zone = '' OR nl_at <> ''"),
+    ("session_id", "nl_session <> ''"),
+    ("player_id_hash", "nl_player <> ''"),
     ("game_id", "wire_game NOT IN ('alpha', 'beta')"),
+    ("game_version", "nl_game_version <> ''"),
     ("build_id", "length(wire_build) NOT BETWEEN 1 AND 16"),
     ("platform", "wire_platform NOT IN ('pc', 'mac', 'linux')"),
     ("locale", "event_id % 151 = 0"),
     ("consent_analytics", "event_id % 197 = 0"),
     ("properties.timezone_offset_min", "event_name = 'session_start' AND k * 16 - 720 > 840"),
+    ("properties.match_id", "event_name = 'match_start' AND k = 41"),
+    ("properties.mode_id", "event_name = 'match_start' AND k = 53"),
+    ("properties.team_size", "event_name = 'match_start' AND k = 49"),
+    ("properties.mmr_bucket", "event_name = 'match_start' AND k = 45"),
     ("properties.duration_s", "event_name = 'session_end' AND k = 51"),
     ("properties.exit_reason", "event_name = 'session_end' AND k = 50"),
     ("properties.xp_earned", "event_name = 'session_end' AND k = 52"),
@@ -148,9 +157,10 @@ _REASONS = [
     ("properties.damage_dealt", "event_name = 'match_end' AND k * 5060 > 500000"),
     ("properties.perk_ids", "event_name = 'character_selected' AND k = 77"),
     ("properties.is_random", "event_name = 'character_selected' AND k = 78"),
-    ("schema_version", "event_type = 'error' AND wire_version <> '1.1'"),
-    ("properties.key", "event_type = 'error' AND k IN (33, 34)"),
-    ("properties.value", "event_type = 'error' AND k IN (66, 67, 68, 69)"),
+    ("schema_version", "event_type = 'error' AND wire_version <> '1.1' AND nl_version = ''"),
+    ("properties.count", "event_type = 'error' AND k = 35"),
+    ("properties.key", "event_type = 'error' AND k IN (33, 34, 36)"),
+    ("properties.value", "event_type = 'error' AND k IN (38, 66, 67, 68, 69)"),
     ("event.bytes", "event_bytes > 2048"),
     ("properties.bytes", "property_bytes > 1536"),
 ]
@@ -162,12 +172,13 @@ checked AS (
 judged AS (
   SELECT batch_id,
          CASE WHEN ANY_VALUE(api_key_id) = 'key-old' THEN 'unauthorized'
-              WHEN ANY_VALUE(cut) THEN 'bad_request'
-              WHEN BOOL_OR(wire_version = '2.0') THEN 'unsupported_schema_version'
+              WHEN ANY_VALUE(cut) OR ANY_VALUE(junk) THEN 'bad_request'
+              WHEN BOOL_OR(wire_version = '2.0' AND nl_version = '') THEN 'unsupported_schema_version'
               WHEN COUNT(*) > 10 OR BOOL_OR(reasons <> '') THEN 'validation_failed'
               WHEN BOOL_OR('key-' || wire_game <> api_key_id) THEN 'unauthorized'
               ELSE 'accepted' END AS code,
-         BOOL_OR(cut) AS cut, COUNT(*) AS n, CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS c
+         BOOL_OR(cut OR junk) AS cut, COUNT(*) AS n,
+         CAST(SUM(CASE WHEN event_type = 'error' AND nl_name = '' THEN 1 ELSE 0 END) AS BIGINT) AS c
   FROM checked GROUP BY batch_id
 )"""
 
@@ -177,12 +188,15 @@ WITH mapped AS (SELECT l_shipdate, l_suppkey, {_LOG_COLUMNS} FROM lineitem),
 log AS (
   SELECT *, l_shipdate + to_milliseconds(offset_ms) AS received_at,
          epoch_ms(l_shipdate) + offset_ms AS at_ms,
-         'f4c9f3e0-1e4d-4e4e-9c7b-' || lpad(CAST(nonce_key AS VARCHAR), 12, '0') AS nonce
+         nonce_head || lpad(CAST(nonce_key AS VARCHAR), 12, '0') || nonce_tail AS nonce,
+         CASE WHEN nonce_head <> '5b1d7a90-33c2-4f08-a6e4-' OR nonce_tail <> '' OR time_tail <> ''
+              THEN 'bad_request' WHEN abs(skew_s) > 300 THEN 'timestamp_out_of_window' END AS time_reason
   FROM mapped
 )"""
 
 IP_PREFIX = """CASE l_suppkey % 4
-    WHEN 0 THEN '10.' || (l_suppkey % 7) || '.' || l_linenumber || '.0/24'
+    WHEN 0 THEN CASE WHEN l_partkey % 97 = 3 THEN 'unknown' ELSE
+      '10.' || (l_suppkey % 7) || '.' || l_linenumber || '.0/24' END
     WHEN 1 THEN '192.168.' || (l_suppkey % 9) || '.0/24'
     WHEN 2 THEN '2001:db8:' || (10 + l_suppkey % 80) || '::/48'
     ELSE 'unknown' END"""
@@ -192,13 +206,19 @@ def _iso(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
 
+# White space of the contract: ASCII, no-break and the other Unicode spaces, line separators, BOM.
+_SPACE = (
+    "\\x{9}-\\x{D}\\x{20}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+)
+
+
 def _unsafe(value: str) -> str:
     return (
         f"(length({value}) + length(regexp_replace({value}, '[\\x{{0000}}-\\x{{FFFF}}]', '', 'g'))"
         f" > {fv.CUSTOM_STRING_MAX}"
-        f" OR regexp_matches({value}, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$')"
+        f" OR regexp_matches({value}, '^[^{_SPACE}@]+@[^{_SPACE}@]+\\.[^{_SPACE}@]+$')"
         f" OR regexp_matches({value}, '^eyJ[A-Za-z0-9_-]*\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+$')"
-        f" OR regexp_matches({value}, '^bearer\\s+\\S+$', 'i'))"
+        f" OR regexp_matches({value}, '^[Bb][Ee][Aa][Rr][Ee][Rr][{_SPACE}]+[^{_SPACE}]+$'))"
     )
 
 
@@ -252,7 +272,7 @@ def _hmac_sql(secret: str) -> str:
     from eventlens.functions import hmac_pads
 
     ipad, opad = ("".join(f"\\x{b:02X}" for b in pad) for pad in hmac_pads(secret))
-    message = "encode(concat_ws(chr(10), CAST(signed AS VARCHAR), nonce, route))"
+    message = "encode(concat_ws(chr(10), CAST(signed AS VARCHAR) || time_tail, nonce, route))"
     return f"sha256('{opad}'::BLOB || unhex(sha256('{ipad}'::BLOB || {message})))"
 
 
@@ -326,9 +346,9 @@ FROM checked JOIN judged USING (batch_id) WHERE code = 'accepted'"""
 
 def _dataset_checks() -> str:
     checks = [
-        ("consent_off_share", "off", "off * 100 BETWEEN n * 5 AND n * 15"),
+        ("consent_off_share", "off", "off * 100 BETWEEN n * 5 AND n * 15 AND n > 0"),
         ("session_days", "session_days", "session_days >= 14"),
-        ("active_weeks", "active_weeks", "active_weeks >= 8"),
+        ("weekly_cohorts", "weekly_cohorts", "weekly_cohorts >= 8"),
         ("fresh_events", "fresh", "fresh >= 1"),
     ]
     for name in fv.CORE_EVENT_NAMES:
@@ -336,7 +356,7 @@ def _dataset_checks() -> str:
             f"WHEN '{game}' THEN {name} BETWEEN {r[name][0]} AND {r[name][1]}"
             for game, r in zip(data.SETTINGS.games, fv.VOLUME_CONTRACT)
         )
-        checks.append((f"volume_{name}", name, f"CASE game_id {ranges} END"))
+        checks.append((f"volume_{name}", name, f"COALESCE(CASE game_id {ranges} END, FALSE)"))
     names = ", ".join(
         f"COUNT(*) FILTER (event_name = '{n}') AS {n}" for n in fv.CORE_EVENT_NAMES
     )
@@ -344,15 +364,28 @@ def _dataset_checks() -> str:
         f"SELECT game_id, '{check}' AS \"check\", CAST({value} AS BIGINT) AS value, {ok} AS ok FROM t"
         for check, value, ok in checks
     )
+    filled = ", ".join(
+        f"COALESCE({c}, 0) AS {c}"
+        for c in ("off", "n", "session_days", "weekly_cohorts", "fresh", *fv.CORE_EVENT_NAMES)
+    )
     return f"""{EV},
-t AS (
+firsts AS (
+  SELECT game_id, player_id_hash, MIN(day) AS first FROM ev
+  WHERE event_name = 'session_start' AND consent_analytics GROUP BY 1, 2
+),
+cohorts AS (
+  SELECT game_id, COUNT(DISTINCT date_trunc('week', first)) AS weekly_cohorts FROM firsts GROUP BY 1
+),
+found AS (
   SELECT game_id, {names}, COUNT(*) AS n, COUNT(*) FILTER (NOT consent_analytics) AS off,
          COUNT(*) FILTER (occurred_at >= {_AS_OF} - INTERVAL 15 MINUTE) AS fresh,
          COUNT(DISTINCT CASE WHEN event_name = 'session_end' AND consent_analytics THEN day END)
-           AS session_days,
-         COUNT(DISTINCT CASE WHEN event_name = 'session_start' AND consent_analytics
-                             THEN date_trunc('week', day) END) AS active_weeks
+           AS session_days
   FROM ev GROUP BY 1
+),
+t AS (
+  SELECT game_id, {filled} FROM (VALUES ('alpha'), ('beta'), ('gamma')) g(game_id)
+  LEFT JOIN found USING (game_id) LEFT JOIN cohorts USING (game_id)
 )
 {selects}"""
 
@@ -514,7 +547,8 @@ ranked AS (
 SELECT event_id, i // 10 AS batch_no, CAST(i % 10 AS INT) AS position FROM ranked""",
         "event_validation": f"{WIRE} SELECT event_id, reasons FROM checked",
         "core_strip": f"""{WIRE_EVENT}
-SELECT event_id, event_name, property_bytes, FALSE AS has_unknown FROM sized""",
+SELECT event_id, event_name || CASE WHEN nl_name <> '' THEN chr(10) ELSE '' END AS event_name,
+       property_bytes, FALSE AS has_unknown FROM sized""",
         "byte_caps": f"""{WIRE_EVENT}
 SELECT event_id, event_bytes, event_bytes > 2048 AS too_large FROM sized""",
         "batch_reject": f"{WIRE} SELECT batch_id, code FROM judged",
@@ -553,8 +587,10 @@ WITH words AS (
 ),
 lines AS (
   SELECT doc_id, COUNT(*) FILTER ({_unsafe("line")}) AS unsafe_lines,
-         COUNT(*) FILTER ({_unsafe("token")}) AS unsafe_tokens
-  FROM (SELECT doc_id, line, 'Bearer ' || line AS token
+         COUNT(*) FILTER ({_unsafe("token")}) AS unsafe_tokens,
+         COUNT(*) FILTER ({_unsafe("wide_token")}) AS unsafe_wide_tokens
+  FROM (SELECT doc_id, line, 'Bearer ' || line AS token,
+               'BEARER' || chr(160) || replace(line, ' ', '') AS wide_token
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1
 )
 SELECT * FROM words JOIN lines USING (doc_id)""",
@@ -565,7 +601,8 @@ SELECT c_custkey, sha256('alpha::' || c_name || '::' ||
        CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_mktsegment END) AS player_id_hash
 FROM customer""",
         "client_labels": """
-SELECT page_id, substr(html, 1, 120) AS agent,
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN repeat('x', 119) || chr(65533)
+         WHEN 1 THEN chr(128512) || substr(html, 1, 118) ELSE substr(html, 1, 120) END AS agent,
        CASE page_id % 3 WHEN 0 THEN 'mac' WHEN 1 THEN 'linux' ELSE 'pc' END AS platform,
        CASE page_id % 2 WHEN 0 THEN '1.0' ELSE '1.1' END AS version,
        starts_with(url, 'http://') AND ends_with(url, 'page=2&ref=x') AS allowed,
@@ -585,6 +622,18 @@ SELECT service, {_iso("time_bucket(INTERVAL 5 MINUTE, received_at, TIMESTAMP '19
        COUNT(*) FILTER (status_code >= 500) * 100 > COUNT(*) AS error_alert,
        COUNT(*) FILTER (latency_ms > 750) * 20 > COUNT(*) AS p95_alert
 FROM log GROUP BY 1, 2""",
+        "service_alerts": f"""{LOG},
+rule(service, alert, minutes, per_mille) AS (
+  VALUES ('ingest', 'error_rate', 5, 10), ('ingest', 'latency_p95', 10, 50), ('analytics', 'error_rate', 10, 5)
+),
+counted AS (
+  SELECT service, alert, per_mille, minutes, to_timestamp(at_ms // 60000 // minutes * minutes * 60) AT TIME ZONE 'UTC'
+           AS window_start, COUNT(*) AS requests,
+         COUNT(*) FILTER (CASE alert WHEN 'error_rate' THEN status_code >= 500 ELSE latency_ms > 750 END) AS breaches
+  FROM log JOIN rule USING (service) GROUP BY ALL
+)
+SELECT service, alert, {_iso("window_start")} AS window_start, minutes, requests, breaches,
+       breaches * 1000 > requests * per_mille AS firing FROM counted""",
         "refresh_lag": f"""{EV}
 SELECT event_name AS table_name,
        epoch_us({_AS_OF}) // 1000000 - CAST(floor(epoch_us(MAX(received_at)) / 1000000) AS BIGINT) AS lag_s,
@@ -602,12 +651,11 @@ FROM ev GROUP BY 1""",
             1,
         ),
         "timestamp_window": f"""{LOG}
-SELECT CASE WHEN abs(skew_s) > 300 THEN 'timestamp_out_of_window' ELSE 'ok' END AS reason,
-       COUNT(*) AS requests
+SELECT COALESCE(time_reason, 'ok') AS reason, COUNT(*) AS requests
 FROM log GROUP BY 1""",
         "replay_flags": f"""
 WITH RECURSIVE {LOG.strip().removeprefix("WITH")},
-eligible AS (SELECT * FROM log WHERE abs(skew_s) <= 300),
+eligible AS (SELECT * FROM log WHERE time_reason IS NULL),
 instants AS (
   SELECT api_key_id, nonce, at_ms, MIN(request_id) AS first_id FROM eligible GROUP BY 1, 2, 3
 ),
@@ -625,7 +673,7 @@ opened AS (
   WHERE i.at_ms >= o.at_ms + 300000 GROUP BY 1, 2, 3
 ),
 accepted AS (SELECT first_id FROM opened JOIN instants USING (api_key_id, nonce, at_ms))
-SELECT request_id, abs(skew_s) <= 300 AND request_id NOT IN (SELECT first_id FROM accepted) AS is_replay
+SELECT request_id, time_reason IS NULL AND request_id NOT IN (SELECT first_id FROM accepted) AS is_replay
 FROM log""",
         "signature_audit": f"""{LOG},
 stamped AS (SELECT *, epoch_us(received_at) // 1000000 + skew_s AS signed FROM log)
@@ -639,7 +687,7 @@ coded AS (
     WHEN latency_ms % 53 = 0 THEN 'bad_request'
     WHEN latency_ms % 59 = 0 THEN 'payload_too_large'
     WHEN api_key_id = 'key-4' THEN 'unauthorized'
-    WHEN abs(skew_s) > 300 THEN 'timestamp_out_of_window'
+    WHEN time_reason IS NOT NULL THEN time_reason
     WHEN error_code = 'signature_invalid' THEN error_code
     WHEN latency_ms % 31 = 0 THEN 'replay_detected'
     WHEN error_code = 'rate_limited_key' THEN error_code
@@ -679,6 +727,11 @@ SELECT game_id, COUNT(*) AS points, COUNT(*) FILTER (suppressed) AS hidden,
        COUNT(*) FILTER (suppressed) * 2 > COUNT(*) AS empty_state
 FROM popularity GROUP BY 1""",
         "ingest_job": STORED,
+        "ingest_rejects": f"""{WIRE}
+SELECT code, COUNT(*) AS requests FROM judged WHERE code <> 'accepted' GROUP BY 1
+UNION ALL SELECT 'unreadable', COUNT(*) FROM judged WHERE code = 'bad_request' HAVING COUNT(*) > 0
+UNION ALL SELECT 'reported', COUNT(*) + COUNT(*) FILTER (code = 'bad_request')
+FROM judged WHERE code <> 'accepted'""",
         "stream_ingest": STORED,
         "stream_sessions_daily": f"""{EV}
 SELECT day AS metric_date, game_id, COUNT(*) AS session_count,

@@ -380,6 +380,9 @@ def unsafe_strings(spark, sf_dir):
     long = lines.groupBy("doc_id").agg(
         F.count_if(is_unsafe_string(F.col("line"))).alias("unsafe_lines"),
         F.count_if(is_unsafe_string(F.concat(F.lit("Bearer "), F.col("line")))).alias("unsafe_tokens"),
+        F.count_if(
+            is_unsafe_string(F.concat(F.lit("BEARER\u00a0"), F.replace("line", F.lit(" "), F.lit(""))))
+        ).alias("unsafe_wide_tokens"),
     )
     return words.join(long, "doc_id")
 
@@ -419,10 +422,18 @@ def client_labels(spark, sf_dir):
     )
     asked = F.concat(F.lit("req-"), F.col("page_id").cast("string"))
     same = request_id_or_new(asked) == asked
-    replaced = F.length(request_id_or_new(F.concat(F.lit("-"), asked))) == 36
+    replaced = (F.length(request_id_or_new(F.concat(F.lit("-"), asked))) == 36) & (
+        F.length(request_id_or_new(F.concat(asked, F.lit("\n")))) == 36
+    )
+    face = F.lit("\U0001f600")
+    agent = (
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("x" * 119), face, "html"))
+        .when(F.col("page_id") % 5 == 1, F.concat(face, "html"))
+        .otherwise(F.col("html"))
+    )
     return docs.select(
         "page_id",
-        user_agent_label(F.col("html")).alias("agent"),
+        user_agent_label(agent).alias("agent"),
         platform_of(os_name).alias("platform"),
         event_schema_version(name).alias("version"),
         wildcard_match(F.col("url"), "http://*page=2&ref=x").alias("allowed"),
@@ -465,6 +476,14 @@ def alerts_5xx(spark, sf_dir):
     )
 
 
+@query
+def service_alerts(spark, sf_dir):
+    found = requests.service_alerts(data.request_log(spark, sf_dir))
+    return found.select(
+        "service", "alert", _iso("window_start"), "minutes", "requests", "breaches", "firing"
+    )
+
+
 @query
 def refresh_lag(spark, sf_dir):
     """Age of each event group at the as-of instant, as if it were a derived table."""
@@ -541,7 +560,8 @@ def request_outcome(spark, sf_dir):
 
 @query
 def dataset_checks(spark, sf_dir):
-    return quality.dataset_checks(data.events(spark, sf_dir), SETTINGS.games, AS_OF)
+    """The third game has no events."""
+    return quality.dataset_checks(data.events(spark, sf_dir), (*SETTINGS.games, "gamma"), AS_OF)
 
 
 @query
@@ -599,6 +619,28 @@ def ingest_job(spark, sf_dir):
     return stored.select("event_id", "event_name", "game_id", "locale", _iso("occurred_at"))
 
 
+@query
+def ingest_rejects(spark, sf_dir):
+    """Refused requests by code after two runs over the same files, with the count of the report.
+
+    Beside the landed requests there is an unreadable line for every bad request.
+    """
+    folder = _scratch(spark, "ingest-rejects")
+    path = _landed_requests(spark, sf_dir, folder)
+    bad = _judged(spark, sf_dir).filter("code = 'bad_request'")
+    bad.select(F.concat(F.lit("no json "), "batch_id")).coalesce(1).write.mode("append").text(path)
+    for _ in range(2):
+        report = ingest.ingest(
+            batches.read_requests(spark, path), data.credentials(spark), f"{folder}/events", SETTINGS, f"{folder}/rejects"
+        )
+    rejects = spark.read.parquet(f"{folder}/rejects")
+    unreadable = F.col("batch_id").startswith("unreadable-") & (F.col("code") == "bad_request")
+    code = F.when(unreadable, "unreadable").otherwise(F.col("code"))
+    counts = rejects.groupBy(code.alias("code")).agg(F.count_distinct("batch_id").alias("requests"))
+    total = spark.range(1).select(F.lit("reported").alias("code"), F.lit(report.rejected_requests).cast("bigint").alias("requests"))
+    return counts.unionByName(total)
+
+
 @query
 def stream_ingest(spark, sf_dir):
     """The same requests through the streaming job, one file per batch."""

@@ -162,6 +162,13 @@ AUTH_FAILURE_CODES = (
 SIGNATURE_FAILURE_CODES = ("signature_invalid", "timestamp_out_of_window", "replay_detected")
 RATE_LIMIT_CODES = {"rate_limited_ip": "ip", "rate_limited_key": "key"}
 LATENCY_BUCKETS_S = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)
+# Alerts: service, name, minutes of the window, threshold in per mille, latency limit in ms (None
+# for answers of 5xx). The 95th percentile is above a limit when more than 50 per mille are.
+SERVICE_ALERTS = (
+    ("ingest", "error_rate", 5, 10, None),
+    ("ingest", "latency_p95", 10, 50, 750),
+    ("analytics", "error_rate", 10, 5, None),
+)
 SUSTAINED_WINDOW_MS = 60_000
 BURST_WINDOW_MS = 10_000
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from eventlens import fixed_values as fv
+from eventlens.functions.text import matches
 
 _SUBJECT_SUFFIX = "^({})_(.*_)?({})$".format(
     "|".join(fv.SENSITIVE_SUBJECTS), "|".join(fv.SENSITIVE_SUFFIXES)
@@ -23,7 +24,7 @@ def mask(hidden: Column, value: Column) -> Column:
 def is_sensitive_key(key: Column) -> Column:
     """True for a property key that names an identifier, credential, contact or free text."""
     return ~key.isin(*fv.GAMEPLAY_KEYS) & (
-        key.isin(*fv.SENSITIVE_KEYS) | key.rlike(_SUBJECT_SUFFIX)
+        key.isin(*fv.SENSITIVE_KEYS) | matches(key, _SUBJECT_SUFFIX)
     )
 
 
@@ -35,7 +36,7 @@ def is_unsafe_string(text: Column) -> Column:
     """True for a string that is too long or looks like an address or a credential."""
     return (
         (utf16_length(text) > fv.CUSTOM_STRING_MAX)
-        | text.rlike(fv.EMAIL_LIKE)
-        | text.rlike(fv.JWT_LIKE)
-        | text.rlike(fv.BEARER_LIKE)
+        | matches(text, fv.EMAIL_LIKE)
+        | matches(text, fv.JWT_LIKE)
+        | matches(text, fv.BEARER_LIKE)
     )

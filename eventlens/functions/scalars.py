@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, functions as F
 
 from eventlens import fixed_values as fv
+from eventlens.functions.text import exact_pattern, matches
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
 _IPV4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
@@ -43,13 +44,19 @@ def iso_utc(ts: Column) -> Column:
 
 def parse_iso(text: Column) -> Column:
     """Instant of ISO-8601 text that ends in Z or an offset, else null."""
-    return F.when(text.rlike(fv.ISO_DATETIME), F.try_to_timestamp(text))
+    return F.when(matches(text, fv.ISO_DATETIME), F.try_to_timestamp(text))
 
 
 def is_core_name(name: Column) -> Column:
     return name.isin(*fv.CORE_EVENT_NAMES)
 
 
+def is_custom_name(name: Column) -> Column:
+    """True for a well-formed name that is no core name."""
+    well_formed = matches(name, fv.SNAKE_CASE) & (F.length(name) <= fv.EVENT_NAME_MAX)
+    return F.coalesce(well_formed & ~is_core_name(name), F.lit(False))
+
+
 def event_schema_version(name: Column) -> Column:
     return F.when(is_core_name(name), fv.CORE_SCHEMA_VERSION).otherwise(fv.CUSTOM_SCHEMA_VERSION)
 
@@ -73,13 +80,13 @@ def _colons(text: Column) -> Column:
 
 def _is_ipv6(text: Column) -> Column:
     """A valid IPv6 literal, also with a dotted tail or a zone."""
-    bare = F.when(text.contains("%"), F.regexp_replace(text, "%[0-9a-zA-Z.:-]+$", "")).otherwise(text)
-    flat = F.when(bare.contains("."), F.regexp_replace(bare, _TAIL_V4, ":0:0")).otherwise(bare)
+    bare = F.when(text.contains("%"), F.regexp_replace(text, exact_pattern("%[0-9a-zA-Z.:-]+$"), "")).otherwise(text)
+    flat = F.when(bare.contains("."), F.regexp_replace(bare, exact_pattern(_TAIL_V4), ":0:0")).otherwise(bare)
     run = f"{_HEX_GROUP}(:{_HEX_GROUP})*"
-    full = flat.rlike(f"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$")
+    full = matches(flat, f"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$")
     # The double colon stands for at least one group, which bounds the number of colons.
     at_edge = flat.startswith("::") | flat.endswith("::")
-    short = flat.rlike(f"^({run})?::({run})?$") & (_colons(flat) <= F.when(at_edge, 8).otherwise(7))
+    short = matches(flat, f"^({run})?::({run})?$") & (_colons(flat) <= F.when(at_edge, 8).otherwise(7))
     return full | short
 
 
@@ -102,17 +109,27 @@ def ip_prefix(ip: Column) -> Column:
         return F.when(digits == "", "0").otherwise(F.lower(digits))
 
     v6 = F.concat(F.concat_ws(":", group(1), group(2), group(3)), F.lit("::/48"))
-    return F.when(plain.rlike(_IPV4), v4).when(_is_ipv6(plain), v6).otherwise("unknown")
+    return F.when(matches(plain, _IPV4), v4).when(_is_ipv6(plain), v6).otherwise("unknown")
 
 
 def user_agent_label(agent: Column) -> Column:
     filled = F.when(F.coalesce(agent, F.lit("")) == "", "unknown").otherwise(agent)
-    return F.substring(filled, 1, fv.USER_AGENT_MAX)
+    # The limit counts UTF-16 units. Half of a pair that is cut through is shown as U+FFFD.
+    most = fv.USER_AGENT_MAX
+    units = F.encode(filled, "UTF-16BE")
+    last = F.conv(F.hex(F.substring(units, 2 * most - 1, 2)), 16, 10).cast("int")
+    split = last.between(0xD800, 0xDBFF)
+    whole = F.decode(F.substring(units, 1, 2 * most), "UTF-16BE")
+    halved = F.concat(F.decode(F.substring(units, 1, 2 * most - 2), "UTF-16BE"), F.lit("\ufffd"))
+    plain = F.octet_length(units) == 2 * F.char_length(filled)
+    return F.when(plain, F.substring(filled, 1, most)).otherwise(
+        F.when(F.coalesce(split, F.lit(False)), halved).otherwise(whole)
+    )
 
 
 def request_id_or_new(request_id: Column) -> Column:
     """The given id when it is well formed, else a new uuid."""
-    return F.when(request_id.rlike(fv.REQUEST_ID), request_id).otherwise(F.uuid())
+    return F.when(matches(request_id, fv.REQUEST_ID), request_id).otherwise(F.uuid())
 
 
 def status_class(status: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F
 from eventlens import fixed_values as fv
 from eventlens.functions.privacy import is_sensitive_key, is_unsafe_string, utf16_length
 from eventlens.functions.scalars import is_core_name
+from eventlens.functions.text import matches
 
 TEXT_FIELDS = (
     "event_id",
@@ -155,7 +156,7 @@ def _property_ok(entry: Column) -> Column:
     ok = (
         F.when(asked == "int", (number == F.floor(number)) & number.between(rule["low"], rule["high"]))
         .when(asked == "enum", F.array_contains(rule["allowed"], text))
-        .when(asked == "uuid", text.rlike(fv.UUID_ANY))
+        .when(asked == "uuid", matches(text, fv.UUID_ANY))
         .when(asked == "bool", kind == "BOOLEAN")
         .when(asked == "text", _length_between(text, rule["low"], rule["high"]))
         .when(asked == "text list", (F.size(items) <= rule["most"]) & texts_ok)
@@ -206,7 +207,7 @@ def _custom_reasons(event: Column) -> Column:
         ("schema_version", event["schema_version"] == fv.CUSTOM_SCHEMA_VERSION),
         ("properties", event["properties"].isNotNull()),
         ("properties.count", F.size(keys) <= fv.CUSTOM_MAX_KEYS),
-        ("properties.key", F.forall(keys, lambda k: k.rlike(fv.SNAKE_CASE) & ~is_sensitive_key(k))),
+        ("properties.key", F.forall(keys, lambda k: matches(k, fv.SNAKE_CASE) & ~is_sensitive_key(k))),
         ("properties.value", F.forall(values, _custom_value_ok)),
     ]
     return F.array(*[F.when(_no(ok), name) for name, ok in rules])
@@ -214,17 +215,17 @@ def _custom_reasons(event: Column) -> Column:
 
 def _envelope_reasons(event: Column, games: tuple[str, ...]) -> Column:
     name, occurred = event["event_name"], event["occurred_at"]
-    is_time = occurred.rlike(fv.ISO_DATETIME) & F.try_to_timestamp(occurred).isNotNull()
+    is_time = matches(occurred, fv.ISO_DATETIME) & F.try_to_timestamp(occurred).isNotNull()
     locale = _length_between(event["locale"], *fv.LOCALE_LENGTH)
     rules = [
-        ("event_id", event["event_id"].rlike(fv.UUID_ANY)),
-        ("event_name", name.rlike(fv.SNAKE_CASE) & (F.length(name) <= fv.EVENT_NAME_MAX)),
-        ("schema_version", event["schema_version"].rlike(fv.MAJOR_MINOR)),
+        ("event_id", matches(event["event_id"], fv.UUID_ANY)),
+        ("event_name", matches(name, fv.SNAKE_CASE) & (F.length(name) <= fv.EVENT_NAME_MAX)),
+        ("schema_version", matches(event["schema_version"], fv.MAJOR_MINOR)),
         ("occurred_at", is_time),
-        ("session_id", event["session_id"].rlike(fv.UUID_ANY)),
-        ("player_id_hash", event["player_id_hash"].rlike(fv.HEX_64)),
+        ("session_id", matches(event["session_id"], fv.UUID_ANY)),
+        ("player_id_hash", matches(event["player_id_hash"], fv.HEX_64)),
         ("game_id", event["game_id"].isin(*games)),
-        ("game_version", event["game_version"].rlike(fv.SEMVER)),
+        ("game_version", matches(event["game_version"], fv.SEMVER)),
         ("build_id", _length_between(event["build_id"], *fv.BUILD_ID_LENGTH)),
         ("platform", event["platform"].isin(*fv.PLATFORMS)),
         ("locale", ~event["has_locale"] | F.coalesce(locale, F.lit(False))),

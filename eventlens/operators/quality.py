@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens import fixed_values as fv
 from eventlens import schema
-from eventlens.functions.scalars import is_core_name, utc_date, week_start
+from eventlens.functions.scalars import is_custom_name, utc_date, week_start
 from eventlens.operators.filters import consented, named, utc
 
 
 def counts_by_game(events: DataFrame) -> DataFrame:
     return events.groupBy("game_id").agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.count_if(~is_core_name(F.col("event_name"))).alias("custom_count"),
+        F.count_if(is_custom_name(F.col("event_name"))).alias("custom_count"),
     )
 
 
@@ -28,8 +28,9 @@ def _check(name: str, value: Column, ok: Column) -> Column:
 def dataset_checks(events: DataFrame, games: tuple[str, ...], as_of: datetime) -> DataFrame:
     """Contract of a demo dataset as rows of (game_id, check, value, ok).
 
-    One aggregate per game over one scan gives all figures. Volume ranges belong to the first and
-    the second configured game.
+    Every configured game has all rows; one without events fails them. One aggregate per game gives
+    the counts, one per player and one per game the weekly cohorts: weeks in which a player of the
+    game has the first session. Volume ranges belong to the first and the second configured game.
     """
     fresh = F.col("occurred_at") >= F.lit(utc(as_of) - timedelta(minutes=15))
     shown = F.col("consent_analytics")
@@ -37,20 +38,28 @@ def dataset_checks(events: DataFrame, games: tuple[str, ...], as_of: datetime) -
     started = (F.col("event_name") == "session_start") & shown
     day = utc_date(F.col("occurred_at"))
     names = [F.count_if(F.col("event_name") == n).alias(n) for n in fv.CORE_EVENT_NAMES]
-    totals = events.filter(F.col("game_id").isin(*games)).groupBy("game_id").agg(
+    own = events.filter(F.col("game_id").isin(*games))
+    counts = own.groupBy("game_id").agg(
         *names,
         F.count(F.lit(1)).alias("events"),
         F.count_if(~shown).alias("consent_off"),
         F.count_if(fresh).alias("fresh"),
         F.size(F.collect_set(F.when(ended, day))).alias("session_days"),
-        F.size(F.collect_set(F.when(started, week_start(day)))).alias("active_weeks"),
     )
+    firsts = own.filter(started).groupBy("game_id", "player_id_hash").agg(F.min(week_start(day)).alias("week"))
+    cohorts = (
+        firsts.groupBy("game_id", "week").agg(F.lit(1).alias("one"))
+        .groupBy("game_id").agg(F.count(F.lit(1)).alias("weekly_cohorts"))
+    )
+    spine = events.sparkSession.createDataFrame([(g,) for g in games], "game_id string")
+    joined = spine.join(counts, "game_id", "left").join(cohorts, "game_id", "left")
+    totals = joined.select("game_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in joined.columns[1:]])
     low, high = fv.CONSENT_OFF_PERCENT
     off, n = F.col("consent_off") * 100, F.col("events")
     checks = [
-        ("consent_off_share", F.col("consent_off"), off.between(n * low, n * high)),
+        ("consent_off_share", F.col("consent_off"), off.between(n * low, n * high) & (n > 0)),
         ("session_days", F.col("session_days"), F.col("session_days") >= 14),
-        ("active_weeks", F.col("active_weeks"), F.col("active_weeks") >= 8),
+        ("weekly_cohorts", F.col("weekly_cohorts"), F.col("weekly_cohorts") >= 8),
         ("fresh_events", F.col("fresh"), F.col("fresh") >= 1),
     ]
     for name in fv.CORE_EVENT_NAMES:

@@ -12,6 +12,7 @@ from eventlens.functions.scalars import (
     request_outcome_label,
     status_class,
 )
+from eventlens.functions.text import matches
 from eventlens.operators.joins import with_lookup
 
 
@@ -124,6 +125,48 @@ def alerts(
     )
 
 
+def service_alerts(log: DataFrame, rules: tuple = fv.SERVICE_ALERTS) -> DataFrame:
+    """Alerts by service, each with its own measure, threshold and window, in long form.
+
+    A rule counts ``errors`` (answers of 5xx) or ``slow`` requests (above the latency limit) in
+    windows of its length; the alert fires when their share is above the threshold. The log is
+    reduced to counts per service and minute once, and the windows are sums of those.
+    """
+    slow_ms = {limit for *_, limit in rules if limit is not None}
+    minute = F.date_trunc("minute", "received_at")
+    cells = log.groupBy("service", minute.alias("minute")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("status_code") >= 500).alias("errors"),
+        *[F.count_if(F.col("latency_ms") > ms).alias(f"slow_{ms}") for ms in sorted(slow_ms)],
+    )
+    entries = []
+    for service, name, minutes, per_mille, limit in rules:
+        start = F.timestamp_seconds(F.floor(F.unix_seconds("minute") / (60 * minutes)) * (60 * minutes))
+        entry = F.struct(
+            F.lit(name).alias("alert"),
+            start.alias("window_start"),
+            F.lit(minutes).alias("minutes"),
+            F.lit(per_mille).alias("per_mille"),
+            F.col("errors" if limit is None else f"slow_{limit}").alias("breaches"),
+        )
+        entries.append(F.when(F.col("service") == service, entry))
+    flat = cells.select("service", "requests", F.inline(F.array_compact(F.array(*entries))))
+    sums = flat.groupBy("service", "alert", "window_start", "minutes", "per_mille").agg(
+        F.sum("requests").alias("requests"), F.sum("breaches").alias("breaches")
+    )
+    fires = F.col("breaches") * 1000 > F.col("requests") * F.col("per_mille")
+    return sums.withColumn("firing", fires).drop("per_mille")
+
+
+def refresh_durations(runs: DataFrame) -> DataFrame:
+    """Last and longest refresh per table in milliseconds, from rows of ``table_name``,
+    ``started_at`` and ``finished_at``."""
+    took = F.unix_millis("finished_at") - F.unix_millis("started_at")
+    return runs.groupBy("table_name").agg(
+        F.max_by(took, "finished_at").alias("last_ms"), F.max(took).alias("longest_ms")
+    )
+
+
 def refresh_lag(tables: DataFrame, as_of: Column, target_s: int) -> DataFrame:
     """Age of each derived table in seconds and whether it is older than the target."""
     lag = F.unix_seconds(as_of) - F.unix_seconds("last_refreshed_at")
@@ -190,10 +233,10 @@ def timestamp_reasons(requests: DataFrame, window_s: int) -> DataFrame:
     # Longer digit runs are far outside any window; null arithmetic would hide them.
     signed = F.col("timestamp").try_cast("bigint")
     received = F.unix_seconds("received_at")
-    digits = F.col("timestamp").rlike(r"^\d+$")
+    digits = matches(F.col("timestamp"), r"^\d+$")
     late = signed.isNull() | (F.abs(received - signed) > window_s)
     reason = (
-        F.when(~F.coalesce(F.col("nonce").rlike(fv.UUID_V4), F.lit(False)), "bad_request")
+        F.when(~F.coalesce(matches(F.col("nonce"), fv.UUID_V4), F.lit(False)), "bad_request")
         .when(~F.coalesce(digits, F.lit(False)), "bad_request")
         .when(late, "timestamp_out_of_window")
     )

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eventlens import fixed_values as fv
 from eventlens.config import Settings
-from eventlens.functions.scalars import is_core_name, parse_iso
+from eventlens.functions.scalars import is_custom_name, parse_iso
+from eventlens.functions.text import matches
 from eventlens.functions.validation import checked_events
 from eventlens.operators.joins import with_lookup
 from eventlens.sources.tables import append_events, append_staged, staged
@@ -35,18 +36,37 @@ def _unsupported(event: Column) -> Column:
     """True for a well-formed schema version of another major."""
     version = event["schema_version"]
     own_major = version.rlike(rf"^0*{fv.SUPPORTED_SCHEMA_MAJOR}\.")
-    return F.coalesce(version.rlike(fv.MAJOR_MINOR) & ~own_major, F.lit(False))
+    return F.coalesce(matches(version, fv.MAJOR_MINOR) & ~own_major, F.lit(False))
+
+
+def parse_body(body: Column) -> Column:
+    """The one JSON value of a body, or null if it is none or anything follows it.
+
+    The parser stops behind the first value. So the body is parsed as the first item of a list whose
+    second item is a digest of the body; text behind the value would change or end the list. Of
+    a repeated key the last value counts, see ``judge``.
+    """
+    digest = F.sha2(body, 256)
+    items = F.try_variant_get(
+        F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]'))), "$", "array<variant>"
+    )
+    complete = (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "string") == digest)
+    return F.when(complete, F.get(items, F.lit(0)))
 
 
 def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame:
     """Add the checked ``events`` and the reject ``code`` of every request.
 
     ``keys`` has one row per credential: api_key_id, key_game, enabled. The version gate names the
-    first unsupported version in ``unsupported_version``.
+    first unsupported version in ``unsupported_version``. Requests that the reader has marked as
+    ``unreadable`` are bad requests.
     """
+    requests.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if "unreadable" not in requests.columns:
+        requests = requests.withColumn("unreadable", F.lit(False))
     known = keys.select("api_key_id", "key_game", "enabled")
     listed = with_lookup(requests, known, "api_key_id").withColumn(
-        "payload", F.try_parse_json("body")
+        "payload", parse_body(F.col("body"))
     )
     variants = F.try_variant_get("payload", "$.events", "array<variant>")
     checked = listed.withColumn("events", checked_events(variants, settings.games))
@@ -58,13 +78,14 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
     invalid = F.exists("events", lambda e: F.size(e["reasons"]) > 0)
     other_game = F.exists("events", lambda e: e["game_id"] != F.col("key_game"))
     code = (
-        F.when(~F.coalesce(F.col("enabled"), F.lit(False)), "unauthorized")
+        F.when(F.col("unreadable"), "bad_request")
+        .when(~F.coalesce(F.col("enabled"), F.lit(False)), "unauthorized")
         .when(F.col("payload").isNull(), "bad_request")
         .when(F.col("unsupported_version").isNotNull(), "unsupported_schema_version")
         .when(~F.coalesce(size_ok, F.lit(False)) | invalid, "validation_failed")
         .when(other_game, "unauthorized")
     )
-    return gated.withColumn("code", code).drop("payload", "key_game", "enabled")
+    return gated.withColumn("code", code).drop("payload", "key_game", "enabled", "unreadable")
 
 
 def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE) -> DataFrame:
@@ -95,13 +116,12 @@ def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE
         "consent_analytics",
         "props_json",
     )
-    custom = event["event_name"].isNotNull() & ~is_core_name(event["event_name"])
     return lines.select(
         "batch_id",
         "position",
         "code",
         event["reasons"].alias("reasons"),
-        F.coalesce(custom, F.lit(False)).alias("is_custom"),
+        is_custom_name(event["event_name"]).alias("is_custom"),
         "api_key_id",
         "received_at",
         kept(parse_iso(event["occurred_at"]), "occurred_at"),
@@ -140,17 +160,24 @@ def ingest(
     raw_path: str,
     settings: Settings,
     rejects_path: str | None = None,
-    rejects_mode: str = "append",
+    batch_name: str | None = None,
 ) -> IngestReport:
     """Judge requests, append new events and keep the rejects report.
 
-    The requests are parsed once, into a staged table. Running the same input again adds no event.
+    The requests are parsed once, into a staged table. The rejects stand in a folder by the name of
+    the batch, which is made from its rows unless given. Running the same input again adds no event
+    and no reject.
     """
     with staged(event_lines(judge(requests, keys, settings)), "ingest") as lines:
         refused = rejects(lines)
         if rejects_path is not None:
-            refused.write.mode(rejects_mode).parquet(rejects_path)
-        rejected = refused.agg(F.count_distinct("batch_id")).first()[0]
+            if batch_name is None:
+                row = F.xxhash64("batch_id", "position", "received_at", "code", "reasons")
+                total = lines.agg(F.sum(row.cast("decimal(38,0)"))).first()[0] or 0
+                batch_name = f"{int(total) % 2**64:016x}"
+            refused.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_name}")
+        # A request has one line at the first position, or one without any event.
+        rejected = refused.agg(F.count_if(F.coalesce("position", F.lit(0)) == 0)).first()[0]
         return IngestReport(append_staged(accepted_events(lines), raw_path), rejected)
 
 

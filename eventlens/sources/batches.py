@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from eventlens import schema
 
+UNREADABLE = "_unreadable"
+WITH_TEXT = T.StructType([*schema.REQUESTS.fields, T.StructField(UNREADABLE, T.StringType())])
+TEXT_OPTION = ("columnNameOfCorruptRecord", UNREADABLE)
+
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Landed requests as JSON lines, one request per line, with the untouched body as text.
 
-    A line that is not valid JSON is kept with a null body, so that it is reported and not lost.
+    A line that is no JSON object is kept whole as the body, marked as ``unreadable`` and named by
+    its file and text, so that it is reported and not lost.
     """
-    return spark.read.schema(schema.REQUESTS).option("mode", "PERMISSIVE").json(path)
+    return marked_requests(spark.read.schema(WITH_TEXT).option(*TEXT_OPTION).json(path))
+
+
+def marked_requests(read: DataFrame) -> DataFrame:
+    """Requests from rows of ``WITH_TEXT``, read with ``TEXT_OPTION``."""
+    text = F.col(UNREADABLE)
+    named = F.sha2(F.concat_ws("\n", F.col("_metadata.file_path"), text), 256)
+    return read.select(
+        F.coalesce("batch_id", F.concat(F.lit("unreadable-"), named)).alias("batch_id"),
+        "api_key_id",
+        "received_at",
+        F.coalesce("body", text).alias("body"),
+        text.isNotNull().alias("unreadable"),
+    )
 
 
 def read_bodies(spark: SparkSession, path: str, api_key_id: str) -> DataFrame:

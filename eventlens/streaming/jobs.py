@@ -18,15 +18,16 @@ from eventlens.operators.daily import session_stats
 from eventlens.operators.filters import named
 from eventlens.operators.replay import replay_flags
 from eventlens.plans.ingest import ingest
+from eventlens.sources.batches import TEXT_OPTION, WITH_TEXT, marked_requests
 from eventlens.sources.tables import exists, read_events
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Landed request files as a stream."""
-    reader = use_utc(spark).readStream.schema(schema.REQUESTS)
+    reader = use_utc(spark).readStream.schema(WITH_TEXT).option(*TEXT_OPTION)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    return marked_requests(reader.json(path))
 
 
 def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -49,8 +50,7 @@ def ingest_stream(
     """Continuous ingest: validation, first-wins dedupe against all stored events, append."""
 
     def land(batch: DataFrame, batch_no: int) -> None:
-        target = f"{rejects_path}/batch={batch_no}"
-        ingest(batch, keys, raw_path, settings, target, rejects_mode="overwrite")
+        ingest(batch, keys, raw_path, settings, rejects_path, batch_name=str(batch_no))
 
     return _start(requests.writeStream.foreachBatch(land), checkpoint, trigger)
 

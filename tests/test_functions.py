@@ -164,3 +164,23 @@ def test_quality_helpers(spark):
     assert purged.count() == 2
     assert quality.keep_recent(events, utc("2026-04-06T10:00:00"), 1).count() == 3
     assert quality.leaked_identifiers(events) == ["api_key_id", "player_id_hash", "session_id"]
+
+
+def test_the_end_of_a_pattern_is_the_end_of_the_text(spark):
+    data = [("10.0.0.1\n", "unknown"), ("10.0.0.1", "10.0.0.0/24"), ("::1%eth0\n", "unknown"), ("1::2\n", "unknown")]
+    df = spark.createDataFrame(data, "ip string, expected string")
+    assert [r[0] for r in df.select(fn.ip_prefix(df.ip)).collect()] == [e for _, e in data]
+    one = spark.range(1)
+    made = one.select(fn.request_id_or_new(F.lit("abc\n")), fn.request_id_or_new(F.lit("abc"))).first()
+    assert len(made[0]) == 36 and made[1] == "abc"
+
+
+def test_user_agents_are_cut_by_utf16_units(spark):
+    face = "\U0001f600"
+    data = [
+        ("a" * 130, "a" * 120), (face * 61, face * 60), ("a" + face * 61, "a" + face * 59 + "\ufffd"),
+        ("a" * 118 + face, "a" * 118 + face), ("a" * 119 + face, "a" * 119 + "\ufffd"), ("", "unknown"), (None, "unknown"),
+        ("é" * 121, "é" * 120), (face, face),
+    ]
+    df = spark.createDataFrame(data, "agent string, expected string")
+    assert [r[0] for r in df.select(fn.user_agent_label(df.agent)).collect()] == [e for _, e in data]

@@ -54,7 +54,7 @@ def test_ingest_batch_is_atomic_and_repeatable(spark, tmp_path):
     assert again.accepted == 0
     stored = {r.event_id: r for r in tables.read_events(spark, raw).collect()}
     assert set(stored) == {uid(1), uid(2)}
-    assert json.loads(stored[uid(2)].props_json)["duration_s"] == 2100
+    assert json.loads(stored[uid(2)].props_json)["duration_s"] == 86400
     assert stored[uid(1)].ingest_source == "godot_sdk" and stored[uid(1)].locale is None
 
 
@@ -62,7 +62,9 @@ def test_readers_keep_broken_lines(spark, tmp_path):
     landed = tmp_path / "requests.json"
     line = {"batch_id": "b", "api_key_id": "k", "received_at": "2026-04-05T12:00:00Z", "body": "{"}
     landed.write_text(json.dumps(line) + "\nnot json\n")
-    assert rows(read_requests(spark, str(landed)), "batch_id", "body") == [("b", "{"), (None, None)]
+    found = rows(read_requests(spark, str(landed)), "body", "unreadable", "batch_id")
+    assert [r[:2] for r in found] == [("{", False), ("not json", True)]
+    assert found[0][2] == "b" and found[1][2].startswith("unreadable-")
     bodies = tmp_path / "bodies.json"
     bodies.write_text('{"events": []}\n\n{"events": []}\n')
     assert rows(read_bodies(spark, str(bodies), "k"), "api_key_id", "body") == [("k", '{"events": []}')] * 2
@@ -173,12 +175,24 @@ def test_replay_stream_equals_batch(spark, tmp_path):
     assert {r[0] for r in rows(streamed.filter("is_replay"), "request_id")} == replay_fold(data, 300)
 
 
+def test_weekly_cohorts_need_new_players(spark):
+    weeks = [f"2026-0{m}-{d:02d}T10:00:00" for m, d in ((1, 5), (1, 12), (1, 19), (1, 26), (2, 2), (2, 9), (2, 16), (2, 23))]
+    same = [event("session_start", at, "p") for at in weeks]
+    fresh = [event("session_start", at, f"p{k}", game="beta") for k, at in enumerate(weeks)]
+    found = quality.dataset_checks(frame(spark, same + fresh), ("alpha", "beta"), AS_OF)
+    cohorts = {r.game_id: (r.value, r.ok) for r in found.filter("check = 'weekly_cohorts'").collect()}
+    assert cohorts == {"alpha": (1, False), "beta": (8, True)}
+
+
 def test_dataset_checks_and_bad_numbers(spark):
     events = [event("session_end", "2026-04-05T11:50:00", "p", duration_s="x")]
     events += [event("session_end", "2026-04-05T11:50:00", "p")]
     events += [event("session_end", "2026-04-05T11:50:00", "p", duration_s="12")]
     df = frame(spark, events)
-    checks = {r.check: r for r in quality.dataset_checks(df, ("alpha", "beta"), AS_OF).collect()}
+    found = quality.dataset_checks(df, ("alpha", "beta"), AS_OF).collect()
+    checks = {r.check: r for r in found if r.game_id == "alpha"}
+    empty = [r for r in found if r.game_id == "beta"]
+    assert len(empty) == len(checks) and not any(r.ok or r.value for r in empty)
     assert checks["fresh_events"].ok and checks["fresh_events"].value == 3
     assert not checks["volume_session_end"].ok and not checks["consent_off_share"].ok
     assert rows(quality.bad_numbers(df, "session_end", "duration_s"), "missing", "not_numeric") == [(1, 1)]

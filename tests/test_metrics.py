@@ -1,4 +1,6 @@
-from datetime import date
+import random
+from collections import defaultdict
+from datetime import date, timedelta
 
 import pytest
 
@@ -138,26 +140,35 @@ def test_popularity_keeps_a_category_named_other_apart(spark):
     ]
 
 
-def test_retention_fold(spark):
-    facts = [
-        ("alpha", "2026-03-29T18:00:00", "player-2"),
-        ("alpha", "2026-03-28T18:00:00", "player-1"),
-        ("alpha", "2026-03-29T18:00:00", "player-1"),
-        ("alpha", "2026-04-04T18:00:00", "player-1"),
-        ("beta", "2026-03-30T10:00:00", "player-a"),
-        ("beta", "2026-03-31T11:00:00", "player-a"),
+def test_retention_against_a_random_fold(spark):
+    """Cohorts of random starts against sets of days per player."""
+    rng = random.Random(17)
+    first = date(2026, 2, 20)
+    starts = [
+        (rng.choice(("alpha", "beta")), f"p{rng.randrange(25)}", first + timedelta(days=rng.randrange(20)), rng.random() < 0.9)
+        for _ in range(260)
     ]
-    events = [event("session_start", at, player, game) for game, at, player in facts]
-    cohorts = retention.retention_daily(frame(spark, events), 10).orderBy("cohort_date", "game_id")
+    events = [
+        event("session_start", f"{day}T{rng.randrange(24):02d}:30:00", player, game, consent=consent)
+        for game, player, day, consent in starts
+    ]
+    days = defaultdict(set)
+    for game, player, day, consent in starts:
+        if consent:
+            days[game, player].add(day)
+    cohorts = defaultdict(lambda: [0, 0, 0])
+    for (game, _), own in days.items():
+        for k, gap in enumerate((0, 1, 7)):
+            cohorts[min(own), game][k] += min(own) + timedelta(days=gap) in own
+    expected = sorted(
+        (day, game, n, d1, (20000 * d1 + n) // (2 * n) / 10000, 1 <= d1 < 3, d7, (20000 * d7 + n) // (2 * n) / 10000, 1 <= d7 < 3)
+        for (day, game), (n, d1, d7) in cohorts.items()
+    )
     names = (
-        "cohort_date cohort_size d1_retained d1_retention_pct d1_suppressed"
+        "cohort_date game_id cohort_size d1_retained d1_retention_pct d1_suppressed"
         " d7_retained d7_retention_pct d7_suppressed"
     ).split()
-    assert rows(cohorts, "game_id", *names) == [
-        ("alpha", date(2026, 3, 28), 1, 1, 1.0, True, 1, 1.0, True),
-        ("alpha", date(2026, 3, 29), 1, 0, 0.0, False, 0, 0.0, False),
-        ("beta", date(2026, 3, 30), 1, 1, 1.0, True, 0, 0.0, False),
-    ]
+    assert sorted(rows(retention.retention_daily(frame(spark, events), 3), *names)) == expected
 
 
 def test_retention_across_the_year_boundary(spark):

@@ -200,7 +200,7 @@ def test_rate_pressure_golden(spark):
 
 
 def test_timestamp_reasons(spark):
-    good = "f4c9f3e0-1e4d-4e4e-9c7b-6e8b5a23c4c1"
+    good = "91d0c7aa-55e3-4b6f-9b02-3f1e7d88a640"
     now = utc("2026-04-05T12:00:00")
     second = int(now.timestamp())
     data = [
@@ -211,9 +211,11 @@ def test_timestamp_reasons(spark):
         (good, "9" * 30, now),
         (good, "12a", now),
         (good, None, now),
-        (good.replace("4e4e", "1e4e"), str(second), now),
+        (good.replace("4b6f", "1b6f"), str(second), now),
+        (good + "\n", str(second), now),
+        (good, str(second) + "\n", now),
     ]
     df = spark.createDataFrame(data, "nonce string, timestamp string, received_at timestamp")
     reason = [r[0] for r in rows(requests.timestamp_reasons(df, 300), "time_reason")]
     late = "timestamp_out_of_window"
-    assert reason == [None, None, late, late, late, "bad_request", "bad_request", "bad_request"]
+    assert reason == [None, None, late, late, late, *["bad_request"] * 5]

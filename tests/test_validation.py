@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from eventlens import Settings
 from eventlens.functions.validation import checked_event
 from eventlens.plans import ingest
-from tests.factories import PROPERTIES, rows, utc, wire
+from eventlens.sources import read_requests
+from tests.factories import ENVELOPE, PROPERTIES, rows, utc, wire
 
 GAMES = ("alpha", "beta")
 
@@ -44,8 +45,8 @@ def test_core_properties(spark):
     fine = [
         wire("character_selected", props={"perk_ids": [], "loadout_id": "l"}),
         wire("session_end", props={"unknown": {"deep": [1]}}),
-        json.dumps(wire("session_end")).replace("2100", "2100.0"),
-        json.dumps(wire("session_end")).replace("2100", "2.1e3"),
+        json.dumps(wire("session_end")).replace("86400", "86400.0"),
+        json.dumps(wire("session_end")).replace("86400", "8.64e4"),
         wire("session_start", schema_version="2.0"),
     ]
     assert reasons(spark, fine) == [[]] * len(fine)
@@ -55,7 +56,7 @@ def test_envelope(spark):
     cases = [
         (wire("level_end", event_id="x"), "event_id"),
         (wire("level_end", player_id_hash="C4A1" * 16), "player_id_hash"),
-        (wire("level_end", occurred_at="2025-09-20T19:05:31"), "occurred_at"),
+        (wire("level_end", occurred_at="2026-02-28T23:59:59"), "occurred_at"),
         (wire("level_end", occurred_at="2025-13-20T19:05:31Z"), "occurred_at"),
         (wire("level_end", game_id="gamma"), "game_id"),
         (wire("level_end", game_version="1.2"), "game_version"),
@@ -69,11 +70,16 @@ def test_envelope(spark):
         (wire("level_end", schema_version="1.0"), "schema_version"),
         (wire("Level", schema_version="1.1"), "event_name"),
         (wire("a" * 49), "event_name"),
+        (wire("level_end\n"), "event_name"),
+        *[(wire("level_end", **{f: ENVELOPE[f] + "\n"}), f) for f in (
+            "event_id", "occurred_at", "session_id", "player_id_hash", "game_id", "game_version", "platform",
+        )],
+        (wire("session_end", schema_version="1.0\n"), "schema_version"),
     ]
     assert reasons(spark, [e for e, _ in cases]) == [[r] for _, r in cases]
     fine = [
         wire("level_end", locale="pt-BR"),
-        wire("level_end", occurred_at="2025-09-20T19:05:31.123+02:00"),
+        wire("level_end", occurred_at="2026-02-28T23:59:59.123+02:00"),
     ]
     assert reasons(spark, fine) == [[], []]
     assert "event_name" in reasons(spark, ["5"])[0]
@@ -88,6 +94,8 @@ def test_custom_property_guardrails(spark):
         {"level_id": "Bearer abcdef123456"},
         {"level_id": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjMifQ.signature"},
         {"level_id": "x" * 129},
+        {"level_id": "bearer\u00a0abcdef"},
+        {"level_id": "BEARER\u3000\ufeffabcdef"},
         {"tags": ["ok", "player@example.com"]},
         {"level_id": "😀" * 65},
     ]
@@ -95,13 +103,13 @@ def test_custom_property_guardrails(spark):
     keys = (
         "invalidKey account_id api_key auth_token chat_text device_id email email_address"
         " error_message player_id player_id_hash player_name session_id user_external_id"
-    ).split()
+    ).split() + ["email\n", "fine_key\n"]
     assert reasons(spark, [wire("level_end", props={k: "v"}) for k in keys]) == [["properties.key"]] * len(keys)
     many = wire("level_end", props={f"key_{i}": i for i in range(26)})
     assert reasons(spark, [many]) == [["properties.count"]]
     huge = json.dumps(wire("level_end", props={"n": 1})).replace('"n": 1', '"n": 1e400')
     assert reasons(spark, [huge]) == [["properties.value"]]
-    listed = json.dumps(wire("level_end")).replace('{"level_id": "forest_01", "stars": 3}', "[1]")
+    listed = json.dumps(wire("level_end")).replace('{"level_id": "swamp_7", "stars": 0}', "[1]")
     assert "properties" in reasons(spark, [listed])[0]
 
 
@@ -162,6 +170,16 @@ def body(*events):
         (body(wire("level_end"), wire("level_end", props={"email": "x"})), "k-alpha", "validation_failed"),
         (body(wire("level_end", schema_version="2.0", event_id=5)), "k-alpha", "unsupported_schema_version"),
         (body(wire("session_end", schema_version="01.3")), "k-alpha", None),
+        (body(wire("session_end", schema_version="2.0\n")), "k-alpha", "validation_failed"),
+        (body(wire("level_end")) + " junk", "k-alpha", "bad_request"),
+        (body(wire("level_end")) + "] junk", "k-alpha", "bad_request"),
+        (body(wire("level_end")) + "} {}", "k-alpha", "bad_request"),
+        (body(wire("level_end")) + ', "x"]', "k-alpha", "bad_request"),
+        (body(wire("level_end")) + " \n\t ", "k-alpha", None),
+        ("", "k-alpha", "bad_request"),
+        (None, "k-alpha", "bad_request"),
+        ('{"events": [{"event_id": 1}], ' + body(wire("level_end"))[1:], "k-alpha", None),
+        (body(wire("level_end"))[:-1] + ', "events": []}', "k-alpha", "validation_failed"),
     ],
 )
 def test_request_codes(spark, text, key, code):
@@ -181,3 +199,28 @@ def test_rejects_name_rules_but_no_values(spark):
     ]
     assert "secret" not in str(lines.collect())
     assert rows(ingest.batch_counts(lines), "event_count", "custom_count") == [(2, 2)]
+
+
+def test_only_well_formed_names_count_as_custom(spark):
+    text = body(wire("Bad Name"), wire("a" * 49), wire("level_end\n"), wire("level_end"), wire("session_end"))
+    lines = ingest.event_lines(ingest.judge(request(spark, [text]), credentials(spark), Settings()))
+    assert rows(ingest.batch_counts(lines), "event_count", "custom_count") == [(5, 1)]
+
+
+def test_a_key_that_stands_twice_is_refused(spark):
+    twice = credentials(spark).unionByName(credentials(spark))
+    with pytest.raises(ValueError, match="api_key_id"):
+        ingest.judge(request(spark, [body(wire("level_end"))]), twice, Settings())
+
+
+def test_unreadable_lines_are_reported(spark, tmp_path):
+    good = json.dumps({"batch_id": "b", "api_key_id": "k-alpha", "received_at": "2026-01-01T00:00:00Z", "body": body(wire("level_end"))})
+    (tmp_path / "in.json").write_text("\n".join([good, "no json", '{"batch_id": ', "no json"]))
+    landed = read_requests(spark, str(tmp_path / "in.json"))
+    where = [str(tmp_path / name) for name in ("raw", "rejects")]
+    for _ in range(2):
+        report = ingest.ingest(landed, credentials(spark), where[0], Settings(), where[1])
+        assert report.rejected_requests == 3
+    refused = spark.read.parquet(where[1])
+    assert refused.count() == 3 and rows(refused.select("code").distinct()) == [("bad_request",)]
+    assert all(r.batch_id.startswith("unreadable-") for r in refused.collect())
