@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventlens.sources.tables import stage
+from eventlens.sources.tables import Scratch
 
 NONCE = ["api_key_id", "nonce"]
 
@@ -86,52 +86,69 @@ def next_window_start(instants: DataFrame, window_ms: int) -> DataFrame:
     ).filter("next_at is not null")
 
 
-def _window_starts(instants: DataFrame, window_ms: int) -> DataFrame:
+def _window_starts(instants: DataFrame, window_ms: int, scratch: Scratch) -> DataFrame:
     """All instants that open a window."""
-    starts = stage(sure_starts(instants, window_ms), "replay-starts")
+    starts = scratch.write(sure_starts(instants, window_ms))
     ends = starts.withColumnRenamed("at", "next_at")
     links = next_window_start(instants, window_ms).join(ends, [*NONCE, "next_at"], "left_anti")
-    links = stage(links, "replay-links")
+    links = scratch.write(links)
     reached = starts
     while True:
         further = reached.join(links, [*NONCE, "at"]).select(*NONCE, F.col("next_at").alias("at"))
-        further = stage(further, "replay-further")
+        further = scratch.write(further)
         if further.isEmpty():
             return reached
         # After n rounds the first 2^n instants of every chain are reached, each exactly once.
         reached = reached.unionByName(further)
         beyond = links.select(*NONCE, F.col("at").alias("next_at"), F.col("next_at").alias("far_at"))
         doubled = links.join(beyond, [*NONCE, "next_at"])
-        links = stage(doubled.select(*NONCE, "at", F.col("far_at").alias("next_at")), "replay-links")
+        links = scratch.write(doubled.select(*NONCE, "at", F.col("far_at").alias("next_at")))
 
 
-def accepted_ids(requests: DataFrame, window_s: int, ts: str = "received_at") -> DataFrame:
-    """Ids of the requests that open a window."""
+def accepted_ids(
+    requests: DataFrame, window_s: int, ts: str = "received_at", scratch: Scratch | None = None
+) -> DataFrame:
+    """Ids of the requests that open a window, as a written table.
+
+    All other tables that are written on the way are removed. With a ``scratch`` the caller can
+    remove the result too, once it is used.
+    """
+    scratch = scratch or Scratch(requests.sparkSession, "replay")
+    found = scratch.write(_accepted(requests, window_s, ts, scratch))
+    scratch.clear(keep=1)
+    return found
+
+
+def _accepted(requests: DataFrame, window_s: int, ts: str, scratch: Scratch) -> DataFrame:
     window_ms = window_s * 1000
     # Read four times below; written once, it is narrow and has a known size.
-    instants = stage(_instants(requests, ts), "replay-instants")
+    instants = scratch.write(_instants(requests, ts))
     spans = instants.groupBy(*NONCE).agg(
         F.min("at").alias("at"),
         F.max("at").alias("last_at"),
         F.min_by("first_id", "at").alias("request_id"),
     )
     reused = F.col("last_at") - F.col("at") >= window_ms
-    long = stage(spans.filter(reused).select(*NONCE), "replay-long")
+    long = scratch.write(spans.filter(reused).select(*NONCE))
     if long.isEmpty():
         return spans.select("request_id")
-    chains = stage(instants.join(long, NONCE, "left_semi"), "replay-chains")
-    starts = _window_starts(chains, window_ms)
+    chains = scratch.write(instants.join(long, NONCE, "left_semi"))
+    starts = _window_starts(chains, window_ms, scratch)
     again = chains.join(starts, [*NONCE, "at"]).select(F.col("first_id").alias("request_id"))
     single = spans.filter(~reused).select("request_id")
     return single.unionByName(again)
 
 
 def replay_flags(
-    requests: DataFrame, window_s: int, eligible: Column | None = None, ts: str = "received_at"
+    requests: DataFrame,
+    window_s: int,
+    eligible: Column | None = None,
+    ts: str = "received_at",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Add ``is_replay``. Only eligible requests (valid time and signature) are registered."""
     counted = eligible if eligible is not None else F.lit(True)
     registered = requests.filter(counted)
-    accepted = accepted_ids(registered, window_s, ts).withColumn("_accepted", F.lit(True))
+    accepted = accepted_ids(registered, window_s, ts, scratch).withColumn("_accepted", F.lit(True))
     joined = requests.join(accepted, "request_id", "left")
     return joined.withColumn("is_replay", counted & F.col("_accepted").isNull()).drop("_accepted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from eventlens import fixed_values as fv
-from eventlens.operators.sliced import HOUR_S, SLICE, earlier_slices, per_slice, running_sums, with_slice
+from eventlens.operators.sliced import SLICE, earlier_slices, in_ranges, per_slice, running_sums, spanning
 
 
 def sessionize(
@@ -15,7 +15,7 @@ def sessionize(
     tie: str = "event_id",
     gap_s: int = fv.SESSION_IDLE_SECONDS,
     start_event: str | None = "session_start",
-    slice_s: int = HOUR_S,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``session_no`` (1, 2, ...) per key.
 
@@ -23,14 +23,16 @@ def sessionize(
     least ``gap_s`` seconds.
     """
     idle = gap_s * 1_000_000
-    ordered = per_slice([key], [F.col(ts), F.col(tie)])
+    order = [F.col(ts), F.col(tie)]
+    ordered = per_slice([key], order)
     at = F.unix_micros(ts)
     gap = at - F.lag(at).over(ordered)
-    # The first row of a slice has no gap here; the carried state decides about it.
+    # The first row of a range has no gap here; the carried state decides about it. A key in a
+    # single range begins with its first session.
     opens = (gap.isNotNull() & ((gap >= idle) | F.col("_start"))).cast("bigint").alias("_opens")
 
     start = F.col("event_name") == start_event if start_event else F.lit(False)
-    sliced = with_slice(events, ts, slice_s).withColumn("_start", start)
+    sliced = in_ranges(events.withColumn("_start", start), [key], order, ranges)
     slices = (
         sliced.select(key, ts, tie, SLICE, "_start", opens)
         .groupBy(key, SLICE)
@@ -41,6 +43,7 @@ def sessionize(
             F.min_by("_start", F.struct(ts, tie)).alias("_first_start"),
         )
     )
+    slices = spanning(slices, [key])
     idle_before = F.col("_first_at") - F.lag("_last_at").over(
         Window.partitionBy(key).orderBy(SLICE)
     )
@@ -51,10 +54,21 @@ def sessionize(
     carried = heads.select(key, SLICE, base.alias("_base"))
 
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sliced.join(carried, [key, SLICE]).select("*", opens)
-    return placed.select(
-        *events.columns, (F.col("_base") + F.sum("_opens").over(so_far)).alias("session_no")
-    )
+    placed = sliced.join(F.broadcast(carried), [key, SLICE], "left").select("*", opens)
+    base = F.coalesce("_base", F.lit(1).cast("bigint"))
+    return placed.select(*events.columns, (base + F.sum("_opens").over(so_far)).alias("session_no"))
+
+
+def idle_times(
+    events: DataFrame, key: str, ts: str, gap_s: int = fv.SESSION_IDLE_SECONDS
+) -> DataFrame:
+    """Sessions by idle time alone: events, first and last instant of each, from a whole table."""
+    numbered = sessionize(events.select(key, ts), key, ts, ts, gap_s, start_event=None)
+    return numbered.groupBy(key, "session_no").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.min(ts).alias("started_at"),
+        F.max(ts).alias("ended_at"),
+    ).drop("session_no")
 
 
 def session_durations(
@@ -76,7 +90,7 @@ def tail_budget(
     tie: str = "event_id",
     max_rows: int = fv.DEVICE_TAIL_ROWS,
     max_bytes: int = fv.DEVICE_TAIL_BYTES,
-    slice_s: int = HOUR_S,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Newest rows per key that fit both budgets; each body counts one byte for its line end.
 
@@ -89,8 +103,7 @@ def tail_budget(
         "_bytes": (F.octet_length(body) + 1).cast("bigint"),
     }
     limits = {"_rows": max_rows, "_bytes": max_bytes}
-    sliced = with_slice(events, ts, slice_s, newest_first=True)
-    ranked = running_sums(sliced, [key], newest, amounts, limits)
+    ranked = running_sums(in_ranges(events, [key], newest, ranges), [key], newest, amounts, limits)
     fits = (F.col("_rows") <= max_rows) & (F.col("_bytes") <= max_bytes)
     return ranked.filter(fits).select(*events.columns)
 
@@ -101,11 +114,11 @@ def pack_batches(
     ts: str = "occurred_at",
     tie: str = "event_id",
     size: int = fv.BATCH_MAX_EVENTS,
-    slice_s: int = HOUR_S,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Number the events of a key in order and cut them into batches of ``size``."""
     oldest = [F.col(ts), F.col(tie)]
-    counted = running_sums(with_slice(events, ts, slice_s), [key], oldest, {"_nth": F.lit(1).cast("bigint")})
+    counted = running_sums(in_ranges(events, [key], oldest, ranges), [key], oldest, {"_nth": F.lit(1).cast("bigint")})
     index = F.col("_nth") - 1
     return counted.select(
         *events.columns,

@@ -1,29 +1,31 @@
 """Ordered computations per key that stay parallel when one key dominates.
 
-A window over a key puts all rows of that key into one task. Here the rows of a key are cut into
-time slices: the window runs per key and slice, and what earlier slices contribute is carried over
-from a summary that has one row per key and slice. The summary is the only thing that is ever
-ordered over a whole key, and its size is the number of non-empty slices of the key. Shorter slices
-spread a very hot key further, at the price of a longer summary.
+A window over a key puts all rows of that key into one task. Here the rows are dealt by range of
+key and order into partitions of equal size, so a key with a third of all rows, even within one
+hour, is spread over a third of the tasks. The window runs per key and range, and what earlier
+ranges contribute is carried over from a summary of the keys that lie in more than one range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE = "_slice"
-HOUR_S = 3600
-
+from eventlens.sources.tables import cut
 
-def time_slice(ts: Column, seconds: int = HOUR_S) -> Column:
-    return F.floor(F.unix_micros(ts) / (seconds * 1_000_000)).cast("bigint")
+SLICE = "_slice"
 
 
-def with_slice(
-    df: DataFrame, ts: str, seconds: int = HOUR_S, newest_first: bool = False
+def in_ranges(
+    df: DataFrame, keys: list[str], order: list[Column], ranges: int | None = None
 ) -> DataFrame:
-    number = time_slice(F.col(ts), seconds)
-    return df.withColumn(SLICE, -number if newest_first else number)
+    """Add the number of the range that a row lies in; ranges follow the keys and then ``order``.
+
+    The bounds are sampled, so the rows are written once, by a reliable checkpoint: every later
+    read sees the same ranges. Their number is that of shuffle partitions unless given.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    placed = df.repartitionByRange(*([] if ranges is None else [ranges]), *by)
+    return cut(placed.withColumn(SLICE, F.spark_partition_id()))
 
 
 def per_slice(keys: list[str], order: list[Column]) -> Window:
@@ -31,15 +33,26 @@ def per_slice(keys: list[str], order: list[Column]) -> Window:
 
 
 def earlier_slices(keys: list[str]) -> Window:
-    """All slices of the key before the current one."""
+    """All ranges of the key before the current one."""
     return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def spanning(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a summary by key and range whose key lies in several ranges.
+
+    Ranges are contiguous, so at most one key goes on from a range to the next: there are fewer than
+    twice as many rows as ranges, which makes the result fit for broadcasting at any scale.
+    """
+    several = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return summary.withColumn("_ranges", several).filter("_ranges > 1").drop("_ranges")
+
+
 def carried_sums(df: DataFrame, keys: list[str], amounts: dict[str, Column]) -> DataFrame:
-    """Per key and slice, the sum of each amount over all earlier slices as ``<name>_before``."""
+    """Per spanning key and range, the sum of each amount over all earlier ranges as
+    ``<name>_before``."""
     sums = df.groupBy(*keys, SLICE).agg(*[F.sum(a).alias(name) for name, a in amounts.items()])
     before = earlier_slices(keys)
-    return sums.select(
+    return spanning(sums, keys).select(
         *keys,
         SLICE,
         *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in amounts],
@@ -53,16 +66,18 @@ def running_sums(
     amounts: dict[str, Column],
     limits: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Add the running sum of each amount in ``order`` within the key; needs a slice column.
+    """Add the running sum of each amount in ``order`` within the key; needs ``in_ranges``.
 
-    With ``limits`` for positive amounts, slices that begin at or beyond a limit are left out, which
+    With ``limits`` for positive amounts, ranges that begin at or beyond a limit are left out, which
     drops their rows before the window.
     """
     carried = carried_sums(df, keys, amounts)
+    placed = df.join(F.broadcast(carried), [*keys, SLICE], "left")
+    zero = F.lit(0).cast("bigint")
+    placed = placed.withColumns({f"{n}_before": F.coalesce(f"{n}_before", zero) for n in amounts})
     for name, limit in (limits or {}).items():
-        carried = carried.filter(F.col(f"{name}_before") < limit)
+        placed = placed.filter(F.col(f"{name}_before") < limit)
     window = per_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = df.join(carried, [*keys, SLICE])
     return placed.select(
         *df.columns,
         *[

@@ -38,6 +38,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    hadoop_path, fs = _path(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
     hadoop_path, fs = _path(spark, path)
     if not fs.exists(hadoop_path):
@@ -91,6 +97,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    The context's cleaner removes the files when nothing refers to the frame any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def _write_stage(df: DataFrame, name: str) -> str:
     target = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
@@ -116,6 +134,24 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
         fs.delete(hadoop_path, True)
 
 
+class Scratch:
+    """Written tables of one computation, of which only its result outlives it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(_write_stage(df, self.name))
+        return self.spark.read.parquet(self.paths[-1])
+
+    def clear(self, keep: int = 0) -> None:
+        """Remove the tables, except the last ``keep``."""
+        for path in self.paths[: len(self.paths) - keep]:
+            remove(self.spark, path)
+        self.paths = self.paths[len(self.paths) - keep :]
+
+
 def known_ids(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Ids of ``new`` that are stored already.
 

@@ -17,9 +17,10 @@ from eventlens.config import Settings, use_utc
 from eventlens.operators.daily import session_stats
 from eventlens.operators.filters import named
 from eventlens.operators.replay import replay_flags
+from eventlens.operators.sessions import idle_times
 from eventlens.plans.ingest import ingest
 from eventlens.sources.batches import TEXT_OPTION, WITH_TEXT, marked_requests
-from eventlens.sources.tables import exists, read_events
+from eventlens.sources.tables import Scratch, exists, read_events, remove
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -94,9 +95,12 @@ def idle_sessions(
 ) -> DataFrame:
     """Sessions by idle time alone, for streams (with a ``delay`` for late events) and batches.
 
-    An idle time of exactly ``gap_s`` ends a session, and ``session_window`` would merge there, so
-    its gap is one microsecond shorter.
+    A whole table is cut into ranges, so that a hot key is spread over many tasks. In a stream an
+    idle time of exactly ``gap_s`` ends a session, and ``session_window`` would merge there, so its
+    gap is one microsecond shorter.
     """
+    if not events.isStreaming:
+        return idle_times(events, key, ts, gap_s)
     source = events if delay is None else events.withWatermark(ts, delay)
     gap = f"{gap_s - 1} seconds 999999 microseconds"
     window = F.session_window(ts, gap)
@@ -133,9 +137,11 @@ def replay_stream(
                 "request_id", F.concat(F.lit(" "), F.ltrim("request_id"))
             )
             incoming = incoming.unionByName(opened, allowMissingColumns=True)
-        flagged = replay_flags(incoming, window_s, F.col("_eligible"))
+        scratch = Scratch(spark, "replay")
+        flagged = replay_flags(incoming, window_s, F.col("_eligible"), scratch=scratch)
         result = f"{target}/batch={batch_no}"
         flagged.write.mode("overwrite").parquet(result)
+        scratch.clear()
 
         written = spark.read.parquet(result)
         newest = written.agg(F.max("received_at")).scalar()
@@ -154,6 +160,8 @@ def replay_stream(
             .write.mode("overwrite")
             .parquet(f"{state}/batch={batch_no}")
         )
+        # The batch may be run again, which needs the state before it, and no earlier one.
+        remove(spark, f"{state}/batch={batch_no - 2}")
 
     return _start(requests.writeStream.foreachBatch(flag), checkpoint, trigger)
 

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,7 +161,8 @@ def test_idle_sessions_stream_equals_batch(spark, tmp_path):
 def test_replay_stream_equals_batch(spark, tmp_path):
     data = sorted(random_requests(8, n=240), key=lambda r: (r[3], r[0]))
     source, target = tmp_path / "in", str(tmp_path / "out")
-    streamed = None
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("replay-*"))
     for part in range(4):
         chunk = data[part * 60 : (part + 1) * 60]
         spark.createDataFrame(chunk, REQUESTS).coalesce(1).write.mode("append").parquet(str(source))
@@ -170,6 +172,9 @@ def test_replay_stream_equals_batch(spark, tmp_path):
         ).awaitTermination()
     from eventlens.streaming.jobs import replay_results
 
+    # No table of the computation and no old state is left.
+    assert set(shared.glob("replay-*")) == before
+    assert sorted(p.name for p in (tmp_path / "open").iterdir()) == ["batch=2", "batch=3"]
     streamed = replay_results(spark, target)
     assert streamed.count() == len(data)
     assert {r[0] for r in rows(streamed.filter("is_replay"), "request_id")} == replay_fold(data, 300)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlens.operators import dedupe, replay, requests, sessions
+from eventlens.operators.sliced import SLICE, in_ranges
 from tests.factories import rows, utc
 
 START = datetime(2026, 4, 1, tzinfo=timezone.utc)
@@ -32,8 +33,8 @@ def by_player(events):
     return groups
 
 
-@pytest.mark.parametrize("start_event, slice_s", [("session_start", 3600), (None, 3600), ("session_start", 300)])
-def test_sessionize_equals_a_fold(spark, start_event, slice_s):
+@pytest.mark.parametrize("start_event, ranges", [("session_start", 7), (None, 7), ("session_start", None)])
+def test_sessionize_equals_a_fold(spark, start_event, ranges):
     events = random_events(1)
     expected = {}
     for group in by_player(events).values():
@@ -44,11 +45,20 @@ def test_sessionize_equals_a_fold(spark, start_event, slice_s):
                 number += 1
             expected[e[0]], last = number, e[3]
     numbered = sessions.sessionize(
-        spark.createDataFrame(events, EVENTS), key="player", start_event=start_event, slice_s=slice_s
+        spark.createDataFrame(events, EVENTS), key="player", start_event=start_event, ranges=ranges
     )
     assert dict(rows(numbered, "event_id", "session_no")) == expected
 
 
+def test_a_hot_key_is_spread_over_ranges(spark):
+    """All events of one key in one hour: ranges have about the same size."""
+    at = [START + timedelta(seconds=i % 3600) for i in range(4000)]
+    df = spark.createDataFrame([(f"e{i:05d}", "hot", "click", t, "") for i, t in enumerate(at)], EVENTS)
+    placed = in_ranges(df, ["player"], [F.col("occurred_at"), F.col("event_id")], 8)
+    sizes = [n for _, n in rows(placed.groupBy(SLICE).count())]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+
+
 def test_events_exactly_thirty_minutes_apart_are_two_sessions(spark):
     data = [
         ("a", "p", "click", START, ""),
@@ -73,7 +83,7 @@ def test_tail_budget_equals_dropping_the_oldest(spark, max_rows, max_bytes):
             kept.pop(0)
         expected |= {e[0] for e in kept}
     kept = sessions.tail_budget(
-        spark.createDataFrame(events, EVENTS), "player", "body", max_rows=max_rows, max_bytes=max_bytes
+        spark.createDataFrame(events, EVENTS), "player", "body", max_rows=max_rows, max_bytes=max_bytes, ranges=6
     )
     assert {r[0] for r in rows(kept, "event_id")} == expected
 
@@ -84,7 +94,7 @@ def test_pack_batches_equals_slicing(spark):
     for group in by_player(events).values():
         for i, e in enumerate(group):
             expected[e[0]] = (i // 10, i % 10)
-    packed = sessions.pack_batches(spark.createDataFrame(events, EVENTS), "player")
+    packed = sessions.pack_batches(spark.createDataFrame(events, EVENTS), "player", ranges=9)
     assert {r[0]: r[1:] for r in rows(packed, "event_id", "batch_no", "position")} == expected
 
 
