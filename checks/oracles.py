@@ -751,6 +751,16 @@ numbered AS (
 SELECT player_id_hash, COUNT(*) AS event_count, {_iso("MIN(occurred_at)")} AS started_at,
        {_iso("MAX(occurred_at)")} AS ended_at
 FROM numbered GROUP BY player_id_hash, n""",
+        "refresh_incremental": f"""{sessions16},
+pop AS ({POPULARITY} SELECT * FROM popularity),
+summed AS ({SUMMARY} SELECT * FROM summary),
+coh AS ({RETENTION} SELECT * FROM cohorts)
+SELECT 'sessions' AS source, game_id, metric_date AS day, '' AS item, session_count AS a, active_players AS b,
+       avg_session_length_s AS c FROM sessions
+UNION ALL SELECT 'picks', game_id, metric_date, character_id, pick_count, NULL, NULL FROM pop
+UNION ALL SELECT 'summary', game_id, NULL, '', active_players_24h, matches_today, avg_session_length_s_24h
+FROM summed
+UNION ALL SELECT 'cohorts', game_id, cohort_date, '', cohort_size, d1_retained, d7_retained FROM coh""",
         "refresh_all_job": f"""{RETENTION}
 SELECT 'sessions' AS source, game_id, COUNT(*) AS figure FROM ev
 WHERE event_name = 'session_end' AND consent_analytics GROUP BY 2

@@ -11,16 +11,19 @@ from eventlens.functions.scalars import ratio4, week_start
 from eventlens.operators.filters import consented, event_day, named, of_game, utc
 
 
-def cohort_members(events: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
-    """First session date per game and player, with one flag per day offset.
+def active_days(events: DataFrame) -> DataFrame:
+    """``game_id, player_id_hash, day`` of every session start, with repeats."""
+    day = event_day(events).alias("day")
+    return consented(named(events, "session_start")).select("game_id", "player_id_hash", day)
+
+
+def cohort_members(days: DataFrame, offsets: tuple[int, ...]) -> DataFrame:
+    """First session date per game and player, with one flag per day offset, from active days.
 
     Each player is reduced to the set of active dates, combined before the shuffle. The set is
     bounded by the number of calendar days, however many events a player has.
     """
-    starts = consented(named(events, "session_start"))
-    per_player = starts.groupBy("game_id", "player_id_hash").agg(
-        F.collect_set(event_day(events)).alias("dates")
-    )
+    per_player = days.groupBy("game_id", "player_id_hash").agg(F.collect_set("day").alias("dates"))
     first = F.array_min("dates")
     flags = [
         F.array_contains("dates", F.date_add(first, days)).alias(f"d{days}") for days in offsets
@@ -35,7 +38,14 @@ def retention_daily(
 
     With ``as_of``, a ``dN_mature`` column tells whether day N has passed.
     """
-    members = cohort_members(events, offsets)
+    return cohorts_of_days(active_days(events), k, offsets, as_of)
+
+
+def cohorts_of_days(
+    days: DataFrame, k: int, offsets: tuple[int, ...] = (1, 7), as_of: date | None = None
+) -> DataFrame:
+    """``retention_daily`` from active days, with or without repeats."""
+    members = cohort_members(days, offsets)
     size = F.count(F.lit(1)).alias("cohort_size")
     returns = [F.count_if(f"d{n}").alias(f"d{n}_retained") for n in offsets]
     cohorts = members.groupBy("cohort_date", "game_id").agg(size, *returns)

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from eventlens.config import Settings, use_utc
 from eventlens.operators.daily import category_popularity, sessions_daily, summary_current
 from eventlens.operators.filters import utc
-from eventlens.operators.retention import retention_daily
+from eventlens.operators.retention import active_days, cohorts_of_days
 from eventlens.sources.dimensions import calendar, new_dates
-from eventlens.sources.tables import exists, latest, publish, read_events
+from eventlens.sources.tables import exists, latest, publish, read_events, remove, touched
 
 ROLLING = ("sessions_daily", "character_popularity", "metrics_summary_current")
 RETENTION = "retention_cohorts"
 CALENDAR = "dim_dates"
+PLAYER_DAYS = "player_days"
 
 
 def _build(name: str, events: DataFrame, dates: DataFrame, settings: Settings, as_of: datetime):
@@ -27,8 +28,6 @@ def _build(name: str, events: DataFrame, dates: DataFrame, settings: Settings, a
         return category_popularity(events, settings.k)
     if name == "metrics_summary_current":
         return summary_current(events, settings.games, settings.k, as_of)
-    if name == RETENTION:
-        return retention_daily(events, settings.k)
     raise ValueError(f"unsupported derived table: {name}")
 
 
@@ -43,34 +42,94 @@ def ensure_calendar(spark: SparkSession, tables: str, settings: Settings) -> int
     return added
 
 
+def _player_days(spark: SparkSession, raw: str, tables: str, days: list | None) -> DataFrame:
+    """Active days of all players, kept as a table by day; only the given days are made anew."""
+    path = f"{tables}/{PLAYER_DAYS}"
+    events = read_events(spark, raw)
+    if days is None or not exists(spark, f"{path}/_SUCCESS"):
+        made = active_days(events)
+    else:
+        made = active_days(events.filter(F.col("event_date").isin(days)))
+    (
+        made.distinct()
+        .hint("rebalance", "day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static" if days is None else "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+    schema = "game_id string, player_id_hash string, day date"
+    return spark.read.schema(schema).parquet(path)
+
+
 def refresh_table(
-    spark: SparkSession, name: str, raw: str, tables: str, settings: Settings, as_of: datetime
+    spark: SparkSession,
+    name: str,
+    raw: str,
+    tables: str,
+    settings: Settings,
+    as_of: datetime,
+    days: list | None = None,
 ) -> str:
-    """Recompute one derived table from the raw events and publish it."""
+    """Recompute one derived table from the raw events and publish it.
+
+    With ``days``, the dates of events that are new since the last refresh, only the rows of those
+    dates are computed and the others are taken from the last snapshot. A retained cohort depends
+    on all active days of its players; these are kept in a table of their own, of which only the
+    given days are computed. The current summary reads two dates in any case.
+    """
     if name not in (*ROLLING, RETENTION):
         raise ValueError(f"unsupported derived table: {name}")
     use_utc(spark)
+    events = read_events(spark, raw)
     dates = spark.read.parquet(f"{tables}/{CALENDAR}") if name == "sessions_daily" else None
-    table = _build(name, read_events(spark, raw), dates, settings, as_of)
+    known = exists(spark, f"{tables}/{name}")
+    if name == RETENTION:
+        table = cohorts_of_days(_player_days(spark, raw, tables, days if known else None), settings.k)
+    elif days is None or not known or name == "metrics_summary_current":
+        table = _build(name, events, dates, settings, as_of)
+    else:
+        before = latest(spark, f"{tables}/{name}").drop("last_refreshed_at")
+        if dates is not None:
+            have = before.select(F.col("metric_date").alias("calendar_date")).distinct()
+            added = dates.join(have, "calendar_date", "left_anti")
+            dates = dates.filter(F.col("calendar_date").isin(days)).unionByName(added).distinct()
+        made = _build(name, events.filter(F.col("event_date").isin(days)), dates, settings, as_of)
+        table = before.filter(~F.col("metric_date").isin(days)).unionByName(made)
     stamped = table.withColumn("last_refreshed_at", F.lit(utc(as_of)))
     return publish(stamped, f"{tables}/{name}")
 
 
+def _follow(spark: SparkSession, raw: str, follower: str, incremental: bool) -> tuple[list, list | None]:
+    landings, days = touched(spark, raw, follower)
+    return landings, days if incremental else None
+
+
 def refresh_rolling(
-    spark: SparkSession, raw: str, tables: str, settings: Settings, as_of: datetime
+    spark: SparkSession, raw: str, tables: str, settings: Settings, as_of: datetime, incremental: bool = False
 ) -> None:
-    """Calendar, sessions, popularity and summary in this order; the first failure ends the job."""
+    """Calendar, sessions, popularity and summary in this order; the first failure ends the job.
+
+    An incremental run computes the dates of events that have landed since the last run, and a full
+    run all dates; both give the same rows. The list of landings is cleared once all is published.
+    """
     use_utc(spark)
+    landings, days = _follow(spark, raw, "rolling", incremental)
     ensure_calendar(spark, tables, settings)
     for name in ROLLING:
-        refresh_table(spark, name, raw, tables, settings, as_of)
+        refresh_table(spark, name, raw, tables, settings, as_of, days)
+    for path in landings:
+        remove(spark, path)
 
 
 def refresh_retention(
-    spark: SparkSession, raw: str, tables: str, settings: Settings, as_of: datetime
+    spark: SparkSession, raw: str, tables: str, settings: Settings, as_of: datetime, incremental: bool = False
 ) -> int:
-    """Rebuild the retention cohorts; returns their number."""
-    refresh_table(spark, RETENTION, raw, tables, settings, as_of)
+    """Make the retention cohorts anew; returns their number."""
+    landings, days = _follow(spark, raw, "retention", incremental)
+    refresh_table(spark, RETENTION, raw, tables, settings, as_of, days)
+    for path in landings:
+        remove(spark, path)
     return latest(spark, f"{tables}/{RETENTION}").count()
 
 
@@ -81,6 +140,7 @@ def run_job(
     tables: str,
     settings: Settings,
     as_of: datetime | None = None,
+    incremental: bool = False,
 ) -> DataFrame:
     """Run ``refresh:rolling``, ``refresh:retention`` or ``refresh:all``; one report row."""
     if command not in ("refresh:rolling", "refresh:retention", "refresh:all"):
@@ -89,9 +149,9 @@ def run_job(
     moment = as_of or datetime.now(timezone.utc)
     cohorts = None
     if command != "refresh:retention":
-        refresh_rolling(spark, raw, tables, settings, moment)
+        refresh_rolling(spark, raw, tables, settings, moment, incremental)
     if command != "refresh:rolling":
-        cohorts = refresh_retention(spark, raw, tables, settings, moment)
+        cohorts = refresh_retention(spark, raw, tables, settings, moment, incremental)
     duration = int((time.monotonic() - started) * 1000)
     return spark.createDataFrame(
         [(command, duration, utc(moment), "ok", cohorts)],

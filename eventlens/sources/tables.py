@@ -167,12 +167,47 @@ def unseen(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(known_ids(new, stored), "event_id", "left_anti")
 
 
+#: Refresh jobs that follow the dates of new events, each with its own list.
+FOLLOWERS = ("rolling", "retention")
+#: Dates up to which a refresh takes dates as literals, which prune partitions for sure. It bounds
+#: what comes to the driver; beyond, the whole table is rebuilt.
+MAX_TOUCHED = 20_000
+#: A landing that stands for all dates.
+EVERYTHING = "everything"
+
+
+def _touch(batch: DataFrame, path: str, landing: str) -> None:
+    dates = batch.select(utc_date(F.col("occurred_at")).alias("event_date")).distinct()
+    for follower in FOLLOWERS:
+        dates.coalesce(1).write.mode("overwrite").parquet(f"{path}_touched/{follower}/{landing}")
+
+
+def touched(spark: SparkSession, path: str, follower: str) -> tuple[list[str], list | None]:
+    """Landings that a follower has not finished, and their dates; None if those are too many."""
+    folder = f"{path}_touched/{follower}"
+    if not exists(spark, folder):
+        return [], []
+    hadoop_path, fs = _path(spark, folder)
+    landings = sorted(f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(hadoop_path))
+    landings = [p for p in landings if exists(spark, f"{p}/_SUCCESS")]
+    if not landings:
+        return [], []
+    if any(p.endswith(f"/{EVERYTHING}") for p in landings):
+        return landings, None
+    found = spark.read.parquet(*landings).distinct().limit(MAX_TOUCHED + 1).collect()
+    return landings, None if len(found) > MAX_TOUCHED else sorted(r.event_date for r in found)
+
+
 def append_staged(batch: DataFrame, path: str) -> int:
     """Append the events of a written table whose id is new; returns the number of added rows.
 
-    A raw table has one writer at a time, like a stream with its checkpoint.
+    A raw table has one writer at a time, like a stream with its checkpoint. The dates of the batch
+    are listed for the refresh jobs before and after the append: a job that takes the list in
+    between finds it again, and a batch that is run again lists them anew.
     """
     spark = batch.sparkSession
+    landing = uuid.uuid4().hex
+    _touch(batch, path, landing)
     columns = [field.name for field in schema.EVENTS_RAW]
     with staged(known_ids(batch, read_events(spark, path)), "known") as known:
         fresh = first_per_event(batch).join(known, "event_id", "left_anti")
@@ -183,6 +218,7 @@ def append_staged(batch: DataFrame, path: str) -> int:
             .partitionBy("event_date", "event_group")
             .parquet(path)
         )
+        _touch(batch, path, landing)
         return batch.agg(F.count_distinct("event_id")).first()[0] - known.count()
 
 
@@ -196,6 +232,9 @@ def reset(spark: SparkSession, raw_path: str, retention_path: str, empty_retenti
     """Empty the raw events and publish an empty retention table."""
     hadoop_path, fs = _path(spark, raw_path)
     fs.delete(hadoop_path, True)
+    # The next refresh of either kind has to build everything.
+    for follower in FOLLOWERS:
+        spark.range(1).write.mode("overwrite").parquet(f"{raw_path}_touched/{follower}/{EVERYTHING}")
     publish(empty_retention, retention_path)
 
 

@@ -20,7 +20,7 @@ from eventlens.operators.replay import replay_flags
 from eventlens.operators.sessions import idle_times
 from eventlens.plans.ingest import ingest
 from eventlens.sources.batches import TEXT_OPTION, WITH_TEXT, marked_requests
-from eventlens.sources.tables import Scratch, exists, read_events, remove
+from eventlens.sources.tables import MAX_TOUCHED, Scratch, exists, read_events, remove
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -71,10 +71,14 @@ def session_days_stream(
     landed = use_utc(spark).readStream.schema(schema.EVENTS_STORED).parquet(raw_path)
 
     def recompute(batch: DataFrame, _: int) -> None:
-        # At most one row per calendar day; as literals they prune the partitions for sure.
-        changed = named(batch, "session_end").select("event_date").distinct().collect()
+        # As literals the dates prune the partitions for sure; too many of them stay a join.
+        changed = named(batch, "session_end").select("event_date").distinct()
+        few = changed.limit(MAX_TOUCHED + 1).collect()
         stored = read_events(batch.sparkSession, raw_path)
-        days = stored.filter(F.col("event_date").isin([row.event_date for row in changed]))
+        if len(few) <= MAX_TOUCHED:
+            days = stored.filter(F.col("event_date").isin([row.event_date for row in few]))
+        else:
+            days = stored.join(changed, "event_date", "left_semi")
         (
             session_stats(days)
             .write.mode("overwrite")
