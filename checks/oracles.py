@@ -751,6 +751,22 @@ numbered AS (
 SELECT player_id_hash, COUNT(*) AS event_count, {_iso("MIN(occurred_at)")} AS started_at,
        {_iso("MAX(occurred_at)")} AS ended_at
 FROM numbered GROUP BY player_id_hash, n""",
+        "recent_stored": f"""{EV}
+SELECT CAST(event_id AS VARCHAR) AS event_id, game_id, {_iso("occurred_at")} AS occurred_at FROM (
+  SELECT * FROM ev WHERE event_name = 'level_end' AND consent_analytics
+  ORDER BY epoch_us(occurred_at) DESC, CAST(event_id AS VARCHAR) LIMIT 100)""",
+        "offline_events": f"""{WIRE_EVENT}
+SELECT uuid || CASE WHEN nl_id <> '' THEN chr(10) ELSE '' END AS event_id,
+       strlen({data.WIRE_ENVELOPE}) + strlen({data.WIRE_SENT}) + 1 AS bytes
+FROM sized""",
+        "seed_append": f"""{EV}
+SELECT game_id, 'demo_seed' AS ingest_source, COUNT(*) AS events, COUNT(*) AS on_time,
+       (SELECT COUNT(*) FROM ev) AS first_added, CAST(0 AS BIGINT) AS then_added FROM ev GROUP BY 1""",
+        "reset_tables": f"""{RETENTION}
+SELECT 'before' AS state, (SELECT COUNT(*) FROM ev) AS events, (SELECT COUNT(*) FROM cohorts) AS cohorts
+UNION ALL SELECT 'after', 0, 0""",
+        "prune_job": f"""{EV}
+SELECT day AS event_date, COUNT(*) AS events FROM ev WHERE day >= DATE '2024-01-16' GROUP BY 1""",
         "refresh_incremental": f"""{sessions16},
 pop AS ({POPULARITY} SELECT * FROM popularity),
 summed AS ({SUMMARY} SELECT * FROM summary),

@@ -699,6 +699,65 @@ def idle_sessions(spark, sf_dir):
     return found.select("player_id_hash", "event_count", _iso("started_at"), _iso("ended_at"))
 
 
+@query
+def recent_stored(spark, sf_dir):
+    """Newest events of a stored table, of which only the newest dates are read."""
+    raw = _stored_events(spark, sf_dir, _scratch(spark, "recent"))
+    recent = metrics.custom_recent(tables.read_events(spark, raw), "level_end", limit=100)
+    return recent.select("event_id", "game_id", _iso("occurred_at"))
+
+
+@query
+def offline_events(spark, sf_dir):
+    """Events in a client's file, among lines that are no event."""
+    folder = _scratch(spark, "offline")
+    wire = data.wire_events(spark, sf_dir)
+    junk = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("[1]"), F.lit(""), F.lit('{"cut": '))).otherwise(F.array())
+    lines = wire.select(F.explode(F.concat(F.array("event_json"), junk)).alias("value"))
+    lines.write.text(f"{folder}/events")
+    read = batches.read_offline_events(spark, f"{folder}/events")
+    return read.select(
+        F.try_variant_get("event", "$.event_id", "string").alias("event_id"),
+        F.octet_length("line").cast("bigint").alias("bytes"),
+    )
+
+
+@query
+def seed_append(spark, sf_dir):
+    """Prepared events appended twice; they arrive when they occur."""
+    raw = f"{_scratch(spark, 'seed')}/raw"
+    added = [ingest.seed(_storable(spark, sf_dir), raw) for _ in range(2)]
+    stored = tables.read_events(spark, raw)
+    return stored.groupBy("game_id", "ingest_source").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("received_at") == F.col("occurred_at")).alias("on_time"),
+    ).withColumns({"first_added": F.lit(added[0]).cast("bigint"), "then_added": F.lit(added[1]).cast("bigint")})
+
+
+@query
+def reset_tables(spark, sf_dir):
+    """Raw events and cohorts before and after a reset."""
+    folder = _scratch(spark, "reset")
+    raw, made = _stored_events(spark, sf_dir, folder), f"{folder}/tables"
+    refresh.run_job(spark, "refresh:retention", raw, made, SETTINGS, AS_OF)
+    path = f"{made}/retention_cohorts"
+
+    def state(when: str) -> tuple:
+        return (when, tables.read_events(spark, raw).count(), tables.latest(spark, path).count())
+
+    before = state("before")
+    tables.reset(spark, raw, path, tables.latest(spark, path).limit(0))
+    return spark.createDataFrame([before, state("after")], "state string, events bigint, cohorts bigint")
+
+
+@query
+def prune_job(spark, sf_dir):
+    """What is left of the stored events when old date partitions are deleted."""
+    raw = _stored_events(spark, sf_dir, _scratch(spark, "prune"))
+    tables.prune_raw(spark, raw, AS_OF, 14)
+    return tables.read_events(spark, raw).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query
 def refresh_incremental(spark, sf_dir):
     """Two landings, the second with late events, each followed by a refresh; the second refresh
