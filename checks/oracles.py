@@ -615,6 +615,14 @@ SELECT event_id, strftime(occurred_at, '%Y-%m-%dT%H:%M:%SZ') AS text,
 FROM ev""",
         "request_counters": f"SELECT * FROM ({_counters()}) WHERE value > 0",
         "latency_histogram": _histogram(),
+        "latency_quantiles": f"""{LOG},
+ranked AS (
+  SELECT service, route, latency_ms, ROW_NUMBER() OVER (PARTITION BY service, route ORDER BY latency_ms) AS r,
+         COUNT(*) OVER (PARTITION BY service, route) AS n FROM log
+)
+SELECT service, route, MAX(n) AS requests, MIN(latency_ms) FILTER (r * 100 >= n * 50) AS p50_ms,
+       MIN(latency_ms) FILTER (r * 100 >= n * 95) AS p95_ms, MIN(latency_ms) FILTER (r * 100 >= n * 99) AS p99_ms
+FROM ranked GROUP BY 1, 2""",
         "alerts_5xx": f"""{LOG}
 SELECT service, {_iso("time_bucket(INTERVAL 5 MINUTE, received_at, TIMESTAMP '1970-01-01')")} AS window_start,
        COUNT(*) AS requests, COUNT(*) FILTER (status_code >= 500) AS errors,
@@ -751,6 +759,32 @@ numbered AS (
 SELECT player_id_hash, COUNT(*) AS event_count, {_iso("MIN(occurred_at)")} AS started_at,
        {_iso("MAX(occurred_at)")} AS ended_at
 FROM numbered GROUP BY player_id_hash, n""",
+        "read_results": f"""{EV},
+pop AS ({POPULARITY} SELECT * FROM popularity),
+coh AS ({RETENTION} SELECT * FROM cohorts),
+custom AS (
+  SELECT * FROM ev WHERE event_name IN ('level_end', 'quest_started') AND consent_analytics
+),
+newest AS (
+  SELECT * FROM custom WHERE event_name = 'quest_started' AND game_id = 'alpha'
+  ORDER BY occurred_at DESC, event_id LIMIT 10
+),
+found(metric, game_id, points, updated) AS (
+  SELECT 'summary', 'all', 1, {_AS_OF}
+  UNION ALL SELECT 'sessions', 'all', 30, TIMESTAMP '2024-01-01 01:00:00'
+  UNION ALL SELECT 'popularity', 'beta', COUNT(DISTINCT CASE WHEN NOT suppressed THEN character_id END)
+      + MAX(CASE WHEN suppressed THEN 1 ELSE 0 END),
+    MIN(metric_date) + INTERVAL 1 HOUR FROM pop WHERE game_id = 'beta' AND {last7}
+  UNION ALL SELECT 'retention', 'all', COUNT(DISTINCT date_trunc('week', cohort_date)),
+    MIN(cohort_date) + INTERVAL 1 HOUR FROM coh WHERE cohort_date BETWEEN DATE '2024-01-22' AND DATE '2024-01-30'
+  UNION ALL SELECT 'custom_names', 'all', COUNT(DISTINCT event_name), MAX(received_at) FROM custom
+    WHERE day BETWEEN DATE '2024-01-24' AND DATE '2024-01-30'
+  UNION ALL SELECT 'custom_counts', 'alpha', 14, MAX(received_at) FROM custom
+    WHERE event_name = 'level_end' AND game_id = 'alpha' AND day BETWEEN DATE '2024-01-17' AND DATE '2024-01-30'
+  UNION ALL SELECT 'custom_recent', 'alpha', COUNT(*), MAX(received_at) FROM newest
+)
+SELECT metric, game_id, CAST(points AS BIGINT) AS points, {_iso("updated")} AS last_updated
+FROM found WHERE points > 0""",
         "recent_stored": f"""{EV}
 SELECT CAST(event_id AS VARCHAR) AS event_id, game_id, {_iso("occurred_at")} AS occurred_at FROM (
   SELECT * FROM ev WHERE event_name = 'level_end' AND consent_analytics

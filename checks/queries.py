@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,7 +30,7 @@ from eventlens.functions import (
 )
 from eventlens.functions.validation import checked_event
 from eventlens.operators import daily, dedupe, quality, replay, requests, retention, sessions
-from eventlens.plans import ingest, metrics, refresh
+from eventlens.plans import ingest, metrics, refresh, responses
 from eventlens.sources import batches, dimensions, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +152,35 @@ def freshness(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query
+def read_results(spark, sf_dir):
+    """Game, window, rows and last update of all seven read results. Derived rows are taken as
+    refreshed an hour into their own date."""
+    events = data.events(spark, sf_dir)
+
+    def stamped(table, day):
+        return table.withColumn("last_refreshed_at", F.col(day).cast("timestamp") + F.expr("interval 1 hour"))
+
+    cohorts = stamped(retention.retention_daily(events, SETTINGS.k), "cohort_date")
+    summed = _summary_table(spark, sf_dir).withColumn("last_refreshed_at", F.lit(AS_OF))
+    found = {
+        "summary": responses.summary(summed, AS_OF),
+        "sessions": responses.sessions(stamped(_sessions_table(spark, sf_dir), "metric_date"), AS_OF, days=30),
+        "popularity": responses.popularity(stamped(_popularity_table(spark, sf_dir), "metric_date"), AS_OF, "beta"),
+        "retention": responses.retention(cohorts, AS_OF, weeks=2),
+        "custom_names": responses.custom_names(events, AS_OF),
+        "custom_counts": responses.custom_counts(events, "level_end", AS_OF, "alpha"),
+        "custom_recent": responses.custom_recent(events, "quest_started", AS_OF, "alpha", limit=10),
+    }
+    rows = [
+        frame.groupBy("game_id", "last_updated").agg(F.count(F.lit(1)).alias("points")).select(
+            F.lit(name).alias("metric"), "game_id", "points", _iso("last_updated")
+        )
+        for name, frame in found.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # ---------------------------------------------------------------- custom events
 
 
@@ -472,6 +502,11 @@ def latency_histogram(spark, sf_dir):
     return requests.latency_histogram(data.request_log(spark, sf_dir), ["service", "route"])
 
 
+@query
+def latency_quantiles(spark, sf_dir):
+    return requests.latency_quantiles(data.request_log(spark, sf_dir), ["service", "route"])
+
+
 @query
 def alerts_5xx(spark, sf_dir):
     found = requests.alerts(data.request_log(spark, sf_dir))

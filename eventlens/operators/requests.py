@@ -101,6 +101,28 @@ def latency_histogram(log: DataFrame, labels: list[str], latency_ms: str = "late
     return totals.select(*labels, F.inline(buckets), "count", "sum_ms")
 
 
+def latency_quantiles(
+    log: DataFrame, labels: list[str], percents: tuple[int, ...] = (50, 95, 99), latency_ms: str = "latency_ms"
+) -> DataFrame:
+    """Latency per label set below which so many percent of the requests lie, by nearest rank.
+
+    Requests are counted per label set and millisecond in the map tasks, so the ordered pass only
+    sees the distinct latencies of a label set.
+    """
+    counts = log.groupBy(*labels, latency_ms).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*labels)
+    upto = whole.orderBy(latency_ms).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.select(
+        *labels, latency_ms, F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(whole).alias("_all")
+    )
+
+    def least(percent: int) -> Column:
+        reached = F.col("_upto") * 100 >= F.col("_all") * percent
+        return F.min(F.when(reached, F.col(latency_ms))).alias(f"p{percent}_ms")
+
+    return ranked.groupBy(*labels).agg(F.max("_all").alias("requests"), *[least(p) for p in percents])
+
+
 def alerts(
     log: DataFrame,
     minutes: int = 5,
