@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventlens.llm.common import ASCII_SPACE, ascii_lower, free_name, text_digest
+from eventlens.llm.common import ASCII_SPACE, ascii_lower, cut, free_name, text_digest
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -66,8 +66,10 @@ def dedupe_lines(
         .where(F.char_length("line") >= min_chars)
         .select("mark", "id", "pos", F.unhex(F.md5("line")).alias("key"))
     )
+    # Written once, so that both sides of the join are plain exchanges and a hot key can be split.
+    often = cut(shared_lines(exploded, min_docs))
     gone = (
-        exploded.join(shared_lines(exploded, min_docs), "key")
+        exploded.join(often, "key")
         .where(~F.col("id").eqNullSafe(F.col("keep")))
         .groupBy("mark")
         .agg(F.collect_set("pos").alias("positions"))
