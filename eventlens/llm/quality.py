@@ -19,6 +19,8 @@ SAMPLE_ROWS = 2000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Fewer repeated lines are no pattern, however few lines a text has.
+MIN_SAME_LINES = 3
 
 
 def words_of(text: Column) -> Column:
@@ -103,7 +105,7 @@ def standard_rules(m: Column, text: Column) -> dict[str, Column]:
         "short_words": m["word_chars"] < 3 * m["n_words"],
         "long_words": m["word_chars"] > 12 * m["n_words"],
         "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "same_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        "same_lines": (m["n_dup_lines"] >= MIN_SAME_LINES) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]),
         "no_letters": 10 * letter_words(text) < 7 * m["n_words"],
         "lists": 10 * list_lines(text) > 9 * m["n_lines"],
     }

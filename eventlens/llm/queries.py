@@ -222,7 +222,7 @@ v AS (
     FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * len(lines) OR 10 * letters < 7 * n_words OR 10 * items > 9 * len(lines)) AS kept
+            OR (n_dup_lines >= {quality.MIN_SAME_LINES} AND 10 * n_dup_lines > 3 * len(lines)) OR 10 * letters < 7 * n_words OR 10 * items > 9 * len(lines)) AS kept
 FROM v
 """
 
