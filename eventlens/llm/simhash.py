@@ -411,10 +411,14 @@ def near_duplicates(
     linked = classes.join(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")), "fp")
     smallest = linked.groupBy("grp").agg(F.min("least").alias("smallest"))
     named = linked.join(smallest, "grp").select("fp", "grp", "smallest")
-    least = classes.join(named, "fp", "left").select(
-        "fp",
-        F.coalesce("grp", "fp").alias("grp"),
-        F.coalesce("smallest", "least").alias("component"),
+    # Written once, so that both sides of the last join are plain exchanges and a fingerprint that
+    # very many rows share can be split.
+    least = cut(
+        classes.join(named, "fp", "left").select(
+            "fp",
+            F.coalesce("grp", "fp").alias("grp"),
+            F.coalesce("smallest", "least").alias("component"),
+        )
     )
     return marked.join(least, "fp").select("id", "digest", "fp", "grp", "component")
 
