@@ -40,18 +40,15 @@ def _unsupported(event: Column) -> Column:
 
 
 def parse_body(body: Column) -> Column:
-    """The one JSON value of a body, or null if it is none or anything follows it.
+    """A list whose first item is the one JSON value of a body, or null if the body is none or
+    anything follows the value.
 
     The parser stops behind the first value. So the body is parsed as the first item of a list whose
-    second item is a digest of the body; text behind the value would change or end the list. Of
-    a repeated key the last value counts, see ``judge``.
+    second item is a digest of the body; text behind the value would take its place or end the list.
+    Of a repeated key the last value counts, see ``judge``.
     """
     digest = F.sha2(body, 256)
-    items = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]'))), "$", "array<variant>"
-    )
-    complete = (F.size(items) == 2) & (F.try_variant_get(F.get(items, F.lit(1)), "$", "string") == digest)
-    return F.when(complete, F.get(items, F.lit(0)))
+    return F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), digest, F.lit('"]')))
 
 
 def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame:
@@ -68,7 +65,9 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
     listed = with_lookup(requests, known, "api_key_id").withColumn(
         "payload", parse_body(F.col("body"))
     )
-    variants = F.try_variant_get("payload", "$.events", "array<variant>")
+    complete = F.coalesce(F.try_variant_get("payload", "$[1]", "string") == F.sha2("body", 256), F.lit(False))
+    listed = listed.withColumn("complete", complete)
+    variants = F.when(F.col("complete"), F.try_variant_get("payload", "$[0].events", "array<variant>"))
     checked = listed.withColumn("events", checked_events(variants, settings.games))
     gated = checked.withColumn(
         "unsupported_version",
@@ -80,12 +79,12 @@ def judge(requests: DataFrame, keys: DataFrame, settings: Settings) -> DataFrame
     code = (
         F.when(F.col("unreadable"), "bad_request")
         .when(~F.coalesce(F.col("enabled"), F.lit(False)), "unauthorized")
-        .when(F.col("payload").isNull(), "bad_request")
+        .when(~F.col("complete"), "bad_request")
         .when(F.col("unsupported_version").isNotNull(), "unsupported_schema_version")
         .when(~F.coalesce(size_ok, F.lit(False)) | invalid, "validation_failed")
         .when(other_game, "unauthorized")
     )
-    return gated.withColumn("code", code).drop("payload", "key_game", "enabled", "unreadable")
+    return gated.withColumn("code", code).drop("payload", "complete", "key_game", "enabled", "unreadable")
 
 
 def event_lines(judged: DataFrame, ingest_source: str = fv.DEFAULT_INGEST_SOURCE) -> DataFrame:
