@@ -16,6 +16,7 @@ radius a tile gives a spanning forest, close pairs first: at most one pair per r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,6 +32,8 @@ from eventlens.llm.components import components
 TILE = 16384
 #: Tiles of up to so many rows are compared together, row against shifted row.
 SMALL = 48
+#: Elements of the sets of a tile that are checked by similarity; a task holds two such tiles at most.
+SET_TILE = 1 << 19
 #: Rows of a block of the comparison inside a tile: bounds its memory.
 BLOCK = 128
 #: Shingles that are counted at once: bounds the memory of a very long text.
@@ -330,42 +333,127 @@ def links(fps: DataFrame, radius: int, tables: list[np.ndarray], words: int = 1,
     )
 
 
-def verified(
-    pairs: DataFrame, texts: DataFrame, width: int, similarity: float
-) -> DataFrame:
-    """The pairs ``a, b`` whose texts' sets of shingles have at least this Jaccard similarity.
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def link_sets(sets: list[np.ndarray], similarity: float, split: int | None = None) -> Forest:
+    """A spanning forest of all pairs of sets with at least this Jaccard similarity.
+
+    With ``split`` only pairs of a set before that position and one from it on count. Pairs that
+    are already tied are passed over. A row is counted against all others only if one of them, not
+    yet tied to it, holds one of its rarest elements: similar sets share one of those.
+    """
+    m = len(sets)
+    forest = Forest(m)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    side = np.zeros(m, np.int8) if split is None else (np.arange(m) >= split).astype(np.int8)
+    if m < 2 or not sizes.sum():
+        return forest
+    row = np.repeat(np.arange(m), sizes)
+    flat = np.concatenate(sets)
+    filled = np.flatnonzero(sizes)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(4 if m > 4 else 0):  # neighbours by a smallest hash: ties most near copies
+        mixed = flat.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * 0x10001 * k)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        least = np.minimum.reduceat(mixed, starts[filled])
+        order = np.argsort(least, kind="stable")
+        same = np.flatnonzero(least[order[1:]] == least[order[:-1]])
+        for x, y in zip(filled[order[same]].tolist(), filled[order[same + 1]].tolist()):
+            if forest.label[x] != forest.label[y] and (split is None or side[x] != side[y]):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= similarity * (sizes[x] + sizes[y] - both):
+                    forest.add(np.array([x]), np.array([y]))
+    _, column, df = np.unique(flat, return_inverse=True, return_counts=True)
+    by_column = np.argsort(column, kind="stable")
+    posting, first = row[by_column], np.cumsum(df) - df
+    for i in range(m):
+        if not sizes[i] or (forest.label == forest.label[i]).all():
+            continue
+        own = column[starts[i] : starts[i] + sizes[i]]
+        own = own[np.lexsort((own, df[own]))]
+        # The part that a similar set cannot miss entirely; the order is the same for all rows.
+        reach = own[: sizes[i] - int(np.ceil(similarity * sizes[i] - 1e-9)) + 1]
+        reach = reach[df[reach] > 1]
+        met = posting[_gather(first[reach], df[reach])]
+        if not ((forest.label[met] != forest.label[i]) & ((side[met] != side[i]) | (split is None))).any():
+            continue
+        own = own[df[own] > 1]
+        both = np.bincount(posting[_gather(first[own], df[own])], minlength=m)
+        near = (both > 0) & (both >= similarity * (sizes + sizes[i] - both))
+        near &= (np.arange(m) != i) if split is None else (side != side[i])
+        hits = np.flatnonzero(near)
+        forest.add(np.full(len(hits), i), hits)
+    return forest
+
 
-    ``texts`` has one row ``fp, text`` per fingerprint. Only texts of fingerprints that are in a
-    pair are read, and a set travels once for each pair that it is in.
+def similar_links(sets: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
+    """``a, b``: pairs of keys that connect what all pairs of one clump with this similarity connect.
+
+    ``sets`` has distinct rows ``clump, key, own``. Clumps with more elements than ``tile`` are cut
+    by size and hash, and only cuts whose sizes can be similar meet, each pair in a task of its own.
     """
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    # Sizes of similar sets differ by one band at most.
+    band = F.floor(F.log(F.greatest(F.size("own"), F.lit(1))) / (1e-9 - math.log(similarity))).cast("int")
+    placed = sets.withColumn("band", band)
+    cells = placed.groupBy("clump", "band").agg(F.sum(F.size("own")).alias("n"))
+    hot = cut(
+        cells.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int"))
+        .groupBy("clump")
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", "k")).alias("cells"))
+        .where(F.col("n") > tile)
+        .select("clump", "cells")
+    )
+    spread = (
+        placed.join(F.broadcast(hot) if hot.count() <= 10_000 else hot, "clump", "left")
+        .withColumn("split", F.expr("cast(pmod(xxhash64(key), element_at(filter(cells, c -> c.band = band), 1).k) as int)"))
+        .withColumn(
+            "meet",
+            F.expr(
+                "if(cells is null, array(named_struct('part', '', 'side', 0)),"
+                " flatten(transform(filter(cells, c -> abs(c.band - band) <= 1), c ->"
+                " transform(sequence(0, c.k - 1), s ->"
+                " if(c.band = band and s = split,"
+                " named_struct('part', concat('=', band, '.', split), 'side', 0),"
+                " if(c.band < band or (c.band = band and s < split),"
+                " named_struct('part', concat(c.band, '.', s, '-', band, '.', split), 'side', 1),"
+                " named_struct('part', concat(band, '.', split, '-', c.band, '.', s), 'side', 0)))))))"
+            ),
+        )
+        .select("clump", F.explode("meet").alias("m"), "key", "own")
+        .select("clump", F.col("m.part").alias("part"), F.col("m.side").alias("side"), "key", "own")
+    )
+
+    def tie(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side").combine_chunks()
+        side = table["side"].to_numpy()
+        own = [x.values.to_numpy() for x in table["own"]]
+        whole = table["part"][0].as_py()[:1] in ("", "=")
+        split = None if whole else int((side == 0).sum())
+        a, b = link_sets(own, similarity, split).edges()
+        key = table["key"].combine_chunks()
+        return pa.table({"a": key.take(pa.array(a)), "b": key.take(pa.array(b))})
+
+    return spread.groupBy("clump", "part").applyInArrow(tie, "a binary, b binary")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """``clump, key, own`` from ``clump, key, text``: the distinct hashes of a text's shingles."""
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             own = [
                 np.unique(shingle_hashes(t.as_py(), width, True).astype(np.uint32)).view(np.int32)
-                for t in batch.column(1)
+                for t in batch.column(2)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["fp", "own"])
+            columns = [*batch.columns[:2], pa.array(own, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["clump", "key", "own"])
 
-    def alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    hashed = cut(
-        texts.join(needed, "fp", "left_semi")
-        .select("fp", F.col("text").cast("binary").alias("text"))
-        .mapInArrow(sets, "fp binary, own array<int>")
-    )
-    left = hashed.select(F.col("fp").alias("a"), F.col("own").alias("x"))
-    right = hashed.select(F.col("fp").alias("b"), F.col("own").alias("y"))
-    return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a binary, b binary")
+    return texts.select("clump", "key", F.col("text").cast("binary").alias("text")).mapInArrow(
+        sets, "clump long, key binary, own array<int>"
     )
 
 
@@ -384,8 +472,9 @@ def near_duplicates(
     """``id, digest, fp, grp, component`` per row: the component is the smallest id that links
     reach, the row's own included, and ``grp`` a fingerprint that names the group.
 
-    With ``similarity`` a link within the radius counts only if the sets of shingles of both texts
-    have that Jaccard similarity.
+    With ``similarity`` links within the radius only say which texts are looked at together: among
+    all that such links connect, every pair whose sets of shingles have that Jaccard similarity
+    is tied, and no other.
 
     Null and empty texts have fingerprint zero and link like any other. Equal rows and copies share
     a fingerprint, which is compared once. A row with a null id belongs to a group; its id never
@@ -396,17 +485,20 @@ def near_duplicates(
     classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("digest").alias("digest")))
     pairs = links(classes, radius, tables, words, tile)
     if similarity is not None:
-        pairs = cut(pairs)
-        linked = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-        chosen = classes.join(linked, "fp").select("fp", "digest")
+        clumps = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+        chosen = cut(
+            classes.select(F.xxhash64("fp").alias("id"), F.col("fp").alias("key"), "digest")
+            .join(clumps, "id")
+            .select("digest", "key", F.col("component").alias("clump"))
+        )
         digest = text_digest(F.col(id_col), F.col(text_col))
         texts = (
             docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
             .join(chosen, "digest")
-            .groupBy("fp")
+            .groupBy("clump", "key")
             .agg(F.first("text").alias("text"))
         )
-        pairs = verified(pairs, texts, width, similarity)
+        pairs = similar_links(cut(shingle_sets(texts, width)), similarity)
     groups = components(pairs)
     linked = classes.join(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")), "fp")
     smallest = linked.groupBy("grp").agg(F.min("least").alias("smallest"))

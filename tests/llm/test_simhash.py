@@ -133,3 +133,69 @@ def test_similarity_is_checked(frame):
     named = {r.id: r.component for r in got.collect()}
     assert named[2] == 0 and named[60] == 60
     assert named[12] == (0 if alike(0, 12) >= 0.8 or alike(2, 12) >= 0.8 else 12)
+
+
+def jaccard(x, y):
+    both = len(np.intersect1d(x, y))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def brute_force(sets, similarity):
+    truth = simhash.Forest(len(sets))
+    for i, x in enumerate(sets):
+        near = [j for j in range(i) if jaccard(x, sets[j]) >= similarity]
+        truth.add(np.full(len(near), i), np.array(near, np.int64))
+    return truth.label
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sets_are_tied_as_by_brute_force(seed):
+    """Groups on a common template, nested sets and copies; whole and in two parts."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(4):
+        template = rng.integers(-(1 << 31), 1 << 31, rng.integers(2, 80))
+        for _ in range(20):
+            keep = template[rng.random(len(template)) < rng.choice([0.85, 0.95])]
+            own = rng.integers(-(1 << 31), 1 << 31, rng.integers(0, 1 + len(template) // 4))
+            sets.append(np.unique(np.concatenate((keep, own))).astype(np.int32))
+    sets.append(np.empty(0, np.int32))
+    truth = brute_force(sets, 0.8)
+    forest = simhash.link_sets(sets, 0.8)
+    assert (forest.label == truth).all()
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in zip(*forest.edges()))
+    cut_at = 37
+    joined = simhash.link_sets(sets, 0.8, cut_at)
+    assert all(a < cut_at <= b or b < cut_at <= a for a, b in zip(*joined.edges()))
+    for part, shift in ((sets[:cut_at], 0), (sets[cut_at:], cut_at)):
+        joined.add(*(x + shift for x in simhash.link_sets(part, 0.8).edges()))
+    assert (joined.label == truth).all()
+
+
+@pytest.mark.parametrize("tile", [simhash.SET_TILE, 600])
+def test_near_copies_among_texts_on_a_template(frame, monkeypatch, tile):
+    """Every pair is within the radius, and only the planted ones reach the similarity."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile,))
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(240)]
+    rows = []
+    for i in range(60):
+        words = [*template, *(f"u{i}.{k}" for k in range(40))]
+        rows.append((i, " ".join(words)))
+        if i % 6 == 0:  # similar to its first, 0.84
+            own = list(words)
+            for k in range(5):
+                own[20 + 50 * k] = f"v{i}.{k}"
+            rows.append((1000 + i, " ".join(own)))
+    rng.shuffle(rows)
+    sets = [simhash.shingle_hashes(t.encode(), 5, True) for _, t in rows]
+    label = brute_force(sets, 0.8)
+    least = {}
+    for (i, _), k in zip(rows, label.tolist()):
+        least[k] = min(i, least.get(k, i))
+    got = simhash.near_duplicates(
+        frame(rows), width=5, radius=120, words=4, distinct=True, similarity=0.8,
+        tables=simhash.sampled_tables(256, 60, 6),
+    )
+    assert {r.id: r.component for r in got.collect()} == {i: least[k] for (i, _), k in zip(rows, label.tolist())}
+    assert 60 <= len(set(label.tolist())) < len(rows)
