@@ -39,6 +39,9 @@ BLOCK = 128
 #: Shingles that are counted at once: bounds the memory of a very long text.
 CHUNK = 1 << 14
 SEED = 42
+#: Bands of smallest hashes: two sets of similarity s share one of them with a probability of
+#: 1 - (1 - s**HASHES)**BANDS, whatever their sizes. At 0.8 one pair in 190 million shares none.
+BANDS, HASHES = 48, 5
 #: Odd multipliers of a 64-bit mixing step, for words after the first.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -83,28 +86,62 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return out
 
 
+_MINWISE = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * HASHES), dtype=np.uint64, endpoint=False)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number per band of smallest hashes of a set; none of an empty set."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        x = (hashes[k : k + 1024, None] ^ _MINWISE[0]) * (_MINWISE[1] | np.uint64(1))
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, HASHES).T:
+        key = (key ^ column) * np.uint64(MIX[0])
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def fingerprints(
-    docs: DataFrame, id_col: str, text_col: str, width: int, words: int = 1, distinct: bool = False
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    width: int,
+    words: int = 1,
+    distinct: bool = False,
+    banded: bool = False,
 ) -> DataFrame:
     """``id, digest, fp`` per row: a digest of id and text, and ``8 * words`` bytes of fingerprint.
 
-    A null text has no shingles: zero bits.
+    A null text has no shingles: zero bits. ``banded`` adds ``key``, a digest of the set of
+    shingles, and ``bands``.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "digest", "fp"] + (["key", "bands"] if banded else [])
+    schema = f"id {id_type}, digest binary, fp binary" + (", key binary, bands array<long>" if banded else "")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = [
-                fingerprint(shingle_hashes(t.as_py(), width, distinct), words) for t in batch.column(2)
-            ]
+            fps, keys, banded_rows = [], [], []
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py(), width, distinct)
+                fps.append(fingerprint(hashes, words))
+                if banded:
+                    hashes = hashes if distinct else np.unique(hashes)
+                    keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    banded_rows.append(bands(hashes))
             columns = [batch.column(0), batch.column(1), pa.array(fps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "fp"])
+            if banded:
+                columns += [pa.array(keys, pa.binary()), pa.array(banded_rows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(
         F.col(id_col).alias("id"),
         text_digest(F.col(id_col), F.col(text_col)).alias("digest"),
         F.col(text_col).cast("binary").alias("text"),
-    ).mapInArrow(batches, f"id {id_type}, digest binary, fp binary")
+    ).mapInArrow(batches, schema)
 
 
 def block_tables(bits: int, radius: int, blocks: int) -> list[np.ndarray]:
@@ -440,6 +477,18 @@ def similar_links(sets: DataFrame, similarity: float, tile: int = SET_TILE) -> D
     return spread.groupBy("clump", "part").applyInArrow(tie, "a binary, b binary")
 
 
+def band_links(classes: DataFrame) -> DataFrame:
+    """``a, b``: each row ``node, bands`` with the smallest row that shares a band with it."""
+    rows = classes.select(F.explode("bands").alias("band"), "node")
+    shared = (
+        rows.groupBy("band")
+        .agg(F.min("node").alias("a"), F.max("node").alias("z"))
+        .where(F.col("a") != F.col("z"))
+        .select("band", "a")
+    )
+    return rows.join(shared, "band").select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """``clump, key, own`` from ``clump, key, text``: the distinct hashes of a text's shingles."""
 
@@ -472,23 +521,31 @@ def near_duplicates(
     """``id, digest, fp, grp, component`` per row: the component is the smallest id that links
     reach, the row's own included, and ``grp`` a fingerprint that names the group.
 
-    With ``similarity`` links within the radius only say which texts are looked at together: among
-    all that such links connect, every pair whose sets of shingles have that Jaccard similarity
-    is tied, and no other.
+    With ``similarity`` links within the radius, and bands of smallest hashes that texts of any
+    length share (see ``BANDS``), only say which texts are looked at together: among all that such
+    links connect, every pair whose sets of shingles have that Jaccard similarity is tied, and no
+    other. ``grp`` is then a digest of a set.
 
     Null and empty texts have fingerprint zero and link like any other. Equal rows and copies share
     a fingerprint, which is compared once. A row with a null id belongs to a group; its id never
     names one, so a group of nulls alone has a null component. An empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius, radius + 2)
-    marked = cut(fingerprints(docs, id_col, text_col, width, words, distinct))
-    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("digest").alias("digest")))
-    pairs = links(classes, radius, tables, words, tile)
-    if similarity is not None:
-        clumps = components(pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+    banded = similarity is not None
+    marked = cut(fingerprints(docs, id_col, text_col, width, words, distinct, banded))
+    key = "key" if banded else "fp"
+    first = [F.first("fp").alias("fp"), F.first("bands").alias("bands")] if banded else []
+    classes = cut(marked.groupBy(key).agg(F.min("id").alias("least"), F.min("digest").alias("digest"), *first))
+    pairs = links(classes.select("fp").distinct() if banded else classes, radius, tables, words, tile)
+    if banded:
+        # Nodes are hashes of fingerprints: a collision only makes a clump larger.
+        node = F.xxhash64("fp")
+        near = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+        clumps = components(near.union(band_links(classes.select(node.alias("node"), "bands"))))
+        crowded = classes.groupBy(node.alias("id")).count().where("count > 1").select("id", F.col("id").alias("component"))
         chosen = cut(
-            classes.select(F.xxhash64("fp").alias("id"), F.col("fp").alias("key"), "digest")
-            .join(clumps, "id")
+            classes.select(node.alias("id"), "key", "digest")
+            .join(clumps.union(crowded.join(clumps, "id", "left_anti")), "id")
             .select("digest", "key", F.col("component").alias("clump"))
         )
         digest = text_digest(F.col(id_col), F.col(text_col))
@@ -500,19 +557,19 @@ def near_duplicates(
         )
         pairs = similar_links(cut(shingle_sets(texts, width)), similarity)
     groups = components(pairs)
-    linked = classes.join(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")), "fp")
+    linked = classes.join(groups.select(F.col("id").alias(key), F.col("component").alias("grp")), key)
     smallest = linked.groupBy("grp").agg(F.min("least").alias("smallest"))
-    named = linked.join(smallest, "grp").select("fp", "grp", "smallest")
+    named = linked.join(smallest, "grp").select(key, "grp", "smallest")
     # Written once, so that both sides of the last join are plain exchanges and a fingerprint that
     # very many rows share can be split.
     least = cut(
-        classes.join(named, "fp", "left").select(
-            "fp",
-            F.coalesce("grp", "fp").alias("grp"),
+        classes.join(named, key, "left").select(
+            key,
+            F.coalesce("grp", key).alias("grp"),
             F.coalesce("smallest", "least").alias("component"),
         )
     )
-    return marked.join(least, "fp").select("id", "digest", "fp", "grp", "component")
+    return marked.join(least, key).select("id", "digest", "fp", "grp", "component")
 
 
 def keep_one(

@@ -199,3 +199,29 @@ def test_near_copies_among_texts_on_a_template(frame, monkeypatch, tile):
     )
     assert {r.id: r.component for r in got.collect()} == {i: least[k] for (i, _), k in zip(rows, label.tolist())}
     assert 60 <= len(set(label.tolist())) < len(rows)
+
+
+def test_near_copies_of_every_length_against_brute_force(frame):
+    """The stage of the pipeline groups pairs just above the similarity at every length."""
+    import corpus_pipeline as c
+
+    rng, rows = random.Random(8), []
+    for n in [9, 10, 13, 14, 16, 18, 25, 40, 90, 250] * 24:
+        words = ["w%d" % rng.randrange(10**9) for _ in range(n)]
+        other, k = list(words), len(rows)
+        if n < 30:  # four of five shingles, or as many more as the similarity allows
+            other += ["x%d" % rng.randrange(10**9) for _ in range((n - 4) // 4)]
+        else:
+            places = max(1, (n - 4) // 47)
+            for j in range(places):
+                other[2 + j * (n - 4) // places] = "y%d" % rng.randrange(10**9)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    sets = [simhash.shingle_hashes(t.encode(), 5, True) for _, t in rows]
+    alike = [jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(0, len(rows), 2)]
+    assert sum(alike) > 150
+    got = simhash.near_duplicates(
+        frame(rows), width=c.SHINGLE, radius=c.RADIUS, words=c.WORDS, distinct=True,
+        tables=c.TABLES, similarity=c.SIMILARITY,
+    )
+    named = {r.id: r.component for r in got.collect()}
+    assert [named[k + 1] == k for k in range(0, len(rows), 2)] == alike
