@@ -37,6 +37,9 @@ PLACEHOLDERS = frozenset(
     "true false none null nil undefined changeme example placeholder redacted password secret token string".split()
 )
 MIN_SCORE = 0.6
+#: Weight of a literal that looks random, which is enough beside a weak name.
+RANDOM_WEIGHT = 1.2
+MIN_RANDOM, MIN_RANDOM_ENTROPY = 12, 3.0
 
 # A name begins where no word goes on, so a long word is tried once.
 _PAIR = re.compile(
@@ -44,6 +47,7 @@ _PAIR = re.compile(
     r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"'`,;#<>(){}\[\]]+))"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=~.\-]+\Z")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -68,13 +72,28 @@ def name_weight(name: str) -> float:
     return 1.0 if joined & STRONG else 0.5 if joined & WEAK else 0.0
 
 
+def looks_random(value: str) -> bool:
+    """Whether a long token changes between lower case, upper case and digits as no words do."""
+    if len(value) < MIN_RANDOM or not _TOKEN.match(value):
+        return False
+    runs = _NAME_PART.findall(value)
+    mean = sum(map(len, runs)) / max(1, len(runs))
+    kinds = (any(map(str.isdigit, value)), any(map(str.islower, value)), any(map(str.isupper, value)))
+    return sum(kinds) > 1 and mean <= (4.0 if kinds[0] else 2.7)
+
+
 def value_weight(value: str) -> float:
-    """How much a literal looks like a secret: 0 for short and placeholder values, else by entropy."""
+    """How much a literal looks like a secret: 0 for short and placeholder values, else by entropy.
+
+    A literal that looks random weighs more than 1, so that a name of ``WEAK`` is enough.
+    """
     plain = value.strip().lower()
     if len(plain) < 6 or plain in PLACEHOLDERS or set(plain) <= {"x", "*", ".", "-"} or value.startswith(("$", "<", "{", "%")):
         return 0.0
     total = len(plain)
     entropy = -sum(n / total * math.log2(n / total) for n in Counter(plain).values())
+    if entropy >= MIN_RANDOM_ENTROPY and looks_random(value.strip()):
+        return RANDOM_WEIGHT
     return 1.0 if entropy >= 2.5 and " " not in plain else 0.6
 
 

@@ -54,3 +54,20 @@ def test_rows_and_odd_texts(frame):
 def test_long_words_take_linear_time():
     assert secrets.scan("q" * 2_000_000 + "=") == []
     assert len(secrets.scan("=" + "z_" * 500_000)) == 0
+
+
+def test_weak_names_need_random_literals():
+    def literals(text):
+        return [text[s.start : s.end] for s in secrets.scan(text) if s.kind == "literal"]
+
+    assert literals('signing_key = "q8Zk2LmX07vTbR4e"') == ["q8Zk2LmX07vTbR4e"]
+    assert literals("auth: 'kQzXwPbLmRtYvHsD'") == ["kQzXwPbLmRtYvHsD"]
+    assert literals("SESSION_KEY=9f86d081-884c-7d65") == ["9f86d081-884c-7d65"]
+    assert literals('A = "q8Zk2LmX07vTbR4e"\nencryption_key = A\n') == ["q8Zk2LmX07vTbR4e"]
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = ["".join(rng.choices(letters, k=20)) for _ in range(300)]
+    assert sum(literals(f'cookie = "{t}"') == [t] for t in tokens) >= 297
+    for plain in ("user_session_2024", "getUserIdByName", "SessionManagerFactory", "primary identifier", "abcdef", "author-name-column"):
+        assert literals(f'sort_key = "{plain}"') == []
+    assert literals('title = "q8Zk2LmX07vTbR4e"') == []
