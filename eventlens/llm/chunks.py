@@ -19,9 +19,9 @@ from eventlens.llm.common import cut, free_name, text_digest
 
 #: Bytes that a cut depends on; one cut in 2**MASK_BITS bytes on average.
 WINDOW = 16
-MASK_BITS = 5
+MASK_BITS = 4
 #: Chunks are at least so many bytes (a nearer cut is passed over) and never more than MAX.
-MIN_CHUNK, MAX_CHUNK = 16, 512
+MIN_CHUNK, MAX_CHUNK = 8, 512
 #: A run of repeated chunks is a passage from this many bytes on.
 MIN_PASSAGE = 160
 #: Bytes that are hashed at once: bounds the memory of a very long text.

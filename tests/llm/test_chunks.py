@@ -77,3 +77,15 @@ def test_odd_rows_and_characters(frame):
     accents = "ñandú çà öß éè " * 200
     got = {r.doc_id: r.text for r in chunks.dedupe_passages(frame([(1, accents), (2, "x" + accents)])).collect()}
     assert set(got) == {1, 2} and len(got[2]) < len(accents)
+
+
+def test_short_passages_are_found():
+    """Random passages of 260 to 330 bytes between different surroundings."""
+    rng, missed = random.Random(7), 0
+    for _ in range(600):
+        passage = words(rng, 80)[: rng.randint(260, 330)]
+        one, two = (f"{words(rng, 60)} {passage} {words(rng, 60)}".encode() for _ in range(2))
+        known = set(chunks.chunk_digests(one)[1])
+        ends, digests = chunks.chunk_digests(two)
+        missed += not chunks.runs(ends, [d in known for d in digests], chunks.MIN_PASSAGE)
+    assert missed <= 12
