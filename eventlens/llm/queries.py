@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventlens.llm import chunks, decontaminate, langid, lines, mixing, quality, secrets, simhash, toxicity, urls
+from eventlens.llm import (
+    chunks, decontaminate, langid, lines, mixing, negatives, quality, secrets, simhash, toxicity, urls, variants,
+)
 from eventlens.llm.common import held_out, table
 
 #: Production parameters of the mixture: shares of all characters; other sources share the rest.
@@ -125,6 +127,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(negatives.usable(F.col("label"), F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    prepared = rows.select(
+        F.col("vec_id").alias("id"), label.alias("label"), negatives.quantised(F.col("embedding")).alias("vec")
+    )
+    return negatives.hard_negatives(prepared, F.col("id") % 100 == 0)
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.corpus_words(table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
