@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventlens.llm import (
-    chunks, decontaminate, langid, lines, mixing, negatives, quality, secrets, simhash, toxicity, urls, variants,
+    chunks, decontaminate, katz, langid, lines, mixing, negatives, quality, secrets, simhash, toxicity, urls, variants,
 )
 from eventlens.llm.common import held_out, table
 
@@ -127,6 +127,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.log_probabilities(docs, held_out(F.col("doc_id"), 5) != 1)
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(negatives.usable(F.col("label"), F.col("embedding")))
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
