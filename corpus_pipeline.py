@@ -13,46 +13,35 @@ from eventlens.llm import decontaminate, lines, mixing, simhash, toxicity
 from eventlens.llm.common import shared_folder, table
 from eventlens.llm.queries import MIX_EPOCHS, MIX_WEIGHTS
 
-#: Near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
-SHINGLE = 5
-SIMILARITY = 0.8
-WORDS = 4
-#: Differing bits of 256 up to which a pair is looked at: a similarity of 0.8 gives 38 on average,
-#: with a deviation of 6.
-RADIUS = 52
-#: 48 tables of 14 of the 256 bits: pairs that differ in 38 bits meet with a probability of 0.993,
-#: those that differ in 27 (a similarity of 0.9) with one of 0.99998.
-TABLES = simhash.sampled_tables(64 * WORDS, tables=48, size=14)
+#: Near duplicates: words of a shingle, and differing bits of the 64-bit fingerprints up to which two
+#: documents link.
+SHINGLE = 3
+RADIUS = 3
 TOXIC = 0.5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below ``TOXIC``; it learns from all that have a label."""
+    """Documents that the classifier scores below ``TOXIC``; it learns from all that have a label.
+
+    Null and empty texts are scored like any other; repeated rows share a verdict.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored, name = toxicity.score(docs, model)
     return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them."""
+    """Lines that many documents share stay in one of them; a null text stays null."""
     return lines.dedupe_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id.
 
-    Candidates come from 256-bit fingerprints; two documents link if the Jaccard similarity of
-    their shingle sets reaches ``SIMILARITY``.
+    Documents link if their SimHash fingerprints differ in ``RADIUS`` bits at most. Null and empty
+    texts link like any other, ties of ids fall by text, and repeated rows leave one.
     """
-    groups = simhash.near_duplicates(
-        docs,
-        width=SHINGLE,
-        radius=RADIUS,
-        words=WORDS,
-        distinct=True,
-        tables=TABLES,
-        similarity=SIMILARITY,
-    )
+    groups = simhash.near_duplicates(docs, width=SHINGLE, radius=RADIUS)
     return simhash.keep_one(docs, groups)
 
 
