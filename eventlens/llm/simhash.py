@@ -16,7 +16,6 @@ radius a tile gives a spanning forest, close pairs first: at most one pair per r
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,16 +31,11 @@ from eventlens.llm.components import components
 TILE = 16384
 #: Tiles of up to so many rows are compared together, row against shifted row.
 SMALL = 48
-#: Elements of the sets of a tile that are checked by similarity; a task holds two such tiles at most.
-SET_TILE = 1 << 19
 #: Rows of a block of the comparison inside a tile: bounds its memory.
 BLOCK = 128
 #: Shingles that are counted at once: bounds the memory of a very long text.
 CHUNK = 1 << 14
 SEED = 42
-#: Bands of smallest hashes: two sets of similarity s share one of them with a probability of
-#: 1 - (1 - s**HASHES)**BANDS, whatever their sizes. At 0.8 one pair in 190 million shares none.
-BANDS, HASHES = 48, 5
 #: Odd multipliers of a 64-bit mixing step, for words after the first.
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -86,24 +80,6 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
     return out
 
 
-_MINWISE = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * HASHES), dtype=np.uint64, endpoint=False)
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number per band of smallest hashes of a set; none of an empty set."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for k in range(0, len(hashes), 1024):
-        x = (hashes[k : k + 1024, None] ^ _MINWISE[0]) * (_MINWISE[1] | np.uint64(1))
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, HASHES).T:
-        key = (key ^ column) * np.uint64(MIX[0])
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
 def fingerprints(
     docs: DataFrame,
     id_col: str,
@@ -111,31 +87,19 @@ def fingerprints(
     width: int,
     words: int = 1,
     distinct: bool = False,
-    banded: bool = False,
 ) -> DataFrame:
     """``id, digest, fp`` per row: a digest of id and text, and ``8 * words`` bytes of fingerprint.
 
-    A null text has no shingles: zero bits. ``banded`` adds ``key``, a digest of the set of
-    shingles, and ``bands``.
+    A null text has no shingles: zero bits.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "digest", "fp"] + (["key", "bands"] if banded else [])
-    schema = f"id {id_type}, digest binary, fp binary" + (", key binary, bands array<long>" if banded else "")
+    schema = f"id {id_type}, digest binary, fp binary"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps, keys, banded_rows = [], [], []
-            for t in batch.column(2):
-                hashes = shingle_hashes(t.as_py(), width, distinct)
-                fps.append(fingerprint(hashes, words))
-                if banded:
-                    hashes = hashes if distinct else np.unique(hashes)
-                    keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                    banded_rows.append(bands(hashes))
+            fps = [fingerprint(shingle_hashes(t.as_py(), width, distinct), words) for t in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(fps, pa.binary())]
-            if banded:
-                columns += [pa.array(keys, pa.binary()), pa.array(banded_rows, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "fp"])
 
     return docs.select(
         F.col(id_col).alias("id"),
@@ -150,18 +114,6 @@ def block_tables(bits: int, radius: int, blocks: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in combinations(parts, blocks - radius)]
 
 
-def sampled_tables(bits: int, tables: int, size: int, seed: int = 7) -> list[np.ndarray]:
-    """Tables of randomly chosen bits, for radii that blocks cannot cover; see ``expected_recall``."""
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(bits, size, replace=False)) for _ in range(tables)]
-
-
-def expected_recall(bits: int, distance: int, tables: int, size: int) -> float:
-    """Probability that two fingerprints at a distance meet in a table of ``sampled_tables``."""
-    agree = np.prod([(bits - distance - i) / (bits - i) for i in range(size)])
-    return float(1 - (1 - agree) ** tables)
-
-
 def _matrix(fps: pa.Array, words: int) -> np.ndarray:
     data = b"".join(fps.to_pylist())
     return np.frombuffer(data, ">u8").reshape(-1, words).astype(np.uint64)
@@ -370,142 +322,6 @@ def links(fps: DataFrame, radius: int, tables: list[np.ndarray], words: int = 1,
     )
 
 
-def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Positions of ranges, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-
-
-def link_sets(sets: list[np.ndarray], similarity: float, split: int | None = None) -> Forest:
-    """A spanning forest of all pairs of sets with at least this Jaccard similarity.
-
-    With ``split`` only pairs of a set before that position and one from it on count. Pairs that
-    are already tied are passed over. A row is counted against all others only if one of them, not
-    yet tied to it, holds one of its rarest elements: similar sets share one of those.
-    """
-    m = len(sets)
-    forest = Forest(m)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    side = np.zeros(m, np.int8) if split is None else (np.arange(m) >= split).astype(np.int8)
-    if m < 2 or not sizes.sum():
-        return forest
-    row = np.repeat(np.arange(m), sizes)
-    flat = np.concatenate(sets)
-    filled = np.flatnonzero(sizes)
-    starts = np.cumsum(sizes) - sizes
-    for k in range(4 if m > 4 else 0):  # neighbours by a smallest hash: ties most near copies
-        mixed = flat.view(np.uint32) * np.uint32(0x9E3779B1 + 2 * 0x10001 * k)
-        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        least = np.minimum.reduceat(mixed, starts[filled])
-        order = np.argsort(least, kind="stable")
-        same = np.flatnonzero(least[order[1:]] == least[order[:-1]])
-        for x, y in zip(filled[order[same]].tolist(), filled[order[same + 1]].tolist()):
-            if forest.label[x] != forest.label[y] and (split is None or side[x] != side[y]):
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both >= similarity * (sizes[x] + sizes[y] - both):
-                    forest.add(np.array([x]), np.array([y]))
-    _, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-    by_column = np.argsort(column, kind="stable")
-    posting, first = row[by_column], np.cumsum(df) - df
-    for i in range(m):
-        if not sizes[i] or (forest.label == forest.label[i]).all():
-            continue
-        own = column[starts[i] : starts[i] + sizes[i]]
-        own = own[np.lexsort((own, df[own]))]
-        # The part that a similar set cannot miss entirely; the order is the same for all rows.
-        reach = own[: sizes[i] - int(np.ceil(similarity * sizes[i] - 1e-9)) + 1]
-        reach = reach[df[reach] > 1]
-        met = posting[_gather(first[reach], df[reach])]
-        if not ((forest.label[met] != forest.label[i]) & ((side[met] != side[i]) | (split is None))).any():
-            continue
-        own = own[df[own] > 1]
-        both = np.bincount(posting[_gather(first[own], df[own])], minlength=m)
-        near = (both > 0) & (both >= similarity * (sizes + sizes[i] - both))
-        near &= (np.arange(m) != i) if split is None else (side != side[i])
-        hits = np.flatnonzero(near)
-        forest.add(np.full(len(hits), i), hits)
-    return forest
-
-
-def similar_links(sets: DataFrame, similarity: float, tile: int = SET_TILE) -> DataFrame:
-    """``a, b``: pairs of keys that connect what all pairs of one clump with this similarity connect.
-
-    ``sets`` has distinct rows ``clump, key, own``. Clumps with more elements than ``tile`` are cut
-    by size and hash, and only cuts whose sizes can be similar meet, each pair in a task of its own.
-    """
-    # Sizes of similar sets differ by one band at most.
-    band = F.floor(F.log(F.greatest(F.size("own"), F.lit(1))) / (1e-9 - math.log(similarity))).cast("int")
-    placed = sets.withColumn("band", band)
-    cells = placed.groupBy("clump", "band").agg(F.sum(F.size("own")).alias("n"))
-    hot = cut(
-        cells.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int"))
-        .groupBy("clump")
-        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", "k")).alias("cells"))
-        .where(F.col("n") > tile)
-        .select("clump", "cells")
-    )
-    spread = (
-        placed.join(F.broadcast(hot) if hot.count() <= 10_000 else hot, "clump", "left")
-        .withColumn("split", F.expr("cast(pmod(xxhash64(key), element_at(filter(cells, c -> c.band = band), 1).k) as int)"))
-        .withColumn(
-            "meet",
-            F.expr(
-                "if(cells is null, array(named_struct('part', '', 'side', 0)),"
-                " flatten(transform(filter(cells, c -> abs(c.band - band) <= 1), c ->"
-                " transform(sequence(0, c.k - 1), s ->"
-                " if(c.band = band and s = split,"
-                " named_struct('part', concat('=', band, '.', split), 'side', 0),"
-                " if(c.band < band or (c.band = band and s < split),"
-                " named_struct('part', concat(c.band, '.', s, '-', band, '.', split), 'side', 1),"
-                " named_struct('part', concat(band, '.', split, '-', c.band, '.', s), 'side', 0)))))))"
-            ),
-        )
-        .select("clump", F.explode("meet").alias("m"), "key", "own")
-        .select("clump", F.col("m.part").alias("part"), F.col("m.side").alias("side"), "key", "own")
-    )
-
-    def tie(table: pa.Table) -> pa.Table:
-        table = table.sort_by("side").combine_chunks()
-        side = table["side"].to_numpy()
-        own = [x.values.to_numpy() for x in table["own"]]
-        whole = table["part"][0].as_py()[:1] in ("", "=")
-        split = None if whole else int((side == 0).sum())
-        a, b = link_sets(own, similarity, split).edges()
-        key = table["key"].combine_chunks()
-        return pa.table({"a": key.take(pa.array(a)), "b": key.take(pa.array(b))})
-
-    return spread.groupBy("clump", "part").applyInArrow(tie, "a binary, b binary")
-
-
-def band_links(classes: DataFrame) -> DataFrame:
-    """``a, b``: each row ``node, bands`` with the smallest row that shares a band with it."""
-    rows = classes.select(F.explode("bands").alias("band"), "node")
-    shared = (
-        rows.groupBy("band")
-        .agg(F.min("node").alias("a"), F.max("node").alias("z"))
-        .where(F.col("a") != F.col("z"))
-        .select("band", "a")
-    )
-    return rows.join(shared, "band").select("a", F.col("node").alias("b")).where(F.col("a") != F.col("b")).distinct()
-
-
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """``clump, key, own`` from ``clump, key, text``: the distinct hashes of a text's shingles."""
-
-    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            own = [
-                np.unique(shingle_hashes(t.as_py(), width, True).astype(np.uint32)).view(np.int32)
-                for t in batch.column(2)
-            ]
-            columns = [*batch.columns[:2], pa.array(own, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["clump", "key", "own"])
-
-    return texts.select("clump", "key", F.col("text").cast("binary").alias("text")).mapInArrow(
-        sets, "clump long, key binary, own array<int>"
-    )
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -516,60 +332,32 @@ def near_duplicates(
     distinct: bool = False,
     tables: list[np.ndarray] | None = None,
     tile: int = TILE,
-    similarity: float | None = None,
 ) -> DataFrame:
     """``id, digest, fp, grp, component`` per row: the component is the smallest id that links
     reach, the row's own included, and ``grp`` a fingerprint that names the group.
 
-    With ``similarity`` links within the radius, and bands of smallest hashes that texts of any
-    length share (see ``BANDS``), only say which texts are looked at together: among all that such
-    links connect, every pair whose sets of shingles have that Jaccard similarity is tied, and no
-    other. ``grp`` is then a digest of a set.
-
     Null and empty texts have fingerprint zero and link like any other. Equal rows and copies share
     a fingerprint, which is compared once. A row with a null id belongs to a group; its id never
     names one, so a group of nulls alone has a null component. An empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius, radius + 2)
-    banded = similarity is not None
-    marked = cut(fingerprints(docs, id_col, text_col, width, words, distinct, banded))
-    key = "key" if banded else "fp"
-    first = [F.first("fp").alias("fp"), F.first("bands").alias("bands")] if banded else []
-    classes = cut(marked.groupBy(key).agg(F.min("id").alias("least"), F.min("digest").alias("digest"), *first))
-    pairs = links(classes.select("fp").distinct() if banded else classes, radius, tables, words, tile)
-    if banded:
-        # Nodes are hashes of fingerprints: a collision only makes a clump larger.
-        node = F.xxhash64("fp")
-        near = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-        clumps = components(near.union(band_links(classes.select(node.alias("node"), "bands"))))
-        crowded = classes.groupBy(node.alias("id")).count().where("count > 1").select("id", F.col("id").alias("component"))
-        chosen = cut(
-            classes.select(node.alias("id"), "key", "digest")
-            .join(clumps.union(crowded.join(clumps, "id", "left_anti")), "id")
-            .select("digest", "key", F.col("component").alias("clump"))
-        )
-        digest = text_digest(F.col(id_col), F.col(text_col))
-        texts = (
-            docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
-            .join(chosen, "digest")
-            .groupBy("clump", "key")
-            .agg(F.first("text").alias("text"))
-        )
-        pairs = similar_links(cut(shingle_sets(texts, width)), similarity)
+    marked = cut(fingerprints(docs, id_col, text_col, width, words, distinct))
+    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least"), F.min("digest").alias("digest")))
+    pairs = links(classes.select("fp"), radius, tables, words, tile)
     groups = components(pairs)
-    linked = classes.join(groups.select(F.col("id").alias(key), F.col("component").alias("grp")), key)
+    linked = classes.join(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")), "fp")
     smallest = linked.groupBy("grp").agg(F.min("least").alias("smallest"))
-    named = linked.join(smallest, "grp").select(key, "grp", "smallest")
+    named = linked.join(smallest, "grp").select("fp", "grp", "smallest")
     # Written once, so that both sides of the last join are plain exchanges and a fingerprint that
     # very many rows share can be split.
     least = cut(
-        classes.join(named, key, "left").select(
-            key,
-            F.coalesce("grp", key).alias("grp"),
+        classes.join(named, "fp", "left").select(
+            "fp",
+            F.coalesce("grp", "fp").alias("grp"),
             F.coalesce("smallest", "least").alias("component"),
         )
     )
-    return marked.join(least, key).select("id", "digest", "fp", "grp", "component")
+    return marked.join(least, "fp").select("id", "digest", "fp", "grp", "component")
 
 
 def keep_one(

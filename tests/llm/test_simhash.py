@@ -105,123 +105,29 @@ def test_one_of_each_group_stays(frame):
     far = " ".join(f"v{k}" for k in range(200))
     rows = [(3, base), (4, near), (5, base), (6, far), (6, far), (2, None), (None, ""), (None, far)]
     docs = frame(rows)
-    groups = simhash.near_duplicates(
-        docs, width=5, radius=52, words=4, distinct=True, similarity=0.8,
-        tables=simhash.sampled_tables(256, 48, 14),
-    )
+    groups = simhash.near_duplicates(docs, width=1, radius=3)
     kept = simhash.keep_one(docs, groups)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, None), (3, base), (6, far)]
 
 
-def test_similarity_is_checked(frame):
-    """Pairs within the radius whose sets are too different stay apart."""
-    words = [f"w{k}" for k in range(400)]
-    rows = [(0, " ".join(words))]
-    for n in (2, 12, 60):
-        changed = list(words)
-        for k in range(n):
-            changed[(k * 400 // n) + 3] = f"x{n}.{k}"
-        rows.append((n, " ".join(changed)))
-    sets = {i: set(simhash.shingle_hashes(t.encode(), 5, True).tolist()) for i, t in rows}
-    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert alike(0, 2) > 0.9 > alike(0, 12) > 0.7 > 0.4 > alike(0, 60)
-    got = simhash.near_duplicates(
-        frame(rows), width=5, radius=120, words=4, distinct=True, similarity=0.8,
-        tables=simhash.sampled_tables(256, 60, 6),
-    )
-    named = {r.id: r.component for r in got.collect()}
-    assert named[2] == 0 and named[60] == 60
-    assert named[12] == (0 if alike(0, 12) >= 0.8 or alike(2, 12) >= 0.8 else 12)
-
-
-def jaccard(x, y):
-    both = len(np.intersect1d(x, y))
-    return both / max(1, len(x) + len(y) - both)
-
-
-def brute_force(sets, similarity):
-    truth = simhash.Forest(len(sets))
-    for i, x in enumerate(sets):
-        near = [j for j in range(i) if jaccard(x, sets[j]) >= similarity]
-        truth.add(np.full(len(near), i), np.array(near, np.int64))
-    return truth.label
-
-
-@pytest.mark.parametrize("seed", range(6))
-def test_sets_are_tied_as_by_brute_force(seed):
-    """Groups on a common template, nested sets and copies; whole and in two parts."""
-    rng = np.random.default_rng(seed)
-    sets = []
-    for _ in range(4):
-        template = rng.integers(-(1 << 31), 1 << 31, rng.integers(2, 80))
-        for _ in range(20):
-            keep = template[rng.random(len(template)) < rng.choice([0.85, 0.95])]
-            own = rng.integers(-(1 << 31), 1 << 31, rng.integers(0, 1 + len(template) // 4))
-            sets.append(np.unique(np.concatenate((keep, own))).astype(np.int32))
-    sets.append(np.empty(0, np.int32))
-    truth = brute_force(sets, 0.8)
-    forest = simhash.link_sets(sets, 0.8)
-    assert (forest.label == truth).all()
-    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in zip(*forest.edges()))
-    cut_at = 37
-    joined = simhash.link_sets(sets, 0.8, cut_at)
-    assert all(a < cut_at <= b or b < cut_at <= a for a, b in zip(*joined.edges()))
-    for part, shift in ((sets[:cut_at], 0), (sets[cut_at:], cut_at)):
-        joined.add(*(x + shift for x in simhash.link_sets(part, 0.8).edges()))
-    assert (joined.label == truth).all()
-
-
-@pytest.mark.parametrize("tile", [simhash.SET_TILE, 600])
-def test_near_copies_among_texts_on_a_template(frame, monkeypatch, tile):
-    """Every pair is within the radius, and only the planted ones reach the similarity."""
-    monkeypatch.setattr(simhash.similar_links, "__defaults__", (tile,))
-    rng = random.Random(5)
-    template = [f"t{k}" for k in range(240)]
-    rows = []
-    for i in range(60):
-        words = [*template, *(f"u{i}.{k}" for k in range(40))]
-        rows.append((i, " ".join(words)))
-        if i % 6 == 0:  # similar to its first, 0.84
-            own = list(words)
-            for k in range(5):
-                own[20 + 50 * k] = f"v{i}.{k}"
-            rows.append((1000 + i, " ".join(own)))
-    rng.shuffle(rows)
-    sets = [simhash.shingle_hashes(t.encode(), 5, True) for _, t in rows]
-    label = brute_force(sets, 0.8)
-    least = {}
-    for (i, _), k in zip(rows, label.tolist()):
-        least[k] = min(i, least.get(k, i))
-    got = simhash.near_duplicates(
-        frame(rows), width=5, radius=120, words=4, distinct=True, similarity=0.8,
-        tables=simhash.sampled_tables(256, 60, 6),
-    )
-    assert {r.id: r.component for r in got.collect()} == {i: least[k] for (i, _), k in zip(rows, label.tolist())}
-    assert 60 <= len(set(label.tolist())) < len(rows)
-
-
-def test_near_copies_of_every_length_against_brute_force(frame):
-    """The stage of the pipeline groups pairs just above the similarity at every length."""
-    import corpus_pipeline as c
+def test_stage_against_brute_force(spark, frame):
+    """The stage of the pipeline keeps the smallest id of each group of linked fingerprints."""
+    import corpus_pipeline
 
     rng, rows = random.Random(8), []
-    for n in [9, 10, 13, 14, 16, 18, 25, 40, 90, 250] * 24:
-        words = ["w%d" % rng.randrange(10**9) for _ in range(n)]
-        other, k = list(words), len(rows)
-        if n < 30:  # four of five shingles, or as many more as the similarity allows
-            other += ["x%d" % rng.randrange(10**9) for _ in range((n - 4) // 4)]
-        else:
-            places = max(1, (n - 4) // 47)
-            for j in range(places):
-                other[2 + j * (n - 4) // places] = "y%d" % rng.randrange(10**9)
-        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
-    sets = [simhash.shingle_hashes(t.encode(), 5, True) for _, t in rows]
-    alike = [jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(0, len(rows), 2)]
-    assert sum(alike) > 150
-    got = simhash.near_duplicates(
-        frame(rows), width=c.SHINGLE, radius=c.RADIUS, words=c.WORDS, distinct=True,
-        tables=c.TABLES, similarity=c.SIMILARITY,
-    )
-    named = {r.id: r.component for r in got.collect()}
-    assert [named[k + 1] == k for k in range(0, len(rows), 2)] == alike
+    for n in [0, 1, 2, 3, 9, 40, 250] * 8:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        other = list(words)
+        if n > 100:
+            other[rng.randrange(n)] = "changed"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    rng.shuffle(rows)
+    prints = [plain_fingerprint(t, 3) for _, t in rows]
+    component = [i for i, _ in rows]
+    for _ in rows:
+        for x in range(len(rows)):
+            component[x] = min(component[y] for y in range(len(rows)) if (prints[x] ^ prints[y]).bit_count() <= 3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(component))
+    assert 20 < len(set(component)) < len(rows) - 20
