@@ -21,7 +21,7 @@ from eventlens.llm.common import cut
 #: Rows of a shard, of a page, and children of a node. Shards are at most ``MAX_SHARDS``, so that
 #: their boxes can be broadcast (two vectors each); beyond, shards grow.
 SHARD_ROWS, MAX_SHARDS = 16_384, 4_096
-PAGE, FANOUT = 32, 16
+PAGE, FANOUT = 256, 16
 #: Queries that one task takes to a shard; more are dealt to further tasks.
 QUERY_ROWS = 20_000
 POSITIVES, NEGATIVES = 5, 5
@@ -116,57 +116,60 @@ class Tree:
             cuts = range(0, len(lo), FANOUT)
             self.levels.append((np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
 
-    def search(self, q: np.ndarray, windows: list[list], own: int) -> None:
-        """Add to each window ``[low, high, best]`` (scores in hundredths) its highest rows.
-
-        ``best`` is a heap of at most ``NEGATIVES`` pairs (score, -id), the worst one first.
-        """
+    def search(self, q: np.ndarray, windows: Windows, own: int) -> None:
+        """Add the highest rows of each window, best nodes first."""
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        tick = 0
-
-        def bounds(level: int, part: slice):
-            lo, hi = self.levels[level]
-            lo, hi = lo[part], hi[part]
-            return lo @ up + hi @ down, hi @ up + lo @ down
-
-        def wanted(low: float, high: float) -> float | None:
-            """The best score that a box can add, or None."""
-            best = None
-            for least, most, heap, size in windows:
-                # Strictly below the kth: an equal score may have a smaller id.
-                if 100 * high >= least and 100 * low <= most and not (len(heap) == size and high < heap[0][0]):
-                    best = max(min(high, most / 100), best if best is not None else -math.inf)
-            return best
-
         queue: list[tuple] = []
 
-        def push(level: int, part: slice) -> None:
-            nonlocal tick
-            for k, (low, high) in enumerate(zip(*bounds(level, part)), part.start):
-                value = wanted(low, high)
-                if value is not None:
-                    tick += 1
-                    heapq.heappush(queue, (-value, tick, level, k, low, high))
+        def push(level: int, start: int, stop: int) -> None:
+            lo, hi = (x[start:stop] for x in self.levels[level])
+            low, high = lo @ up + hi @ down, hi @ up + lo @ down
+            value = windows.value(low, high)
+            for k in np.flatnonzero(value > -np.inf):
+                heapq.heappush(queue, (-value[k], level, start + int(k), low[k : k + 1], high[k : k + 1]))
 
         top = len(self.levels) - 1
-        push(top, slice(0, len(self.levels[top][0])))
+        push(top, 0, len(self.levels[top][0]))
         while queue:
-            _, _, level, k, low, high = heapq.heappop(queue)
-            if wanted(low, high) is None:
+            _, level, k, low, high = heapq.heappop(queue)
+            if windows.value(low, high)[0] == -np.inf:
                 continue
             if level:
-                push(level - 1, slice(k * FANOUT, min(len(self.levels[level - 1][0]), (k + 1) * FANOUT)))
-                continue
-            scores = self.vecs[k] @ q
-            for least, most, heap, size in windows:
-                for j in np.flatnonzero((100 * scores >= least) & (100 * scores <= most)):
-                    row = (scores[j], -int(self.ids[k][j]))
-                    if -row[1] == own:
-                        continue
-                    if len(heap) < size:
-                        heapq.heappush(heap, row)
-                    elif row > heap[0]:
-                        heapq.heapreplace(heap, row)
+                push(level - 1, k * FANOUT, min(len(self.levels[level - 1][0]), (k + 1) * FANOUT))
+            else:
+                windows.add(self.vecs[k] @ q, self.ids[k], own)
+
+
+class Windows:
+    """Score windows of a query (bounds in hundredths), each with its best rows so far."""
+
+    def __init__(self, least, most, size: int):
+        self.least, self.most, self.size = np.asarray(least), np.asarray(most), size
+        self.heaps: list[list[tuple]] = [[] for _ in self.least]  # (score, -id), the worst first
+        self.kth = np.full(len(self.least), -np.inf)
+
+    def value(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The best score that each box can add; minus infinity outside all windows, or strictly
+        below the kth of those it meets (an equal score may have a smaller id)."""
+        low, high = low[:, None], high[:, None]
+        meets = (100 * high >= self.least) & (100 * low <= self.most) & (high >= self.kth)
+        return np.where(meets, np.minimum(high, self.most / 100), -np.inf).max(1)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, own: int) -> None:
+        column = scores[:, None]
+        fits = (100 * column >= self.least) & (100 * column <= self.most) & (column >= self.kth) & (ids != own)[:, None]
+        for w in np.flatnonzero(fits.any(0)):
+            rows = np.flatnonzero(fits[:, w])
+            if len(rows) > self.size:
+                rows = rows[np.lexsort((ids[rows], -scores[rows]))[: self.size]]
+            heap = self.heaps[w]
+            for row in zip(scores[rows].tolist(), (-ids[rows]).tolist()):
+                if len(heap) < self.size:
+                    heapq.heappush(heap, row)
+                elif row > heap[0]:
+                    heapq.heapreplace(heap, row)
+            if len(heap) == self.size:
+                self.kth[w] = heap[0][0]
 
 
 _FOUND = "id bigint, w int, other bigint, score double"
@@ -214,11 +217,11 @@ def _search(pages: DataFrame, queries: DataFrame, width: int, same: bool, size:
             for label, part in stored.groupby("label", sort=True)
         }
         for r in asked.itertuples(index=False):
-            windows = [[a, b, [], size] for a, b in zip(r.low, r.high)]
+            windows = Windows(r.low, r.high, size)
             for label, tree in trees.items():
                 if (label == r.label) == same:
                     tree.search(_stack([r.vec], width)[0], windows, r.id)
-            found += [(r.id, w, -i, s) for w, (_, _, heap, _) in enumerate(windows) for s, i in heap]
+            found += [(r.id, w, -i, s) for w, heap in enumerate(windows.heaps) for s, i in heap]
         return pd.DataFrame(found, columns=["id", "w", "other", "score"])
 
     routed = queries.select("id", "label", "vec", "low", "high").mapInPandas(route, _QUERY)
