@@ -20,6 +20,7 @@ from eventlens import schema
 from eventlens.functions.scalars import is_core_name, utc_date
 from eventlens.operators.dedupe import first_per_event
 from eventlens.operators.filters import utc
+from eventlens.sources.ledger import Ledger
 
 _SNAPSHOT = re.compile(r"^snapshot=(\d{12})$")
 
@@ -152,19 +153,14 @@ class Scratch:
         self.paths = self.paths[len(self.paths) - keep :]
 
 
-def known_ids(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids of ``new`` that are stored already.
+def unseen(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of ``new`` whose event_id is not in the frame ``stored``, which is read as a whole.
 
-    The stored side is the large one. When the new ids are below the broadcast threshold of the
-    session, this is a scan of one column without a shuffle, otherwise a shuffle join of two id
-    columns.
+    The stored side is the large one: it is reduced to the ids of ``new`` first. An append to a
+    stored table uses its ledger instead.
     """
-    return stored.select("event_id").join(new.select("event_id"), "event_id", "left_semi").distinct()
-
-
-def unseen(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose event_id is not stored yet."""
-    return new.join(known_ids(new, stored), "event_id", "left_anti")
+    known = stored.select("event_id").join(new.select("event_id"), "event_id", "left_semi").distinct()
+    return new.join(known, "event_id", "left_anti")
 
 
 #: Refresh jobs that follow the dates of new events, each with its own list.
@@ -207,10 +203,14 @@ def append_staged(batch: DataFrame, path: str) -> int:
     """
     spark = batch.sparkSession
     landing = uuid.uuid4().hex
+    ledger = Ledger(spark, path)
+    ledger.recover(read_events(spark, path))
     _touch(batch, path, landing)
     columns = [field.name for field in schema.EVENTS_RAW]
-    with staged(known_ids(batch, read_events(spark, path)), "known") as known:
+    ids = batch.select("event_id").distinct()
+    with staged(ledger.seen(ids), "known") as known:
         fresh = first_per_event(batch).join(known, "event_id", "left_anti")
+        pending = ledger.begin(fresh.select("event_id", utc_date(F.col("occurred_at")).alias("event_date")))
         (
             _with_partitions(fresh.select(*columns))
             .hint("rebalance", "event_date", "event_group")
@@ -218,8 +218,9 @@ def append_staged(batch: DataFrame, path: str) -> int:
             .partitionBy("event_date", "event_group")
             .parquet(path)
         )
+        ledger.commit(pending)
         _touch(batch, path, landing)
-        return batch.agg(F.count_distinct("event_id")).first()[0] - known.count()
+        return ids.count() - known.count()
 
 
 def append_events(events: DataFrame, path: str) -> int:
@@ -230,8 +231,8 @@ def append_events(events: DataFrame, path: str) -> int:
 
 def reset(spark: SparkSession, raw_path: str, retention_path: str, empty_retention: DataFrame):
     """Empty the raw events and publish an empty retention table."""
-    hadoop_path, fs = _path(spark, raw_path)
-    fs.delete(hadoop_path, True)
+    remove(spark, raw_path)
+    Ledger(spark, raw_path).clear()
     # The next refresh of either kind has to build everything.
     for follower in FOLLOWERS:
         spark.range(1).write.mode("overwrite").parquet(f"{raw_path}_touched/{follower}/{EVERYTHING}")
@@ -243,11 +244,15 @@ def prune_raw(spark: SparkSession, path: str, as_of, days: int) -> list[str]:
     hadoop_path, fs = _path(spark, path)
     if not fs.exists(hadoop_path):
         return []
-    first_kept = (utc(as_of) - timedelta(days=days)).date().isoformat()
+    kept_from = (utc(as_of) - timedelta(days=days)).date()
+    first_kept = kept_from.isoformat()
+    ledger = Ledger(spark, path)
+    ledger.recover(read_events(spark, path))
     dropped = []
     for status in fs.listStatus(hadoop_path):
         name = status.getPath().getName()
         if name.startswith("event_date=") and name.split("=")[1] < first_kept:
             fs.delete(status.getPath(), True)
             dropped.append(name)
+    ledger.set_horizon(kept_from)
     return sorted(dropped)
