@@ -419,7 +419,7 @@ def all_oracles() -> dict[str, str]:
         f"WHEN '{key}' THEN {_hmac_sql(secret)}" for key, secret in data.SECRETS.items()
     )
     alpha_hmac = _hmac_sql(data.SECRETS["key-alpha"])
-    return {
+    found = {
         "sessions_daily_table": f"{sessions16} SELECT * FROM sessions",
         "sessions_daily_public_all": f"""{sessions16}
 SELECT metric_date, {hidden}, BOOL_OR(suppressed) AS suppressed
@@ -820,3 +820,12 @@ UNION ALL SELECT 'matches', game_id, COUNT(*) FROM ev
 WHERE event_name = 'match_end' AND consent_analytics AND day = DATE '2024-01-30' GROUP BY 2
 UNION ALL SELECT 'cohorts', game_id, CAST(SUM(cohort_size) AS BIGINT) FROM cohorts GROUP BY 2""",
     }
+    # A stream that has ended has the rows of the batch operator.
+    for stream, batch in (
+        ("stream_sessions", "sessionize"),
+        ("stream_replay", "replay_flags"),
+        ("stream_orphans", "orphan_matches"),
+        ("stream_alerts", "service_alerts"),
+    ):
+        found[stream] = found[batch]
+    return found

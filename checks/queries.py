@@ -667,7 +667,7 @@ def ingest_rejects(spark, sf_dir):
     folder = _scratch(spark, "ingest-rejects")
     path = _landed_requests(spark, sf_dir, folder)
     bad = _judged(spark, sf_dir).filter("code = 'bad_request'")
-    bad.select(F.concat(F.lit("no json "), "batch_id")).coalesce(1).write.mode("append").text(path)
+    bad.select(F.concat(F.lit("no json "), "batch_id")).write.mode("append").text(path)
     for _ in range(2):
         report = ingest.ingest(
             batches.read_requests(spark, path), data.credentials(spark), f"{folder}/events", SETTINGS, f"{folder}/rejects"
@@ -717,13 +717,101 @@ def _stored_events(spark, sf_dir, folder: str) -> str:
 
 @query
 def stream_sessions_daily(spark, sf_dir):
-    """Daily session statistics kept by the streaming job."""
+    """Daily session statistics kept by the streaming job over two landings, the second with late
+    events of all dates and of players that the first has counted."""
     folder = _scratch(spark, "stream-sessions")
-    raw = _stored_events(spark, sf_dir, folder)
-    target = f"{folder}/session_days"
-    streaming.session_days_stream(spark, raw, target, f"{folder}/state").awaitTermination()
-    return spark.read.parquet(target).select(
-        "metric_date", "game_id", "session_count", "active_players", "avg_session_length_s"
+    raw, target = f"{folder}/raw", f"{folder}/session_days"
+    events = _storable(spark, sf_dir)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(4)) == 0
+    for part in (~late, late):
+        tables.append_events(events.filter(part), raw)
+        streaming.session_days_stream(spark, raw, target, f"{folder}/state").awaitTermination()
+    return streaming.session_days(spark, target)
+
+
+def _in_files(frame: DataFrame, path: str, ts: str, files: int, *closing: DataFrame) -> DataFrame:
+    """A stream over a written frame: files by ranges of time, one micro-batch each, then the rows
+    that let the watermark pass all others."""
+    spark = frame.sparkSession
+    edges = frame.agg(F.percentile_approx(F.unix_micros(ts), [k / files for k in range(1, files)])).first()[0] or []
+    part = sum(((F.unix_micros(ts) > e).cast("int") for e in edges), F.lit(0))
+    for k in range(files):
+        frame.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    for rows in closing:
+        rows.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream has appended when its input has ended."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state")
+    query.trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _later():
+    """An instant behind all events."""
+    return F.expr("timestamp '2100-01-01 00:00:00'")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Numbered sessions of a stream whose events arrive up to an hour out of order."""
+    folder = _scratch(spark, "numbered-sessions")
+    events = data.events(spark, sf_dir).select(
+        F.col("event_id").cast("string").alias("event_id"), "player_id_hash", "event_name", "occurred_at"
+    )
+    shift = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(3600)).cast("decimal(18,6)"))
+    arriving = events.withColumn("arrived", F.col("occurred_at") + shift)
+    last = events.limit(1).withColumns(
+        {"player_id_hash": F.lit("~"), "occurred_at": _later(), "arrived": _later()}
+    )
+    stream = _in_files(arriving, f"{folder}/in", "arrived", 4, last)
+    # An event is numbered by the number in its id where two of a player share an instant.
+    padded = stream.withColumn("event_id", F.lpad("event_id", 20, "0"))
+    numbered = _run(streaming.numbered_sessions(padded, "2 hours"), folder)
+    return numbered.filter("player_id_hash <> '~'").select(F.col("event_id").cast("bigint").alias("event_id"), "session_no")
+
+
+@query
+def stream_replay(spark, sf_dir):
+    """Replay flags of a stream of requests with a state that leaves after the window."""
+    folder = _scratch(spark, "stream-replay")
+    log = requests.timestamp_reasons(data.request_log(spark, sf_dir), SETTINGS.replay_window_s)
+    kept = log.select(F.col("request_id").cast("string").alias("request_id"), "api_key_id", "nonce", "received_at", "time_reason")
+    stream = _in_files(kept, f"{folder}/in", "received_at", 3)
+    flagged = streaming.replay_windows(stream, SETTINGS.replay_window_s, "1 hour", F.col("time_reason").isNull())
+    return _run(flagged, folder).withColumn("request_id", F.col("request_id").cast(log.schema["request_id"].dataType))
+
+
+@query
+def stream_orphans(spark, sf_dir):
+    """As ``orphan_matches``, by a stream that waits a day for the starts of an end."""
+    folder = _scratch(spark, "stream-orphans")
+    events = data.events(spark, sf_dir).select("event_id", "game_id", "player_id_hash", "event_name", "occurred_at")
+    started = F.when(F.col("event_name") == "character_selected", "match_start")
+    renamed = events.withColumn("event_name", F.coalesce(started, F.col("event_name")))
+    ends = [
+        renamed.limit(1).withColumns({"player_id_hash": F.lit("~"), "occurred_at": _later(), "event_name": F.lit(name)})
+        for name in ("match_start", "match_end")
+    ]
+    stream = _in_files(renamed, f"{folder}/in", "occurred_at", 3, ends[0].union(ends[1]))
+    match_id = F.concat_ws(":", "player_id_hash", F.to_date("occurred_at").cast("string"))
+    found = streaming.orphan_stream(stream, match_id, "1 hour", "24 hours").select("event_id", "game_id")
+    return _run(found, folder)
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """Service alerts kept by a stream in three batches, the last one with late requests."""
+    folder = _scratch(spark, "stream-alerts")
+    log = data.request_log(spark, sf_dir).select("service", "received_at", "status_code", "latency_ms")
+    late = F.pmod(F.xxhash64("received_at"), F.lit(5)) == 0
+    path = f"{folder}/in"
+    stream = _in_files(log.filter(~late), path, "received_at", 2, log.filter(late))
+    streaming.alert_stream(stream, f"{folder}/cells", f"{folder}/state", "3650 days").awaitTermination()
+    return streaming.live_alerts(spark, f"{folder}/cells").select(
+        "service", "alert", _iso("window_start"), "minutes", "requests", "breaches", "firing"
     )
 
 

@@ -22,14 +22,10 @@ def _rounded_mean(total, count):
     return F.coalesce(F.when(count > 0, mean), F.lit(0)).cast("bigint")
 
 
-def session_stats(events: DataFrame) -> DataFrame:
-    """Sessions, distinct players and mean length per UTC date and game.
-
-    Rows are first combined per player, so the distinct count is a plain count afterwards and one
-    dominant game is spread over its players.
-    """
+def player_sessions(events: DataFrame) -> DataFrame:
+    """Sessions and sums of lengths per UTC date, game and player."""
     length = count_text(F.col("props_json"), "duration_s")
-    per_player = (
+    return (
         consented(named(events, "session_end"))
         .groupBy(event_day(events).alias("metric_date"), "game_id", "player_id_hash")
         .agg(
@@ -38,11 +34,32 @@ def session_stats(events: DataFrame) -> DataFrame:
             F.count(length).alias("length_count"),
         )
     )
-    return per_player.groupBy("metric_date", "game_id").agg(
-        F.sum("sessions").alias("session_count"),
-        F.count("player_id_hash").alias("active_players"),
-        _rounded_mean(F.sum("length_sum"), F.sum("length_count")).alias("avg_session_length_s"),
+
+
+def session_figures(sums: DataFrame) -> DataFrame:
+    """Figures per date and game from their ``sessions``, ``players`` and sums of lengths."""
+    return sums.select(
+        "metric_date",
+        "game_id",
+        F.col("sessions").alias("session_count"),
+        F.col("players").alias("active_players"),
+        _rounded_mean(F.col("length_sum"), F.col("length_count")).alias("avg_session_length_s"),
+    )
+
+
+def session_stats(events: DataFrame) -> DataFrame:
+    """Sessions, distinct players and mean length per UTC date and game.
+
+    Rows are first combined per player, so the distinct count is a plain count afterwards and one
+    dominant game is spread over its players.
+    """
+    sums = player_sessions(events).groupBy("metric_date", "game_id").agg(
+        F.sum("sessions").alias("sessions"),
+        F.count("player_id_hash").alias("players"),
+        F.sum("length_sum").alias("length_sum"),
+        F.sum("length_count").alias("length_count"),
     )
+    return session_figures(sums)
 
 
 def sessions_daily(

@@ -154,13 +154,22 @@ def service_alerts(log: DataFrame, rules: tuple = fv.SERVICE_ALERTS) -> DataFram
     windows of its length; the alert fires when their share is above the threshold. The log is
     reduced to counts per service and minute once, and the windows are sums of those.
     """
+    return alerts_of_cells(minute_cells(log, rules, F.date_trunc("minute", "received_at")), rules)
+
+
+def minute_cells(log: DataFrame, rules: tuple, minute: Column) -> DataFrame:
+    """Requests, errors and slow requests per service and minute, of batches and streams."""
     slow_ms = {limit for *_, limit in rules if limit is not None}
-    minute = F.date_trunc("minute", "received_at")
     cells = log.groupBy("service", minute.alias("minute")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("status_code") >= 500).alias("errors"),
         *[F.count_if(F.col("latency_ms") > ms).alias(f"slow_{ms}") for ms in sorted(slow_ms)],
     )
+    return cells
+
+
+def alerts_of_cells(cells: DataFrame, rules: tuple = fv.SERVICE_ALERTS) -> DataFrame:
+    """The alerts of ``service_alerts`` from its counts per service and minute."""
     entries = []
     for service, name, minutes, per_mille, limit in rules:
         start = F.timestamp_seconds(F.floor(F.unix_seconds("minute") / (60 * minutes)) * (60 * minutes))

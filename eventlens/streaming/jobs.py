@@ -14,13 +14,16 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from eventlens import fixed_values as fv
 from eventlens import schema
 from eventlens.config import Settings, use_utc
-from eventlens.operators.daily import session_stats
-from eventlens.operators.filters import named
+from eventlens.operators.daily import player_sessions, session_figures
 from eventlens.operators.replay import replay_flags
 from eventlens.operators.sessions import idle_times
 from eventlens.plans.ingest import ingest
 from eventlens.sources.batches import TEXT_OPTION, WITH_TEXT, marked_requests
-from eventlens.sources.tables import MAX_TOUCHED, Scratch, exists, read_events, remove
+from eventlens.sources.tables import MAX_TOUCHED, Scratch, exists, remove
+from eventlens.streaming.stateful import _numbered
+
+PLAYER_DAY = ("metric_date", "game_id", "player_id_hash")
+PLAYER_DAY_SCHEMA = "metric_date date, game_id string, player_id_hash string"
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -63,31 +66,61 @@ def session_days_stream(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Session statistics per date, kept current as events land, also for late events.
+    """Session statistics per date and game, kept current as events land, also for late events.
 
-    A batch only tells which dates changed. Those dates are computed again from the stored events,
-    because distinct players cannot be added up; all other dates are neither read nor written.
+    Sums are added up. A player counts once a date and game, so the job keeps the players it has
+    counted by date; a batch looks up its own players there and appends the new ones. Neither stored
+    events nor dates without new events are read. Read the result with ``session_days``.
     """
     landed = use_utc(spark).readStream.schema(schema.EVENTS_STORED).parquet(raw_path)
-
-    def recompute(batch: DataFrame, _: int) -> None:
-        # As literals the dates prune the partitions for sure; too many of them stay a join.
-        changed = named(batch, "session_end").select("event_date").distinct()
-        few = changed.limit(MAX_TOUCHED + 1).collect()
-        stored = read_events(batch.sparkSession, raw_path)
-        if len(few) <= MAX_TOUCHED:
-            days = stored.filter(F.col("event_date").isin([row.event_date for row in few]))
-        else:
-            days = stored.join(changed, "event_date", "left_semi")
+    players, totals = f"{target}/players", f"{target}/totals"
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, scratch = batch.sparkSession, Scratch(batch.sparkSession, "session-days")
+        made = scratch.write(player_sessions(batch))
+        known = made.select(*PLAYER_DAY).limit(0)
+        if exists(spark, players):
+            # As literals the dates prune the partitions for sure; too many of them stay a join.
+            days = [r.metric_date for r in made.select("metric_date").distinct().limit(MAX_TOUCHED + 1).collect()]
+            counted = spark.read.schema(f"{PLAYER_DAY_SCHEMA}, batch bigint").parquet(players)
+            if len(days) <= MAX_TOUCHED:
+                counted = counted.filter(F.col("metric_date").isin(days))
+            # A batch that is run again does not find the players it has written itself.
+            counted = counted.filter(F.col("batch") < number).select(*PLAYER_DAY)
+            known = counted.join(made.select(*PLAYER_DAY), list(PLAYER_DAY), "left_semi")
+        marked = scratch.write(made.join(known.withColumn("known", F.lit(True)), list(PLAYER_DAY), "left"))
         (
-            session_stats(days)
+            marked.filter("known is null").select(*PLAYER_DAY, F.lit(number).cast("bigint").alias("batch"))
+            .hint("rebalance", "metric_date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("metric_date")
-            .parquet(target)
+            .partitionBy("metric_date", "batch")
+            .parquet(players)
+        )
+        sums = marked.groupBy("metric_date", "game_id").agg(
+            F.sum("sessions").alias("sessions"),
+            F.count_if(F.col("known").isNull()).alias("players"),
+            F.sum("length_sum").cast("decimal(38,6)").alias("length_sum"),
+            F.sum("length_count").alias("length_count"),
         )
+        before = _numbered(spark, totals, number)
+        if before:
+            sums = spark.read.parquet(f"{totals}/batch={before[-1]}").unionByName(sums).groupBy("metric_date", "game_id").agg(
+                *[F.sum(c).cast(kind).alias(c) for c, kind in sums.dtypes[2:]]
+            )
+        sums.write.mode("overwrite").parquet(f"{totals}/batch={number}")
+        scratch.clear()
+        # The batch may be run again, which needs the sums before it, and no earlier ones.
+        for old in before[:-1]:
+            remove(spark, f"{totals}/batch={old}")
+
+    return _start(landed.writeStream.foreachBatch(merge), checkpoint, trigger)
+
 
-    return _start(landed.writeStream.foreachBatch(recompute), checkpoint, trigger)
+def session_days(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of ``session_stats`` that ``session_days_stream`` keeps."""
+    folder = f"{target}/totals"
+    return session_figures(spark.read.parquet(f"{folder}/batch={_numbered(spark, folder, 2**62)[-1]}"))
 
 
 def idle_sessions(

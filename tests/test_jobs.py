@@ -125,12 +125,14 @@ def test_session_days_stream_follows_late_events(spark, tmp_path):
     def land_and_run(events):
         tables.append_events(frame(spark, events), raw)
         streaming.session_days_stream(spark, raw, target, state).awaitTermination()
-        return rows(spark.read.parquet(target).orderBy("metric_date"), "session_count", "active_players")
+        found = streaming.session_days(spark, target).orderBy("metric_date")
+        return rows(found, "session_count", "active_players", "avg_session_length_s")
 
     first = [event("session_end", f"2026-04-0{d}T10:00:00", "p", duration_s=5) for d in (1, 2)]
-    assert land_and_run(first) == [(1, 1), (1, 1)]
-    late = [event("session_end", "2026-04-01T11:00:00", p, duration_s=5) for p in ("p", "q")]
-    assert land_and_run(late) == [(3, 2), (1, 1)]
+    assert land_and_run(first) == [(1, 1, 5), (1, 1, 5)]
+    late = [event("session_end", "2026-04-01T11:00:00", p, duration_s=8) for p in ("p", "q")]
+    assert land_and_run(late) == [(3, 2, 7), (1, 1, 5)]
+    assert land_and_run([event("level_end", "2026-04-01T11:00:00", "p")]) == [(3, 2, 7), (1, 1, 5)]
 
 
 def test_idle_sessions_stream_equals_batch(spark, tmp_path):
