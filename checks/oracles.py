@@ -828,4 +828,19 @@ UNION ALL SELECT 'cohorts', game_id, CAST(SUM(cohort_size) AS BIGINT) FROM cohor
         ("stream_alerts", "service_alerts"),
     ):
         found[stream] = found[batch]
+    found["prune_then_refresh"] = found["refresh_incremental"]
+    found["purge_job"] = f"""{EV},
+kept AS (SELECT * FROM ev WHERE substr(player_id_hash, 1, 1) NOT IN ('0', '7', 'c')),
+stored AS (SELECT game_id, COUNT(*) AS events, COUNT(DISTINCT player_id_hash) AS players FROM kept GROUP BY 1),
+ends AS (
+  SELECT game_id, COUNT(*) AS sessions, COUNT(DISTINCT (day, player_id_hash)) AS player_days
+  FROM kept WHERE event_name = 'session_end' AND consent_analytics GROUP BY 1
+),
+starts AS (
+  SELECT game_id, COUNT(DISTINCT player_id_hash) AS cohort_players
+  FROM kept WHERE event_name = 'session_start' AND consent_analytics GROUP BY 1
+)
+SELECT game_id, events, players, sessions, player_days, cohort_players,
+       (SELECT COUNT(*) FROM ev) - (SELECT COUNT(*) FROM kept) AS removed, CAST(0 AS BIGINT) AS again
+FROM stored JOIN ends USING (game_id) JOIN starts USING (game_id)"""
     return found

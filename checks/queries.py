@@ -892,6 +892,11 @@ def refresh_incremental(spark, sf_dir):
     for part in (~late, late):
         tables.append_events(events.filter(part), raw)
         refresh.run_job(spark, "refresh:all", raw, made, SETTINGS_16, AS_OF, incremental=True)
+    return _published(spark, made)
+
+
+def _published(spark, made: str) -> DataFrame:
+    """All rows of the four published tables."""
     refresh.register_views(spark, made)
     return spark.sql(
         """
@@ -909,6 +914,46 @@ def refresh_incremental(spark, sf_dir):
     )
 
 
+@query
+def prune_then_refresh(spark, sf_dir):
+    """As ``refresh_incremental``, with the oldest dates of the raw events deleted after the first
+    refresh; a full and an incremental refresh follow. What was derived of deleted dates stays."""
+    folder = _scratch(spark, "prune-refresh")
+    raw, made = f"{folder}/raw", f"{folder}/tables"
+    events = _storable(spark, sf_dir)
+    late = (F.pmod(F.col("event_id").cast("bigint"), F.lit(10)) == 3) & F.to_date("occurred_at").between("2024-01-20", "2024-01-24")
+    tables.append_events(events.filter(~late), raw)
+    refresh.run_job(spark, "refresh:all", raw, made, SETTINGS_16, AS_OF)
+    refresh.run_job(spark, "prune:raw", raw, made, SETTINGS_16, AS_OF, days=14)
+    refresh.run_job(spark, "refresh:all", raw, made, SETTINGS_16, AS_OF)
+    tables.append_events(events.filter(late), raw)
+    refresh.run_job(spark, "refresh:all", raw, made, SETTINGS_16, AS_OF, incremental=True)
+    return _published(spark, made)
+
+
+@query
+def purge_job(spark, sf_dir):
+    """Published cohorts and session days, and what is stored, after some players were deleted."""
+    folder = _scratch(spark, "purge")
+    raw, made = _stored_events(spark, sf_dir, folder), f"{folder}/tables"
+    refresh.run_job(spark, "refresh:all", raw, made, SETTINGS_16, AS_OF)
+    players = data.events(spark, sf_dir).select("player_id_hash").distinct()
+    gone = players.filter(F.substring("player_id_hash", 1, 1).isin("0", "7", "c"))
+    report = refresh.run_job(spark, "purge:players", raw, made, SETTINGS_16, AS_OF, opted_out=gone).first()
+    # Events of deleted players that are sent again do not come back.
+    again = tables.append_events(_storable(spark, sf_dir), raw)
+    stored = tables.read_events(spark, raw)
+    rows = stored.groupBy("game_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("player_id_hash").alias("players"))
+    refresh.register_views(spark, made)
+    kept = spark.sql(
+        """select game_id, sum(session_count) as sessions, sum(active_players) as player_days from sessions_daily group by 1"""
+    )
+    cohorts = spark.sql("select game_id, sum(cohort_size) as cohort_players from retention_cohorts group by 1")
+    return rows.join(kept, "game_id").join(cohorts, "game_id").withColumns(
+        {"removed": F.lit(report.removed_count), "again": F.lit(again).cast("bigint")}
+    )
+
+
 @query
 def refresh_all_job(spark, sf_dir):
     """Land the events, run ``refresh:all`` and read the published tables through SQL views."""

@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import time
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventlens.config import Settings, use_utc
 from eventlens.operators.daily import category_popularity, sessions_daily, summary_current
 from eventlens.operators.filters import utc
 from eventlens.operators.retention import active_days, cohorts_of_days
+from eventlens.plans.ingest import seed
 from eventlens.sources.dimensions import calendar, new_dates
-from eventlens.sources.tables import exists, latest, publish, read_events, remove, touched
+from eventlens.sources.ledger import Ledger
+from eventlens.sources.tables import days_of, exists, latest, prune_raw, publish, purge_players, read_events, remove, reset, staged, touched
 
 ROLLING = ("sessions_daily", "character_popularity", "metrics_summary_current")
 RETENTION = "retention_cohorts"
 CALENDAR = "dim_dates"
 PLAYER_DAYS = "player_days"
+PLAYER_DAYS_SCHEMA = "game_id string, player_id_hash string, day date"
 
 
 def _build(name: str, events: DataFrame, dates: DataFrame, settings: Settings, as_of: datetime):
@@ -42,24 +45,34 @@ def ensure_calendar(spark: SparkSession, tables: str, settings: Settings) -> int
     return added
 
 
-def _player_days(spark: SparkSession, raw: str, tables: str, days: list | None) -> DataFrame:
-    """Active days of all players, kept as a table by day; only the given days are made anew."""
+def _player_days(spark: SparkSession, raw: str, tables: str, days: list | None, frozen: date | None) -> DataFrame:
+    """Active days of all players, kept as a table by day; only the given days are made anew.
+
+    Days before ``frozen``, whose raw events were deleted, stay as they are.
+    """
     path = f"{tables}/{PLAYER_DAYS}"
     events = read_events(spark, raw)
-    if days is None or not exists(spark, f"{path}/_SUCCESS"):
-        made = active_days(events)
-    else:
+    known = exists(spark, f"{path}/_SUCCESS")
+    mode = "dynamic"
+    if known and days is not None:
+        for day in days:  # a day that has lost its last event gives no row
+            remove(spark, f"{path}/day={day.isoformat()}")
         made = active_days(events.filter(F.col("event_date").isin(days)))
+    elif known and frozen is not None:
+        for day in days_of(spark, path, frozen):
+            remove(spark, f"{path}/day={day}")
+        made = active_days(events.filter(F.col("event_date") >= F.lit(frozen)))
+    else:
+        mode, made = "static", active_days(events)
     (
         made.distinct()
         .hint("rebalance", "day")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static" if days is None else "dynamic")
+        .option("partitionOverwriteMode", mode)
         .partitionBy("day")
         .parquet(path)
     )
-    schema = "game_id string, player_id_hash string, day date"
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(PLAYER_DAYS_SCHEMA).parquet(path)
 
 
 def refresh_table(
@@ -77,6 +90,10 @@ def refresh_table(
     dates are computed and the others are taken from the last snapshot. A retained cohort depends
     on all active days of its players; these are kept in a table of their own, of which only the
     given days are computed. The current summary reads two dates in any case.
+
+    Dates before the horizon of ``prune_raw`` have no raw events any more. What was derived of them
+    is history: with or without ``days`` their rows are taken over as they are, and late events of
+    such dates change nothing. Only a table that was never published is made of what is there.
     """
     if name not in (*ROLLING, RETENTION):
         raise ValueError(f"unsupported derived table: {name}")
@@ -84,18 +101,25 @@ def refresh_table(
     events = read_events(spark, raw)
     dates = spark.read.parquet(f"{tables}/{CALENDAR}") if name == "sessions_daily" else None
     known = exists(spark, f"{tables}/{name}")
+    frozen = Ledger(spark, raw).horizon()
+    if days is not None and frozen is not None:
+        days = [day for day in days if day >= frozen]
     if name == RETENTION:
-        table = cohorts_of_days(_player_days(spark, raw, tables, days if known else None), settings.k)
-    elif days is None or not known or name == "metrics_summary_current":
+        table = cohorts_of_days(_player_days(spark, raw, tables, days if known else None, frozen), settings.k)
+    elif not known or name == "metrics_summary_current" or (days is None and frozen is None):
         table = _build(name, events, dates, settings, as_of)
     else:
         before = latest(spark, f"{tables}/{name}").drop("last_refreshed_at")
+
+        def anew(day: Column) -> Column:
+            return day >= F.lit(frozen) if days is None else day.isin(days)
+
         if dates is not None:
             have = before.select(F.col("metric_date").alias("calendar_date")).distinct()
             added = dates.join(have, "calendar_date", "left_anti")
-            dates = dates.filter(F.col("calendar_date").isin(days)).unionByName(added).distinct()
-        made = _build(name, events.filter(F.col("event_date").isin(days)), dates, settings, as_of)
-        table = before.filter(~F.col("metric_date").isin(days)).unionByName(made)
+            dates = dates.filter(anew(F.col("calendar_date"))).unionByName(added).distinct()
+        made = _build(name, events.filter(anew(F.col("event_date"))), dates, settings, as_of)
+        table = before.filter(~anew(F.col("metric_date"))).unionByName(made)
     stamped = table.withColumn("last_refreshed_at", F.lit(utc(as_of)))
     return publish(stamped, f"{tables}/{name}")
 
@@ -133,6 +157,31 @@ def refresh_retention(
     return latest(spark, f"{tables}/{RETENTION}").count()
 
 
+def purge(spark: SparkSession, raw: str, tables: str, opted_out: DataFrame) -> tuple[int, int]:
+    """Delete opted-out players from the stored events and from the table of active days.
+
+    Returns rewritten files of events and deleted events. The next refresh, of either mode, makes the
+    dates of deleted events anew. Figures of dates before the horizon hold no player and stay, but
+    for cohorts, which follow the active days.
+    """
+    counts = purge_players(spark, raw, opted_out)
+    path = f"{tables}/{PLAYER_DAYS}"
+    if exists(spark, path):
+        days = spark.read.schema(PLAYER_DAYS_SCHEMA).parquet(path)
+        players = opted_out.select("player_id_hash").distinct()
+        held = [r.day for r in days.join(players, "player_id_hash", "left_semi").select("day").distinct().collect()]
+        if held:  # dates of the calendar, so few
+            kept = days.filter(F.col("day").isin(held)).join(players, "player_id_hash", "left_anti")
+            with staged(kept, "purge-days") as rest:
+                for day in held:
+                    remove(spark, f"{path}/day={day.isoformat()}")
+                rest.write.mode("append").partitionBy("day").parquet(path)
+    return counts
+
+
+COMMANDS = ("refresh:rolling", "refresh:retention", "refresh:all", "seed:demo", "prune:raw", "purge:players", "reset:raw")
+
+
 def run_job(
     spark: SparkSession,
     command: str,
@@ -141,22 +190,40 @@ def run_job(
     settings: Settings,
     as_of: datetime | None = None,
     incremental: bool = False,
+    events: DataFrame | None = None,
+    days: int = 90,
+    opted_out: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``refresh:rolling``, ``refresh:retention`` or ``refresh:all``; one report row."""
-    if command not in ("refresh:rolling", "refresh:retention", "refresh:all"):
+    """Run one of ``COMMANDS``; one report row.
+
+    ``seed:demo`` appends prepared ``events`` and refreshes all, ``prune:raw`` deletes raw dates
+    older than ``days``, ``purge:players`` deletes the players of ``opted_out`` and refreshes what
+    has changed, ``reset:raw`` empties raw events and cohorts.
+    """
+    if command not in COMMANDS:
         raise ValueError(f"unknown command: {command}")
     started = time.monotonic()
     moment = as_of or datetime.now(timezone.utc)
-    cohorts = None
-    if command != "refresh:retention":
-        refresh_rolling(spark, raw, tables, settings, moment, incremental)
-    if command != "refresh:rolling":
-        cohorts = refresh_retention(spark, raw, tables, settings, moment, incremental)
+    cohorts = generated = inserted = removed = None
+    if command == "seed:demo":
+        generated, inserted = events.count(), seed(events, raw)
+    elif command == "prune:raw":
+        removed = len(prune_raw(spark, raw, moment, days))
+    elif command == "purge:players":
+        removed = purge(spark, raw, tables, opted_out)[1]
+    elif command == "reset:raw":
+        empty = spark.createDataFrame([], latest(spark, f"{tables}/{RETENTION}").schema)
+        reset(spark, raw, f"{tables}/{RETENTION}", empty)
+    refreshes = command in ("seed:demo", "purge:players", "refresh:all")
+    if refreshes or command == "refresh:rolling":
+        refresh_rolling(spark, raw, tables, settings, moment, incremental or command == "purge:players")
+    if refreshes or command == "refresh:retention":
+        cohorts = refresh_retention(spark, raw, tables, settings, moment, incremental or command == "purge:players")
     duration = int((time.monotonic() - started) * 1000)
     return spark.createDataFrame(
-        [(command, duration, utc(moment), "ok", cohorts)],
+        [(command, duration, utc(moment), "ok", cohorts, generated, inserted, removed)],
         "command string, duration_ms bigint, refreshed_at timestamp, status string,"
-        " cohort_count bigint",
+        " cohort_count bigint, generated_count bigint, inserted_count bigint, removed_count bigint",
     )
 
 

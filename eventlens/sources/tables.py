@@ -12,7 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,6 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots."""
     hadoop_path, fs = _path(spark, path)
     if not fs.exists(hadoop_path):
         return []
@@ -54,15 +55,40 @@ def _snapshots(spark: SparkSession, path: str) -> list[int]:
     return sorted(n for n in found if exists(spark, f"{path}/snapshot={n:012d}/_SUCCESS"))
 
 
-def publish(df: DataFrame, path: str, keep: int = 2) -> str:
-    """Write a complete new snapshot of a derived table, then drop snapshots beyond ``keep``."""
+def _reserve(spark: SparkSession, path: str) -> int:
+    """The next number, for this writer alone: an empty file by its name is created atomically."""
+    folder, fs = _path(spark, f"{path}/_numbers")
+    fs.mkdirs(folder)
+    taken = [int(status.getPath().getName()) for status in fs.listStatus(folder)]
+    number = max([*taken, *_snapshots(spark, path)], default=0) + 1
+    while not fs.createNewFile(_path(spark, f"{path}/_numbers/{number:012d}")[0]):
+        number += 1
+    return number
+
+
+def publish(df: DataFrame, path: str, keep_s: int = 86_400) -> str:
+    """Write a complete new snapshot of a derived table.
+
+    Writers that run at once take different numbers, and readers take the highest complete one. A
+    snapshot goes when the next one has been complete for ``keep_s`` seconds, by the clock of the
+    file system, so a reader that has listed its files has that long to end, however many are
+    published meanwhile.
+    """
     spark = df.sparkSession
+    number = _reserve(spark, path)
+    target = f"{path}/snapshot={number:012d}"
+    df.write.mode("error").parquet(target)
     known = _snapshots(spark, path)
-    target = f"{path}/snapshot={(known[-1] + 1 if known else 1):012d}"
-    df.write.mode("overwrite").parquet(target)
-    for old in known[: len(known) + 1 - keep]:
-        hadoop_path, fs = _path(spark, f"{path}/snapshot={old:012d}")
-        fs.delete(hadoop_path, True)
+    _, fs = _path(spark, path)
+
+    def completed(n: int) -> int:
+        return fs.getFileStatus(_path(spark, f"{path}/snapshot={n:012d}/_SUCCESS")[0]).getModificationTime()
+
+    now = completed(number)
+    for old, following in zip(known, known[1:]):
+        if now - completed(following) >= keep_s * 1000:
+            remove(spark, f"{path}/snapshot={old:012d}")
+            remove(spark, f"{path}/_numbers/{old:012d}")
     return target
 
 
@@ -194,6 +220,13 @@ def touched(spark: SparkSession, path: str, follower: str) -> tuple[list[str], l
     return landings, None if len(found) > MAX_TOUCHED else sorted(r.event_date for r in found)
 
 
+def days_of(spark: SparkSession, path: str, first: date) -> list[str]:
+    """Dates of the folders ``day=...`` of a table from ``first`` on."""
+    hadoop_path, fs = _path(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
+    return sorted(n[4:] for n in names if n.startswith("day=") and n[4:] >= first.isoformat())
+
+
 def append_staged(batch: DataFrame, path: str) -> int:
     """Append the events of a written table whose id is new; returns the number of added rows.
 
@@ -239,6 +272,64 @@ def reset(spark: SparkSession, raw_path: str, retention_path: str, empty_retenti
     publish(empty_retention, retention_path)
 
 
+def _files_of(events: DataFrame, players: DataFrame) -> list[str]:
+    """Files of stored events that hold events of the players; at most the files of the table."""
+    held = events.select("player_id_hash", F.col("_metadata.file_path").alias("file"))
+    found = held.join(players, "player_id_hash", "left_semi").select("file").distinct()
+    return sorted(r.file for r in found.collect())
+
+
+def purge_players(spark: SparkSession, path: str, players: DataFrame) -> tuple[int, int]:
+    """Delete the stored events of ``player_id_hash`` rows; returns rewritten files and deleted events.
+
+    Only files that hold such events are read as a whole and written anew. Their dates are listed
+    for the refresh jobs, so derived tables follow. The ids stay in the ledger: an event that is sent
+    again does not come back. The swap of files is planned in a folder beside the table first; a
+    purge that fails is completed or undone by the next one. Like an append, it needs the table for
+    itself, and readers of the raw table should not run meanwhile.
+    """
+    _finish_purge(spark, path)
+    if not exists(spark, path):
+        return 0, 0
+    players = players.select("player_id_hash").distinct()
+    files = _files_of(read_events(spark, path), players)
+    if not files:
+        return 0, 0
+    held = spark.read.schema(schema.EVENTS_STORED).option("basePath", path).parquet(*files)
+    gone = held.join(players, "player_id_hash", "left_semi")
+    with staged(gone.select("event_id", "occurred_at"), "purge") as deleted:
+        _touch(deleted, path, uuid.uuid4().hex)
+        kept = held.join(players, "player_id_hash", "left_anti")
+        kept.hint("rebalance", "event_date", "event_group").write.mode("overwrite").partitionBy(
+            "event_date", "event_group"
+        ).parquet(f"{path}_purge/kept")
+        spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}_purge/plan"
+        )
+        _finish_purge(spark, path)
+        _touch(deleted, path, uuid.uuid4().hex)
+        return len(files), deleted.count()
+
+
+def _finish_purge(spark: SparkSession, path: str) -> None:
+    """Swap the files of a planned purge. Each step may have been done already."""
+    folder = f"{path}_purge"
+    if exists(spark, f"{folder}/plan/_SUCCESS"):
+        for r in spark.read.parquet(f"{folder}/plan").collect():
+            remove(spark, r.file)
+        kept, fs = _path(spark, f"{folder}/kept")
+        for day in fs.listStatus(kept):
+            if not day.isDirectory():
+                continue
+            for group in fs.listStatus(day.getPath()):
+                target = f"{path}/{day.getPath().getName()}/{group.getPath().getName()}"
+                fs.mkdirs(_path(spark, target)[0])
+                for file in fs.listStatus(group.getPath()):
+                    # A file name holds the id of its job: what is there is this very file.
+                    fs.rename(file.getPath(), _path(spark, f"{target}/{file.getPath().getName()}")[0])
+    remove(spark, folder)
+
+
 def prune_raw(spark: SparkSession, path: str, as_of, days: int) -> list[str]:
     """Delete whole date partitions older than the retention period; returns their names."""
     hadoop_path, fs = _path(spark, path)
