@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text and cuts where it has a certain pattern, so cuts depend
 on the last ``WINDOW`` bytes alone and the same passage gives the same chunks wherever it stands,
-whatever was inserted before it. Chunks are compared by digest. A run of chunks that all stand
-elsewhere is a repeated passage if it is long enough; every passage stays where it stands first.
+whatever was inserted before it. From every chunk on, as many chunks as a passage needs form a
+passage, which is compared by one digest: what is removed stands elsewhere as a whole, and not in
+pieces here and there. Every passage stays where it stands first.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from eventlens.llm.common import cut, free_name, text_digest
+from eventlens.llm.common import clean_shuffles, cut, free_name, text_digest
 
 #: Bytes that a cut depends on; one cut in 2**MASK_BITS bytes on average.
 WINDOW = 16
 MASK_BITS = 4
 #: Chunks are at least so many bytes (a nearer cut is passed over) and never more than MAX.
 MIN_CHUNK, MAX_CHUNK = 8, 512
-#: A run of repeated chunks is a passage from this many bytes on.
+#: A passage is the shortest run of whole chunks with this many bytes.
 MIN_PASSAGE = 160
 #: Bytes that are hashed at once: bounds the memory of a very long text.
 BLOCK = 1 << 20
@@ -61,49 +62,46 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def chunk_digests(data: bytes) -> tuple[list[int], list[int]]:
-    """``ends, digests`` of the chunks; digests are signed 64-bit numbers.
+def passages(ends: list[int], min_bytes: int) -> list[tuple[int, int]]:
+    """Byte ranges of the passages of a text: from each chunk on, as long as there is enough text."""
+    stop = np.array(ends, np.int64)
+    start = np.concatenate(([0], stop[:-1])) if len(stop) else stop
+    last = np.searchsorted(stop, start + min_bytes)
+    n = int((last < len(stop)).sum())
+    return list(zip(start[:n].tolist(), stop[last[:n]].tolist()))
 
-    A passage is only taken for repeated if several chunks in a row are, so a chance collision of
-    one digest changes nothing.
-    """
-    ends = cuts(data)
-    digest = xxhash.xxh64_intdigest
-    starts = [0, *ends[:-1]]
-    raw = np.fromiter((digest(data[a:b]) for a, b in zip(starts, ends)), np.uint64, len(ends))
-    return ends, raw.view(np.int64).tolist()
-
-
-def runs(ends: list[int], marked: list[bool], min_bytes: int) -> list[tuple[int, int]]:
-    """Byte ranges of runs of marked chunks that have ``min_bytes`` or more."""
-    out, start, last = [], None, 0
-    for end, mark in zip([*ends, None], [*marked, False]):
-        if mark and start is None:
-            start = last
-        if not mark and start is not None:
-            if last - start >= min_bytes:
-                out.append((start, last))
-            start = None
-        last = end
+
+def digests(data: bytes, min_bytes: int) -> np.ndarray:
+    """Signed 64-bit digests of the passages of a text."""
+    places = passages(cuts(data), min_bytes)
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[a:b]) for a, b in places), np.uint64, len(places)).view(np.int64)
+
+
+def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
     return out
 
 
-def _chunks(marked: DataFrame, mark: str, id_col: str, text_col: str) -> DataFrame:
-    """``mark, id, pos, digest`` of every chunk."""
+def _passages(marked: DataFrame, mark: str, id_col: str, text_col: str, min_bytes: int) -> DataFrame:
+    """``mark, id, pos, digest`` of every passage."""
     id_type = marked.schema[id_col].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sizes, digests = [], []
-            for text in batch.column(2):
-                own = chunk_digests(text.as_py() or b"")[1]
-                sizes.append(len(own))
-                digests.extend(own)
+            own = [digests(text.as_py() or b"", min_bytes) for text in batch.column(2)]
+            sizes = [len(x) for x in own]
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             pos = np.concatenate([np.arange(n) for n in sizes] or [[]])
             columns = [
                 batch.column(0).take(at), batch.column(1).take(at),
-                pa.array(pos, pa.int32()), pa.array(digests, pa.int64()),
+                pa.array(pos, pa.int32()), pa.array(np.concatenate(own) if own else [], pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["mark", "id", "pos", "digest"])
 
@@ -122,11 +120,12 @@ def dedupe_passages(
 ) -> DataFrame:
     """Cut passages out of the texts that stand elsewhere before: in a document with a smaller id,
     or earlier in the same text. All columns stay; ``report`` adds ``n_chunks``, ``n_repeated``
-    (chunks that stand elsewhere too, first places included), ``n_removed`` and ``shared`` (true if
-    a passage is repeated, first places included).
+    (passages that stand elsewhere too, first places included), ``n_removed`` (bytes) and ``shared``
+    (true if a passage is repeated, first places included).
 
-    A passage is a run of chunks that all stand elsewhere, of at least ``min_bytes`` bytes. Null and
-    empty texts have no chunks and stay. A null id comes after every other. Rows that share an id
+    A passage is the shortest run of chunks of at least ``min_bytes`` bytes; passages overlap, and
+    every byte that goes lies in one that stands elsewhere as a whole. Null and empty texts have no
+    passage and stay; a text of any length is taken whole. A null id comes after every other. Rows that share an id
     are ordered by a digest of their text; rows equal in both are one text and are treated alike.
     A text that is a copy of another one loses its passages: at most what lies beside them is left.
     An empty table gives an empty table. Cuts never part a character: a range is narrowed to whole
@@ -135,16 +134,17 @@ def dedupe_passages(
     mark, found = free_name(docs.columns, "mark"), free_name(docs.columns, "chunks")
     whole = text_digest(F.col(id_col), F.col(text_col))
     marked = docs.withColumn(mark, F.xxhash64(whole))
-    pieces = _chunks(marked, mark, id_col, text_col)
+    pieces = _passages(marked, mark, id_col, text_col, min_bytes)
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "mark", "pos")
-    # Minimum and maximum place say whether a chunk stands twice; both are combined in the map tasks.
-    twice = cut(
-        pieces.groupBy("digest")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select("digest", "first.mark", "first.pos")
-        .toDF("digest", "first_mark", "first_pos")
-    )
+    # Minimum and maximum place say whether a passage stands twice; both are combined in the map tasks.
+    with clean_shuffles(docs.sparkSession):
+        twice = cut(
+            pieces.groupBy("digest")
+            .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+            .where(F.col("first") != F.col("last"))
+            .select("digest", "first.mark", "first.pos")
+            .toDF("digest", "first_mark", "first_pos")
+        )
     hits = (
         pieces.select("mark", "pos", "digest")
         .join(twice, "digest")
@@ -174,14 +174,12 @@ def dedupe_passages(
                 value, own = text.as_py(), hit.as_py() or []
                 data = (value or "").encode()
                 ends = cuts(data)
-                later, any_place = [False] * len(ends), [False] * len(ends)
-                for h in own:
-                    any_place[h["pos"]] = True
-                    later[h["pos"]] |= h["later"]
-                gone = runs(ends, later, min_bytes)
-                shared = bool(runs(ends, any_place, min_bytes))
+                places = passages(ends, min_bytes) if own else []
+                # Equal rows share their passages, of which only one is the first.
+                later = {h["pos"] for h in own if h["later"]}
+                gone = united([places[k] for k in sorted(later)])
                 texts.append(_without(data, gone) if gone else value)
-                counts.append((len(ends), sum(any_place), sum(b - a for a, b in gone), shared))
+                counts.append((len(ends), len({h["pos"] for h in own}), sum(b - a for a, b in gone), bool(own)))
             n_chunks, n_repeated, n_removed, shared = zip(*counts) if counts else ((),) * 4
             arrays = list(batch.columns[: len(docs_columns)])
             arrays[at] = pa.array(texts, batch.column(at).type)

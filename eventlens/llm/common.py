@@ -63,3 +63,23 @@ def free_name(taken, name: str) -> str:
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
+
+
+class clean_shuffles:
+    """Shuffle files of the queries inside go when each query ends, not when the driver collects
+    garbage. What the queries write (``cut``) stays, so nothing has to be computed again."""
+
+    NAME = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.NAME, None)
+        self.spark.conf.set(self.NAME, "true")
+
+    def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(self.NAME)
+        else:
+            self.spark.conf.set(self.NAME, self.before)

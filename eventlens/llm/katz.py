@@ -26,7 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from eventlens.llm.common import cut
+from eventlens.llm.common import clean_shuffles, cut
 
 #: Counts up to this one are discounted.
 DISCOUNTED = 5
@@ -416,7 +416,7 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
     rows = docs.select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.coalesce(learn, F.lit(True)).alias("learn")
     )
-    with _clean_shuffles(spark):
+    with clean_shuffles(spark):
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(1, -(-size // BUCKET_BYTES))
         counted = count_words(rows)
@@ -461,22 +461,3 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-class _clean_shuffles:
-    """Shuffle files go when the query that made them ends, not when the driver collects garbage."""
-
-    NAME = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __enter__(self) -> None:
-        self.before = self.spark.conf.get(self.NAME, None)
-        self.spark.conf.set(self.NAME, "true")
-
-    def __exit__(self, *_) -> None:
-        if self.before is None:
-            self.spark.conf.unset(self.NAME)
-        else:
-            self.spark.conf.set(self.NAME, self.before)
