@@ -13,30 +13,39 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from eventlens.llm.common import free_name
+from eventlens.llm.common import cut, free_name
 
 #: Bounds of the training sample: pieces per language, characters of a piece, bytes of a dictionary.
 PIECES = 96
 PIECE_CHARS = 1500
 DICT_BYTES = 112_640
-MAX_LANGUAGES = 200
+#: Languages whose dictionaries are held at once; more are taken in further passes.
+GROUP = 200
 LEVEL = 6
 #: Share of the smallest size by which the next must be larger for a decision to be accepted.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_WORDS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str) -> str:
-    """Lower-cased words of letters, one space between them."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-cased words of letters, one space between them.
+
+    What counts as a word character but is no letter by its category, such as a fraction, a Roman
+    number or a number in a circle, parts words too.
+    """
+    words = _NOT_WORDS.sub(" ", text.lower()).strip()
+    if words.isascii() or words.replace(" ", "").isalpha():
+        return words
+    return " ".join("".join(c if c.isalpha() else " " for c in words).split())
 
 
 def dictionaries(
-    labelled: DataFrame, text_col: str, lang_col: str, order: Column, pieces: int = PIECES
+    labelled: DataFrame, text_col: str, lang_col: str, order: Column, pieces: int = PIECES, after: str | None = None
 ) -> dict[str, bytes]:
-    """Raw content per language from a bounded sample, the same on every run.
+    """Raw content of the first ``GROUP`` languages ``after`` one, from a bounded sample, the same on
+    every run.
 
     Of each language the ``pieces`` texts with the smallest hash are taken, of each a piece of at
     most ``PIECE_CHARS`` characters from its middle. The rank keeps the first rows of each
@@ -45,8 +54,12 @@ def dictionaries(
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "size", "text"))
     size = F.char_length(text_col)
     start = F.greatest(F.lit(1), (size / 2).cast("int") - PIECE_CHARS // 2)
+    usable = labelled.where(F.col(lang_col).isNotNull() & (size > 0))
+    if after is not None:
+        usable = usable.where(F.col(lang_col) > after)
+    names = [r[0] for r in usable.select(lang_col).distinct().orderBy(lang_col).limit(GROUP).collect()]
     rows = (
-        labelled.where(F.col(lang_col).isNotNull() & (size > 0))
+        usable.where(F.col(lang_col).isin(names))
         .select(
             F.col(lang_col).alias("lang"),
             F.xxhash64(order).alias("h"),
@@ -57,9 +70,6 @@ def dictionaries(
         .where(F.col("rank") <= pieces)
         .select("lang", "rank", "text")
     )
-    languages = [r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: their dictionaries have no proven bound")
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in rows.collect():
         parts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
@@ -81,19 +91,10 @@ class Classifier:
                 LEVEL, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False
             )))
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score in 0 to 1 and whether the margin is wide enough.
-
-        The score is the margin over the next smallest size as a share of it, doubled and cut at 1.
-        Ties go to the first language in order of name and are not accepted.
-        """
+    def sizes(self, text: str | None) -> list[tuple[int, str]]:
+        """The two smallest sizes with their languages, ties in order of name; none without letters."""
         data = letters(text or "").encode("utf-8", "replace")
-        if not data or not self.encoders:
-            return UNKNOWN, 0.0, False
-        sizes = sorted((len(encoder.compress(data)), lang) for lang, encoder in self.encoders)
-        best, lang = sizes[0]
-        margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
-        return lang, min(1.0, 2 * margin), margin >= MIN_MARGIN
+        return sorted((len(encoder.compress(data)), lang) for lang, encoder in self.encoders)[:2] if data else []
 
 
 def identify(
@@ -101,22 +102,49 @@ def identify(
 ) -> tuple[DataFrame, str]:
     """``docs`` with a struct of ``lang``, ``score`` and ``accepted``, and the column's name.
 
-    ``labelled`` has the texts and languages to learn from. Null, empty and letterless texts get
-    ``und`` with score 0; so does every text if nothing was learned. Rows are judged one by one by
-    their text alone.
+    ``labelled`` has the texts and languages to learn from, any number of languages: beyond ``GROUP``
+    there is one pass for each group, and the two smallest sizes are carried along. The score is the
+    margin of the smallest size to the next one as a share of that, doubled and cut at 1. Ties go to
+    the first language in order of name and are not accepted.
+
+    Null, empty and letterless texts get ``und`` with score 0; so does every text if nothing was
+    learned. Rows are judged one by one by their text alone, which is taken whole whatever its
+    length, so repeated rows agree; an empty table gives an empty table, and other columns stay.
     """
     context = docs.sparkSession.sparkContext
-    contents = dictionaries(labelled, text_col, lang_col, F.col(text_col) if order is None else order)
-    shared = context.broadcast(contents)
+    key = F.col(text_col) if order is None else order
     name = free_name(docs.columns, "language")
-    out = docs.withColumn(name, F.lit(None).cast("struct<lang:string,score:double,accepted:boolean>"))
-    at = docs.columns.index(text_col)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = Classifier(shared.value)
-        for batch in it:
-            rows = [dict(zip(("lang", "score", "accepted"), classify(t.as_py()))) for t in batch.column(at)]
-            kind = batch.schema.field(batch.num_columns - 1).type
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], schema=batch.schema)
-
-    return out.mapInArrow(batches, out.schema), name
+    kind = "struct<lang:string,best:int,second:int>"
+    out = docs.withColumn(name, F.lit(None).cast(kind))
+    at, after = docs.columns.index(text_col), None
+    while contents := dictionaries(labelled, text_col, lang_col, key, after=after):
+        shared, before = context.broadcast(contents), after
+        after = max(contents)
+
+        def batches(it: Iterator[pa.RecordBatch], shared=shared, carried=before is not None) -> Iterator[pa.RecordBatch]:
+            classify = Classifier({lang: x for lang, x in shared.value.items() if x})
+            for batch in it:
+                rows = []
+                for text, held in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                    known = held.as_py() if carried else None
+                    found = classify.sizes(text.as_py())
+                    if known:  # sorting is stable: earlier languages first
+                        found = sorted(
+                            [(known["best"], known["lang"]), *([(known["second"], "")] if known["second"] is not None else []), *found],
+                            key=lambda x: x[0],
+                        )
+                    rows.append({"lang": found[0][1], "best": found[0][0], "second": found[1][0] if len(found) > 1 else None} if found else None)
+                column = pa.array(rows, batch.schema.field(batch.num_columns - 1).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], schema=batch.schema)
+
+        out = out.mapInArrow(batches, out.schema)
+        if len(contents) < GROUP:
+            break
+        out = cut(out)
+    size = F.col(name)
+    margin = F.coalesce((size["second"] - size["best"]) / size["second"], F.lit(1.0))
+    judged = F.when(
+        size.isNotNull(),
+        F.struct(size["lang"].alias("lang"), F.least(F.lit(1.0), 2 * margin).alias("score"), (margin >= MIN_MARGIN).alias("accepted")),
+    ).otherwise(F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted")))
+    return out.withColumn(name, judged), name

@@ -1,7 +1,5 @@
 import random
 
-import pytest
-
 from eventlens.llm import langid
 from tests.llm.conftest import ODD
 
@@ -40,12 +38,24 @@ def test_odd_rows(frame):
     assert nothing.first()[name].lang == "und"
 
 
-def test_narrow_margins_are_not_accepted():
-    classify = langid.Classifier({"aa": b"same words here " * 20, "bb": b"same words here " * 20})
-    assert classify("same words") == ("aa", 0.0, False)
+def test_narrow_margins_are_not_accepted(frame):
+    same = "same words here " * 20
+    found, name = langid.identify(frame([(1, "same words")]), frame([(1, same, "bb", "s"), (2, same, "aa", "s")]))
+    assert tuple(found.first()[name]) == ("aa", 0.0, False)
+
 
+def test_numbers_that_are_no_letters():
+    assert [langid.letters(t) for t in ("½", "²", "Ⅳ ①", "a½B ²c")] == ["", "", "", "a b c"]
 
-def test_too_many_languages(frame, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
-    with pytest.raises(ValueError):
-        langid.identify(frame([]), frame([(i, "text", f"l{i}", "s") for i in range(5)]))
+
+def test_languages_in_several_passes_give_the_same(frame, monkeypatch):
+    """300 languages at once, and the result of passes over few of them."""
+    rng = random.Random(4)
+    train = [(i, "".join(rng.choice("abcdefghij") for _ in range(300)), f"l{i % 300:03d}", "s") for i in range(300)]
+    test = [(i, t[100:180] if i % 2 else "½ 12") for i, t, *_ in train[:40]]
+    found, name = langid.identify(frame(test), frame(train))  # two passes
+    several = {r.doc_id: tuple(r[name]) for r in found.collect()}
+    monkeypatch.setattr(langid, "GROUP", 1000)
+    found, name = langid.identify(frame(test), frame(train))
+    assert several == {r.doc_id: tuple(r[name]) for r in found.collect()}
+    assert all(several[i][0] == (f"l{i:03d}" if i % 2 else "und") for i in range(40))
