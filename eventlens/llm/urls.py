@@ -3,18 +3,22 @@
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, score each URL
 by the difference of log-likelihoods per character; a threshold is calibrated on URLs that neither
 model has seen.
+
+The models are one table of exact counts: every context of up to ``ORDER`` bytes, alone and with the
+byte that follows, by its 64-bit digest. Distinct URLs are scored in groups: the contexts of a group
+are joined to the table, and one task has the URLs of a group with all counts they need. Nothing of
+the models is broadcast, so they grow with the URLs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventlens.llm.common import ascii_lower, free_name
+from eventlens.llm.common import ascii_lower, cut, free_name
 
 #: The rules of the contract, as host and path with their verdicts.
 RULES = (
@@ -26,9 +30,8 @@ RULES = (
 )
 #: Longest context, in bytes.
 ORDER = 5
-#: Cells of the count table of each order, as a power of two. The tables are all that is broadcast:
-#: two models, two tables and six orders of 2**16 numbers, 12 MB, whatever the number of URLs.
-CELL_BITS = 16
+#: Distinct URLs of a group that is scored in one task.
+GROUP_URLS = 20_000
 SMOOTHING = 2.0
 #: One in so many URLs with a rule is kept for the calibration.
 CALIBRATION_FOLDS = 5
@@ -57,103 +60,96 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def cells(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the context and of context with next byte, for each place and order.
+def digests(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the context and of context with next byte, for each order and place.
 
     The last byte is an end mark. Contexts that reach before the first byte see zeros.
     """
     text = np.frombuffer(b"\0" * ORDER + data + b"\n", np.uint8).astype(np.uint64)
     n = len(data) + 1
     following = text[ORDER:]
-    seen, grams = np.empty((ORDER + 1, n), np.int64), np.empty((ORDER + 1, n), np.int64)
+    seen, grams = np.empty((ORDER + 1, n), np.uint64), np.empty((ORDER + 1, n), np.uint64)
     code = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     for order in range(ORDER + 1):
         if order:
             code = (code ^ text[ORDER - order : ORDER - order + n]) * np.uint64(0xD6E8FEB86659FD93)
             code ^= code >> np.uint64(32)
         both = (code ^ (following + np.uint64(0x100))) * np.uint64(0xCA5A826395121157)
-        seen[order] = (code >> np.uint64(64 - CELL_BITS)).astype(np.int64) if order else 0
-        grams[order] = (both >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        seen[order] = code
+        grams[order] = both ^ (both >> np.uint64(32))
     return seen, grams
 
 
-@dataclass
-class Model:
-    """Counts of contexts and of contexts with the next byte, by order and cell."""
-
-    seen: np.ndarray
-    grams: np.ndarray
-
-    @staticmethod
-    def empty() -> Model:
-        shape = (ORDER + 1, 1 << CELL_BITS)
-        return Model(np.zeros(shape), np.zeros(shape))
-
-    def log_likelihood(self, seen: np.ndarray, grams: np.ndarray) -> float:
-        """Longer contexts are mixed with the next shorter ones by how often they were seen."""
-        p = np.full(seen.shape[1], 1 / 256)
-        for order in range(ORDER + 1):
-            p = (self.grams[order][grams[order]] + SMOOTHING * p) / (self.seen[order][seen[order]] + SMOOTHING)
-        return float(np.log(np.minimum(p, 1.0)).sum())
-
-
-class Scorer:
-    def __init__(self, accepted: Model, rejected: Model):
-        self.accepted, self.rejected = accepted, rejected
-
-    def __call__(self, url: bytes | None) -> float:
-        """Log-likelihood difference per byte; 0 for a null or empty URL."""
-        if not url:
-            return 0.0
-        at = cells(url)
-        return (self.accepted.log_likelihood(*at) - self.rejected.log_likelihood(*at)) / at[0].shape[1]
+def _log_likelihood(seen: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Log probability of each place from counts by order.
 
+    Longer contexts are mixed with the next shorter ones by how often they were seen.
+    """
+    p = np.full(seen.shape[1], 1 / 256)
+    for order in range(ORDER + 1):
+        p = (grams[order] + SMOOTHING * p) / (seen[order] + SMOOTHING)
+    return np.log(p)
 
-def learn(urls: DataFrame) -> tuple[Model, Model]:
-    """Models of accepted and rejected URLs from all rows of ``url, accepted``.
 
-    Every row is counted: tasks add up cells and send a row for each cell that they have seen; the
-    sums come to the driver, at most two models of fixed size.
-    """
-    shape = (2, 2, ORDER + 1, 1 << CELL_BITS)
+def count(urls: DataFrame) -> DataFrame:
+    """``key, accepted, rejected``: how often each digest stands in all rows of ``url, accepted``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(shape, np.int64)
         for batch in it:
+            keys: list[list[np.ndarray]] = [[], []]
             for url, accepted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, at in enumerate(cells(url)):
-                    for order in range(ORDER + 1):
-                        np.add.at(counts[int(accepted), kind, order], at[order], 1)
-        flat = counts.ravel()
-        at = np.flatnonzero(flat)
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(flat[part])], ["cell", "n"])
-
-    rows = (
-        urls.select(F.col("url").cast("binary").alias("url"), "accepted")
-        .mapInArrow(batches, "cell long, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
-    counts = np.zeros(int(np.prod(shape)))
-    counts[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    rejected, accepted = counts.reshape(shape)
-    return Model(*accepted), Model(*rejected)
-
-
-def _scores(urls: DataFrame, shared, column: str) -> DataFrame:
-    """``urls`` (whose column ``url`` is first) with a column of scores."""
-    out = urls.withColumn(column, F.lit(None).cast("double"))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(*shared.value)
+                keys[int(accepted)] += [x.ravel() for x in digests(url)]
+            for kind, found in enumerate(keys):
+                if found:
+                    key, n = np.unique(np.concatenate(found), return_counts=True)
+                    none = pa.array(np.zeros(len(n), np.int64))
+                    columns = [pa.array(key.view(np.int64)), *([none, pa.array(n)][:: 1 if kind == 0 else -1])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "accepted", "rejected"])
+
+    rows = urls.select(F.col("url").cast("binary").alias("url"), "accepted")
+    counted = rows.mapInArrow(batches, "key long, accepted long, rejected long").groupBy("key")
+    return counted.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+def score_urls(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``url, score`` of distinct URLs ``url`` that are neither null nor empty: the log-likelihood
+    difference per byte."""
+    groups = max(1, -(-urls.count() // GROUP_URLS))
+    grouped = urls.select(F.pmod(F.xxhash64("url"), F.lit(groups)).alias("part"), F.col("url").cast("binary").alias("url"))
+
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            scores = [score(u.encode() if u is not None else None) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema=batch.schema)
-
-    return out.mapInArrow(batches, out.schema)
+            part = batch.column(0).to_numpy()
+            rows = batch.column(1).to_pylist()
+            for p in np.unique(part):
+                found = [x.ravel() for k in np.flatnonzero(part == p) for x in digests(rows[k])]
+                keys = np.unique(np.concatenate(found)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), p)), pa.array(keys)], ["part", "key"])
+
+    asked = grouped.mapInArrow(ask, "part long, key long").dropDuplicates(["key", "part"])
+    known = asked.join(counts, "key").select("part", "key", "accepted", "rejected")
+
+    def answer(rows: pa.Table, found: pa.Table) -> pa.Table:
+        keys = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        counted = [found.column(c).to_numpy()[order] for c in ("accepted", "rejected")]
+
+        def of(wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(wanted.shape)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, values[at], 0)
+
+        scores = []
+        urls = rows.column("url").to_pylist()
+        for url in urls:
+            seen, grams = digests(url)
+            accepted, rejected = (_log_likelihood(of(seen, n), of(grams, n)) for n in counted)
+            scores.append(float((accepted - rejected).sum()) / seen.shape[1])
+        return pa.table({"url": pa.array([u.decode() for u in urls], pa.string()), "score": pa.array(scores, pa.float64())})
+
+    return grouped.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(answer, "url string, score double")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -194,13 +190,15 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
         F.col(url_col).alias("url"), verdict.alias("verdict"), F.pmod(F.xxhash64(url_col), F.lit(CALIBRATION_FOLDS)).alias("fold")
     ).where(F.col("verdict").isNotNull())
     labelled = ruled.select("url", (F.col("verdict") == "allow").alias("accepted"), "fold")
-    shared = pages.sparkSession.sparkContext.broadcast(learn(labelled.where("fold <> 0")))
-    threshold = calibrate(_scores(labelled.where("fold = 0").select("url", "accepted"), shared, "score"))
+    distinct = pages.select(F.col(url_col).alias("url")).where("url <> ''").distinct()
+    scored = cut(score_urls(distinct, count(labelled.where("fold <> 0"))))
+    threshold = calibrate(labelled.where("fold = 0").select("url", "accepted").join(scored, "url"))
     names = {n: free_name(pages.columns, n) for n in ("host", "path", "rule", "verdict", "score")}
     given = free_name(pages.columns, "given")
-    rest = [c for c in pages.columns if c != url_col]
-    scored = _scores(pages.select(url_col, *rest), shared, names["score"])
-    return scored.withColumn(given, verdict).select(
+    key = free_name(pages.columns, "key")
+    found = pages.join(scored.toDF(key, names["score"]), F.col(url_col) == F.col(key), "left")
+    found = found.withColumn(names["score"], F.coalesce(F.col(names["score"]), F.lit(0.0)))
+    return found.withColumn(given, verdict).select(
         *pages.columns,
         host.alias(names["host"]),
         path.alias(names["path"]),

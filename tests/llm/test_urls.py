@@ -1,7 +1,6 @@
 import math
 import random
 
-import numpy as np
 import pytest
 
 from eventlens.llm import urls
@@ -66,20 +65,45 @@ def test_the_ratio_judges_the_rest(spark):
     assert len(got) > 300 and right >= 0.95 * len(got)
 
 
-def test_models_against_plain_counts(spark):
-    rows = random_urls(3, 60)
-    labelled = [(u, "pills" not in u) for u in rows]
-    accepted, rejected = urls.learn(spark.createDataFrame(labelled, "url string, accepted boolean").repartition(5))
-    for model, kind in ((accepted, True), (rejected, False)):
-        counts = np.zeros_like(model.grams)
-        for u, a in labelled:
-            if a == kind:
-                for order, at in enumerate(urls.cells(u.encode())[1]):
-                    np.add.at(counts[order], at, 1)
-        assert (counts == model.grams).all()
-    at = urls.cells(b"http://thenews.org/")
-    assert accepted.log_likelihood(*at) < 0
-    assert math.isfinite(urls.Scorer(accepted, rejected)(b"\x00\xff" * 5000))
+def plain_scores(labelled, rows):
+    """Scores from dictionaries of contexts and of the bytes that follow them."""
+    counts = {True: {}, False: {}}
+
+    def places(url):
+        data = b"\0" * urls.ORDER + url.encode() + b"\n"
+        return [(data[i - urls.ORDER : i], data[i]) for i in range(urls.ORDER, len(data))]
+
+    for url, accepted in labelled:
+        for context, byte in places(url):
+            for k in range(urls.ORDER + 1):
+                own = counts[accepted].setdefault(context[urls.ORDER - k :], {})
+                own[byte] = own.get(byte, 0) + 1
+
+    def likelihood(url, kind):
+        total = 0.0
+        for context, byte in places(url):
+            p = 1 / 256
+            for k in range(urls.ORDER + 1):
+                own = counts[kind].get(context[urls.ORDER - k :], {})
+                p = (own.get(byte, 0) + urls.SMOOTHING * p) / (sum(own.values()) + urls.SMOOTHING)
+            total += math.log(p)
+        return total / len(places(url))
+
+    return {url: likelihood(url, True) - likelihood(url, False) for url in rows}
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_scores_equal_exact_dictionaries(spark, times, monkeypatch):
+    """Also with a hundred times as many URLs, in several groups."""
+    monkeypatch.setattr(urls, "GROUP_URLS", 700)
+    rng = random.Random(3)
+    labelled = [(u, "pills" not in u and "win" not in u) for u in random_urls(3, 40 * times)]
+    rows = sorted({*random_urls(9, 60), "ü", "x" * 3000, *(u for u, _ in rng.sample(labelled, 30))})
+    counts = urls.count(spark.createDataFrame(labelled, "url string, accepted boolean").repartition(5))
+    got = {r.url: r.score for r in urls.score_urls(spark.createDataFrame([(u,) for u in rows], "url string"), counts).collect()}
+    expected = plain_scores(labelled, rows)
+    assert set(got) == set(expected)
+    assert all(abs(got[u] - expected[u]) < 1e-9 for u in rows)
 
 
 def test_calibration_is_the_best_threshold(spark):
