@@ -390,14 +390,18 @@ def _answer(table: pa.Table, rare: pa.Table, model: Words, known: Pairs) -> pa.T
     score = np.log10(pair_probabilities(bucket, n, model, known)[0])[bucket.of]
     base, there = model.base(bucket.counts)[bucket.of], (bucket.counts > 0)[bucket.of]
     ends = np.cumsum(pa.compute.list_value_length(table.column("docs")).to_numpy())
-    sums: list[list] = [[], [], []]
+    # Of the documents of a chunk only those with a token in this bucket, so that the answers grow
+    # with the tokens however many buckets there are.
+    doc, sums = [], ([], [], [])
     for a, b in zip(np.concatenate(([0], ends[:-1])), ends):
         docs, at = marks[a:b] >> 1, listed[a:b]
+        doc.append(np.flatnonzero(np.bincount(docs)))
         for out, values in zip(sums, (score, base, there)):
-            out.append(np.bincount(docs, values[at]))
-    ends = np.cumsum([0, *map(len, sums[0])])
-    columns = {c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for c, x in zip(("score", "base", "known"), sums)}
-    return pa.table({"chunk": table.column("chunk"), **columns, **{c: table.column(c) for c in ("ids", "learn", "sizes")}})
+            out.append(np.bincount(docs, values[at])[doc[-1]])
+    ends = pa.array(np.cumsum([0, *map(len, doc)]), pa.int32())
+    columns = {"doc": np.concatenate(doc).astype(np.int16), **{c: np.concatenate(x) for c, x in zip(("score", "base", "known"), sums)}}
+    lists = {c: pa.ListArray.from_arrays(ends, pa.array(x)) for c, x in columns.items()}
+    return pa.table({"chunk": table.column("chunk"), **lists, **{c: table.column(c) for c in ("ids", "learn", "sizes")}})
 
 
 def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -431,7 +435,7 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
     def answer(table: pa.Table, others: pa.Table) -> pa.Table:
         return _answer(table, others, model.value, known) if table.num_rows else no_answer
 
-    answers = f"chunk string, score array<double>, base array<double>, known array<double>, {lists}"
+    answers = f"chunk string, doc array<smallint>, score array<double>, base array<double>, known array<double>, {lists}"
     no_answer = pa.Table.from_batches([], _arrow_schema(spark, answers))
     total = words.total
 
@@ -444,9 +448,8 @@ def log_probabilities(docs: DataFrame, learn: Column, doc_id: str = "doc_id", te
         sums = {}
         for c in ("known", "base", "score"):
             sums[c] = np.zeros(n)
-            for part in table.column(c):
-                values = part.values.to_numpy()
-                sums[c][: len(values)] += values
+            for docs, part in zip(table.column("doc"), table.column(c)):
+                sums[c][docs.values.to_numpy()] += part.values.to_numpy()
         out["n_known"] = pa.array(np.rint(sums["known"]).astype(np.int64))
         out["train_tokens"] = pa.array(np.full(n, total, np.int64))
         return pa.table({**out, "base_score": pa.array(sums["base"]), "score": pa.array(sums["score"])})
