@@ -7,7 +7,7 @@ rejections per cost, and a document that a rule rejects is not tried by the next
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -138,15 +138,22 @@ def cascade(
     rules: Mapping[str, Column],
     sample_rows: int = SAMPLE_ROWS,
     seed: int = 11,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, str, list[str]]:
     """``docs`` with a column that names the first rule that rejects (null: kept), the column's
     name, and the order of the rules.
 
+    ``prepare`` adds the columns that rules read. It is left out of the drawing of the sample, so
+    the cost of a rule has that of its own inputs, and other rows are prepared once.
+
     A rule whose value is null does not reject. Whether a document is kept is the same in any
-    order; which rule is named first may differ. An empty table gives an empty table.
+    order; which rule is named first may differ. Rows are judged one by one, so repeated rows agree
+    and a text of any length is taken whole. An empty table gives an empty table.
     """
     rows = docs.count()
     sample = cut(docs.sample(min(1.0, sample_rows / rows), seed)) if rows else docs
+    if prepare is not None:
+        sample, docs = prepare(sample), prepare(docs)
     measured = estimate(sample, rules) if rows else [(name, 0.0, 1.0) for name in rules]
     order = [name for name, share, cost in sorted(measured, key=lambda x: (-x[1] / x[2], x[2], x[0]))]
     first = F.coalesce(F.lit(None).cast("string"), *[F.when(rules[name], F.lit(name)) for name in order])

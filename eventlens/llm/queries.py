@@ -75,8 +75,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, m = F.col("text"), F.col("m")
-    counted = table(spark, sf_dir, "documents").withColumn("m", quality.metrics(text))
-    judged, verdict, _ = quality.cascade(counted, quality.standard_rules(m, text))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.standard_rules(m, text)
+    judged, verdict, _ = quality.cascade(docs, rules, prepare=lambda d: d.withColumn("m", quality.metrics(text)))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     failed = (m["n_words"] < quality.MIN_WORDS) | (
         100 * m["n_repeat_words"] > quality.MAX_REPEAT_PERCENT * m["n_words"]

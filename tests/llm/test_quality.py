@@ -47,6 +47,9 @@ def test_verdicts_do_not_depend_on_the_order(frame):
         any_rule = any_rule | F.coalesce(rule, F.lit(False))
     wrong = judged.withColumn("any", any_rule).where(F.col("any") == F.col(name).isNull())
     assert wrong.count() == 0
+    later, other, _ = quality.cascade(docs, rules, prepare=lambda d: d.withColumn("m", quality.metrics(text)))
+    verdicts = [sorted(map(str, x.select("doc_id", "text", F.col(n).isNull()).collect())) for x, n in ((judged, name), (later, other))]
+    assert verdicts[0] == verdicts[1]
     empty, column, _ = quality.cascade(counted.limit(0), rules)
     assert empty.count() == 0 and column in empty.columns
 
