@@ -202,6 +202,8 @@ def run_job(
     """
     if command not in COMMANDS:
         raise ValueError(f"unknown command: {command}")
+    if (command == "seed:demo" and events is None) or (command == "purge:players" and opted_out is None):
+        raise ValueError(f"{command} needs a frame of {'events' if command == 'seed:demo' else 'players'}")
     started = time.monotonic()
     moment = as_of or datetime.now(timezone.utc)
     cohorts = generated = inserted = removed = None

@@ -93,8 +93,9 @@ def test_refresh_all_publishes_and_reports(spark, tmp_path):
     assert len(names) == 5
     assert spark.sql("select sum(active_players) from sessions_daily").first()[0] == 12
     assert tables.latest(spark, f"{out}/sessions_daily").count() == 2 * 2557
-    snapshots = [p.name for p in (tmp_path / "tables" / "sessions_daily").iterdir()]
-    assert sorted(snapshots) == ["snapshot=000000000002", "snapshot=000000000003"]
+    # Snapshots go by age, so all of the last day are there.
+    snapshots = [p.name for p in (tmp_path / "tables" / "sessions_daily").glob("snapshot=*")]
+    assert sorted(snapshots) == [f"snapshot={n:012d}" for n in (1, 2, 3)]
     with pytest.raises(ValueError):
         refresh.refresh_table(spark, "events_raw", raw, out, SETTINGS, AS_OF)
     with pytest.raises(ValueError):
