@@ -33,6 +33,9 @@ def test_contract_columns(spark):
         "op1_": "doc_id fingerprint component_id", "op3_": "doc_id held_out score predicted",
         "op5_": "page_id host path rule verdict", "op6_": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op10_": "doc_id held_out lang_pred score",
+        "op11_": "doc_id held_out n_tokens n_known train_tokens base_score score",
+        "op12_": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op13_": "word form root n n_near form_n",
     }
     for name, build in llm_queries().items():
         for head, columns in heads.items():
