@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from eventlens import Settings
 from eventlens.config import use_utc
-from eventlens.functions import hmac_pads
+from eventlens.functions import hmac_pads, hmac_sha256_hex
 
 AS_OF = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
 SETTINGS = Settings()
@@ -300,3 +300,47 @@ SECRETS = {"key-alpha": "alpha-secret", "key-2": "two", "key-3": "three" * 20}
 def signing_keys(spark: SparkSession) -> DataFrame:
     rows = [(key, *map(bytearray, hmac_pads(secret))) for key, secret in SECRETS.items()]
     return spark.createDataFrame(rows, "api_key_id string, ipad binary, opad binary")
+
+
+# ---------------------------------------------------------------- signed requests
+
+# Header fields of a landed request, by the number in its id. Times are a few seconds apart, so that
+# all limits are met; some nonces are shared by requests of minutes.
+NUMBER = "CAST(regexp_extract(batch_id, '([0-9]+)', 1) AS INT)"
+HEADER = {
+    "at_ms": "1706616000000 + CAST(n AS BIGINT) * 1500",
+    "ip": "'10.0.' || CAST(n % 3 AS STRING) || '.9'",
+    "content_type": "CASE WHEN n % 43 = 1 THEN 'text/plain' ELSE 'application/json' END",
+    "nonce": "'5b1d7a90-33c2-4f08-a6e4-' || CASE WHEN n % 4 = 0 THEN lpad(CAST(n % 40 AS STRING), 12, '0')"
+    " ELSE substr(md5(batch_id), 1, 12) END || CASE WHEN n % 67 = 9 THEN chr(10) ELSE '' END",
+    "skew_s": "CASE WHEN n % 23 = 6 THEN 400 ELSE n % 200 - 100 END",
+    "forged": "n % 37 = 2",
+    "padded": "n % 211 = 4",
+}
+GATE_SECRETS = {"key-alpha": "alpha-secret", "key-beta": "beta" * 20, "key-old": "old"}
+GATE_SETTINGS = Settings(ip_per_minute=54, ip_burst_per_minute=66, key_per_minute=30, key_burst_per_minute=48)
+
+
+def gate_keys(spark: SparkSession) -> DataFrame:
+    rows = [(key, *map(bytearray, hmac_pads(secret))) for key, secret in GATE_SECRETS.items()]
+    return credentials(spark).join(spark.createDataFrame(rows, "api_key_id string, ipad binary, opad binary"), "api_key_id")
+
+
+def signed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed requests with their headers; forged ones are signed for another body."""
+    numbered = requests(spark, sf_dir).withColumn("n", F.expr(NUMBER))
+    headed = numbered.select("*", *[F.expr(sql).alias(name) for name, sql in HEADER.items()])
+    spaces = F.when(F.col("padded"), F.repeat(F.lit(" "), F.lit(1_100_000))).otherwise("")
+    timed = headed.withColumns({
+        "timestamp": (F.expr("at_ms div 1000") + F.col("skew_s")).cast("string"),
+        "body": F.concat("body", spaces),
+    })
+    message = F.concat_ws("\n", "timestamp", "nonce", F.when(F.col("forged"), "other").otherwise(F.col("body")))
+    digest = F.lit(None).cast("string")
+    for key, secret in GATE_SECRETS.items():
+        ipad, opad = (F.lit(bytearray(pad)) for pad in hmac_pads(secret))
+        digest = F.when(F.col("api_key_id") == key, hmac_sha256_hex(ipad, opad, message)).otherwise(digest)
+    return timed.select(
+        F.col("batch_id").alias("request_id"), F.timestamp_millis("at_ms").alias("received_at"), "ip",
+        "content_type", "api_key_id", "timestamp", "nonce", F.base64(F.unhex(digest)).alias("signature"), "body",
+    )

@@ -253,6 +253,81 @@ SELECT {key}, at_ms, requests, trailing_60s, trailing_10s,
 FROM demand"""
 
 
+def _beyond(name: str, source: str, key: str, eligible: str, per_minute: int, burst_per_minute: int) -> str:
+    """CTEs that add ``name`` to ``source``: the request is beyond a limit of its key."""
+    burst = max(1, -(-burst_per_minute * 10 // 60))
+
+    def trailing(ms: int) -> str:
+        return f"SUM(COUNT(*)) OVER (PARTITION BY {key} ORDER BY at_ms RANGE BETWEEN {ms - 1} PRECEDING AND CURRENT ROW)"
+
+    return f"""{name}_demand AS (
+  SELECT {key}, at_ms, COUNT(*) AS here, {trailing(60000)} AS in_60s, {trailing(10000)} AS in_10s
+  FROM {source} WHERE {eligible} GROUP BY 1, 2
+),
+{name}_ranked AS (
+  SELECT request_id, ROW_NUMBER() OVER (PARTITION BY {key}, at_ms ORDER BY request_id)
+           > here - GREATEST(LEAST(in_60s - {per_minute}, here), LEAST(in_10s - {burst}, here), 0) AS {name}
+  FROM {source} JOIN {name}_demand USING ({key}, at_ms) WHERE {eligible}
+),
+{name}_rows AS (
+  SELECT s.*, COALESCE(r.{name}, FALSE) AS {name} FROM {source} s LEFT JOIN {name}_ranked r USING (request_id)
+)"""
+
+
+def _audited() -> str:
+    limits = data.GATE_SETTINGS
+    ip = _beyond("ip_limited", "facts", "ip", "TRUE", limits.ip_per_minute, limits.ip_burst_per_minute)
+    key = _beyond(
+        "key_limited", "replayed", "api_key_id", "authentic AND NOT is_replay",
+        limits.key_per_minute, limits.key_burst_per_minute,
+    )
+    return f"""
+WITH RECURSIVE {WIRE.strip().removeprefix("WITH")},
+owners AS (SELECT batch_id, ANY_VALUE(api_key_id) AS api_key_id FROM checked GROUP BY 1),
+numbered AS (
+  SELECT batch_id, batch_id AS request_id, code AS body_code, api_key_id, {data.NUMBER} AS n
+  FROM judged JOIN owners USING (batch_id)
+),
+headed AS (SELECT *, {_columns(data.HEADER)} FROM numbered),
+facts AS (
+  SELECT *, CASE WHEN n % 67 = 9 THEN 'bad_request' WHEN abs(skew_s) > 300 THEN 'timestamp_out_of_window' END AS time_reason
+  FROM headed
+),
+{ip},
+signed AS (
+  SELECT *, NOT ip_limited AND content_type = 'application/json' AND NOT padded AND api_key_id <> 'key-old'
+            AND time_reason IS NULL AND NOT forged AS authentic
+  FROM ip_limited_rows
+),
+instants AS (
+  SELECT api_key_id, nonce, at_ms, MIN(request_id) AS first_id FROM signed WHERE authentic GROUP BY 1, 2, 3
+),
+opened AS (
+  SELECT api_key_id, nonce, MIN(at_ms) AS at_ms FROM instants GROUP BY 1, 2
+  UNION ALL
+  SELECT o.api_key_id, o.nonce, MIN(i.at_ms) FROM opened o JOIN instants i USING (api_key_id, nonce)
+  WHERE i.at_ms >= o.at_ms + 300000 GROUP BY 1, 2
+),
+accepted AS (SELECT first_id FROM opened JOIN instants USING (api_key_id, nonce, at_ms)),
+replayed AS (
+  SELECT *, authentic AND request_id NOT IN (SELECT first_id FROM accepted) AS is_replay FROM signed
+),
+{key},
+coded AS (
+  SELECT *, CASE
+    WHEN ip_limited THEN 'rate_limited_ip'
+    WHEN content_type <> 'application/json' THEN 'bad_request'
+    WHEN padded THEN 'payload_too_large'
+    WHEN api_key_id = 'key-old' THEN 'unauthorized'
+    WHEN time_reason IS NOT NULL THEN time_reason
+    WHEN forged THEN 'signature_invalid'
+    WHEN is_replay THEN 'replay_detected'
+    WHEN key_limited THEN 'rate_limited_key'
+    WHEN body_code <> 'accepted' THEN body_code END AS error_code
+  FROM key_limited_rows
+)"""
+
+
 def _sessionized(gap_s: int) -> str:
     return f"""{EV},
 gaps AS (
@@ -709,6 +784,20 @@ SELECT request_id, error_code, CASE
     WHEN error_code = 'replay_detected' THEN 409
     WHEN error_code IS NULL THEN 202 ELSE 401 END AS status_code
 FROM coded""",
+        "request_audit": f"""{_audited()}
+SELECT request_id, error_code, CASE
+    WHEN error_code IN ('rate_limited_ip', 'rate_limited_key') THEN 429
+    WHEN error_code IN ('bad_request', 'validation_failed', 'unsupported_schema_version') THEN 400
+    WHEN error_code = 'payload_too_large' THEN 413
+    WHEN error_code = 'replay_detected' THEN 409
+    WHEN error_code IS NULL THEN 202 ELSE 401 END AS status_code
+FROM coded""",
+        "gated_ingest": f"""{_audited()},
+stored AS (
+  SELECT uuid, ANY_VALUE(wire_game) AS game_id FROM checked JOIN coded USING (batch_id) WHERE error_code IS NULL GROUP BY 1
+)
+SELECT 'requests' AS source, COALESCE(error_code, 'accepted') AS item, COUNT(*) AS n FROM coded GROUP BY 1, 2
+UNION ALL SELECT 'events', game_id, COUNT(*) FROM stored GROUP BY 1, 2""",
         "dataset_checks": _dataset_checks(),
         "bucket_checks": f"""{sessions16},
 pop AS ({POPULARITY} SELECT * FROM popularity),
@@ -828,6 +917,7 @@ UNION ALL SELECT 'cohorts', game_id, CAST(SUM(cohort_size) AS BIGINT) FROM cohor
         ("stream_alerts", "service_alerts"),
     ):
         found[stream] = found[batch]
+    found["counts_stored"] = found["custom_counts"]
     found["prune_then_refresh"] = found["refresh_incremental"]
     found["purge_job"] = f"""{EV},
 kept AS (SELECT * FROM ev WHERE substr(player_id_hash, 1, 1) NOT IN ('0', '7', 'c')),

@@ -30,7 +30,7 @@ from eventlens.functions import (
 )
 from eventlens.functions.validation import checked_event
 from eventlens.operators import daily, dedupe, quality, replay, requests, retention, sessions
-from eventlens.plans import ingest, metrics, refresh, responses
+from eventlens.plans import audit, ingest, metrics, refresh, responses
 from eventlens.sources import batches, dimensions, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +594,27 @@ def request_outcome(spark, sf_dir):
     return outcome.select("request_id", "error_code", "status_code")
 
 
+@query
+def request_audit(spark, sf_dir):
+    """Outcome of every landed request behind all gates: limits, signatures, replays and bodies."""
+    data.workspace(spark)
+    log = data.signed_requests(spark, sf_dir)
+    audited = audit.audit(log, data.gate_keys(spark), data.GATE_SETTINGS)
+    return audited.select("request_id", "error_code", "status_code")
+
+
+@query
+def gated_ingest(spark, sf_dir):
+    """Stored events and requests by outcome, when all gates stand before the ingest."""
+    raw = f"{_scratch(spark, 'gated')}/events"
+    done = audit.admit(data.signed_requests(spark, sf_dir), data.gate_keys(spark), raw, data.GATE_SETTINGS)
+    stored = tables.read_events(spark, raw).groupBy("game_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.createDataFrame(sorted(done.requests.items()), "item string, n bigint")
+    return counts.select(F.lit("requests").alias("source"), "item", "n").unionByName(
+        stored.select(F.lit("events").alias("source"), F.col("game_id").alias("item"), "n")
+    )
+
+
 # ---------------------------------------------------------------- data quality
 
 
@@ -822,6 +843,13 @@ def idle_sessions(spark, sf_dir):
     return found.select("player_id_hash", "event_count", _iso("started_at"), _iso("ended_at"))
 
 
+@query
+def counts_stored(spark, sf_dir):
+    """As ``custom_counts``, of a stored table, where row groups of other names are skipped."""
+    raw = _stored_events(spark, sf_dir, _scratch(spark, "counts"))
+    return metrics.custom_counts(tables.read_events(spark, raw), "level_end", AS_OF, game="alpha")
+
+
 @query
 def recent_stored(spark, sf_dir):
     """Newest events of a stored table, of which only the newest dates are read."""

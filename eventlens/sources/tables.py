@@ -1,7 +1,8 @@
 """Raw and derived Parquet tables.
 
 Raw events are partitioned by UTC date and event group (the five core names and ``custom``), so the
-number of partitions does not grow with the number of custom names. Derived tables are published
+number of partitions does not grow with the number of custom names; inside a file events lie by name
+and game, so reports on one name skip the other row groups. Derived tables are published
 as complete snapshots in sub-directories; readers take the newest one that carries a success mark,
 so a refresh never overwrites files that a reader has listed.
 """
@@ -22,6 +23,8 @@ from eventlens.operators.dedupe import first_per_event
 from eventlens.operators.filters import utc
 from eventlens.sources.ledger import Ledger
 
+#: Bytes of a row group of raw events: the unit that a scan for one event name skips.
+ROW_GROUP = 16 << 20
 _SNAPSHOT = re.compile(r"^snapshot=(\d{12})$")
 
 
@@ -113,6 +116,24 @@ def _with_partitions(events: DataFrame) -> DataFrame:
     )
 
 
+def _write_events(events: DataFrame, path: str, mode: str) -> None:
+    """Write events with their partition columns.
+
+    Hot partitions are split over tasks and small ones put together. Rows of a file lie by name,
+    game and instant: the bounds and Bloom filters of row groups then tell which hold a name.
+    """
+    (
+        events.hint("rebalance", "event_date", "event_group")
+        .sortWithinPartitions("event_date", "event_group", "event_name", "game_id", "occurred_at")
+        .write.mode(mode)
+        .option("parquet.block.size", ROW_GROUP)
+        .option("parquet.bloom.filter.enabled#event_name", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
+        .partitionBy("event_date", "event_group")
+        .parquet(path)
+    )
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; it outlives any executor."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -244,13 +265,7 @@ def append_staged(batch: DataFrame, path: str) -> int:
     with staged(ledger.seen(ids), "known") as known:
         fresh = first_per_event(batch).join(known, "event_id", "left_anti")
         pending = ledger.begin(fresh.select("event_id", utc_date(F.col("occurred_at")).alias("event_date")))
-        (
-            _with_partitions(fresh.select(*columns))
-            .hint("rebalance", "event_date", "event_group")
-            .write.mode("append")
-            .partitionBy("event_date", "event_group")
-            .parquet(path)
-        )
+        _write_events(_with_partitions(fresh.select(*columns)), path, "append")
         ledger.commit(pending)
         _touch(batch, path, landing)
         return ids.count() - known.count()
@@ -300,9 +315,7 @@ def purge_players(spark: SparkSession, path: str, players: DataFrame) -> tuple[i
     with staged(gone.select("event_id", "occurred_at"), "purge") as deleted:
         _touch(deleted, path, uuid.uuid4().hex)
         kept = held.join(players, "player_id_hash", "left_anti")
-        kept.hint("rebalance", "event_date", "event_group").write.mode("overwrite").partitionBy(
-            "event_date", "event_group"
-        ).parquet(f"{path}_purge/kept")
+        _write_events(kept, f"{path}_purge/kept", "overwrite")
         spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.mode("overwrite").parquet(
             f"{path}_purge/plan"
         )

@@ -5,10 +5,14 @@ import hashlib
 import hmac
 import random
 from datetime import timedelta
+from pathlib import Path
+
+import pytest
 
 from eventlens import Settings
 from eventlens import functions as fn
-from eventlens.plans.audit import audit, passed
+from eventlens.plans.audit import admit, audit, passed
+from eventlens.sources.tables import Scratch, read_events, shared_folder
 from tests.factories import rows, utc, wire
 from tests.test_validation import body
 
@@ -84,16 +88,68 @@ def fold(log, settings):
     return codes
 
 
-def test_the_chain_equals_a_fold(spark):
-    settings = Settings(ip_per_minute=20, ip_burst_per_minute=36, key_per_minute=18, key_burst_per_minute=30)
-    log = random_log(5)
+SETTINGS = Settings(ip_per_minute=20, ip_burst_per_minute=36, key_per_minute=18, key_burst_per_minute=30)
+
+
+def credentials(spark):
     pads = {k: tuple(map(bytearray, fn.hmac_pads(s))) for k, s in SECRETS.items()}
-    keys = spark.createDataFrame(
+    return spark.createDataFrame(
         [("k-a", "alpha", True, *pads["k-a"]), ("k-off", "alpha", False, *pads["k-off"])],
         "api_key_id string, key_game string, enabled boolean, ipad binary, opad binary",
     )
-    audited = audit(spark.createDataFrame(log, COLUMNS), keys, settings)
+
+
+def written(spark):
+    """Tables of the gates that stand in the shared folder."""
+    return {p.name for p in Path(shared_folder(spark)).iterdir() if p.name.split("-")[0] in ("audit", "admit", "replay", "append")}
+
+
+def test_the_chain_equals_a_fold(spark):
+    log, before = random_log(5), written(spark)
+    scratch = Scratch(spark, "audit")
+    audited = audit(spark.createDataFrame(log, COLUMNS), credentials(spark), SETTINGS, scratch)
     found = dict(rows(audited, "request_id", "error_code"))
-    expected = fold(log, settings)
+    expected = fold(log, SETTINGS)
     assert found == expected and len(set(expected.values())) == 10 - 1
     assert {r[0] for r in rows(passed(audited), "batch_id")} == {k for k, c in expected.items() if c is None}
+    assert len(written(spark) - before) == 1  # the outcomes
+    scratch.clear()
+    assert written(spark) == before
+
+
+def test_the_log_is_read_once_for_all_gates_but_the_bodies(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame(random_log(6, 40), COLUMNS).write.parquet(path)
+    plan = audit(spark.read.parquet(path), credentials(spark), SETTINGS)._jdf.queryExecution().optimizedPlan().toString()
+    # The result adds the codes to the log; everything before stands in written tables.
+    assert plan.count("Relation [") == 2
+
+
+def test_admitted_requests_are_stored_and_counted(spark, tmp_path):
+    log, raw = random_log(7), str(tmp_path / "raw")
+    expected, before = fold(log, SETTINGS), written(spark)
+    done = admit(spark.createDataFrame(log, COLUMNS), credentials(spark), raw, SETTINGS)
+    codes = [c or "accepted" for c in expected.values()]
+    assert done.requests == {c: codes.count(c) for c in codes}
+    # Every good body holds the same event.
+    assert done.added == read_events(spark, raw).count() == 1
+    assert admit(spark.createDataFrame(log, COLUMNS), credentials(spark), raw, SETTINGS).added == 0
+    assert written(spark) == before
+
+
+def test_an_audit_that_fails_leaves_no_table(spark, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    before = written(spark)
+    monkeypatch.setattr("eventlens.plans.audit.judge", broken)
+    with pytest.raises(RuntimeError):
+        audit(spark.createDataFrame(random_log(8, 20), COLUMNS), credentials(spark), SETTINGS)
+    assert written(spark) == before
+
+
+def test_an_empty_log(spark, tmp_path):
+    log = spark.createDataFrame([], COLUMNS)
+    assert audit(log, credentials(spark)).count() == 0
+    done = admit(log, credentials(spark), str(tmp_path / "raw"))
+    assert (done.added, done.requests) == (0, {})
