@@ -20,8 +20,8 @@ from eventlens.llm.common import free_name
 #: Bounds of training: labelled rows, and features that the model may use.
 SAMPLE_ROWS = 20_000
 FEATURES = 3000
-#: Rows of the sample that a feature must occur in.
-MIN_ROWS = 8
+#: Rows of the sample that a feature must occur in: a share of the smaller class, but two at least.
+MIN_SHARE, MIN_ROWS = 0.002, 2
 RIDGE = 1e-4
 COUNTERFACTUAL = 1.0
 ROUNDS = 300
@@ -136,7 +136,7 @@ def _choose(counts: DataFrame, toxic: int, clean: int, limit: int) -> list[str]:
     chosen = (
         counts.groupBy("feature")
         .agg(a.alias("a"), b.alias("b"))
-        .where(F.col("a") + F.col("b") >= MIN_ROWS)
+        .where(F.col("a") + F.col("b") >= max(MIN_ROWS, MIN_SHARE * min(toxic, clean)))
         .withColumn("chi", F.pow(F.col("a") - expected, F.lit(2)) / expected)
         .orderBy(F.desc("chi"), "feature")
         .limit(limit)

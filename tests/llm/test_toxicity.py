@@ -1,6 +1,10 @@
 import random
+from pathlib import Path
 
-from eventlens.llm import toxicity
+import pytest
+from pyspark.sql import functions as F
+
+from eventlens.llm import queries, toxicity
 from tests.llm.conftest import ODD
 
 
@@ -50,3 +54,26 @@ def test_odd_rows_and_labels(frame, spark):
     nothing = toxicity.train(frame(rows), empty)
     assert nothing.score("idiot", {}) < 1e-6
     assert toxicity.score(frame([]), nothing)[0].count() == 0
+
+
+@pytest.mark.parametrize(("sf", "recall", "alarms"), [("sf0.01", 0.8, 0.02), ("sf0.1", 0.9, 0.01)])
+def test_held_out_documents_of_the_given_tables(spark, sf, recall, alarms):
+    folder = f"/root/testdata/{sf}"
+    if not Path(folder).exists():
+        pytest.skip("no test data")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    found = queries.llm_queries()["op3_toxicity"](spark, folder).where("held_out").join(labels, "doc_id")
+    counts = {(r["toxic"], r["predicted"]): r["n"] for r in found.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
+    hit, missed = counts.get((1, 1), 0), counts.get((1, 0), 0)
+    false, clean = counts.get((0, 1), 0), counts.get((0, 0), 0)
+    assert hit >= recall * (hit + missed)
+    assert false <= alarms * (false + clean)
+
+
+def test_words_of_few_toxic_rows_are_learned(frame, spark):
+    rows, labels = data(5, 300)
+    rows = [(i, t.replace("idiot", "w1").replace("scum", "w2")) for i, t in rows]
+    extra = [(1000 + i, f"w3 w4 grobian w{i}") for i in range(3)]
+    marked = [*labels, *((i, 1, 1) for i, _ in extra)]
+    model = toxicity.train(frame([*rows, *extra]), spark.createDataFrame(marked, "doc_id long, quality int, toxic int"))
+    assert model.weights["=grobian"] > 0
