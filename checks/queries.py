@@ -8,6 +8,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from checks import data
 from checks.data import AS_OF, SETTINGS, SETTINGS_16
@@ -750,24 +751,40 @@ def stream_sessions_daily(spark, sf_dir):
     return streaming.session_days(spark, target)
 
 
-def _in_files(frame: DataFrame, path: str, ts: str, files: int, *closing: DataFrame) -> DataFrame:
-    """A stream over a written frame: files by ranges of time, one micro-batch each, then the rows
-    that let the watermark pass all others."""
-    spark = frame.sparkSession
-    edges = frame.agg(F.percentile_approx(F.unix_micros(ts), [k / files for k in range(1, files)])).first()[0] or []
+def _landings(frame: DataFrame, ts: str, parts: int, *closing: DataFrame) -> list[DataFrame]:
+    """A frame by ranges of time, then the rows that let the watermark pass all others."""
+    edges = frame.agg(F.percentile_approx(F.unix_micros(ts), [k / parts for k in range(1, parts)])).first()[0] or []
     part = sum(((F.unix_micros(ts) > e).cast("int") for e in edges), F.lit(0))
-    for k in range(files):
-        frame.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    for rows in closing:
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return [*[frame.filter(part == k) for k in range(parts)], *closing]
 
 
-def _run(stream: DataFrame, folder: str) -> DataFrame:
-    """What a stream has appended when its input has ended."""
-    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state")
-    query.trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+def _streamed(landings: list[DataFrame], folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Each landing is written by as many tasks as its rows have and is one micro-batch of the stream
+    that ``start`` makes: the stream runs after each one and goes on where it has ended. Batches
+    without rows, which only let state go, wait for the last landing."""
+    spark, path = landings[0].sparkSession, f"{folder}/in"
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    try:
+        for rows in landings:
+            rows.write.mode("append").parquet(path)
+            spark.conf.set(setting, before if rows is landings[-1] else "false")
+            start(spark.readStream.schema(landings[0].schema).parquet(path)).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _run(landings: list[DataFrame], folder: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of ``job`` has appended when its input has ended."""
+    made: list[DataFrame] = []
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        made.append(job(stream))
+        query = made[-1].writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state")
+        return query.trigger(availableNow=True).format("parquet").start(f"{folder}/out")
+
+    _streamed(landings, folder, start)
+    return landings[0].sparkSession.read.schema(made[-1].schema).parquet(f"{folder}/out")
 
 
 def _later():
@@ -787,10 +804,13 @@ def stream_sessions(spark, sf_dir):
     last = events.limit(1).withColumns(
         {"player_id_hash": F.lit("~"), "occurred_at": _later(), "arrived": _later()}
     )
-    stream = _in_files(arriving, f"{folder}/in", "arrived", 4, last)
-    # An event is numbered by the number in its id where two of a player share an instant.
-    padded = stream.withColumn("event_id", F.lpad("event_id", 20, "0"))
-    numbered = _run(streaming.numbered_sessions(padded, "2 hours"), folder)
+
+    def job(stream: DataFrame) -> DataFrame:
+        # An event is numbered by the number in its id where two of a player share an instant.
+        padded = stream.withColumn("event_id", F.lpad("event_id", 20, "0"))
+        return streaming.numbered_sessions(padded, "2 hours")
+
+    numbered = _run(_landings(arriving, "arrived", 4, last), folder, job)
     return numbered.filter("player_id_hash <> '~'").select(F.col("event_id").cast("bigint").alias("event_id"), "session_no")
 
 
@@ -800,9 +820,12 @@ def stream_replay(spark, sf_dir):
     folder = _scratch(spark, "stream-replay")
     log = requests.timestamp_reasons(data.request_log(spark, sf_dir), SETTINGS.replay_window_s)
     kept = log.select(F.col("request_id").cast("string").alias("request_id"), "api_key_id", "nonce", "received_at", "time_reason")
-    stream = _in_files(kept, f"{folder}/in", "received_at", 3)
-    flagged = streaming.replay_windows(stream, SETTINGS.replay_window_s, "1 hour", F.col("time_reason").isNull())
-    return _run(flagged, folder).withColumn("request_id", F.col("request_id").cast(log.schema["request_id"].dataType))
+
+    def job(stream: DataFrame) -> DataFrame:
+        return streaming.replay_windows(stream, SETTINGS.replay_window_s, "1 hour", F.col("time_reason").isNull())
+
+    flagged = _run(_landings(kept, "received_at", 3), folder, job)
+    return flagged.withColumn("request_id", F.col("request_id").cast(log.schema["request_id"].dataType))
 
 
 @query
@@ -816,10 +839,12 @@ def stream_orphans(spark, sf_dir):
         renamed.limit(1).withColumns({"player_id_hash": F.lit("~"), "occurred_at": _later(), "event_name": F.lit(name)})
         for name in ("match_start", "match_end")
     ]
-    stream = _in_files(renamed, f"{folder}/in", "occurred_at", 3, ends[0].union(ends[1]))
     match_id = F.concat_ws(":", "player_id_hash", F.to_date("occurred_at").cast("string"))
-    found = streaming.orphan_stream(stream, match_id, "1 hour", "24 hours").select("event_id", "game_id")
-    return _run(found, folder)
+
+    def job(stream: DataFrame) -> DataFrame:
+        return streaming.orphan_stream(stream, match_id, "1 hour", "24 hours").select("event_id", "game_id")
+
+    return _run(_landings(renamed, "occurred_at", 3, ends[0].union(ends[1])), folder, job)
 
 
 @query
@@ -828,9 +853,11 @@ def stream_alerts(spark, sf_dir):
     folder = _scratch(spark, "stream-alerts")
     log = data.request_log(spark, sf_dir).select("service", "received_at", "status_code", "latency_ms")
     late = F.pmod(F.xxhash64("received_at"), F.lit(5)) == 0
-    path = f"{folder}/in"
-    stream = _in_files(log.filter(~late), path, "received_at", 2, log.filter(late))
-    streaming.alert_stream(stream, f"{folder}/cells", f"{folder}/state", "3650 days").awaitTermination()
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        return streaming.alert_stream(stream, f"{folder}/cells", f"{folder}/state", "3650 days")
+
+    _streamed(_landings(log.filter(~late), "received_at", 2, log.filter(late)), folder, start)
     return streaming.live_alerts(spark, f"{folder}/cells").select(
         "service", "alert", _iso("window_start"), "minutes", "requests", "breaches", "firing"
     )

@@ -3,10 +3,11 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import differences, duck
 from checks.oracles import all_oracles
-from checks.queries import all_queries
+from checks.queries import _streamed, all_queries
 from eventlens.operators.quality import leaked_identifiers
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,20 @@ def test_every_query_has_sql():
 )
 def test_metric_results_hold_no_identifier(spark, name):
     assert leaked_identifiers(all_queries()[name](spark, SF)) == []
+
+
+def test_landings_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
+    """A landing is one micro-batch of many files, not one file that a single task has to write."""
+    rows = spark.range(0, 400, 1, 8).select("id", F.timestamp_seconds(F.col("id") * 60).alias("at"))
+    seen = []
+
+    def start(stream):
+        def land(batch, number):
+            seen.append((number, batch.count()))
+
+        writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{tmp_path}/state")
+        return writer.trigger(availableNow=True).start()
+
+    _streamed([rows.filter("id < 200"), rows.filter("id >= 200")], str(tmp_path), start)
+    assert seen == [(0, 200), (1, 200)]
+    assert len(list(tmp_path.glob("in/*.parquet"))) >= 8
