@@ -220,21 +220,27 @@ def rate_pressure(
 ) -> DataFrame:
     """Demand per key and instant in the trailing minute and ten seconds, against both limits.
 
-    Requests are first counted per key and millisecond, in the map tasks. Each count is then placed
-    in its own minute and, as history, in the next one, so a window never spans more than two
-    minutes of one key: at most 120,000 rows, whatever share of the traffic the key has.
+    Requests are first counted per key and millisecond, in the map tasks. A count is placed in its
+    block of ten minutes and, if its minute runs on into the next block, there as history, so an
+    ordered pass never spans more than eleven minutes of one key: at most 660,000 rows, whatever
+    share of the traffic the key has. Demand is the running sum less the one that ends where the
+    trailing window begins; both frames only grow, so a row is added once, however dense a key is.
     """
-    width = fv.SUSTAINED_WINDOW_MS
+    width, block_ms = fv.SUSTAINED_WINDOW_MS, 10 * fv.SUSTAINED_WINDOW_MS
     counts = requests.groupBy(key, F.unix_millis(ts).alias("at_ms")).agg(
         F.count(F.lit(1)).alias("requests")
     )
-    minute = F.floor(F.col("at_ms") / width).cast("bigint")
-    placed = counts.withColumn("_minute", F.explode(F.array(minute, minute + 1)))
-    own = F.col("_minute") == minute
+    block = F.floor(F.col("at_ms") / block_ms).cast("bigint")
+    runs_on = F.floor((F.col("at_ms") + (width - 1)) / block_ms).cast("bigint")
+    placed = counts.withColumn("_block", F.explode(F.array_distinct(F.array(block, runs_on))))
+    own = F.col("_block") == block
+    ordered = Window.partitionBy(key, "_block").orderBy("at_ms")
+
+    def until(offset: int) -> Column:
+        return F.sum("requests").over(ordered.rangeBetween(Window.unboundedPreceding, offset))
 
     def trailing(ms: int) -> Column:
-        frame = Window.partitionBy(key, "_minute").orderBy("at_ms").rangeBetween(-(ms - 1), 0)
-        return F.sum("requests").over(frame)
+        return until(0) - F.coalesce(until(-ms), F.lit(0))
 
     figures = placed.select(
         key,

@@ -229,3 +229,16 @@ def test_timestamp_reasons(spark):
     reason = [r[0] for r in rows(requests.timestamp_reasons(df, 300), "time_reason")]
     late = "timestamp_out_of_window"
     assert reason == [None, None, late, late, late, *["bad_request"] * 5]
+
+
+def test_rate_pressure_adds_a_row_once(spark):
+    """Frames only grow, so a pass over a dense key is linear; demand runs on over the edge of a block."""
+    base = int(START.timestamp()) // 600 * 600
+    times = [599_990 + 7 * i for i in range(0, 9000, 3)]
+    df = spark.createDataFrame([("k", t) for t in times], "api_key_id string, t bigint")
+    log = df.withColumn("received_at", F.timestamp_millis(F.col("t") + base * 1000))
+    found = requests.rate_pressure(log, "api_key_id", 30, 60)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("specifiedwindowframe(RangeFrame, unboundedpreceding$()") == 4 == plan.count("specifiedwindowframe(")
+    got = {r.at_ms - base * 1000: (r.trailing_60s, r.trailing_10s) for r in found.collect()}
+    assert got == {t: tuple(sum(t - w < x <= t for x in times) for w in (60_000, 10_000)) for t in times}
