@@ -83,11 +83,16 @@ def _is_ipv6(text: Column) -> Column:
     bare = F.when(text.contains("%"), F.regexp_replace(text, exact_pattern("%[0-9a-zA-Z.:-]+$"), "")).otherwise(text)
     flat = F.when(bare.contains("."), F.regexp_replace(bare, exact_pattern(_TAIL_V4), ":0:0")).otherwise(bare)
     run = f"{_HEX_GROUP}(:{_HEX_GROUP})*"
-    full = matches(flat, f"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$")
-    # The double colon stands for at least one group, which bounds the number of colons.
-    at_edge = flat.startswith("::") | flat.endswith("::")
-    short = matches(flat, f"^({run})?::({run})?$") & (_colons(flat) <= F.when(at_edge, 8).otherwise(7))
-    return full | short
+
+    def is_address(text: Column) -> Column:
+        full = matches(text, f"^({_HEX_GROUP}:){{7}}{_HEX_GROUP}$")
+        # The double colon stands for at least one group, which bounds the number of colons.
+        at_edge = text.startswith("::") | text.endswith("::")
+        short = matches(text, f"^({run})?::({run})?$") & (_colons(text) <= F.when(at_edge, 8).otherwise(7))
+        return full | short
+
+    # Bound once: written out for every use, the code of a row grows too large to be compiled.
+    return F.exists(F.array(flat), is_address)
 
 
 def ip_prefix(ip: Column) -> Column:
@@ -104,11 +109,12 @@ def ip_prefix(ip: Column) -> Column:
     lead = F.when(head == "", "").otherwise(F.concat(head, F.lit(":")))
     groups = F.concat(lead, zeros, tail)
 
-    def group(n: int) -> Column:
-        digits = F.ltrim(F.split_part(groups, F.lit(":"), F.lit(n)), F.lit("0"))
+    def short(group: Column) -> Column:
+        digits = F.ltrim(group, F.lit("0"))
         return F.when(digits == "", "0").otherwise(F.lower(digits))
 
-    v6 = F.concat(F.concat_ws(":", group(1), group(2), group(3)), F.lit("::/48"))
+    first = F.transform(F.slice(F.split(groups, ":"), 1, 3), short)
+    v6 = F.concat(F.array_join(first, ":"), F.lit("::/48"))
     return F.when(matches(plain, _IPV4), v4).when(_is_ipv6(plain), v6).otherwise("unknown")
 
 
