@@ -7,19 +7,25 @@ no bottleneck:
 
 1. requests are combined per nonce and millisecond in the map tasks;
 2. a nonce whose requests span less than one window has one accepted request, its first;
-3. for the others, an instant with a full window of silence before it is a sure start;
-4. each instant is linked to the first instant a window later, per time slice;
+3. the instants of the others are gathered by blocks of a few windows; a block with a full window of
+   silence on both sides needs no other, so it is folded in its row;
+4. of the blocks that touch others, an instant with a full window of silence before it is a sure
+   start, and each instant is linked to the first instant a window later, per time slice;
 5. what the sure starts reach over these links, up to the next sure start, is found by doubling the
    links, in as many rounds as the logarithm of the longest chain without such a silence.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventlens.sources.tables import Scratch
 
 NONCE = ["api_key_id", "nonce"]
+#: Windows of a block, which bounds the instants that one row gathers.
+BLOCK = 4
 
 
 def _instants(requests: DataFrame, ts: str) -> DataFrame:
@@ -105,6 +111,40 @@ def _window_starts(instants: DataFrame, window_ms: int, scratch: Scratch) -> Dat
         links = scratch.write(doubled.select(*NONCE, "at", F.col("far_at").alias("next_at")))
 
 
+def _blocks(instants: DataFrame) -> DataFrame:
+    """First and last instant of every nonce and block of ``BLOCK`` windows."""
+    return instants.groupBy(*NONCE, "_block").agg(
+        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min_by("first_id", "at").alias("first_id")
+    )
+
+
+def _touching(blocks: DataFrame, window_ms: int) -> DataFrame:
+    """Blocks with an instant less than a window away from one of an earlier or later block.
+
+    A block is longer than a window, so only the next one can be touched, and only by an instant
+    less than a window from the edge.
+    """
+    edge = (F.col("_block") + 1) * (BLOCK * window_ms)
+    reaching = blocks.filter(edge - F.col("last_at") < window_ms).select(
+        *NONCE, (F.col("_block") + 1).alias("_block"), F.col("last_at").alias("_before")
+    )
+    touched = blocks.join(reaching, [*NONCE, "_block"]).filter(F.col("first_at") - F.col("_before") < window_ms)
+    both = F.explode(F.array(F.col("_block") - 1, F.col("_block"))).alias("_block")
+    return touched.select(*NONCE, both).distinct()
+
+
+def _folded(instants: Column, window_ms: int) -> Column:
+    """The instants of an ordered list that open a window, from the first on."""
+    none = F.filter(instants, lambda _: F.lit(False))
+    return F.aggregate(
+        instants,
+        none,
+        lambda opened, x: F.when(
+            (F.size(opened) == 0) | (x["at"] - F.element_at(opened, -1)["at"] >= window_ms), F.concat(opened, F.array(x))
+        ).otherwise(opened),
+    )
+
+
 def accepted_ids(
     requests: DataFrame, window_s: int, ts: str = "received_at", scratch: Scratch | None = None
 ) -> DataFrame:
@@ -132,11 +172,30 @@ def _accepted(requests: DataFrame, window_s: int, ts: str, scratch: Scratch) ->
     long = scratch.write(spans.filter(reused).select(*NONCE))
     if long.isEmpty():
         return spans.select("request_id")
-    chains = scratch.write(instants.join(long, NONCE, "left_semi"))
-    starts = _window_starts(chains, window_ms, scratch)
-    again = chains.join(starts, [*NONCE, "at"]).select(F.col("first_id").alias("request_id"))
     single = spans.filter(~reused).select("request_id")
-    return single.unionByName(again)
+    block = F.floor(F.col("at") / (BLOCK * window_ms)).cast("bigint")
+    chains = instants.join(long, NONCE, "left_semi").filter("at is not null").withColumn("_block", block)
+    blocks = scratch.write(_blocks(chains))
+    touching = scratch.write(_touching(blocks, window_ms))
+    place = [*NONCE, "_block"]
+    alone = blocks.join(touching, place, "left_anti")
+    several = F.col("last_at") - F.col("first_at") >= window_ms
+    gathered = (
+        chains.join(alone.filter(several).select(*place), place, "left_semi")
+        .groupBy(*place)
+        .agg(F.array_sort(F.collect_list(F.struct("at", "first_id"))).alias("_instants"))
+    )
+    folded = gathered.select(F.inline(_folded(F.col("_instants"), window_ms)))
+    found = reduce(
+        DataFrame.unionByName,
+        [single, *[part.select(F.col("first_id").alias("request_id")) for part in (alone.filter(~several), folded)]],
+    )
+    if touching.isEmpty():
+        return found
+    linked = scratch.write(chains.join(touching, place, "left_semi").drop("_block"))
+    starts = _window_starts(linked, window_ms, scratch)
+    again = linked.join(starts, [*NONCE, "at"]).select(F.col("first_id").alias("request_id"))
+    return found.unionByName(again)
 
 
 def replay_flags(

@@ -231,6 +231,25 @@ def test_timestamp_reasons(spark):
     assert reason == [None, None, late, late, late, *["bad_request"] * 5]
 
 
+def test_replay_blocks_that_stand_alone_need_no_links(spark, monkeypatch):
+    """Bursts of some windows with silence around them are folded; only blocks that touch are linked."""
+    day = 86_400
+    hot = [(d * day + s) for d in range(3) for s in range(0, 1000, 7)]
+    data = [(f"h{i}", "k", "hot", START + timedelta(seconds=s)) for i, s in enumerate(hot)]
+    monkeypatch.setattr(replay, "_window_starts", None)
+    found = replay.replay_flags(spark.createDataFrame(data, REQUESTS), 300)
+    assert {r[0] for r in rows(found.filter("is_replay"), "request_id")} == replay_fold(data, 300)
+
+
+def test_replay_over_the_edges_of_blocks(spark):
+    """A nonce without any silence over many blocks, beside one whose blocks stand alone."""
+    long = [(f"l{i:04d}", "k", "long", START + timedelta(seconds=37 * i)) for i in range(400)]
+    edge = [(f"e{i}", "k", "edge", START + timedelta(seconds=s)) for i, s in enumerate((900, 1199, 1201, 1499.5, 1500, 5000, 5299, 5301))]
+    data = long + edge
+    found = replay.replay_flags(spark.createDataFrame(data, REQUESTS), 300)
+    assert {r[0] for r in rows(found.filter("is_replay"), "request_id")} == replay_fold(data, 300)
+
+
 def test_rate_pressure_adds_a_row_once(spark):
     """Frames only grow, so a pass over a dense key is linear; demand runs on over the edge of a block."""
     base = int(START.timestamp()) // 600 * 600
