@@ -9,6 +9,7 @@ from checks.compare import differences, duck
 from checks.oracles import all_oracles
 from checks.queries import _streamed, all_queries
 from eventlens.operators.quality import leaked_identifiers
+from eventlens.sources import tables
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test data")
@@ -50,3 +51,11 @@ def test_landings_of_a_stream_are_written_by_all_tasks(spark, tmp_path):
     _streamed([rows.filter("id < 200"), rows.filter("id >= 200")], str(tmp_path), start)
     assert seen == [(0, 200), (1, 200)]
     assert len(list(tmp_path.glob("in/*.parquet"))) >= 8
+
+
+def test_codes_are_written_before_they_are_filtered(spark, monkeypatch):
+    """Else the filter on the code is moved below the checks, which then run once for every use."""
+    staged, stage = [], tables.stage
+    monkeypatch.setattr(tables, "stage", lambda df, name: staged.append(df.columns) or stage(df, name))
+    all_queries()["ingest_rejects"](spark, SF)
+    assert ["batch_id", "code"] in staged
