@@ -184,3 +184,9 @@ def test_user_agents_are_cut_by_utf16_units(spark):
     ]
     df = spark.createDataFrame(data, "agent string, expected string")
     assert [r[0] for r in df.select(fn.user_agent_label(df.agent)).collect()] == [e for _, e in data]
+
+
+def test_prefix_binds_its_parts_once(spark):
+    """Written out for every use, the parts make the code of a row too large to be compiled."""
+    plan = spark.range(1).select(fn.ip_prefix(F.col("id").cast("string")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index") < 20
