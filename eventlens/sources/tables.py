@@ -253,7 +253,8 @@ def append_staged(batch: DataFrame, path: str) -> int:
 
     A raw table has one writer at a time, like a stream with its checkpoint. The dates of the batch
     are listed for the refresh jobs before and after the append: a job that takes the list in
-    between finds it again, and a batch that is run again lists them anew.
+    between finds it again, and a batch that is run again lists them anew. A batch without any new
+    id is not ordered by arrival; its run of ids is empty.
     """
     spark = batch.sparkSession
     landing = uuid.uuid4().hex
@@ -263,12 +264,15 @@ def append_staged(batch: DataFrame, path: str) -> int:
     columns = [field.name for field in schema.EVENTS_RAW]
     ids = batch.select("event_id").distinct()
     with staged(ledger.seen(ids), "known") as known:
+        added = ids.count() - known.count()
         fresh = first_per_event(batch).join(known, "event_id", "left_anti")
+        if not added and exists(spark, path):
+            fresh = spark.createDataFrame([], batch.schema)
         pending = ledger.begin(fresh.select("event_id", utc_date(F.col("occurred_at")).alias("event_date")))
         _write_events(_with_partitions(fresh.select(*columns)), path, "append")
         ledger.commit(pending)
         _touch(batch, path, landing)
-        return ids.count() - known.count()
+        return added
 
 
 def append_events(events: DataFrame, path: str) -> int:

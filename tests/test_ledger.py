@@ -106,3 +106,17 @@ def test_a_lookup_reads_the_touched_buckets_and_row_groups(spark, tmp_path, monk
     leaf = rows.executedPlan().collectLeaves().head()
     read = leaf.metrics().apply("numOutputRows").value()
     assert read < 2_000
+
+
+def test_a_batch_without_new_ids_is_not_ordered(spark, tmp_path, monkeypatch):
+    """Its dates are listed all the same: the run before may have failed behind its events."""
+    raw = str(tmp_path / "raw")
+    assert tables.append_events(frame(spark, events_of(range(3))), raw) == 3
+    for path in tables.touched(spark, raw, "rolling")[0]:
+        tables.remove(spark, path)
+    ordered = tables.first_per_event
+    monkeypatch.setattr(tables, "first_per_event", lambda events: ordered(events).filter(F.raise_error(F.lit("ordered")).isNull()))
+    assert tables.append_events(frame(spark, events_of(range(3))), raw) == 0
+    assert ledger.Ledger(spark, raw).runs() == [(1, 1), (2, 2)]
+    assert tables.touched(spark, raw, "rolling")[1]
+    assert stored_ids(spark, raw) == [0, 1, 2]
