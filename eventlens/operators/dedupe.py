@@ -20,3 +20,17 @@ def first_per_event(events: DataFrame, order: tuple[str, ...] = ARRIVAL) -> Data
     arrival = Window.partitionBy("event_id").orderBy(*given, *rest)
     ranked = events.withColumn("_arrival", F.row_number().over(arrival))
     return ranked.filter("_arrival = 1").drop("_arrival")
+
+
+def first_of_repeated(
+    events: DataFrame, repeated: DataFrame, order: tuple[str, ...] = ARRIVAL
+) -> DataFrame:
+    """``first_per_event``, given the frame of all ids that stand on several rows.
+
+    Only the rows of these ids are shuffled and ordered; the others stay where they are. A null id
+    is an id like any other.
+    """
+    names = repeated.select(F.col("event_id").alias("_repeated"))
+    same = F.col("event_id").eqNullSafe(F.col("_repeated"))
+    once = events.join(names, same, "left_anti")
+    return once.unionByName(first_per_event(events.join(names, same, "left_semi"), order))

@@ -12,14 +12,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventlens import schema
 from eventlens.functions.scalars import is_core_name, utc_date
-from eventlens.operators.dedupe import first_per_event
+from eventlens.operators.dedupe import first_of_repeated, first_per_event
 from eventlens.operators.filters import utc
 from eventlens.sources.ledger import Ledger
 
@@ -219,8 +219,11 @@ MAX_TOUCHED = 20_000
 EVERYTHING = "everything"
 
 
-def _touch(batch: DataFrame, path: str, landing: str) -> None:
-    dates = batch.select(utc_date(F.col("occurred_at")).alias("event_date")).distinct()
+def _dates(batch: DataFrame) -> DataFrame:
+    return batch.select(utc_date(F.col("occurred_at")).alias("event_date")).distinct()
+
+
+def _touch(dates: DataFrame, path: str, landing: str) -> None:
     for follower in FOLLOWERS:
         dates.coalesce(1).write.mode("overwrite").parquet(f"{path}_touched/{follower}/{landing}")
 
@@ -248,30 +251,44 @@ def days_of(spark: SparkSession, path: str, first: date) -> list[str]:
     return sorted(n[4:] for n in names if n.startswith("day=") and n[4:] >= first.isoformat())
 
 
+#: Where more than one in this many ids of a batch is repeated, all its rows are ordered at once.
+ORDER_ALL = 10
+
+
 def append_staged(batch: DataFrame, path: str) -> int:
     """Append the events of a written table whose id is new; returns the number of added rows.
 
     A raw table has one writer at a time, like a stream with its checkpoint. The dates of the batch
     are listed for the refresh jobs before and after the append: a job that takes the list in
-    between finds it again, and a batch that is run again lists them anew. A batch without any new
-    id is not ordered by arrival; its run of ids is empty.
+    between finds it again, and a batch that is run again lists them anew. Only rows whose id stands
+    several times in the batch are ordered by arrival, or all rows if there are many such ids; none
+    are if no id is new, and the run of ids is empty then.
     """
     spark = batch.sparkSession
     landing = uuid.uuid4().hex
     ledger = Ledger(spark, path)
     ledger.recover(read_events(spark, path))
-    _touch(batch, path, landing)
-    columns = [field.name for field in schema.EVENTS_RAW]
-    ids = batch.select("event_id").distinct()
-    with staged(ledger.seen(ids), "known") as known:
-        added = ids.count() - known.count()
-        fresh = first_per_event(batch).join(known, "event_id", "left_anti")
+    counted = batch.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
+    with ExitStack() as stack:
+        dates = stack.enter_context(staged(_dates(batch).coalesce(1), "dates"))
+        _touch(dates, path, landing)
+        ids = stack.enter_context(staged(counted, "ids"))
+        known = stack.enter_context(staged(ledger.seen(ids), "known"))
+        # A table of its own, so that its true size decides on a broadcast.
+        twice = stack.enter_context(staged(ids.filter(F.col("copies") > 1).select("event_id"), "twice"))
+        total = ids.count()
+        added = total - known.count()
         if not added and exists(spark, path):
             fresh = spark.createDataFrame([], batch.schema)
+        elif twice.count() * ORDER_ALL > total:
+            fresh = first_per_event(batch).join(known, "event_id", "left_anti")
+        else:
+            fresh = first_of_repeated(batch.join(known, "event_id", "left_anti"), twice)
         pending = ledger.begin(fresh.select("event_id", utc_date(F.col("occurred_at")).alias("event_date")))
+        columns = [field.name for field in schema.EVENTS_RAW]
         _write_events(_with_partitions(fresh.select(*columns)), path, "append")
         ledger.commit(pending)
-        _touch(batch, path, landing)
+        _touch(dates, path, landing)
         return added
 
 
@@ -317,14 +334,14 @@ def purge_players(spark: SparkSession, path: str, players: DataFrame) -> tuple[i
     held = spark.read.schema(schema.EVENTS_STORED).option("basePath", path).parquet(*files)
     gone = held.join(players, "player_id_hash", "left_semi")
     with staged(gone.select("event_id", "occurred_at"), "purge") as deleted:
-        _touch(deleted, path, uuid.uuid4().hex)
+        _touch(_dates(deleted), path, uuid.uuid4().hex)
         kept = held.join(players, "player_id_hash", "left_anti")
         _write_events(kept, f"{path}_purge/kept", "overwrite")
         spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.mode("overwrite").parquet(
             f"{path}_purge/plan"
         )
         _finish_purge(spark, path)
-        _touch(deleted, path, uuid.uuid4().hex)
+        _touch(_dates(deleted), path, uuid.uuid4().hex)
         return len(files), deleted.count()
 
 

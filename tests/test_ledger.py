@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from eventlens.operators import dedupe
 from eventlens.sources import ledger, tables
 from tests.factories import event, frame
 from tests.test_jobs import AS_OF
@@ -120,3 +121,52 @@ def test_a_batch_without_new_ids_is_not_ordered(spark, tmp_path, monkeypatch):
     assert ledger.Ledger(spark, raw).runs() == [(1, 1), (2, 2)]
     assert tables.touched(spark, raw, "rolling")[1]
     assert stored_ids(spark, raw) == [0, 1, 2]
+
+
+def arrivals(ids):
+    """Events of which a later arrival of an id is another player's."""
+    out = events_of(ids)
+    for n, e in enumerate(out):
+        e["player_id_hash"], e["received_at"] = f"p{n:02d}", e["received_at"].replace(minute=59 - n)
+    return out
+
+
+def test_only_rows_of_repeated_ids_are_ordered(spark, tmp_path, monkeypatch):
+    raw, ordered, counts = str(tmp_path / "raw"), dedupe.first_per_event, []
+
+    def counting(events, *order):
+        counts.append(events.count())
+        return ordered(events, *order)
+
+    for module in (tables, dedupe):
+        monkeypatch.setattr(module, "first_per_event", counting)
+    assert tables.append_events(frame(spark, arrivals([*range(20), 3, 3])), raw) == 20
+    assert counts == [3]
+    assert stored_ids(spark, raw) == list(range(20))
+    won = tables.read_events(spark, raw).filter("event_id = '00000003'").first()
+    assert won.player_id_hash == "p21"
+    assert tables.append_events(frame(spark, arrivals(range(5, 25))), raw) == 5
+    assert counts == [3, 0]
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_few_and_many_repeated_ids_give_the_same_rows(spark, tmp_path, monkeypatch, bound):
+    """A bound of 0 orders rows of repeated ids only, a large one orders all rows."""
+    monkeypatch.setattr(tables, "ORDER_ALL", bound)
+    raw = str(tmp_path / "raw")
+    assert tables.append_events(frame(spark, arrivals([1, 2, 3, 2, 4, 1, 1])), raw) == 4
+    assert tables.append_events(frame(spark, arrivals([9, 1, 5, 5, 9])), raw) == 2
+    found = {int(r.event_id): r.player_id_hash for r in tables.read_events(spark, raw).collect()}
+    assert found == {1: "p06", 2: "p03", 3: "p02", 4: "p04", 5: "p03", 9: "p04"}
+    book = ledger.Ledger(spark, raw)
+    assert sorted(int(r.event_id) for r in book._read(book.runs()).collect()) == [1, 2, 3, 4, 5, 9]
+
+
+def test_first_of_repeated_equals_first_per_event(spark):
+    """Null ids too, which are one id."""
+    rng = random.Random(5)
+    made = [(rng.choice([None, *"abcdefghij"]), rng.randrange(3), rng.randrange(4)) for _ in range(30)]
+    events = spark.createDataFrame([*made, ("once", 1, 1)], "event_id string, received_at int, x int")
+    repeated = events.groupBy("event_id").count().filter("count > 1").select("event_id")
+    some, each = dedupe.first_of_repeated(events, repeated), dedupe.first_per_event(events)
+    assert sorted(map(str, some.collect())) == sorted(map(str, each.collect()))
